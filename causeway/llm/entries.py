@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import media, sharding
-from causeway.llm._common import table
+from causeway.llm import langid, media, sharding, warc
+from causeway.llm._common import id_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,12 +22,39 @@ def op6_hash_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_warc_index_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(id_crc("doc_id"), F.lit(3)) == 1
+    model = langid.fit_language_model(docs.where(~held_out))
+    found = langid.predict_language(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages", "shares")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op3_media_columns,
         op6_hash_ring_shards,
+        op7_warc_index_first,
+        op10_language_mixture,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc_index_first": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, '')) AS payload_bytes
+            FROM pages
+        ), f AS (
+            SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first_id IS NULL OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM p LEFT JOIN f USING (payload_digest)
+    """,
+}
