@@ -62,3 +62,10 @@ def sampled(col: str, share: Column | float, seed: str) -> Column:
     """True for about ``share`` of the ids, the same ones on every run."""
     unit = F.pmod(F.xxhash64(F.col(col), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return unit < share
+
+
+def bounded_sample(df: DataFrame, id_col: str, text_col: str, max_docs: int, max_bytes: int, seed: str) -> DataFrame:
+    """About ``max_docs`` rows with about ``max_bytes`` of text at most, chosen by a hash of the id."""
+    n, size = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(text_col))).first()
+    share = min(1.0, max_docs / max(n, 1), max_bytes / max(size or 0, 1))
+    return df if share == 1 else df.where(sampled(id_col, share, seed))

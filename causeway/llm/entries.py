@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import langid, media, sharding, warc
+from causeway.llm import langid, media, quality, sharding, toxicity, warc
 from causeway.llm._common import id_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.pmod(id_crc("doc_id"), F.lit(5)) == 0
+    net = toxicity.fit_toxicity(toxicity.with_labels(docs.where(~held_out), labels.where(~held_out), "toxic"))
+    found = toxicity.score_toxicity(docs, net)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "language")
+
+
+def op4_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scorer, _ = quality.fit_quality(docs)
+    return quality.score_quality(docs, scorer)
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest_features(media.media_columns(table(spark, sf_dir, "documents"), keep_media=False))
 
@@ -37,7 +51,9 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_toxicity_cnn,
         op3_media_columns,
+        op4_weak_label_quality,
         op6_hash_ring_shards,
         op7_warc_index_first,
         op10_language_mixture,
