@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import langid, media, quality, sharding, toxicity, warc
+from causeway.llm import langid, media, minhash, quality, sharding, toxicity, warc
 from causeway.llm._common import id_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op7_warc_index_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.pmod(id_crc("doc_id"), F.lit(3)) == 1
@@ -56,11 +60,46 @@ QUERIES: dict[str, Query] = {
         op4_weak_label_quality,
         op6_hash_ring_shards,
         op7_warc_index_first,
+        op9_minmax_near_dedup,
         op10_language_mixture,
     )
 }
 
+#: Near duplicates by a join on all shingles; at most this many rounds of a component's smallest id.
+_NEAR_SQL = """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws
+            FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {k} THEN [array_to_string(ws, ' ')]
+                                ELSE list_distinct([array_to_string(ws[i:i + {k} - 1], ' ') FOR i IN range(1, len(ws) - {k} + 2)]) END AS sh
+            FROM w
+        ), g AS (
+            SELECT min(doc_id) AS rep, sh, list_sort(sh) AS sorted FROM s GROUP BY ALL
+        ), r AS (
+            SELECT min(rep) AS rep, sorted FROM g WHERE len(sorted) > 0 GROUP BY sorted
+        ), u AS (
+            SELECT rep, len(sorted) AS n, unnest(sorted) AS x FROM r
+        ), p AS (
+            SELECT a.rep AS a, b.rep AS b FROM u a JOIN u b ON a.x = b.x AND a.rep < b.rep
+            GROUP BY a.rep, b.rep HAVING 100 * count(*) >= {percent} * (any_value(a.n) + any_value(b.n) - count(*))
+        ), e AS (
+            SELECT a, b FROM p UNION SELECT b, a FROM p
+        ), c AS (
+            SELECT rep AS node, rep AS reached FROM r
+            UNION
+            SELECT c.node, e.b FROM c JOIN e ON c.reached = e.a
+        ), m AS (
+            SELECT node, min(reached) AS component_id FROM c GROUP BY node
+        ), o AS (
+            SELECT s.doc_id, len(s.sh) AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id
+            FROM s LEFT JOIN r ON r.sorted = list_sort(s.sh) LEFT JOIN m ON m.node = r.rep
+        )
+        SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM o
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op9_minmax_near_dedup": _NEAR_SQL.format(k=3, percent=85),
     "op7_warc_index_first": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, '')) AS payload_bytes
