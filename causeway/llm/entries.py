@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import langid, media, minhash, quality, sharding, toxicity, warc
+from causeway.llm import decontam, langid, media, minhash, quality, sharding, toxicity, warc
 from causeway.llm._common import id_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op4_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, scorer)
 
 
+def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest_features(media.media_columns(table(spark, sf_dir, "documents"), keep_media=False))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_toxicity_cnn,
+        op2_spaced_seed_decontamination,
         op3_media_columns,
         op4_weak_label_quality,
         op6_hash_ring_shards,
@@ -98,7 +103,42 @@ _NEAR_SQL = """
         SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM o
 """
 
+
+
+def _overlap_sql() -> str:
+    """Seeds as joined words in place of hashes; windows are those that lie in the words around a seed."""
+
+    def seeds(source: str, id_: str, mask: str) -> str:
+        picked = " || ' ' || ".join(f"ws[i + {k}]" for k, c in enumerate(mask) if c == "1")
+        return f"SELECT {id_}, i, '{mask} ' || {picked} AS seed FROM (SELECT {id_}, ws, unnest(range(1, len(ws) - {len(mask)} + 2)) AS i FROM {source})"
+
+    masks = decontam.MASKS + tuple("1" * k for k in range(decontam.LEAST_WORDS, max(map(len, decontam.MASKS))))
+    both = {k: " UNION ALL ".join(seeds(k, i, m) for m in decontam.MASKS) for k, i in (("d", "doc_id"), ("b", "item_id"))}
+    for m in masks[len(decontam.MASKS) :]:  # items shorter than a mask are looked up whole
+        both["d"] += " UNION ALL " + seeds("d", "doc_id", m)
+        both["b"] += f" UNION ALL {seeds('b', 'item_id', m)}".replace("FROM b", f"FROM b WHERE {len(m)} IN (SELECT len(ws) FROM b)")
+    return f"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS ws FROM documents WHERE text IS NOT NULL
+        ), b AS (
+            SELECT * FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS ws FROM benchmark WHERE text IS NOT NULL)
+            WHERE len(ws) >= {decontam.LEAST_WORDS}
+        ), ds AS ({both["d"]}), bs AS ({both["b"]}), hits AS (
+            SELECT DISTINCT ds.doc_id, bs.item_id, ds.i AS di, bs.i AS bi FROM ds JOIN bs USING (seed)
+        ), near AS (
+            SELECT doc_id, item_id, least(len(b.ws), {decontam.WINDOW}) AS w,
+                   [CASE WHEN di - bi + j >= 1 AND d.ws[di - bi + j] = b.ws[j] THEN 1 ELSE 0 END
+                    FOR j IN range(greatest(bi - {decontam._BEFORE}, 1), least(bi + {decontam._AFTER} - 1, len(b.ws)) + 1)] AS same
+            FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)
+        ), best AS (
+            SELECT doc_id, item_id, w, list_max([list_sum(same[i:i + w - 1]) FOR i IN range(1, len(same) - w + 2)]) AS m FROM near
+        )
+        SELECT doc_id, item_id, max(m)::BIGINT AS matched_words, max(w)::BIGINT AS window_words FROM best WHERE 5 * m >= 4 * w GROUP BY doc_id, item_id
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_spaced_seed_decontamination": _overlap_sql(),
     "op9_minmax_near_dedup": _NEAR_SQL.format(k=3, percent=85),
     "op7_warc_index_first": """
         WITH p AS (
