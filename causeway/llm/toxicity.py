@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm._common import bounded_sample
+from causeway.llm._common import bounded_sample, sampled
 
 ROWS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 12, (1, 2, 3)
 PAD = max(WIDTHS) - 1
@@ -269,7 +269,12 @@ def score_toxicity(df: DataFrame, net: ConvNet, id_col: str = "doc_id", text_col
     return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, f"`{id_col}` {kind}, score double, predicted int, language string")
 
 
-def with_labels(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, label) of the documents that ``labels`` has; of several labels for one id the largest counts."""
-    one = labels.groupBy(id_col).agg(F.max(label_col).alias(label_col))
-    return docs.select(id_col, text_col).join(one, id_col)
+def with_labels(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 6000) -> DataFrame:
+    """(id, text, label) of about ``max_docs`` documents that ``labels`` has, chosen by a hash of the id.
+
+    Of several labels for one id the largest counts. The labels are drawn first, so that those broadcast
+    are bounded by ``max_docs`` and the texts need no shuffle.
+    """
+    one = labels.groupBy(id_col).agg(F.max(label_col).alias(label_col)).where(F.col(label_col).isNotNull())
+    drawn = one.where(sampled(id_col, min(1.0, max_docs / max(one.count(), 1)), "labels"))
+    return docs.select(id_col, text_col).join(F.broadcast(drawn), id_col)
