@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import decontam, langid, media, minhash, quality, sharding, toxicity, warc
+from causeway.llm import decontam, langid, media, minhash, packing, quality, sharding, toxicity, warc
 from causeway.llm._common import id_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,12 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest_features(media.media_columns(table(spark, sf_dir, "documents"), keep_media=False))
 
 
+def op5_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_hash_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -63,6 +69,7 @@ QUERIES: dict[str, Query] = {
         op2_spaced_seed_decontamination,
         op3_media_columns,
         op4_weak_label_quality,
+        op5_window_packing,
         op6_hash_ring_shards,
         op7_warc_index_first,
         op9_minmax_near_dedup,
