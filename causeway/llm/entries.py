@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import decontam, langid, media, minhash, packing, quality, sharding, toxicity, warc
+from causeway.llm import decontam, html_extract, langid, media, minhash, packing, quality, sharding, toxicity, warc
 from causeway.llm._common import id_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,10 @@ def op7_warc_index_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_dom_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"), html_extract.fit_tree_model())
+
+
 def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Query] = {
         op5_window_packing,
         op6_hash_ring_shards,
         op7_warc_index_first,
+        op8_dom_tree_extraction,
         op9_minmax_near_dedup,
         op10_language_mixture,
     )
