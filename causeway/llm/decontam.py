@@ -81,17 +81,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     out = None
     for b in range(blocks):
         block = seeds if blocks == 1 else seeds.where(F.pmod(F.col("seed"), F.lit(blocks)) == b)
-        near = hits.join(F.broadcast(block), "seed")
-        aligned = F.transform(
-            F.sequence(F.lit(0), F.size("near") - 1),
-            lambda j: F.when((F.col("_pos") - F.col("lead") + j >= 0) & (F.get("_words", F.col("_pos") - F.col("lead") + j) == F.get("near", j)), 1).otherwise(0),
+        # of a hit's document only the words beside the item's go on
+        begin = F.col("_pos") - F.col("lead")
+        near = hits.join(F.broadcast(block), "seed").select(
+            "_id", "item_id", "near", "window", F.greatest(-begin, F.lit(0)).alias("_skip"), F.slice("_words", F.greatest(begin, F.lit(0)) + 1, F.size("near")).alias("_here")
         )
+        aligned = F.transform(F.sequence(F.lit(0), F.size("near") - 1), lambda j: F.when((j >= F.col("_skip")) & (F.get("_here", j - F.col("_skip")) == F.get("near", j)), 1).otherwise(0))
         near = near.select("_id", "item_id", "window", aligned.alias("_same"))
         window = F.transform(F.sequence(F.lit(1), F.size("_same") - F.col("window") + 1), lambda i: F.aggregate(F.slice("_same", i, F.col("window")), F.lit(0), lambda x, y: x + y))
         near = near.select("_id", "item_id", "window", F.array_max(window).alias("matched"))
-        passed = F.when(F.expr("5 * matched >= 4 * window"), F.struct("matched", "window"))
-        best = near.groupBy("_id", "item_id").agg(F.max(passed).alias("best")).where("best is not null")
-        best = best.select("_id", "item_id", F.col("best.matched").cast("long").alias("matched_words"), F.col("best.window").cast("long").alias("window_words"))
+        passed = F.expr("5 * matched >= 4 * window")
+        best = near.groupBy("_id", "item_id").agg(F.max(F.when(passed, F.col("matched"))).cast("long").alias("matched_words"), F.max(F.when(passed, F.col("window"))).cast("long").alias("window_words"))
+        best = best.where("matched_words is not null")
         out = best if out is None else out.union(best)
     if blocks > 1:
         out = out.groupBy("_id", "item_id").agg(F.max("matched_words").alias("matched_words"), F.max("window_words").alias("window_words"))
