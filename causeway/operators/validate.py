@@ -127,7 +127,11 @@ def raw_format(df: DataFrame, entity: str, time: str, value: str) -> DataFrame:
 
 
 def validate(df: DataFrame, spec: PanelSpec) -> DataFrame:
-    """All issues with the overall verdict: FAIL with a critical one, WARN with any, else PASS."""
+    """All issues with the overall verdict: FAIL with a critical one, WARN with any, else PASS.
+
+    The panel is cached, since every check reads it.
+    """
+    df = df.persist()
     parts = [structure(df, spec.entity, spec.time), types(df, spec)]
     miss = missing_values(df, [spec.outcome, *spec.controls]).where("pct > 5")
     parts.append(miss.select(F.lit("missing_values").alias("check"), F.lit("warning").alias("severity"), F.col("variable").alias("detail"), F.col("missing").alias("n")))

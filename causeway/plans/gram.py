@@ -58,10 +58,11 @@ class Gram:
         rows = df.select(F.col(entity).alias("_e"), *([F.col(time).alias("_t")] if time else []), F.col(outcome).cast("double").alias("_y"), *(c.cast("double").alias(f"_x{k}") for k, c in enumerate(columns.values())))
         rows = rows.dropna()
         self.entity = entity
-        self.periods = sorted(r[0] for r in rows.select("_t").distinct().collect()) if time and periods is None else (periods or [])
-        self.names = [*columns, *(f"t={p}" for p in self.periods[1:])]
         raw = [f"_x{k}" for k in range(len(columns))] + ["_y"]
-        means = rows.agg(*(F.avg(c).alias(c) for c in raw)).first()  # sums of squares of centred values lose no digits
+        # one pass for the periods, which are few, and the means: sums of squares of centred values lose no digits
+        means = rows.agg(*(F.avg(c).alias(c) for c in raw), *([F.collect_set("_t").alias("_t")] if time else [])).first()
+        self.periods = list(periods) if periods is not None else sorted(means["_t"]) if time else []
+        self.names = [*columns, *(f"t={p}" for p in self.periods[1:])]
         z = [F.col(c) - F.lit(means[c] or 0.0) for c in raw]
         z = z[:-1] + [(F.col("_t") == F.lit(p)).cast("double") for p in self.periods[1:]] + z[-1:]
         self.k = len(z)
