@@ -24,7 +24,7 @@ from causeway.llm.components import connected_components
 BANDS, PER_BAND = 32, 4  # 0.85^4 and 32 bands: a pair of similarity 0.85 is missed once in 10^10, one of 0.8 once in 10^7
 PERMUTATIONS = BANDS * PER_BAND // 2
 BROADCAST_ROWS = 500_000  # of two longs each
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 19
 CACHE_WORDS = 500_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -228,10 +228,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = materialise(own.join(groups.select(F.col("_id").alias("rep"), "keys"), "rep").join(sets, "rep"), "minhash-clustered")
     sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length("s") / 8).alias("shingles"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    sizes = sizes.where("lo <> hi").select("cluster", blocks.alias("blocks"))
-    dealt = rows.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    sizes = materialise(sizes.where("lo <> hi").select("cluster", blocks.alias("blocks")), "minhash-cluster-sizes")
+    dealt = rows.join(_small(sizes), "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "component", "keys", "s")
+    # dealt by all three: else Spark takes rows already dealt by cluster, and one task gets all blocks of a large one
+    dealt = dealt.repartition("cluster", "i", "j")
     more = dealt.groupBy("cluster", "i", "j").applyInPandas(_block_links(percent), f"a {kind}, b {kind}")
     joined = connected_components(materialise(more, "minhash-more-links"), "minhash-joined")
 
