@@ -372,6 +372,49 @@ def effect_distribution(spark, sf):
     return rounded(cross_section.effect_distribution(panels.line_items(spark, sf), "quantity"))
 
 
+@query(f"SELECT entity_id, year, CASE WHEN first_treated IS NOT NULL THEN greatest(least(year - first_treated, 2), -3) END::INT AS rel_time, coalesce((year >= first_treated)::INT, 0) AS post FROM ({SUPPLIER_YEAR_SQL})")
+def relative_time(spark, sf):
+    p = panels.supplier_year(spark, sf)
+    return p.select("entity_id", "year", did.relative_time("year", "first_treated", 3, 2).alias("rel_time"), did.post_flag("year", "first_treated").alias("post"))
+
+
+@query("""
+    SELECT c_custkey, round(CASE WHEN abs(u) <= 1 THEN 1 - abs(u) ELSE 0 END, 6) AS triangular, round(CASE WHEN abs(u) <= 1 THEN 0.75 * (1 - u * u) ELSE 0 END, 6) AS epanechnikov, (CASE WHEN abs(u) <= 1 THEN 1 ELSE 0 END)::DOUBLE AS uniform
+    FROM (SELECT c_custkey, (c_acctbal - 4500) / 2000 AS u FROM customer)
+""")
+def kernel_weights(spark, sf):
+    u = (F.col("c_acctbal") - 4500) / 2000
+    kinds = ("triangular", "epanechnikov", "uniform")
+    return rounded(table(spark, sf, "customer").select("c_custkey", *(cross_section.kernel(u, k).cast("double").alias(k) for k in kinds)))
+
+
+@query(f"""
+    WITH p AS (SELECT first_treated AS g, year AS t, avg(y) AS y, count(DISTINCT entity_id) AS n FROM ({SUPPLIER_YEAR_SQL}) GROUP BY ALL), n AS (SELECT g, max(n) AS n FROM p GROUP BY g), s AS (SELECT sum(n) AS total, (SELECT n FROM n WHERE g IS NULL) AS n0 FROM n),
+    e AS (SELECT a.g, avg(a.y - b.y) FILTER (a.t >= a.g) - avg(a.y - b.y) FILTER (a.t < a.g) AS estimate FROM p a JOIN p b ON b.g IS NULL AND a.t = b.t WHERE a.g IS NOT NULL GROUP BY a.g)
+    SELECT g AS first, round(estimate, 5) AS estimate FROM e
+""")
+def bacon_against_never(spark, sf):
+    b = staggered.goodman_bacon(panels.supplier_year(spark, sf), PLAIN).where("kind = 'treated vs never'")
+    return rounded(b.select("first", "estimate"), 5)
+
+
+@query()
+def heterogeneity_drivers(spark, sf):
+    return dml.heterogeneity_drivers(_items(spark, sf), "y", "d", ["size", "quantity"], "u")
+
+
+@query("SELECT p_partkey, CASE WHEN contains(lower(p_type), 'day') THEN 'daily' WHEN contains(lower(p_type), 'month') THEN 'monthly' WHEN contains(lower(p_type), 'quarter') THEN 'quarterly' ELSE 'yearly' END AS level FROM part")
+def inferred_levels(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", text.infer_level(F.col("p_type")).alias("level"))
+
+
+@query("SELECT n_nationkey, CASE WHEN lower(n_name) = lower(r_name) THEN 1.0 WHEN contains(lower(r_name), lower(n_name)) THEN 0.85 WHEN contains(lower(n_name), lower(r_name)) THEN 0.8 WHEN len(list_intersect(string_split_regex(lower(n_name), '[^a-z0-9]+'), string_split_regex(lower(r_name), '[^a-z0-9]+'))) = 0 THEN 0.0 END::DOUBLE AS score FROM nation JOIN region ON n_regionkey = r_regionkey WHERE NOT len(list_intersect(string_split_regex(lower(n_name), '[^a-z0-9]+'), string_split_regex(lower(r_name), '[^a-z0-9]+'))) > 0")
+def text_scores(spark, sf):
+    x = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # 5 regions
+    words = lambda c: F.split(F.lower(c), "[^a-z0-9]+")
+    return x.where(F.size(F.array_intersect(words("n_name"), words("r_name"))) == 0).select("n_nationkey", text.text_match(F.col("n_name"), F.col("r_name")).alias("score"))
+
+
 # --- cleaning and validation ---------------------------------------------------------------------------------------
 
 #: A panel with holes: y is null where the key and year say so, and some rows are missing.
