@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,3 +73,27 @@ def bounded_sample(df: DataFrame, id_col: str, text_col: str, max_docs: int, max
     n, size = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(text_col))).first()
     share = min(1.0, max_docs / max(n, 1), max_bytes / max(size or 0, 1))
     return df if share == 1 else df.where(sampled(id_col, share, seed))
+
+
+def tidied(run: Callable[[Iterator], Iterator], clear: Callable[[], object]) -> Callable[[Iterator], Iterator]:
+    """``run`` with its caches cleared at the end of each task, and what is free given back to the system.
+
+    Spark's Python workers live on from one stage to the next, so that caches of all stages would add up.
+    """
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            clear()
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)

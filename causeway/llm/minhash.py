@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from causeway.llm._common import materialise
+from causeway.llm._common import materialise, tidied
 from causeway.llm.components import connected_components
 
 BANDS, PER_BAND = 32, 4  # 0.85^4 and 32 bands: a pair of similarity 0.85 is missed once in 10^10, one of 0.8 once in 10^7
 PERMUTATIONS = BANDS * PER_BAND // 2
 BROADCAST_ROWS = 500_000  # of two longs each
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 19
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = bytes(32 if 9 <= b <= 13 else b for b in range(256))
@@ -44,6 +44,11 @@ class _Words(dict):
 _words = _Words()
 
 
+def clear_cache() -> None:
+    """A function of the module, so that it empties the worker's own cache."""
+    _words.clear()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _D
     return x ^ (x >> np.uint64(29))
@@ -54,9 +59,8 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
 
     Words are runs of bytes that aren't white space (0x20, 0x09 to 0x0D), with A to Z in lower case.
     """
-    global _words
     if len(_words) > CACHE_WORDS:
-        _words = _Words()
+        _words.clear()
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).translate(_SPACE).split(b" ") if text else []
     words = [w for w in words if w]
     if not words:
@@ -103,7 +107,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             out.insert(0, "_id", batch["_id"].array)
             yield out
 
-    return docs.mapInPandas(run, f"_id {docs.schema['_id'].dataType.simpleString()}, n long, h1 long, h2 long, keys array<long>")
+    return docs.mapInPandas(tidied(run, clear_cache), f"_id {docs.schema['_id'].dataType.simpleString()}, n long, h1 long, h2 long, keys array<long>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -111,7 +115,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"rep": batch["_id"].array, "s": [shingle_set(t, k).tobytes() for t in batch["_text"]]})
 
-    return docs.mapInPandas(run, f"rep {docs.schema['_id'].dataType.simpleString()}, s binary")
+    return docs.mapInPandas(tidied(run, clear_cache), f"rep {docs.schema['_id'].dataType.simpleString()}, s binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm._common import bounded_sample
+from causeway.llm._common import bounded_sample, release, tidied
 from causeway.llm.toxicity import FUNCTION_WORDS
 
 GOOD, BAD, ABSTAIN = 1, 0, -1
@@ -120,6 +120,11 @@ _SAME = 1  # bin of a word that repeats the one before
 _shapes: dict[str, int] = {}
 
 
+def clear_cache() -> None:
+    """A function of the module, so that it empties the worker's own cache."""
+    _shapes.clear()
+
+
 def _shape_bin(word: str) -> int:
     """Hash of a word's shape: letters by case, digits as one, marks as they are, each run once."""
     found = _shapes.get(word)
@@ -179,6 +184,9 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = sorted(map(tuple, sample.select("_id", "_text", votes(sample, "_text").alias("v")).collect()), key=lambda r: (r[0] is None, r[0], r[1]))
     if found:
         scorer.train([features(t) for _, t, _ in found], np.array([model.of(v) for *_, v in found]))
+    del found
+    _shapes.clear()
+    release()
     return scorer, model
 
 
@@ -197,4 +205,4 @@ def score_quality(df: DataFrame, scorer: HashedScorer, id_col: str = "doc_id", t
             yield pd.DataFrame({id_col: batch["_id"].array, "quality_score": score, "good": score >= 0.5})
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, f"`{id_col}` {kind}, quality_score double, good boolean")
+    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(tidied(run, clear_cache), f"`{id_col}` {kind}, quality_score double, good boolean")

@@ -16,13 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm._common import bounded_sample, sampled
+from causeway.llm._common import bounded_sample, release, sampled, tidied
 
 ROWS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 12, (1, 2, 3)
 PAD = max(WIDTHS) - 1
 RARE = 3
 WORD = re.compile(r"\w+")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 #: Frequent function words by which a text's language is guessed.
 FUNCTION_WORDS = {
     "en": "the of and to in that is was for it with as on be at by this are from",
@@ -64,14 +64,18 @@ def _hashed(word: str) -> tuple[int, int, int, int]:
     return h("=" + word), h("5" + word[:5]) if len(word) > 5 else 0, h("4" + word[:4]) if len(word) > 4 else 0, _LANGUAGE_OF.get(word, 0)
 
 
+def clear_cache() -> None:
+    global _vocabulary
+    _vocabulary = _Vocabulary()
+
+
 def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Embedding rows of all texts' words one after another, (words, 3); where each text starts; each text's language.
 
     Every text ends with PAD empty rows, and one without words has one empty word.
     """
-    global _vocabulary
     if len(_vocabulary) > CACHE_WORDS:
-        _vocabulary = _Vocabulary()
+        clear_cache()
     words: list[str] = []
     starts = []
     for text in texts:
@@ -238,6 +242,9 @@ def fit_toxicity(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "t
     check = np.flatnonzero(held) if 0 < labels[held].sum() < held.sum() else fit
     logits = np.concatenate([net.logits(tables[i], np.zeros(1, np.int64)) for i in check])
     net.calibrate(logits, labels[check], language[check])
+    del tables, found
+    clear_cache()
+    release()
     return net
 
 
@@ -266,7 +273,7 @@ def score_toxicity(df: DataFrame, net: ConvNet, id_col: str = "doc_id", text_col
             yield pd.DataFrame({id_col: batch["_id"].array, "score": score, "predicted": (score >= 0.5).astype(np.int32), "language": [LANGUAGES[k] for k in language]})
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, f"`{id_col}` {kind}, score double, predicted int, language string")
+    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(tidied(run, clear_cache), f"`{id_col}` {kind}, score double, predicted int, language string")
 
 
 def with_labels(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 6000) -> DataFrame:
