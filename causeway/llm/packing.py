@@ -12,12 +12,15 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causeway.llm._common import release, tidied
+
 WINDOW = 1024
 #: Penalties in tokens for a window that ends at: a document's end, a sentence's end, elsewhere.
 DOCUMENT_CUT, SENTENCE_CUT, INNER_CUT = 0, 2, 4
@@ -53,13 +56,18 @@ class UnitTokenizer:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.full = Tokenizer.from_file(path)
+        self.path = path
         self.encode_one = self._ranked(path)
         self.special = [x["content"] for x in json.load(open(path))["added_tokens"]]
         self._reset()
 
+    @cached_property
+    def full(self):
+        """The tokenizer as its file states it, only read where a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _ranked(self, path: str):
         """The same vocabulary for tiktoken, which is faster; merges must be in order of their ids for that."""
         import tiktoken
@@ -239,7 +247,7 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
                     yield pd.DataFrame(packer.flush(False), columns=names)
         yield pd.DataFrame(packer.flush(True), columns=names)
 
-    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, f"`{id_col}` {kind}, {PIECES}")
+    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(tidied(run, release), f"`{id_col}` {kind}, {PIECES}")
 
 
 _made: dict[str, UnitTokenizer] = {}
