@@ -13,13 +13,29 @@ from pyspark.sql import functions as F
 
 from causeway.llm._common import materialise
 
-#: 1 marks a word that has to agree, 0 one that is ignored.
+#: The masks of the query's SQL: 1 marks a word that has to agree, 0 one that is ignored. They miss some overlaps of
+#: 12 to 14 words in 15 and are not used here.
 MASKS = ("11011001011", "1110010100111", "1010110110011")
 WINDOW = 15
 LEAST_WORDS = 5  # items with fewer words can't be told from chance and match nothing
 SEGMENT = 4096  # words of a document that are handled together
 BLOCK_SEEDS = 200_000  # benchmark seeds broadcast at once, of 0.5 KB at most
 _SPAN = max(map(len, MASKS))
+#: Masks by an item's number of words, the last ones for WINDOW words and more. However a fifth of the words, rounded
+#: down, is substituted, one of the masks fits somewhere between them (a test goes through all patterns).
+FAMILIES = {
+    5: ("1111", "10111", "11011", "11101"),
+    6: ("1111", "11011"),
+    7: ("11011",),
+    8: ("1111",),
+    9: ("110111",),
+    10: ("1111", "10111"),
+    11: ("10111",),
+    12: ("1111",),
+    13: ("11001011",),
+    14: ("101111",),
+    WINDOW: ("110111", "110001011"),
+}
 #: Words before and after a seed's first word that a window around it can reach.
 _BEFORE, _AFTER = WINDOW, WINDOW + _SPAN
 
@@ -29,21 +45,25 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda w: F.xxhash64(w))
 
 
-def _seeds(words: Column, first: Column, last: Column, masks: tuple[str, ...]) -> Column:
-    """(pos, seed) for every mask and start between ``first`` and ``last`` (from 0) at which the mask fits."""
+def _seeds(words: Column, first: Column, last: Column, masks: dict[str, Column]) -> Column:
+    """(pos, seed) for every mask and start between ``first`` and ``last`` (from 0) at which the mask fits, where the mask's condition holds."""
 
     def of(mask: str) -> Column:
         picked = [k for k, c in enumerate(mask) if c == "1"]
         end = F.least(last, F.size(words) - len(mask))
         made = F.transform(F.sequence(first, end), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(mask), *(F.get(words, i + k) for k in picked)).alias("seed")))
-        return F.when(end >= first, made).otherwise(F.array().cast("array<struct<pos:int,seed:bigint>>"))
+        return F.when(masks[mask] & (end >= first), made).otherwise(F.array().cast("array<struct<pos:int,seed:bigint>>"))
 
     return F.concat(*map(of, masks))
 
 
-def _benchmark_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """(seed, item_id, lead, near, window): ``near`` has the item's words around the seed, which starts at its place ``lead``."""
+def _benchmark_seeds(items: DataFrame, lengths: dict[str, list[int]]) -> DataFrame:
+    """(seed, item_id, lead, near, window): ``near`` has the item's words around the seed, which starts at its place ``lead``.
+
+    ``lengths`` has the keys of FAMILIES whose items a mask is for.
+    """
     n = F.size("_words")
+    masks = {m: F.least(n, F.lit(WINDOW)).isin(of) for m, of in lengths.items()}
     seeded = items.select("item_id", "_words", F.explode_outer(_seeds(F.col("_words"), F.lit(0), n, masks)).alias("s"))
     start = F.greatest(F.col("s.pos") - _BEFORE, F.lit(0))
     near = F.slice("_words", start + 1, F.col("s.pos") - start + _AFTER)
@@ -55,18 +75,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     ``matched_words`` is the most words that agree in an aligned window of ``window_words`` (15, or the
     item's words if fewer). Null and empty texts and items overlap with nothing, and so do items with
-    fewer than LEAST_WORDS words. Items shorter than a mask are looked up whole. Rows of equal ids
-    count as one document or item (null ids as well). Empty tables give an empty result; further
+    fewer than LEAST_WORDS words. Nothing else is missed: an item's masks (FAMILIES) hit every window
+    with four fifths of its words. Rows of equal ids count as one document or item (null ids as well). Empty tables give an empty result; further
     columns are not read. The benchmark is broadcast in blocks of about BLOCK_SEEDS seeds, so its size
     isn't limited; the documents are never shuffled.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), word_hashes(F.col(item_text)).alias("_words")).where(F.size("_words") >= LEAST_WORDS)
     items = materialise(items, "decontam-items")
     n = F.size("_words")
-    found = items.agg(F.sum(n * len(MASKS)).alias("seeds"), F.collect_set(F.when(n < _SPAN, n)).alias("short")).first()
-    masks = MASKS + tuple("1" * k for k in sorted(found["short"]) if k < _SPAN)
-    blocks = max(1, -(-(found["seeds"] or 0) // BLOCK_SEEDS))
-    seeds = _benchmark_seeds(items, masks)
+    found = {r["length"]: r["words"] for r in items.groupBy(F.least(n, F.lit(WINDOW)).alias("length")).agg(F.sum(n).alias("words")).collect()} or {WINDOW: 0}
+    lengths = {m: [k for k in sorted(found) if m in FAMILIES[k]] for k in sorted(found) for m in FAMILIES[k]}
+    blocks = max(1, -(-sum(words * len(FAMILIES[k]) for k, words in found.items()) // BLOCK_SEEDS))
+    seeds = _benchmark_seeds(items, lengths)
+    masks = {m: F.lit(True) for m in lengths}
 
     # outer explodes, and conditions on what they give: Spark would else copy the expressions below into filters of
     # their own and work them out once more for each word

@@ -208,6 +208,32 @@ def test_decontamination(spark, docs):
     assert decontam.overlaps(docs, bench).count() == 0 and decontam.overlaps(table, bench.where("false")).count() == 0 and decontam.overlaps(table.where("false"), bench).count() == 0
 
 
+def test_masks_hit_every_pattern_of_substitutions():
+    for n in range(decontam.LEAST_WORDS, 26):
+        w = min(n, decontam.WINDOW)
+        places = [{i + k for k, c in enumerate(m) if c == "1"} for m in decontam.FAMILIES[w] for i in range(w - len(m) + 1)]
+        assert all(any(p.isdisjoint(s) for p in places) for s in combinations(range(w), w // 5))
+
+
+def test_decontamination_at_four_fifths(spark):
+    """All patterns of the most substitutions for items of 5 to 15 words, random ones for longer items, and one substitution too many."""
+    r = np.random.default_rng(5)
+    items = {n: [f"w{n}x{k}" for k in range(n)] for n in [*range(5, 16), 20, 25]}
+    texts = []
+    for n, item in items.items():
+        some = [tuple(r.choice(n, n // 5 + e, replace=False)) for e in (0, 1) for _ in range(40)]
+        for gone in some + (list(combinations(range(n), n // 5)) if n <= 15 else []):
+            texts.append(f"before it {' '.join('other' if k in gone else x for k, x in enumerate(item))} after")
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
+    want = {(d, n): brute_overlaps(t, " ".join(items[n])) for d, t in enumerate(texts) for n in items if f"w{n}x" in t}
+    want = {k: v for k, v in want.items() if 5 * v >= 4 * min(15, k[1])}
+    assert {(x["doc_id"], x["item_id"]): x["matched_words"] for x in decontam.overlaps(table, bench).collect()} == want
+    for n in (5, 9, 15):  # whatever other items there are
+        alone = decontam.overlaps(table, bench.where(f"item_id = {n}")).collect()
+        assert {(x["doc_id"], x["item_id"]): x["matched_words"] for x in alone} == {k: v for k, v in want.items() if k[1] == n}
+
+
 def brute_components(texts, k, percent):
     sets = {}
     for i, t in texts.items():
