@@ -154,6 +154,8 @@ def _block_links(percent: int):
         i, j = key[1], key[2]
         left = rows[rows["block"] == i] if i != j else rows
         right = rows[rows["block"] == j] if i != j else rows
+        if left.empty or right.empty:  # blocks by hash: of few documents with many shingles some have none
+            return pd.DataFrame({"a": rows["component"][:0], "b": rows["component"][:0]})
         ka, kb = np.stack(left["keys"].to_list()), np.stack(right["keys"].to_list())
         shared = np.zeros((len(left), len(right)), bool)
         for b in range(BANDS):

@@ -276,6 +276,35 @@ def test_near_duplicates_by_brute_force(spark):
     assert {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(df).collect()} == wide
 
 
+def test_near_duplicates_with_more_blocks_than_documents(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base, texts = list(r.choice(vocabulary, 120)), {}
+    for i in range(24):
+        v = list(base)
+        for at in r.integers(0, 120, int(r.integers(2, 9))):
+            v[at] = str(r.choice(vocabulary))
+        texts[i] = " ".join(v)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    calls = spark.sparkContext.accumulator(0)
+    links = minhash._block_links
+
+    def counted(percent):
+        run = links(percent)
+
+        def wrapped(key, rows):
+            if key[1] != key[2] and rows["block"].nunique() < 2:
+                calls.add(1)
+            return run(key, rows)
+
+        return wrapped
+
+    monkeypatch.setattr(minhash, "_block_links", counted)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 64)
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(df, k=3, percent=85).collect()}
+    assert got == brute_components(texts, 3, 85)[0] and calls.value > 0
+
+
 def test_near_duplicates_edges(docs, none):
     got = minhash.near_duplicates(docs, k=3).collect()
     assert len(got) == docs.count() and minhash.near_duplicates(none).count() == 0
