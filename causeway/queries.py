@@ -620,7 +620,7 @@ def catalogue_search(spark, sf):
 @query()
 def data_requirements(spark, sf):
     parts = table(spark, sf, "part")
-    catalogue = parts.select(F.lower("p_type").alias("key"), F.lower("p_name").alias("description")).distinct().limit(200)
+    catalogue = parts.select(F.lower("p_type").alias("key"), F.lower("p_name").alias("description")).distinct()
     concepts = spark.createDataFrame([("steel",), ("copper",), ("nothing_like_it",)], "concept string")
     return reshape.requirements(reshape.match_concepts(concepts, catalogue), concepts)
 

@@ -28,3 +28,10 @@ def test_against_sql(spark, sf, name):
 
     got = QUERIES[name](spark, sf).select(*cols).collect()
     assert plain(map(tuple, got)) == plain(want.select(*cols).fetchall())
+
+
+def test_data_requirements_reads_the_whole_catalogue(spark, tmp_path):
+    rows = [(f"steel {k:04}", "sheet") for k in range(5000)] + [("tube", "copper")]
+    spark.createDataFrame(rows, "p_type string, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["concept"]: (r["key"], r["tier"]) for r in QUERIES["data_requirements"](spark, str(tmp_path)).collect()}
+    assert got == {"steel": ("steel 4999", "A"), "copper": ("tube", "B"), "nothing_like_it": (None, "C")}
