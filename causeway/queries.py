@@ -300,22 +300,22 @@ def iv_2sls_and_liml(spark, sf):
 
 @query()
 def synthetic_control(spark, sf):
-    return synthetic.synthetic_control(panels.supplier_year(spark, sf).where("entity_id <= 30"), PLAIN, "2", 1998)
+    return synthetic.synthetic_control(panels.supplier_year(spark, sf), PLAIN, "2", 1998)
 
 
 @query()
 def synthetic_gaps(spark, sf):
-    return synthetic.synthetic_gaps(panels.supplier_year(spark, sf).where("entity_id <= 30"), PLAIN, "2", 1998)
+    return synthetic.synthetic_gaps(panels.supplier_year(spark, sf), PLAIN, "2", 1998)
 
 
 @query()
 def synthetic_did(spark, sf):
-    return synthetic.synthetic_did(panels.supplier_year(spark, sf).where("entity_id <= 30"), PLAIN, "2", 1998)
+    return synthetic.synthetic_did(panels.supplier_year(spark, sf), PLAIN, "2", 1998)
 
 
 @query()
 def synthetic_did_multi(spark, sf):
-    return synthetic.synthetic_did_multi(panels.supplier_year(spark, sf).where("entity_id <= 20"), PLAIN, {2: 1998, 4: 1999})
+    return synthetic.synthetic_did_multi(panels.supplier_year(spark, sf), PLAIN, {2: 1998, 4: 1999})
 
 
 def _items(spark, sf):

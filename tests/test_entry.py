@@ -1,8 +1,11 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
-from causeway.queries import ORACLE_SQL, QUERIES
+from causeway import panels
+from causeway.plans import synthetic
+from causeway.queries import ORACLE_SQL, PLAIN, QUERIES
 
 CHEAP = ["did_twfe_closed_form", "did_twfe_clustered", "leave_one_out", "att_aggregates", "rdd_sharp_uniform", "iv_just_identified", "missing_runs", "impute_sporadic", "merge_panels", "covariate_balance", "attrition", "parse_amounts", "classify_mechanisms"]
 
@@ -35,3 +38,17 @@ def test_data_requirements_reads_the_whole_catalogue(spark, tmp_path):
     spark.createDataFrame(rows, "p_type string, p_name string").write.parquet(f"{tmp_path}/part.parquet")
     got = {r["concept"]: (r["key"], r["tier"]) for r in QUERIES["data_requirements"](spark, str(tmp_path)).collect()}
     assert got == {"steel": ("steel 4999", "A"), "copper": ("tube", "B"), "nothing_like_it": (None, "C")}
+
+
+def test_synthetic_queries_use_every_supplier(spark):
+    sf = "/root/testdata/sf0.01"
+    p = panels.supplier_year(spark, sf)
+    periods = p.select("year").distinct().count()
+    units = {r["entity_id"] for r in p.groupBy("entity_id").agg(F.countDistinct("year").alias("n")).where(f"n = {periods}").collect()}
+    assert len(units) > 31
+    assert {r["entity"] for r in QUERIES["synthetic_control"](spark, sf).collect()} == units
+    assert QUERIES["synthetic_did"](spark, sf).first()["donors"] == len(units) - 1
+    want = synthetic.synthetic_did_multi(p, PLAIN, {2: 1998, 4: 1999}).first()
+    assert QUERIES["synthetic_did_multi"](spark, sf).first()["att"] == pytest.approx(want["att"])
+    want = {r["time"]: r["synthetic"] for r in synthetic.synthetic_gaps(p, PLAIN, "2", 1998).collect()}
+    assert {r["time"]: r["synthetic"] for r in QUERIES["synthetic_gaps"](spark, sf).collect()} == pytest.approx(want)
