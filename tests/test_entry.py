@@ -52,3 +52,7 @@ def test_synthetic_queries_use_every_supplier(spark):
     assert QUERIES["synthetic_did_multi"](spark, sf).first()["att"] == pytest.approx(want["att"])
     want = {r["time"]: r["synthetic"] for r in synthetic.synthetic_gaps(p, PLAIN, "2", 1998).collect()}
     assert {r["time"]: r["synthetic"] for r in QUERIES["synthetic_gaps"](spark, sf).collect()} == pytest.approx(want)
+
+
+def test_method_recommendations_cover_all_facts(spark, sf):
+    assert {int(r["policy_id"]) for r in QUERIES["method_recommendations"](spark, sf).collect()} == set(range(1 << 12))
