@@ -632,9 +632,8 @@ def page_links(spark, sf):
 
 @query()
 def html_statistical_table(spark, sf):
-    html = "<table><tr><td colspan=3>City table</td></tr><tr><th>City</th><th>GDP 2019</th><th>GDP 2020</th></tr><tr><td>A</td><td>1,200</td><td>3万</td></tr><tr><td>B</td><td>5</td><td>7</td></tr><tr><td colspan=3>note</td></tr></table>"
-    pages = table(spark, sf, "pages").select("page_id", F.lit(html).alias("html"))
-    return html_tables.statistical_values(html_tables.table_cells(pages, "page_id", "html"), "page_id", "GDP", 2020)
+    cells = html_tables.table_cells(table(spark, sf, "pages"), "page_id", "html")
+    return html_tables.statistical_values(cells, "page_id", "GDP", 2020)
 
 
 # --- decisions, reports, streams -----------------------------------------------------------------------------------

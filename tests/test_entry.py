@@ -56,3 +56,11 @@ def test_synthetic_queries_use_every_supplier(spark):
 
 def test_method_recommendations_cover_all_facts(spark, sf):
     assert {int(r["policy_id"]) for r in QUERIES["method_recommendations"](spark, sf).collect()} == set(range(1 << 12))
+
+
+def test_html_statistical_table_reads_the_pages(spark, tmp_path):
+    html = "<table><tr><td colspan=3>City table</td></tr><tr><th>City</th><th>GDP 2019</th><th>GDP 2020</th></tr><tr><td>A</td><td>1,200</td><td>3万</td></tr><tr><td>B</td><td>5</td><td>7</td></tr><tr><td colspan=3>note</td></tr></table>"
+    rows = [(1, "u", html), (2, "u", "<p>none</p>"), (3, "u", html.replace("3万", "8")), (4, "u", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {tuple(r) for r in QUERIES["html_statistical_table"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "A", 2020, 3e4), (1, "B", 2020, 7.0), (3, "A", 2020, 8.0), (3, "B", 2020, 7.0)}
