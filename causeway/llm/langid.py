@@ -65,8 +65,6 @@ class LanguageModel:
         best, best_value = order[:1], float(counts @ np.log(p[:, order[0]]))
         best_share = np.ones(1)
         for m in range(2, k + 1):
-            if share[order[m - 1]] < 0.01:
-                break
             kept = order[:m]
             s, value = fit(p[:, kept], share[kept] / share[kept].sum(), 4)
             value -= penalty * (m - 1) * np.log(max(total, 2.0)) / 2

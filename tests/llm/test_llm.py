@@ -119,6 +119,14 @@ def test_language(spark, docs, none):
     assert {r["lang_pred"] for r in langid.predict_language(docs, empty).collect()} == {"und"}
 
 
+def test_language_of_a_short_passage_in_a_long_text(spark):
+    en, fr = "the house and the garden of the king with other things ", "la maison et le jardin du roi avec les autres choses "
+    train = spark.createDataFrame([(i, (en, fr)[i % 2] * 5, ("en", "fr")[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    model = langid.fit_language_model(train)
+    found = model.mixture(en * 1800 + fr * 14)  # about 150 words in 20,000
+    assert set(found) == {"en", "fr"} and 0.002 < found["fr"] < 0.01 and list(model.mixture(en * 1800)) == ["en"]
+
+
 def test_toxicity(spark, sf, docs, none):
     r = np.random.default_rng(0)
     words = ["".join(chr(97 + c) for c in r.integers(0, 26, 6)) for _ in range(400)]
