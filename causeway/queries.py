@@ -153,12 +153,12 @@ def placebo_permutation(spark, sf):
 
 @query()
 def placebo_summary(spark, sf):
-    return robust.randomization_inference(panels.supplier_year(spark, sf), PLAIN, 200)
+    return robust.randomization_inference(panels.supplier_year(spark, sf), PLAIN)
 
 
 @query()
 def staggered_placebo(spark, sf):
-    return robust.staggered_placebo(panels.supplier_year(spark, sf), PLAIN, 50)
+    return robust.staggered_placebo(panels.supplier_year(spark, sf), PLAIN)
 
 
 @query(f"""
@@ -334,7 +334,7 @@ def dml_forest(spark, sf):
 
 @query()
 def dml_linear_cate(spark, sf):
-    return dml.linear_cate(_items(spark, sf), "y", "d", ["size", "quantity"], "u", folds=2)
+    return dml.linear_cate(_items(spark, sf), "y", "d", ["size", "quantity"], "u")
 
 
 @query()

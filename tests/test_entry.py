@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from causeway import panels
-from causeway.plans import synthetic
+from causeway.plans import dml, synthetic
 from causeway.queries import ORACLE_SQL, PLAIN, QUERIES
 
 CHEAP = ["did_twfe_closed_form", "did_twfe_clustered", "leave_one_out", "att_aggregates", "rdd_sharp_uniform", "iv_just_identified", "missing_runs", "impute_sporadic", "merge_panels", "covariate_balance", "attrition", "parse_amounts", "classify_mechanisms"]
@@ -64,3 +64,17 @@ def test_html_statistical_table_reads_the_pages(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {tuple(r) for r in QUERIES["html_statistical_table"](spark, str(tmp_path)).collect()}
     assert got == {(1, "A", 2020, 3e4), (1, "B", 2020, 7.0), (3, "A", 2020, 8.0), (3, "B", 2020, 7.0)}
+
+
+def test_draws_and_folds_are_the_defaults(spark, sf, monkeypatch):
+    assert QUERIES["placebo_summary"](spark, sf).first()["draws"] == 500
+    assert QUERIES["staggered_placebo"](spark, sf).count() == 200
+    folds, fitted = [], dml.cross_fitted
+
+    def noted(df, y, treatment, features, unit, n, kind):
+        folds.append(n)
+        return fitted(df, y, treatment, features, unit, n, kind)
+
+    monkeypatch.setattr(dml, "cross_fitted", noted)
+    QUERIES["dml_linear_cate"](spark, sf)
+    assert folds == [5]
