@@ -1,6 +1,7 @@
 """Brute-force checks and edge cases: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
 
 import hashlib
+import re
 import wave
 import zlib
 from io import BytesIO
@@ -354,31 +355,86 @@ def test_packing(docs, none):
     assert packing.pack(none, VOCABULARY).count() == 0
 
 
-def test_packing_in_blocks():
-    t = packing.UnitTokenizer(VOCABULARY)
-    block, packing.CACHE_UNITS = packing.CACHE_UNITS, 50
-    try:
-        small = packing.UnitTokenizer(VOCABULARY)
-        for text in [x or "" for x in TEXTS] + ["a\xa0 b", "<|endoftext|> x", "it's 'll", " \n lead"]:
-            want = t.full.encode(text, add_special_tokens=False).ids
-            assert t.encode(text)[0].tolist() == want and small.encode(text)[0].tolist() == want
-    finally:
-        packing.CACHE_UNITS = block
+ODD_TEXTS = [x or "" for x in TEXTS] + ["a\xa0 b", "<|endoftext|> x", "One. <|endoftext|>Two. Three", "it's 'll", " \n lead", "a\u3000b  c\x1dd\n\n e ", "He said: \"No.\" Then (it was late!) he left.\nEnd", "3.5 a.b. c", "。。 中。 文"]
+
+
+def sentence_places(text, full):
+    """By characters: after a line's end, and after . ! ? and closing marks before white space; in numbers of ids."""
+    coded = full.encode(text, add_special_tokens=False)
+    ends = {m.end() for m in re.finditer(r"[.!?\u2026\u3002\uff01\uff1f][\"'\u201d\u2019\xbb)\]]*(?=\s)|\n", text)}
+    return [k + 1 for k, (_, stop) in enumerate(coded.offsets[:-1]) if stop in ends and (k + 1 == len(coded.offsets) or coded.offsets[k + 1][0] >= stop)]
+
+
+def test_ids_and_places_do_not_depend_on_parts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    full, t = Tokenizer.from_file(VOCABULARY), packing.TextTokenizer(VOCABULARY)
+    r = np.random.default_rng(8)
+    letters = list("ab .!\"'\n\t  3é中)") + ["<|endoftext|>", "\xa0", "’s"]
+    texts = ODD_TEXTS + ["".join(r.choice(letters, 60)) for _ in range(200)]
+    want = [full.encode(x, add_special_tokens=False).ids for x in texts]
+    for most in (packing.TEXT_AT_ONCE, 7, 1):
+        monkeypatch.setattr(packing, "TEXT_AT_ONCE", most)
+        assert [t.ids(x).tolist() for x in texts] == want
+    for x, ids in zip(texts, want):
+        flat, n = np.array([*ids, packing.END], np.uint32), len(ids) + 1
+        place, penalty = t.cut_places(flat, np.array([n]))
+        assert place[-1] == n and penalty[-1] == packing.DOCUMENT_CUT and n - 1 not in place
+        if x in ODD_TEXTS[-3:-2] + ["One. <|endoftext|>Two. Three"]:
+            assert place[:-1].tolist() == sentence_places(x, full)
+
+
+def test_places_are_the_same_alone_and_among_others():
+    t = packing.TextTokenizer(VOCABULARY)
+    texts = ODD_TEXTS + [". ) A.", ")", "\"", "word " * 3000]
+    coded = [np.append(t.ids(x), np.uint32(packing.END)) for x in texts]
+    ends = np.cumsum([len(x) for x in coded])
+    together = list(zip(*(x.tolist() for x in t.cut_places(np.concatenate(coded), ends))))
+    alone = [(int(p) + int(e) - len(x), int(q)) for x, e in zip(coded, ends) for p, q in zip(*t.cut_places(x, np.array([len(x)])))]
+    assert together == alone
+    places = np.array([0] + [p for p, _ in alone])
+    assert np.diff(places).max() <= packing.WINDOW
+    # inside a sentence there are places only if it is longer than a window
+    kinds, gap = np.array([packing.DOCUMENT_CUT] + [q for _, q in alone]), 0
+    for step, kind in zip(np.diff(places), kinds[1:]):
+        gap += step
+        if kind != packing.INNER_CUT:
+            assert gap > packing.WINDOW or step == gap
+            gap = 0
 
 
 def test_windows_are_optimal():
     r = np.random.default_rng(6)
-    for _ in range(30):
-        place = np.unique(np.concatenate([[0], np.cumsum(r.integers(1, 9, 25))]))
-        penalty = r.integers(0, 5, len(place))
-        cuts = packing.plan_windows(place, penalty, 16)
+    for k in range(60):
+        place = np.cumsum(r.integers(1, 9, 40))
+        penalty = r.choice([0, 2, 4], len(place))
+        planner, cuts = packing.Planner(16), [0]
+        for lo in range(0, 40, 1 + k % 7):  # cuts given out on the way are those of the whole plan
+            planner.add(place[lo : lo + 1 + k % 7].tolist(), penalty[lo : lo + 1 + k % 7].tolist())
+            cuts += planner.certain()
+        cuts += planner.rest()
         at = {int(p): int(q) for p, q in zip(place, penalty)}
         best = {0: 0}
-        for j in place[1:]:
-            best[int(j)] = min(best[int(i)] + 16 - int(j - i) + at[int(j)] for i in place if 0 < j - i <= 16)
+        for j in place:
+            best[int(j)] = min(best[int(i)] + 16 - int(j - i) + at[int(j)] for i in (0, *place) if 0 < j - i <= 16)
+        assert cuts[-1] == place[-1] and all(0 < b - a <= 16 for a, b in zip(cuts, cuts[1:]))
         assert sum(16 - (b - a) + at[b] for a, b in zip(cuts, cuts[1:])) == best[int(place[-1])]
 
 
+def test_packing_gives_the_same_windows_however_often_it_looks(monkeypatch):
+    r, found = np.random.default_rng(9), []
+    texts = [" ".join("word " * int(r.integers(1, 40)) + "end." for _ in range(r.integers(1, 30))) for _ in range(400)]
+    for commit in (packing.COMMIT, 2000):
+        packer, rows = packing._Packer(packing._tokenizer(VOCABULARY), 0), []
+        for k in range(0, 400, 5):
+            packer.add(texts[k : k + 5], list(range(k, k + 5)))
+            if packer.total - packer.done > commit:
+                rows += packer.flush(False)
+        assert commit > 2000 or len(rows) > 100
+        found.append(rows + packer.flush(True))
+    assert found[0] == found[1]
+
+
 @pytest.fixture(scope="module")
 def tree():
     return html_extract.fit_tree_model()
