@@ -7,16 +7,20 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Endings of place names, tried in this order.
-ETHNIC_ENDINGS = ("维吾尔", "哈萨克", "土家族", "苗族", "壮族", "回族", "藏族", "彝族", "蒙古族", "朝鲜族", "傣族", "侗族", "白族", "黎族", "羌族", "布依族")
-REGION_ENDINGS = ("特别行政区", "自治区", "自治州", "自治县", "地区", "省", "市", "县", "区", "盟", "州")
+#: Endings of place names. One of the first list is taken off, the first that fits; then each of the second that fits.
+AUTONOMOUS_ENDINGS = (
+    "土家族苗族自治州", "苗族侗族自治州", "布依族苗族自治州", "傣族景颇族自治州", "蒙古族藏族自治州", "藏族羌族自治州", "哈尼族彝族自治州",
+    "傈僳族自治州", "柯尔克孜自治州", "哈萨克自治州", "蒙古自治州", "彝族自治州", "藏族自治州", "回族自治州", "壮族自治州", "朝鲜族自治州", "白族自治州", "自治州", "自治县",
+)
+REGION_ENDINGS = ("特别行政区", "经济技术开发区", "高新技术产业开发区", "自治区", "开发区", "新区", "地区", "市", "省", "州", "盟")
 
 
 def clean_name(name: Column) -> Column:
-    """Without brackets and what they hold, one ethnic ending and every region ending that leaves two characters."""
-    bare = F.trim(F.regexp_replace(F.trim(name), r"[(（][^)）]*[)）]", ""))
-    bare = F.regexp_replace(bare, f"^(.{{2,}}?)(?:{'|'.join(ETHNIC_ENDINGS)})$", "$1")
-    return reduce(lambda x, e: F.regexp_replace(x, f"^(.{{2,}}){e}$", "$1"), REGION_ENDINGS, bare)
+    """Without brackets and what they hold, one autonomous ending and every region ending; two characters always stay."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(name), r"\([^)]*\)", ""), "（[^）]*）", "")
+    cut = lambda x, e: F.when(x.endswith(e) & (F.length(x) > len(e) + 1), F.left(x, F.length(x) - len(e)))
+    bare = F.coalesce(*(cut(bare, e) for e in AUTONOMOUS_ENDINGS), bare)
+    return F.trim(reduce(lambda x, e: F.regexp_replace(x, f"^(.{{2,}}){e}$", "$1"), REGION_ENDINGS, bare))
 
 
 def has_chinese(text: Column) -> Column:

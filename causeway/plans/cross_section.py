@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions.stats import chi2_p, f_p, inverse, normal_p, solve, t_p
 from causeway.plans.did import frame
-from causeway.plans.gram import Ols, moments, ols, ols_from
+from causeway.plans.gram import Moments, Ols, ols
 
 
 def kernel(u: Column, kind: str = "triangular") -> Column:
@@ -46,11 +46,11 @@ def fuzzy_rdd(df: DataFrame, y: str, x: str, taken: str, cutoff: float, bandwidt
     """Jump of the outcome over the jump of treatment; weighted two-stage errors from actual treatment."""
     h = bandwidth or rule_of_thumb_bandwidth(df, x).first()[0]
     near = df.where(F.abs(F.col(x) - cutoff) <= h)
-    g, names, n = moments(near, {**_design(x, cutoff, controls), "_d": F.col(taken), "_y": F.col(y)}, kernel((F.col(x) - cutoff) / F.lit(h), kind))
-    xs = names[:-2]
-    first, itt = ols_from(g, names, n, "_d", xs), ols_from(g, names, n, "_y", xs)
-    est = _two_stage(g, names, n, "_y", "_d", ["above"], [c for c in xs if c not in ("above", "const")])
-    return frame(df, [{"first_stage": first.row("above")["coef"], "first_stage_f": first.row("above")["t"] ** 2, "itt": itt.row("above")["coef"], "late": est["coef"], "se": est["se"], "p": est["p"], "bandwidth": float(h), "n": n}], FUZZY)
+    m = Moments(near, {**_design(x, cutoff, controls), "_d": F.col(taken), "_y": F.col(y)}, kernel((F.col(x) - cutoff) / F.lit(h), kind))
+    xs = m.names[:-2]
+    first, itt = m.ols("_d", xs), m.ols("_y", xs)
+    est = _two_stage(m, "_y", "_d", ["above"], [c for c in xs if c not in ("above", "const")])
+    return frame(df, [{"first_stage": first.row("above")["coef"], "first_stage_f": first.row("above")["t"] ** 2, "itt": itt.row("above")["coef"], "late": est["coef"], "se": est["se"], "p": est["p"], "bandwidth": float(h), "n": m.n}], FUZZY)
 
 
 def density_bins(df: DataFrame, x: str) -> DataFrame:
@@ -71,11 +71,11 @@ def mccrary(df: DataFrame, x: str, cutoff: float) -> DataFrame:
     return frame(df, [{"jump": fit.row("above")["coef"], "t": fit.row("above")["t"], "p": fit.row("above")["p"], "bins": int(fit.n), "manipulated": fit.row("above")["p"] < 0.05}], "jump double, t double, p double, bins int, manipulated boolean")
 
 
-def _two_stage(g: np.ndarray, names: list[str], n: int, y: str, d: str, zs: list[str], xs: list[str], kappa: float = 1.0) -> dict:
+def _two_stage(m: Moments, y: str, d: str, zs: list[str], xs: list[str], kappa: float = 1.0) -> dict:
     """k-class estimate from moments: 1 is two-stage least squares."""
-    exo = [names.index(c) for c in ("const", *xs)]
-    inst = exo + [names.index(c) for c in zs]
-    iy, idd = names.index(y), names.index(d)
+    g, n, exo = m.g, m.n, m.at(["const", *xs])
+    inst = exo + m.at(zs)
+    iy, idd = m.at([y, d])
     right = [idd, *exo]
     proj = lambda a, b: g[np.ix_(a, inst)] @ inverse(g[np.ix_(inst, inst)]) @ g[np.ix_(inst, b)]
     a = (1 - kappa) * g[np.ix_(right, right)] + kappa * proj(right, right)
@@ -96,27 +96,41 @@ CRITICAL_F = {1: 23.1, 2: 13.9, 3: 9.1, 4: 6.0, 5: 4.8}
 IV = "estimator string, coef double, se double, p double, ols_coef double, first_stage_f double, first_stage_p double, weak boolean, j double, j_p double, kappa double, n long"
 
 
+def least_root(w0: np.ndarray, w1: np.ndarray) -> float:
+    """The least k with |W0 - k W1| = 0 for covariances W1 <= W0; 1 if W0 is 0."""
+    scale = np.sqrt(np.maximum(np.diag(w0), 0))
+    if not (scale > 0).all():
+        return 1.0
+    value, vector = np.linalg.eigh(w0 / np.outer(scale, scale))
+    keep = value > 1e-10 * value[-1]
+    half = vector[:, keep] / np.sqrt(value[keep])
+    most = float(np.linalg.eigvalsh(half.T @ (w1 / np.outer(scale, scale)) @ half)[-1])
+    return 1 / min(max(most, 1e-300), 1.0)
+
+
 def instrumental(df: DataFrame, y: str, d: str, instruments: list[str], controls: tuple[str, ...] = ()) -> DataFrame:
     """Two-stage least squares and LIML, with the partial first-stage F, a weak-instrument flag and the J test.
 
     Everything follows from the products of [1, controls, instruments, d, y]; complete cases only.
     """
     cols = {**{c: F.col(c) for c in (*controls, *instruments)}, "_d": F.col(d), "_y": F.col(y)}
-    g, names, n = moments(df, cols)
-    full = ols_from(g, names, n, "_d", ["const", *controls, *instruments])
-    short = ols_from(g, names, n, "_d", ["const", *controls])
+    m = Moments(df, cols)
+    full = m.ols("_d", ["const", *controls, *instruments])
+    short = m.ols("_d", ["const", *controls])
     q = len(instruments)
     f = (short.rss - full.rss) / q / (full.rss / full.df) if full.rss > 0 and full.df > 0 else float("nan")
-    plain: Ols = ols_from(g, names, n, "_y", ["const", *controls, "_d"])
-    # LIML's kappa: the least root of |W0 - k W1|, with (y, d) less the controls and less controls and instruments
-    yd, exo = [names.index("_y"), names.index("_d")], [names.index(c) for c in ("const", *controls)]
-    inst = exo + [names.index(c) for c in instruments]
+    plain: Ols = m.ols("_y", ["const", *controls, "_d"])
+    # LIML's kappa: the least root of |W0 - k W1|, with (y, d) less the controls and less controls and instruments. It is
+    # 1 over the largest root of |W1 - m W0|, which is at most 1 and does without the inverse of W1, singular where y and d
+    # are collinear after the instruments
+    g, yd, exo = m.g, m.at(["_y", "_d"]), m.at(["const", *controls])
+    inst = exo + m.at(instruments)
     left = lambda on: g[np.ix_(yd, yd)] - g[np.ix_(yd, on)] @ inverse(g[np.ix_(on, on)]) @ g[np.ix_(on, yd)]
-    kappa = float(np.min(np.linalg.eigvals(np.linalg.solve(left(inst), left(exo))).real))
+    kappa = least_root(left(exo), left(inst))
     rows = []
     for name, k in (("2sls", 1.0), ("liml", kappa)):
-        e = _two_stage(g, names, n, "_y", "_d", instruments, list(controls), k)
-        rows.append({"estimator": name, "coef": e["coef"], "se": e["se"], "p": e["p"], "ols_coef": plain.row("_d")["coef"], "first_stage_f": f, "first_stage_p": f_p(f, q, full.df), "weak": f < CRITICAL_F.get(q, 4.8), "j": e["j"] if q > 1 else None, "j_p": chi2_p(e["j"], q - 1) if q > 1 else None, "kappa": k, "n": n})
+        e = _two_stage(m, "_y", "_d", instruments, list(controls), k)
+        rows.append({"estimator": name, "coef": e["coef"], "se": e["se"], "p": e["p"], "ols_coef": plain.row("_d")["coef"], "first_stage_f": f, "first_stage_p": f_p(f, q, full.df), "weak": f < CRITICAL_F.get(q, 4.8), "j": e["j"] if q > 1 else None, "j_p": chi2_p(e["j"], q - 1) if q > 1 else None, "kappa": k, "n": m.n})
     return frame(df, rows, IV)
 
 

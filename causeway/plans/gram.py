@@ -177,7 +177,6 @@ class Ols:
     rss: float
     tss: float
     n: float
-    moments: np.ndarray
 
     @property
     def df(self) -> float:
@@ -194,27 +193,43 @@ class Ols:
         return {"coef": float(self.beta[k]), "se": se, "t": t, "p": normal_p(t) if normal else t_p(t, self.df)}
 
 
-def moments(df: DataFrame, columns: dict[str, Column], weight: Column | None = None) -> tuple[np.ndarray, list[str], int]:
-    """Weighted sums of all products of [1, columns], centred on no value; the names; the rows with all of them."""
-    w = F.lit(1.0) if weight is None else weight
-    rows = df.select(w.alias("_w"), *(c.cast("double").alias(f"c{k}") for k, c in enumerate(columns.values()))).dropna().where("_w > 0")
-    cols = [F.lit(1.0), *(F.col(f"c{k}") for k in range(len(columns)))]
-    m = len(cols)
-    r = rows.agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col("_w") * cols[i] * cols[j]).alias(f"m{i}_{j}") for i in range(m) for j in range(i, m))).first()
-    g = np.zeros((m, m))
-    g[np.triu_indices(m)] = [x or 0.0 for x in r[1:]]
-    return g + g.T - np.diag(np.diag(g)), ["const", *columns], int(r["n"])
-
-
-def ols_from(g: np.ndarray, names: list[str], n: int, y: str, xs: list[str]) -> Ols:
-    at, k = [names.index(x) for x in xs], names.index(y)
-    xx, xy = g[np.ix_(at, at)], g[at, k]
-    beta = solve(xx, xy)
-    total = g[k, k] - g[0, k] ** 2 / g[0, 0] if g[0, 0] else 0.0
-    return Ols(xs, beta, inverse(xx), float(g[k, k] - 2 * beta @ xy + beta @ xx @ beta), float(total), n, g)
+class Moments:
+    """Weighted sums of products of [1, columns], with the columns centred on their means.
+
+    Centring keeps the digits of columns with large means; only the constant depends on it, and it is
+    moved back in ``ols``.
+    """
+
+    def __init__(self, df: DataFrame, columns: dict[str, Column], weight: Column | None = None):
+        w = F.lit(1.0) if weight is None else weight
+        rows = df.select(w.alias("_w"), *(c.cast("double").alias(f"c{k}") for k, c in enumerate(columns.values()))).dropna().where("_w > 0")
+        raw = [f"c{k}" for k in range(len(columns))]
+        means = rows.agg(*(F.avg(c).alias(c) for c in raw)).first() if raw else {}
+        self.means = np.array([0.0, *(means[c] or 0.0 for c in raw)])
+        cols = [F.lit(1.0), *(F.col(c) - F.lit(means[c] or 0.0) for c in raw)]
+        m = len(cols)
+        r = rows.agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col("_w") * cols[i] * cols[j]).alias(f"m{i}_{j}") for i in range(m) for j in range(i, m))).first()
+        g = np.zeros((m, m))
+        g[np.triu_indices(m)] = [x or 0.0 for x in r[1:]]
+        self.g, self.names, self.n = g + g.T - np.diag(np.diag(g)), ["const", *columns], int(r["n"])
+
+    def at(self, names: list[str]) -> list[int]:
+        return [self.names.index(x) for x in names]
+
+    def ols(self, y: str, xs: list[str]) -> Ols:
+        """``y`` on ``xs``, of which the first is the constant."""
+        g, at, k = self.g, self.at(xs), self.names.index(y)
+        xx, xy = g[np.ix_(at, at)], g[at, k]
+        beta, bread = solve(xx, xy), inverse(xx)
+        rss = float(g[k, k] - 2 * beta @ xy + beta @ xx @ beta)
+        total = g[k, k] - g[0, k] ** 2 / g[0, 0] if g[0, 0] else 0.0
+        back = np.eye(len(at))
+        back[0, 1:] = -self.means[at[1:]]
+        beta = back @ beta
+        beta[0] += self.means[k]
+        return Ols(xs, beta, back @ bread @ back.T, rss, float(total), self.n)
 
 
 def ols(df: DataFrame, y: Column, xs: dict[str, Column], weight: Column | None = None) -> Ols:
-    """Weighted least squares with a constant, from one aggregation."""
-    g, names, n = moments(df, {**xs, "_y": y}, weight)
-    return ols_from(g, names, n, "_y", ["const", *xs])
+    """Weighted least squares with a constant, from an aggregation for the means and one for the products."""
+    return Moments(df, {**xs, "_y": y}, weight).ols("_y", ["const", *xs])

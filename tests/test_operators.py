@@ -13,7 +13,9 @@ def column(spark, values, f):
 
 
 def test_names_and_amounts(spark):
-    assert column(spark, ["杭州市（浙江）", "延边朝鲜族自治州", "市", None, " 上海市 "], text.clean_name) == ["杭州", "延边朝鲜族", "市", None, "上海"]
+    assert column(spark, ["杭州市（浙江）", "通化市(地级)", "市", None, " 上海市 ", "香港特别行政区", "浦东新区", "某某市经济技术开发区"], text.clean_name) == ["杭州", "通化", "市", None, "上海", "香港", "浦东", "某某"]
+    prefectures = {"延边朝鲜族自治州": "延边", "恩施土家族苗族自治州": "恩施", "大理白族自治州": "大理", "凉山彝族自治州": "凉山", "海西蒙古族藏族自治州": "海西", "红河哈尼族彝族自治州": "红河", "长阳土家族自治县": "长阳土家族"}
+    assert column(spark, list(prefectures), text.clean_name) == list(prefectures.values())
     assert column(spark, ["1,200", "3万", "1.5亿", "1万亿", "12%", "abc", "", None], text.parse_amount) == [1200, 3e4, 1.5e8, 1e12, 12, None, None, None]
     assert column(spark, ["2020-01-02", "2020/01/02", "20200102", "x"], text.iso_date) == ["2020-01-02"] * 3 + [None]
 

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from causeway.plans import confirm, cross_section, decide, did, robust, staggered, synthetic
+from causeway.plans.gram import ols
 from causeway.spec import Method, PanelSpec
 
 SPEC = PanelSpec(entity="e", time="t", outcome="y", treated="d", post="p", first_treated="ft", controls=("x",))
@@ -107,6 +108,36 @@ def test_rdd_and_iv(spark):
     assert abs(r["2sls"]["coef"] - 2) < 0.4 < abs(r["2sls"]["ols_coef"] - 2)
     assert r["liml"]["coef"] == pytest.approx(r["2sls"]["coef"], abs=1e-6) and not r["2sls"]["weak"]
     assert not cross_section.mccrary(x, "x", 0.0).first()["manipulated"]
+    assert r["liml"]["kappa"] == pytest.approx(1, abs=1e-9)
+
+
+def test_liml_against_the_roots_in_numpy(spark):
+    """Noise of its own and two instruments: kappa over 1; large means don't cost digits."""
+    r = np.random.default_rng(3)
+    z, u, v = r.standard_normal((500, 2)), r.standard_normal(500), r.standard_normal(500)
+    d = z @ [0.4, 0.2] + u
+    y = 1.5 * d + u + v
+    df = spark.createDataFrame([(float(a), float(b), *map(float, c)) for a, b, c in zip(y, d, z)], "y double, d double, z0 double, z1 double")
+    yd, one = np.column_stack([y, d]), np.ones((500, 1))
+    left = lambda x: yd.T @ (yd - x @ np.linalg.lstsq(x, yd, rcond=None)[0])
+    x = np.column_stack([one, z])
+    kappa = min(np.linalg.eigvals(np.linalg.solve(left(x), left(one))).real)
+    right = np.column_stack([d, one])
+    hat = x @ np.linalg.lstsq(x, np.column_stack([right, y]), rcond=None)[0]
+    want = np.linalg.solve((1 - kappa) * right.T @ right + kappa * right.T @ hat[:, :2], (1 - kappa) * right.T @ y + kappa * right.T @ hat[:, 2])[0]
+    for shift in (0.0, 1e7):
+        got = {a["estimator"]: a for a in cross_section.instrumental(df.select((F.col("y") + shift).alias("y"), (F.col("d") + shift).alias("d"), (F.col("z0") - shift).alias("z0"), "z1"), "y", "d", ["z0", "z1"]).collect()}
+        assert got["liml"]["kappa"] == pytest.approx(kappa, abs=1e-6) and got["liml"]["kappa"] > 1
+        assert got["liml"]["coef"] == pytest.approx(want, abs=1e-6)
+
+
+def test_constant_is_moved_back(spark):
+    df = spark.createDataFrame([(float(i), 1e6 + i, 3.0 + 2.0 * (1e6 + i) + (i % 3)) for i in range(60)], "k double, x double, y double")
+    fit = ols(df, F.col("y"), {"x": F.col("x")})
+    x = np.array([[1.0, i] for i in range(60)])  # about 1e6
+    y = np.array([3.0 + 2.0 * i + (i % 3) for i in range(60)])
+    b = np.linalg.lstsq(x, y, rcond=None)[0]
+    assert fit.beta[1] == pytest.approx(b[1], rel=1e-9) and fit.beta[0] == pytest.approx(b[0] + 2e6 - b[1] * 1e6, rel=1e-6)
 
 
 def test_simplex_weights():
