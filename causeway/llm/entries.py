@@ -32,7 +32,7 @@ def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digest_features(media.media_columns(table(spark, sf_dir, "documents"), keep_media=False))
+    return media.with_feature(media.media_columns(table(spark, sf_dir, "documents")))
 
 
 def op5_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

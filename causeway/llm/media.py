@@ -140,7 +140,7 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, schema)
 
 
-def digest_features(media: DataFrame) -> DataFrame:
-    """Replaces the arrays of media_columns() by one string: their length and checksum."""
+def with_feature(media: DataFrame) -> DataFrame:
+    """Adds ``feature``, a name of the fingerprint: the number of its pairs and a checksum of the arrays, which stay."""
     code = F.concat_ws(":", F.concat_ws(",", "fp_time"), F.concat_ws(",", "fp_hash"))
-    return media.withColumn("feature", F.concat(F.lit("peaks-"), F.size("fp_hash").cast("string"), F.lit("-"), F.sha1(code))).drop("fp_time", "fp_hash")
+    return media.withColumn("feature", F.concat(F.lit("peaks-"), F.size("fp_hash").cast("string"), F.lit("-"), F.sha1(code)))
