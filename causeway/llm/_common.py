@@ -24,11 +24,13 @@ _local: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests on one machine) is a temporary folder used.
+    Only where the session leaves it unset and runs on one machine (tests) is a temporary folder used.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _local:
         _local.append("file://" + tempfile.mkdtemp(prefix="causeway-"))
         atexit.register(_remove, spark, _local[0])
@@ -57,22 +59,53 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables of the shared folder that nothing reads any more."""
+    for path in paths:
+        _remove(spark, path)
+
+
 def id_crc(col: str) -> Column:
     """crc32 of the id written as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
 
 
+def _unit(*parts: Column) -> Column:
+    return F.pmod(F.xxhash64(*parts), F.lit(1 << 62))
+
+
 def sampled(col: str, share: Column | float, seed: str) -> Column:
-    """True for about ``share`` of the ids, the same ones on every run."""
-    unit = F.pmod(F.xxhash64(F.col(col), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return unit < share
+    """True for about ``share`` of the ids, the same ones on every run; for tables with one row for each id."""
+    return _unit(F.col(col), F.lit(seed)) / F.lit(float(1 << 62)) < share
+
+
+def drawn(share: Column | float, seed: str, *cols: str) -> Column:
+    """True for about ``share`` of the rows, by a hash of the columns and the row's place in the table."""
+    return _unit(*map(F.col, cols), F.monotonically_increasing_id(), F.lit(seed)) / F.lit(float(1 << 62)) < share
 
 
 def bounded_sample(df: DataFrame, id_col: str, text_col: str, max_docs: int, max_bytes: int, seed: str) -> DataFrame:
-    """About ``max_docs`` rows with about ``max_bytes`` of text at most, chosen by a hash of the id."""
-    n, size = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(text_col))).first()
-    share = min(1.0, max_docs / max(n, 1), max_bytes / max(size or 0, 1))
-    return df if share == 1 else df.where(sampled(id_col, share, seed))
+    """All rows of ``df``, or where there are more than ``max_docs`` or ``max_bytes`` of text: rows drawn at random within both bounds.
+
+    Rows are drawn by a hash of id, text and place in the table, so that rows without an id, or with equal
+    ones, don't share one fate. About the wanted share of all rows come as (hash, bytes) to the driver,
+    ``max_docs`` at most, and the least hashes that keep within both bounds are taken.
+    """
+    rows = df.withColumn("_draw", _unit(F.col(id_col), F.col(text_col), F.monotonically_increasing_id(), F.lit(seed)))
+    bytes_ = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
+    n, size = df.agg(F.count(F.lit(1)), F.sum(bytes_)).first()
+    if n <= max_docs and (size or 0) <= max_bytes:
+        return df
+    # a fifth more than expected and some, so that chance alone hardly leaves the bounds unused
+    share = min(1.0, 1.2 * min(max_docs / n, max_bytes / max(size, 1)) + 50 / n)
+    few = rows.where(F.col("_draw") < F.lit(int(share * (1 << 62)))).select("_draw", bytes_.alias("_bytes")).orderBy("_draw").limit(max_docs).collect()
+    last, total = -1, 0
+    for r in few:
+        total += r["_bytes"]
+        if total > max_bytes:
+            break
+        last = r["_draw"]
+    return rows.where(F.col("_draw") <= F.lit(last)).drop("_draw")
 
 
 def tidied(run: Callable[[Iterator], Iterator], clear: Callable[[], object]) -> Callable[[Iterator], Iterator]:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm._common import sampled
+from causeway.llm._common import drawn
 
 BINS = 1 << 16
 LETTER = re.compile(r"[^\W\d_]")
@@ -76,8 +76,9 @@ class LanguageModel:
 def fit_language_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 6000) -> LanguageModel:
     """Learns from about ``max_docs`` rows with a language, shared evenly among the languages.
 
-    Which rows is decided by a hash of the id. Rows without text or language are left out. Counts are
-    summed on the executors; the driver gets at most 8 tables of counts for each language.
+    Which rows is decided by a hash of id, text and place in the table, so that rows without an id, or with equal ones,
+    don't share one fate. Rows without text or language are left out. Each task counts its rows' trigrams and the counts are summed by language and bin, so the driver
+    gets BINS numbers for each language at most and a model takes 256 KB for each.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     sizes = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().collect()}
@@ -92,14 +93,16 @@ def fit_language_model(labelled: DataFrame, text_col: str = "text", lang_col: st
             for lang, text in zip(batch["_lang"], batch["_text"]):
                 bins, n = trigram_bins(text)
                 found.setdefault(lang, np.zeros(BINS, np.int64))[bins] += n.astype(np.int64)
-        yield pd.DataFrame([(k, v.tobytes()) for k, v in found.items()], columns=["_lang", "counts"])
+        for lang, every in found.items():
+            bins = np.flatnonzero(every)
+            yield pd.DataFrame({"_lang": lang, "bin": bins.astype(np.int32), "n": every[bins]})
 
-    sample = rows.where(sampled("_id", F.element_at(shares, F.col("_lang")), "langid"))
-    parts = sample.coalesce(8).mapInPandas(count, "_lang string, counts binary").collect()
+    sample = rows.where(drawn(F.element_at(shares, F.col("_lang")), "langid", "_id", "_text"))
+    parts = sample.mapInPandas(count, "_lang string, bin int, n long").groupBy("_lang", "bin").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(sizes)
     counts = np.zeros((len(languages), BINS))
-    for r in parts:
-        counts[languages.index(r["_lang"])] += np.frombuffer(r["counts"], np.int64)
+    at = {lang: k for k, lang in enumerate(languages)}
+    counts[parts["_lang"].map(at).to_numpy(np.int64), parts["bin"].to_numpy(np.int64)] = parts["n"].to_numpy(float)
     return LanguageModel(languages, counts)
 
 
