@@ -14,6 +14,8 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from causeway.llm._common import materialise
+
 RING_SLOTS = 1 << 14
 
 
@@ -88,22 +90,41 @@ def ring_key(id_col: str, fallback: Column) -> Column:
     return F.xxhash64(F.coalesce(F.concat(F.lit("id:"), F.col(id_col).cast("string")), F.concat(F.lit("no id:"), fallback.cast("string"))))
 
 
-def assign_shards(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", vnodes: int = 64) -> DataFrame:
+def assign_shards(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", vnodes: int = 64, most: int = 1 << 16) -> DataFrame:
     """Adds (id, size, text_crc32, ring_slot, shard, slot) for every row of ``df``.
 
     Shard counts differ by one at most. ``size`` is the UTF-8 bytes of the text plus 8. Null texts
     count as empty; null ids are placed by their text's checksum and size; repeated rows each take a
     place; an empty table gives an empty result. Only these columns are read, so any further columns,
-    whatever their names, do no harm and are not returned.
+    whatever their names, do no harm and are not returned. The text is read once: what is needed of a
+    row is written to the shared folder. A ring slot with more than ``most`` rows (of one repeated id, say), or
+    than 4 slots have on average, is ranked in parts by a hash of the row, so no task gets all of it.
     """
+    spark = df.sparkSession
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     keys = df.select(F.col(id_col), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     keys = keys.withColumn("_key", ring_key(id_col, F.concat_ws("/", "text_crc32", "size")))
     keys = keys.withColumn("ring_slot", F.pmod(F.shiftrightunsigned("_key", 20), F.lit(RING_SLOTS)).cast("int"))
+    keys = materialise(keys.withColumn("_row", F.xxhash64("_key", F.monotonically_increasing_id())), "shards-keys")
     counts = {r["ring_slot"]: r["count"] for r in keys.groupBy("ring_slot").count().collect()}
-    pieces = plan_ring(counts, ring_owners(n_shards, vnodes), quotas(sum(counts.values()), n_shards))
-    plan = df.sparkSession.createDataFrame(pieces, "_slot int, _first long, _last long, shard int, _base long")
-    ranked = keys.withColumn("_rank", F.row_number().over(Window.partitionBy("ring_slot").orderBy("_key", id_col, "size", "text_crc32")))
+    total = sum(counts.values())
+    most = max(most, 4 * total // RING_SLOTS)
+    crowded = [(slot, -(-n // most)) for slot, n in counts.items() if n > most]
+    part, before = F.lit(0), F.lit(0)
+    if crowded:  # at most RING_SLOTS / 4 slots, with RING_SLOTS / 4 further parts
+        keys = keys.join(F.broadcast(spark.createDataFrame(crowded, "_crowded int, _parts int")), F.col("ring_slot") == F.col("_crowded"), "left")
+        part = F.pmod("_row", F.coalesce("_parts", F.lit(1))).cast("int")
+        sizes, offset, starts = keys.where("_parts is not null").groupBy("ring_slot", part.alias("_part")).count().collect(), {}, []
+        for r in sorted(sizes):
+            starts.append((r["ring_slot"], r["_part"], offset.get(r["ring_slot"], 0)))
+            offset[r["ring_slot"]] = starts[-1][2] + r["count"]
+        begins = F.broadcast(spark.createDataFrame(starts, "_s int, _p int, _before long"))
+        keys = keys.withColumn("_part", part).join(begins, (F.col("ring_slot") == F.col("_s")) & (F.col("_part") == F.col("_p")), "left")
+        part, before = F.col("_part"), F.coalesce("_before", F.lit(0))
+    keys = keys.select(id_col, "size", "text_crc32", "_key", "_row", "ring_slot", part.alias("_part"), before.cast("long").alias("_before"))
+    plan = spark.createDataFrame(plan_ring(counts, ring_owners(n_shards, vnodes), quotas(total, n_shards)), "_slot int, _first long, _last long, shard int, _base long")
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("ring_slot", "_part").orderBy("_key", "_row"))
+    ranked = keys.withColumn("_rank", rank)
     joined = ranked.join(
         F.broadcast(plan),  # at most RING_SLOTS + n_shards pieces
         (F.col("ring_slot") == F.col("_slot")) & F.col("_rank").between(F.col("_first"), F.col("_last")),
