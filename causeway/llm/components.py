@@ -8,20 +8,33 @@ from pyspark.sql import functions as F
 from causeway.llm._common import materialise
 
 
+SALTS = 64
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``edges`` (a, b) with m, the least b of each a. A node with very many edges is dealt over SALTS tasks.
+
+    The least are found per node and salt, then per node, and go back to the salts that the node has.
+    """
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    parts = dealt.groupBy("a", "salt").agg(F.min("b").alias("m"))
+    least = parts.groupBy("a").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts"))
+    return dealt.join(least.select("a", "m", F.explode("salts").alias("salt")), ["a", "salt"]).select("a", "b", "m")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node tells its larger neighbours the smallest node it knows."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    told = _with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+    return told.where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node tells itself and its smaller neighbours the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-    joined = down.join(least, F.col("a") == F.col("u"))
-    lower = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return lower.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
+    known = _with_least(down)
+    lower = known.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return lower.union(known.select("a", F.col("m").alias("b"))).distinct()
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
