@@ -149,7 +149,21 @@ def _overlap_sql() -> str:
     """
 
 
+#: The pages of the tables hold their main text in one article element.
+_ARTICLE_SQL = """
+        WITH a AS (
+            SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*)</article>', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS x FROM pages
+        ), d AS (
+            SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&middot;?', '·', 'g'), '&copy;?', '©', 'g'), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS x FROM a
+        ), t AS (
+            SELECT page_id, url, trim(regexp_replace(x, '\\s+', ' ', 'g')) AS text FROM d
+        )
+        SELECT page_id, url, text, length(text) AS n_chars FROM t
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op8_dom_tree_extraction": _ARTICLE_SQL,
     "op2_spaced_seed_decontamination": _overlap_sql(),
     "op9_minmax_near_dedup": _NEAR_SQL.format(k=3, percent=85),
     "op7_warc_index_first": """

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = set("head title script style template noscript svg math object iframe audio video canvas".split())
 RAW = set("script style textarea title".split())
+_RAW_ENDS = {name: re.compile(f"</{name}\\s*>", re.I) for name in RAW}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = set("address article aside blockquote details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -51,11 +52,71 @@ EDGE_KINDS = 3  # to a text block, to a list or table part, to any other element
 _TEXT_BLOCKS = set("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())
 _PARTS = set("ul ol li dl dt dd table tbody thead tr td th option".split())
 
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_UNQUOTED = re.compile(r"[^>\"']*")
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RIGHTS_TEXT = re.compile(r"©|\(c\)|all rights reserved|copyright", re.I)
 
 
+_P_ENDS = ({"p"}, {"button", "td", "th", "table"})
+
+
+def _marks(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, stop, name, is an end tag, attributes): text from ``start`` to ``stop`` and the tag after it.
+
+    The name is empty after a comment or declaration and at the end. Text of RAW elements runs to their end tag. A
+    quotation mark that is never closed, and a tag that never ends outside of its quotations, end at the
+    next >; a < without any > after it is text.
+    """
+    text_from = at = 0
+    size = len(source)
+    closed = {'"': True, "'": True}  # there may be another one further on
+    quotes = True  # tags have been found to end outside of their quotations
+    while (at := source.find("<", at)) >= 0:
+        after = source[at + 1 : at + 2]
+        if after in ("!", "?"):
+            if source.startswith("<!--", at):
+                end = source.find("-->", at + 4)
+                stop = size if end < 0 else end + 3
+            else:
+                end = source.find(">", at)
+                stop = size if end < 0 else end + 1
+            yield text_from, at, "", False, ""
+            text_from = at = stop
+            continue
+        ends_tag = after == "/"
+        m = _NAME.match(source, at + 1 + ends_tag)
+        if not m:
+            at += 1
+            continue
+        end = m.end()
+        while quotes:
+            end = _UNQUOTED.match(source, end).end()
+            mark = source[end : end + 1]
+            if mark == ">":
+                break
+            if mark and closed[mark]:
+                other = source.find(mark, end + 1)
+                if other >= 0:
+                    end = other + 1
+                    continue
+                closed[mark] = False
+            if mark:
+                end += 1  # never closed: a character like others
+                continue
+            quotes = False  # no > up to the end of the page: from here on quotations hide none
+            end = m.end()
+        if not quotes and (end := source.find(">", m.end())) < 0:
+            break
+        name, attributes = m[0].lower(), source[m.end() : end]
+        yield text_from, at, name, ends_tag, attributes
+        text_from = at = end + 1
+        if name in RAW and not ends_tag:
+            close = _RAW_ENDS[name].search(source, at)
+            at = close.start() if close else size
+    yield text_from, size, "", False, ""
+
+
 class Page:
     """The variables of a page and its pieces of text in order. Node 0 is the root; parents come before children."""
 
@@ -84,44 +145,39 @@ class Page:
                 self.rights[node] = True
 
     def _parse(self, source: str) -> None:
+        """One pass: no character is looked at more than a fixed number of times, however broken the page."""
         stack: list[tuple[str, int]] = [("", 0)]  # (tag, node); inline elements share their parent's node
-        at = hidden = links = 0
-        find = _MARK.search
-        while (m := find(source, at)) is not None:
-            self._text(stack, source[at : m.start()], hidden, links)
-            at = m.end()
-            name = m[2]
-            if name is None:
+        open_: dict[str, list[int]] = {}  # places of each tag in the stack
+        hidden = links = 0
+
+        def top(tags) -> int:
+            return max((places[-1] for t in tags if (places := open_.get(t))), default=0)
+
+        def close(to: int) -> None:
+            nonlocal hidden, links
+            for tag, _ in stack[to:]:
+                open_[tag].pop()
+                hidden -= tag in HIDDEN
+                links -= tag == "a"
+            del stack[to:]
+
+        for start, stop, name, ends_tag, attributes in _marks(source):
+            self._text(stack, source[start:stop], hidden, links)
+            if not name:
                 continue
-            name = name.lower()
-            if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        for tag, node in stack[k:]:
-                            hidden -= tag in HIDDEN
-                            links -= tag == "a"
-                            if tag not in INLINE:
-                                self.pieces.append((node, None))
-                        del stack[k:]
-                        break
+            if ends_tag:
+                if places := open_.get(name):
+                    self.pieces += [(node, None) for tag, node in stack[places[-1] :] if tag not in INLINE]
+                    close(places[-1])
                 continue
             if name == "br" or name == "hr":
                 self.pieces.append((stack[-1][1], None))
             if name in VOID:
                 continue
-            ends = ({"p"}, {"button", "td", "th", "table"}) if name in CLOSES_P else IMPLIED.get(name)
-            if ends:
-                for k in range(len(stack) - 1, 0, -1):
-                    tag = stack[k][0]
-                    if tag in ends[0]:
-                        for t, node in stack[k:]:
-                            links -= t == "a"
-                            hidden -= t in HIDDEN
-                        del stack[k:]
-                        break
-                    if tag in ends[1]:
-                        break
-            hints = self._hints(m[3]) if m[3] and ("=" in m[3]) else ()
+            ends = _P_ENDS if name in CLOSES_P else IMPLIED.get(name)
+            if ends and (found := top(ends[0])) > top(ends[1]):
+                close(found)
+            hints = self._hints(attributes) if "=" in attributes else ()
             node = stack[-1][1]
             if name not in INLINE or any(h != len(HINTS) - 1 for h in hints):
                 node = len(self.tag)
@@ -134,15 +190,10 @@ class Page:
                 self.rights.append(False)
             if name not in INLINE:
                 self.pieces.append((node, None))
+            open_.setdefault(name, []).append(len(stack))
             stack.append((name, node))
             hidden += name in HIDDEN
             links += name == "a"
-            if name in RAW:
-                end = re.compile(f"</{name}\\s*>", re.I).search(source, at)
-                stop = end.start() if end else len(source)
-                self._text(stack, source[at:stop], hidden, links)
-                at = stop
-        self._text(stack, source[at:], hidden, links)
 
     @staticmethod
     def _hints(attributes: str) -> tuple[int, ...]:

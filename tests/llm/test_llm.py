@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import wave
 import zlib
 from io import BytesIO
@@ -513,6 +514,29 @@ def test_extraction(spark, tree):
     assert html_extract.extract(df.where("false"), tree).count() == 0
 
 
+BROKEN = ["<a ", '<a "', '<a "> "', "<div>", "<p><b>", "<!-- ", "<ul><li>", "<script>", "<table><tr><td>", "&", "<a ' \" ", "<p class='x ", "</span>", "<b><div></b>"]
+
+
+@pytest.mark.parametrize("part", BROKEN)
+def test_broken_pages_take_time_in_proportion(tree, part):
+    def seconds(source):
+        began = time.process_time()
+        html_extract.main_text(source, tree)
+        return time.process_time() - began
+
+    for make in (lambda k: part * k, lambda k: "<div>" * k + part * k + "end."):
+        small, large = seconds(make(8000)), seconds(make(32000))
+        assert large < 8 * small + 0.3  # 4 times in proportion, 16 times for the square
+
+
+def test_odd_tags():
+    text = lambda source: "".join(t or "|" for _, t in html_extract.Page(source).pieces)
+    assert text("a <b x='>'>c</b> < d <3 <e") == "a c < d <3 <e"
+    assert text('<p title="never closed>x</p>y') == "|x|y" and text("x<!-- a -- b --> y <!doctype z> w <!-- end") == "x y  w "
+    assert text("<textarea><p>&lt;</p></textarea>z") == "|<p><</p>|z" and text("<script>if (a<b) '</p>'</script>z") == "||z"
+    assert text("a<br>b<hr/>c") == "a|b|c" and text("<") == "<" and text("</") == "</" and text("") == ""
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_keep_every_row(spark, sf, name):
     out = QUERIES[name](spark, sf)
