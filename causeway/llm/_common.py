@@ -59,10 +59,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession, *paths: str) -> None:
-    """Deletes tables of the shared folder that nothing reads any more."""
-    for path in paths:
-        _remove(spark, path)
+class Scratch:
+    """Tables of one computation in the shared folder, deleted together by ``drop()`` once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.n = spark, fresh_dir(spark, name), 0
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """Cuts the lineage: writes ``df`` as Parquet and reads it again."""
+        self.n += 1
+        path = f"{self.root}/{self.n}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        _remove(self.spark, self.root)
 
 
 def id_crc(col: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm._common import materialise
+from causeway.llm._common import Scratch
 
 
 SALTS = 64
@@ -42,12 +42,16 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
 
     Loops and null ends are left out. The number of rounds grows with the logarithm of the longest
     path; rounds go on until a small star changes nothing. Only a count and a checksum of the edges
-    reach the driver.
+    reach the driver. A round's table is deleted when the next is written.
     """
-    edges = edges.select("a", "b").where("a <> b")
-    before = None
+    spark = edges.sparkSession
+    edges, before, last = edges.select("a", "b").where("a <> b"), None, None
     while True:
-        edges = materialise(_small_star(_large_star(edges)), name)
+        round_ = Scratch(spark, name)
+        edges = round_.put(_small_star(_large_star(edges)), "edges")
+        if last:
+            last.drop()
+        last = round_
         after = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if before == after:
             break

@@ -2,9 +2,9 @@
 
 Of each permutation of a document's shingles both the minimum and the maximum are kept, so that
 half as many permutations give a signature of the same length. Bands of the signature make buckets.
-In every bucket all members are compared with the smallest one on their full sets; where a bucket then
-still holds more than one component, its members are compared with each other in blocks. Verified
-links make connected components.
+In every bucket all members are compared with the smallest one on their full sets. Where a bucket then
+still holds more than one component, its members' signatures are compared across the components; what
+could be similar by them is compared on full sets, in blocks. Verified links make connected components.
 """
 
 from __future__ import annotations
@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from causeway.llm._common import materialise, tidied
+from causeway.llm._common import Scratch, materialise, tidied
 from causeway.llm.components import connected_components
 
 BANDS, PER_BAND = 32, 4  # 0.85^4 and 32 bands: a pair of similarity 0.85 is missed once in 10^10, one of 0.8 once in 10^7
 PERMUTATIONS = BANDS * PER_BAND // 2
-BROADCAST_ROWS = 500_000  # of two longs each
-BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 19
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 1 << 19
+SIGNED_DOCS = 1024  # signatures that are compared with as many others in one task
 CACHE_WORDS = 300_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -84,9 +84,15 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return np.stack([low, high], axis=1)
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """BANDS 64-bit keys; two permutations make a band of two minima and two maxima."""
-    values = signature(shingles).astype(np.uint64).reshape(BANDS, PER_BAND)
+def agreement(percent: int) -> int:
+    """Entries of 2 x PERMUTATIONS in which two signatures agree, for sets of that similarity, but for 10 standard deviations."""
+    n, p = 2 * PERMUTATIONS, percent / 100
+    return int(n * p - 10 * (n * p * (1 - p)) ** 0.5)
+
+
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """BANDS 64-bit keys of a signature; two permutations make a band of two minima and two maxima."""
+    values = values.astype(np.uint64).reshape(BANDS, PER_BAND)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for i in range(PER_BAND):
         key = _mix(key * _C + values[:, i])
@@ -94,7 +100,8 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(_id, n, h1, h2, keys) for each row of ``docs`` (_id, _text): size and 128-bit hash of the set, and the band keys."""
+    """(_id, n, h1, h2, keys, low) for each row of ``docs`` (_id, _text): size and 128-bit hash of the set, the band
+    keys, and the signature's entries cut to a byte each, which can only make more of them agree."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -102,12 +109,13 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             for text in batch["_text"]:
                 s = shingle_set(text, k)
                 h = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-                rows.append((len(s), h[0], h[1], band_keys(s) if len(s) else None))
-            out = pd.DataFrame(rows, columns=["n", "h1", "h2", "keys"])
+                values = signature(s) if len(s) else None
+                rows.append((len(s), h[0], h[1], band_keys(values) if len(s) else None, values.astype(np.uint8).tobytes() if len(s) else None))
+            out = pd.DataFrame(rows, columns=["n", "h1", "h2", "keys", "low"])
             out.insert(0, "_id", batch["_id"].array)
             yield out
 
-    return docs.mapInPandas(tidied(run, clear_cache), f"_id {docs.schema['_id'].dataType.simpleString()}, n long, h1 long, h2 long, keys array<long>")
+    return docs.mapInPandas(tidied(run, clear_cache), f"_id {docs.schema['_id'].dataType.simpleString()}, n long, h1 long, h2 long, keys array<long>, low binary")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -124,11 +132,6 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * i >= percent * (a.size + b.size - i)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A hint to broadcast a written table, if it has BROADCAST_ROWS rows at most."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those (a, b) of ``pairs`` that are similar. Hot ends are spread by adaptive skew joins; ``sets`` has each id once."""
 
@@ -143,6 +146,53 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.least(*sizes).cast("long") >= percent * F.greatest(*sizes).cast("long")).where(check("sa", "sb")).select("a", "b")
 
 
+def _sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Rows of a block pair as (left, right); see _dealt."""
+    return rows[~rows["right"]], rows[rows["right"]]
+
+
+def _dealt(rows: DataFrame, group: str, docs: int, shingles: int | None) -> DataFrame:
+    """``rows`` (group, rep, component, n, ...) of groups with several components, dealt into pairs of blocks (group, i, j).
+
+    The left blocks hold all of a group, the right ones all but its largest component, so the bulk of a
+    group that is one component by now isn't copied. A block has about ``docs`` rows and ``shingles``
+    shingles at most, or is one row. Every pair of different components meets in a pair of blocks (twice
+    where neither is of the largest component: once on either side).
+    """
+    per = rows.groupBy(group, "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("m"))
+    per = per.groupBy(group).agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("mc"), F.max_by("m", F.struct("c", "component")).alias("mm"), F.sum("c").alias("c"), F.sum("m").alias("m"))
+    parts = lambda c, m: F.greatest(F.lit(1), F.ceil(c / docs), F.ceil(m / shingles) if shingles else F.lit(1)).cast("int")
+    per = per.where("c > mc").select(group, "main", parts(F.col("c"), F.col("m")).alias("is"), parts(F.col("c") - F.col("mc"), F.col("m") - F.col("mm")).alias("js"))
+    known = rows.join(per, group)
+    own = lambda seed, n: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = known.select(*rows.columns, "main", own("i", "is").alias("i"), upto("js").alias("j"), F.lit(False).alias("right"))
+    right = known.where("component <> main").select(*rows.columns, "main", upto("is").alias("i"), own("j", "js").alias("j"), F.lit(True).alias("right"))
+    # dealt by all three: else Spark takes rows already dealt by group, and one task gets all blocks of a large one
+    return left.union(right).repartition(group, "i", "j")
+
+
+def _promising(percent: int):
+    """Of two blocks of a bucket the rows whose signatures agree enough with one of another component."""
+    least = agreement(percent)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = _sides(rows)
+        found = set()
+        if len(left) and len(right):
+            low = [np.frombuffer(b"".join(x["low"]), np.uint8).reshape(len(x), -1) for x in (left, right)]
+            na, nb, ca, cb = left["n"].to_numpy(), right["n"].to_numpy(), left["component"].to_numpy(), right["component"].to_numpy()
+            for k in range(len(right)):
+                hit = (low[0] == low[1][k]).sum(axis=1) >= least
+                hit &= (ca != cb[k]) & (100 * np.minimum(na, nb[k]) >= percent * np.maximum(na, nb[k]))
+                if hit.any():
+                    found.add(right["rep"].iat[k])
+                    found.update(left["rep"][hit])
+        return pd.DataFrame({"key": key[0], "rep": pd.Series(list(found), dtype=rows["rep"].dtype)})
+
+    return run
+
+
 def _block_links(percent: int):
     """Compares two blocks of one cluster; gives the pairs of components that a similar pair of documents joins.
 
@@ -151,30 +201,29 @@ def _block_links(percent: int):
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[1], key[2]
-        left = rows[rows["block"] == i] if i != j else rows
-        right = rows[rows["block"] == j] if i != j else rows
+        left, right = _sides(rows)
+        ca, cb = left["component"].to_numpy(), right["component"].to_numpy()
+        none = pd.DataFrame({"a": ca[:0], "b": cb[:0]})
         if left.empty or right.empty:  # blocks by hash: of few documents with many shingles some have none
-            return pd.DataFrame({"a": rows["component"][:0], "b": rows["component"][:0]})
+            return none
         ka, kb = np.stack(left["keys"].to_list()), np.stack(right["keys"].to_list())
         shared = np.zeros((len(left), len(right)), bool)
         for b in range(BANDS):
             shared |= ka[:, b, None] == kb[None, :, b]
-        ca, cb = left["component"].to_numpy(), right["component"].to_numpy()
         sa = [np.frombuffer(x, np.uint64) for x in left["s"]]
         sb = [np.frombuffer(x, np.uint64) for x in right["s"]]
         na, nb = np.array([len(x) for x in sa]), np.array([len(x) for x in sb])
         shared &= ca[:, None] != cb
         shared &= 100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb)
-        if i == j:
-            shared &= np.arange(len(left))[:, None] < np.arange(len(right))
+        # two rows outside of the largest component meet on either side
+        twice = ~np.isin(ca, left["main"].to_numpy()[:1])[:, None]
+        shared &= ~twice | (left["rep"].to_numpy()[:, None] < right["rep"].to_numpy())
         at, to = np.nonzero(shared)
-        none = pd.DataFrame({"a": ca[:0], "b": cb[:0]})
         if not len(at):
             return none
         used_a, used_b = np.unique(at), np.unique(to)
-        every, twice = np.unique(np.concatenate([sa[x] for x in used_a] + [sb[x] for x in used_b]), return_counts=True)
-        every = every[twice > 1]
+        every, count = np.unique(np.concatenate([sa[x] for x in used_a] + [sb[x] for x in used_b]), return_counts=True)
+        every = every[count > 1]
         if len(at) * 40_000 <= len(used_a) * len(used_b) * len(every):
             hit = np.array([similar(sa[x], sb[y], percent) for x, y in zip(at, to)])
         else:
@@ -207,47 +256,50 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are linked with nothing either: their component is null and they are kept. Rows with equal ids
     count as one document with the links of all of them. An empty table gives an empty result;
     further columns are not read. Sets are compared whole, and copies of one set are compared once.
+    What is small enough to be broadcast is left to Spark, which knows the sizes of the written tables.
     """
+    spark = df.sparkSession
+    scratch = Scratch(spark, "minhash")
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = docs.schema["_id"].dataType.simpleString()
     sig = materialise(signatures(docs, k), "minhash-signatures")
-    first = F.min(F.struct("_id", "n", "keys")).alias("r")
-    groups = materialise(sig.where("n > 0 and _id is not null").groupBy("h1", "h2").agg(first).select("h1", "h2", "r._id", "r.n", "r.keys"), "minhash-groups")
+    first = F.min(F.struct("_id", "n", "keys", "low")).alias("r")
+    groups = scratch.put(sig.where("n > 0 and _id is not null").groupBy("h1", "h2").agg(first).select("h1", "h2", "r._id", "r.n", "r.keys", "r.low"), "groups")
 
     entries = groups.select(F.explode("keys").alias("key"), F.col("_id").alias("rep"))
-    crowded = materialise(entries.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1"), "minhash-buckets")
-    members = materialise(entries.join(_small(crowded), "key"), "minhash-members")
+    crowded = scratch.put(entries.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
+    members = scratch.put(entries.join(crowded, "key"), "members")
     pairs = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    ids = materialise(members.select("rep").distinct(), "minhash-ids")
-    texts = docs.join(_small(ids), F.col("_id") == F.col("rep"), "left_semi").dropDuplicates()
-    sets = materialise(_sets(texts, k), "minhash-sets")
-    links = materialise(_verified(pairs, sets, percent), "minhash-links")
-    label = materialise(connected_components(links), "minhash-labels")
-
-    # buckets whose members aren't all joined yet: every pair of them that the hub didn't settle
-    open_ = members.where("size > 2").join(label, F.col("rep") == F.col("node"), "left").select("key", "hub", "rep", F.coalesce("component", "rep").alias("component"))
-    open_keys = materialise(open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "minhash-open")
-    open_ = materialise(open_.join(_small(open_keys), "key"), "minhash-open-members")
-    cluster = connected_components(open_.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "minhash-clusters")
+    ids = scratch.put(members.select("rep").distinct(), "ids")
+    texts = docs.join(ids, F.col("_id") == F.col("rep"), "left_semi").dropDuplicates()
+    sets = scratch.put(_sets(texts, k), "sets")
+    links = scratch.put(_verified(pairs, sets, percent), "links")
+    label = scratch.put(connected_components(links, "minhash-labels"), "labels")
+
+    # buckets whose members aren't all joined yet: what of other components could be similar by its signature
+    open_ = members.where("size > 2").join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    open_keys = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    signed = open_.join(open_keys, "key").join(groups.select(F.col("_id").alias("rep"), "n", "low"), "rep").select("key", "rep", "component", "n", "low")
+    signed = scratch.put(signed, "open")
+    found = _dealt(signed, "key", SIGNED_DOCS, None).groupBy("key", "i", "j").applyInPandas(_promising(percent), f"key long, rep {kind}")
+    found = scratch.put(found.distinct(), "promising")
+
+    # clusters of such documents are compared on their sets
+    hubs = found.groupBy("key").agg(F.min("rep").alias("a"))
+    cluster = connected_components(found.join(hubs, "key").select("a", F.col("rep").alias("b")).distinct(), "minhash-clusters")
     cluster = cluster.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    own = open_.select("rep", "component").distinct().join(cluster, "rep")
-    rows = materialise(own.join(groups.select(F.col("_id").alias("rep"), "keys"), "rep").join(sets, "rep"), "minhash-clustered")
-    sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length("s") / 8).alias("shingles"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    sizes = materialise(sizes.where("lo <> hi").select("cluster", blocks.alias("blocks")), "minhash-cluster-sizes")
-    dealt = rows.join(_small(sizes), "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "component", "keys", "s")
-    # dealt by all three: else Spark takes rows already dealt by cluster, and one task gets all blocks of a large one
-    dealt = dealt.repartition("cluster", "i", "j")
-    more = dealt.groupBy("cluster", "i", "j").applyInPandas(_block_links(percent), f"a {kind}, b {kind}")
-    joined = connected_components(materialise(more, "minhash-more-links"), "minhash-joined")
+    rows = cluster.join(label, F.col("rep") == F.col("node"), "left").select("cluster", "rep", F.coalesce("component", "rep").alias("component"))
+    rows = scratch.put(rows.join(groups.select(F.col("_id").alias("rep"), "n", "keys"), "rep").join(sets, "rep").select("cluster", "rep", "component", "n", "keys", "s"), "clustered")
+    more = _dealt(rows, "cluster", BLOCK_DOCS, BLOCK_SHINGLES).groupBy("cluster", "i", "j").applyInPandas(_block_links(percent), f"a {kind}, b {kind}")
+    joined = connected_components(scratch.put(more, "more-links"), "minhash-joined")
 
     joined = joined.select(F.col("node").alias("component"), F.col("component").alias("final"))
     label = label.join(joined, "component", "left").select("node", F.coalesce("final", "component").alias("component"))
     extra = joined.select(F.col("component").alias("node"), F.col("final").alias("component"))
     label = label.union(extra).groupBy("node").agg(F.min("component").alias("component"))
     named = groups.select("h1", "h2", "_id").join(label, F.col("_id") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "_id").alias("component_id"))
+    named = materialise(named, "minhash-named")
+    scratch.drop()
     out = sig.select("_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.when(F.col("_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")))
     out = out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
