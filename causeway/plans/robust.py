@@ -74,8 +74,8 @@ def placebo_summary(draws: DataFrame, actual: float) -> DataFrame:
     return ok.agg(F.count(F.lit(1)).alias("draws"), F.avg((F.abs("coef") >= abs(actual)).cast("double")).alias("p"), F.avg("coef").alias("mean"), F.stddev_pop("coef").alias("sd"), F.percentile("coef", F.array(F.lit(0.025), F.lit(0.975))).alias("range")).withColumn("actual", F.lit(float(actual)))
 
 
-def staggered_placebo(df: DataFrame, spec: PanelSpec, draws: int = 200, seed: int = 42) -> DataFrame:
-    """(draw, coef): first treated periods dealt anew among the treated entities.
+def staggered_placebo(df: DataFrame, spec: PanelSpec, draws: int = 200, seed: int = 42, order=None) -> DataFrame:
+    """(draw, coef): first treated periods dealt anew among the treated entities, in the order of ``order`` (entity, draw), a hash by default.
 
     Each entity has a block for each cohort; a draw picks one of them per entity and adds them up.
     """
@@ -90,7 +90,7 @@ def staggered_placebo(df: DataFrame, spec: PanelSpec, draws: int = 200, seed: in
     treated = g.blocks.select("_e", per.alias("b")).join(units.where("ft is not null"), "_e")
     every = treated.select("_e", "b", "ft", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     own = Window.partitionBy("draw")
-    dealt = every.withColumn("_i", F.row_number().over(own.orderBy("ft", "_e"))).withColumn("_j", F.row_number().over(own.orderBy(F.xxhash64("_e", "draw", F.lit(seed)), "_e")))
+    dealt = every.withColumn("_i", F.row_number().over(own.orderBy("ft", "_e"))).withColumn("_j", F.row_number().over(own.orderBy(order(F.col("_e"), F.col("draw")) if order else F.xxhash64("_e", "draw", F.lit(seed)), "_e")))
     givers = dealt.select("draw", F.col("_i").alias("_j"), F.col("ft").alias("given"))
     takers = dealt.select("draw", "_j", "b").join(givers, ["draw", "_j"])
     pick = F.get("b", F.array_position(F.array(*map(F.lit, cohorts)), F.col("given")).cast("int") - 1)
@@ -195,10 +195,10 @@ def rosenbaum_bounds(df: DataFrame, outcome: str, treatment: str, covariates: li
     return frame(df, [x | {"critical_gamma": critical} for x in rows], "gamma double, pairs long, z_upper double, p_upper double, z_lower double, p_lower double, critical_gamma double")
 
 
-def randomization_inference(df: DataFrame, spec: PanelSpec, draws: int = 500, seed: int = 42) -> DataFrame:
+def randomization_inference(df: DataFrame, spec: PanelSpec, draws: int = 500, seed: int = 42, order=None) -> DataFrame:
     """Permutation p-value of the estimate itself."""
     actual = did_gram(df, spec).fit()
-    return placebo_summary(placebo_permutation(df, spec, draws, seed), float(actual.beta[actual.names.index("did")]))
+    return placebo_summary(placebo_permutation(df, spec, draws, seed, order), float(actual.beta[actual.names.index("did")]))
 
 
 def sensitivity_verdict(checks: dict[str, bool | None]) -> str:

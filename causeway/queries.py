@@ -12,6 +12,7 @@ from causeway.functions import stats, text
 from causeway.operators import clean, html_tables, reshape, validate
 from causeway.panels import LINE_ITEMS_SQL, NATION_YEAR_SQL, ORDERS_BY_BALANCE_SQL, SUPPLIER_YEAR_SQL, USER_DAY_SQL, table
 from causeway.plans import confirm, cross_section, decide, did, dml, robust, staggered, synthetic
+from causeway.regression_sql import moments, normal_p, sweep, t_p, within
 from causeway.spec import Method, PanelSpec
 from causeway.streaming import panel_stream
 
@@ -35,7 +36,7 @@ def query(sql: str | None = None):
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    return df.select(*(F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*((F.round(c, places) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))  # no -0
 
 
 # --- difference-in-differences -------------------------------------------------------------------------------------
@@ -78,9 +79,28 @@ def did_classical_errors(spark, sf):
     return rounded(did.twfe(panels.supplier_year(spark, sf), PLAIN, clustered=False).select("coef", "se", "df"))
 
 
-@query()
+def _clustered(label: str, terms: dict[str, str], controls: list[str], places: int = 4) -> str:
+    """CTEs and a query of RESULT's columns for each of ``terms`` (name: expression) with entity and period effects."""
+    cols = [*(f"x{k}" for k in range(len(terms))), *controls]
+    k = len(cols)
+    z = within(f"(SELECT *, entity_id AS e, year AS t FROM ({SUPPLIER_YEAR_SQL}))", {"y": "y", **dict(zip(cols, [*terms.values(), *controls]))})
+    u = " - ".join(["y", *(f"a{i}_{k} * {c}" for i, c in enumerate(cols))])
+    score = lambda i: " + ".join(f"-a{min(i, j)}_{max(i, j)} * {c}" for j, c in enumerate(cols))
+    parts = []
+    for i, name in enumerate(terms):
+        parts.append(f"""SELECT '{label}' AS spec, '{name}' AS term, a{i}_{k} AS coef, sqrt((SELECT sum(s * s) FROM (SELECT sum(({score(i)}) * ({u})) AS s FROM fit_{label}_z, fit_{label} GROUP BY e)) * ne / (ne - 1.0) * (n - 1.0) / (n - {k} - nt + 1)) AS se,
+            1 - a{k}_{k} / (SELECT sum(ye * ye) FROM fit_{label}_z) AS r2_within, n, ne AS entities, ne - 1.0 AS df FROM fit_{label}, (SELECT count(DISTINCT e) AS ne, count(DISTINCT t) AS nt FROM fit_{label}_z)""")
+    return f"fit_{label}_z AS MATERIALIZED ({z}), {sweep(moments(f'fit_{label}_z', cols), k, f'fit_{label}')}, {label}_r AS ({' UNION ALL '.join(parts)})"
+
+
+def _results(*labels: str, places: int = 4) -> str:
+    every = " UNION ALL ".join(f"SELECT * FROM {x}_r" for x in labels)
+    return f"SELECT spec, term, round(coef, {places}) AS coef, round(se, {places}) AS se, round(t, {places}) AS t, round({t_p('t', 'df')}, {places}) AS p, round(r2_within, {places}) AS r2_within, n, entities, df::DOUBLE AS df FROM (SELECT *, coef / se AS t FROM ({every}))"
+
+
+@query(f"WITH {_clustered('baseline', {'did': 'treated * post'}, [])}, {_clustered('full', {'did': 'treated * post'}, ['quantity', 'discount'])} {_results('baseline', 'full')}")
 def did_baseline_and_full(spark, sf):
-    return did.twfe(panels.supplier_year(spark, sf), P1, baseline=True)
+    return rounded(did.twfe(panels.supplier_year(spark, sf), P1, baseline=True), 4)
 
 
 @query()
@@ -88,9 +108,29 @@ def did_unbalanced_user_day(spark, sf):
     return did.twfe(panels.user_day(spark, sf), P3)
 
 
-@query()
+#: Suppliers by year with the period relative to treatment, cut to -3 to 3.
+_REL = f"(SELECT *, entity_id AS e, year AS t, greatest(least(year - first_treated, 3), -3) AS rel FROM ({SUPPLIER_YEAR_SQL}))"
+_RELS = [-3, -2, 0, 1, 2, 3]
+
+
+def _event_sql() -> str:
+    cols = [*(f"r{i}" for i in range(len(_RELS))), "quantity", "discount"]
+    k = len(cols)
+    x = {**{f"r{i}": f"coalesce((first_treated IS NOT NULL AND rel = {r})::INT, 0)" for i, r in enumerate(_RELS)}, "quantity": "quantity", "discount": "discount"}
+    rows = " UNION ALL ".join(f"SELECT {r} AS rel_time, a{i}_{k} AS coef, sqrt(-a{i}_{i} * s2) AS se FROM v" for i, r in enumerate(_RELS))
+    return f"""
+        WITH z AS MATERIALIZED ({within(_REL, {"y": "y", **x})}), {sweep(moments("z", cols), k, "m")},
+        v AS (SELECT *, a{k}_{k} / df AS s2 FROM (SELECT m.*, n - ne - nt + 1 - {k} AS df FROM m, (SELECT count(DISTINCT e) AS ne, count(DISTINCT t) AS nt FROM z))),
+        f AS (SELECT *, (1 + 2 * f / df) ** (-df / 2.0) AS p FROM (SELECT df, (a0_{k} * a0_{k} * -a1_1 - 2 * a0_{k} * a1_{k} * -a0_1 + a1_{k} * a1_{k} * -a0_0) / (a0_0 * a1_1 - a0_1 * a0_1) / s2 / 2 AS f FROM v)),
+        r AS (SELECT *, coef / se AS t FROM ({rows}) UNION ALL SELECT -1, 0, 0, NULL)
+        SELECT rel_time::INT AS rel_time, round(coef, 4) AS coef, round(se, 4) AS se, round(t, 4) AS t, round({t_p("t", "df")}, 4) AS p, round(coef - 1.96 * se, 4) AS lo, round(coef + 1.96 * se, 4) AS hi,
+               round(f, 4) AS pretrend_f, round(f.p, 4) AS pretrend_p, f.p > 0.05 AS jointly_zero FROM r, f
+    """
+
+
+@query(_event_sql())
 def event_study(spark, sf):
-    return did.event_study(panels.supplier_year(spark, sf), P1, n_pre=3, n_post=3)
+    return rounded(did.event_study(panels.supplier_year(spark, sf), P1, n_pre=3, n_post=3), 4)
 
 
 @query(f"""
@@ -103,19 +143,26 @@ def alternative_windows(spark, sf):
     return rounded(did.alternative_windows(panels.supplier_year(spark, sf), PLAIN, 1998).select("width", "status", "n", "coef"), 5)
 
 
-@query()
+@query(f"""
+    WITH w AS (SELECT unnest([1, 2, 3]) AS width), p AS (
+        SELECT width, entity_id AS e, year AS t, y, treated * post AS d FROM ({SUPPLIER_YEAR_SQL}), w WHERE year BETWEEN 1998 - width AND 1997 + width
+    ), {_by("width")}, b AS (SELECT width, sum(dt * yt) / sum(dt * dt) AS b, sum(dt * dt) AS sxx, count(*) - count(DISTINCT e) - count(DISTINCT t) AS df FROM z GROUP BY width),
+    e AS (SELECT b.width, any_value(b) AS b, any_value(df) AS df, any_value(b) / sqrt(sum((yt - b * dt) ** 2) / any_value(df) / any_value(sxx)) AS t FROM z JOIN b ON z.width = b.width GROUP BY b.width),
+    q AS (SELECT b, {t_p("t", "df")} AS p FROM e), a AS (SELECT count(*) AS n, min(b) > 0 OR max(b) < 0 AS same_sign, count(*) FILTER (p < 0.05) IN (0, count(*)) AS same_significance, max(abs(b)) < 3 * min(abs(b)) AS similar_size FROM q)
+    SELECT *, same_sign AND same_significance AND similar_size AS stable FROM a
+""")
 def window_stability(spark, sf):
     return did.stability(did.alternative_windows(panels.supplier_year(spark, sf), PLAIN, 1998))
 
 
-@query()
+@query(f"WITH {_clustered('intensity', {'dose': 'entity_id * post'}, ['quantity', 'discount'])} {_results('intensity', places=5)}")
 def intensity_did(spark, sf):
-    return did.intensity_did(panels.supplier_year(spark, sf), P1, "entity_id")
+    return rounded(did.intensity_did(panels.supplier_year(spark, sf), P1, "entity_id"), 5)
 
 
-@query()
+@query(f"WITH {_clustered('ddd', {'ddd': 'treated * post * (entity_id % 3 = 0)::INT', 'treated_post': 'treated * post', 'group_post': 'post * (entity_id % 3 = 0)::INT'}, [])} {_results('ddd')}")
 def triple_difference(spark, sf):
-    return did.triple_difference(panels.supplier_year(spark, sf).withColumn("grp", (F.col("entity_id") % 3 == 0).cast("double")), PLAIN, "grp")
+    return rounded(did.triple_difference(panels.supplier_year(spark, sf).withColumn("grp", (F.col("entity_id") % 3 == 0).cast("double")), PLAIN, "grp"), 4)
 
 
 @query(f"SELECT entity_id, round(y - avg(y) OVER (PARTITION BY entity_id), 6) AS y FROM ({SUPPLIER_YEAR_SQL})")
@@ -135,9 +182,17 @@ def leave_one_out(spark, sf):
     return rounded(robust.leave_one_out(panels.supplier_year(spark, sf), PLAIN).select("entity_id", "coef"), 5)
 
 
-@query()
+_LOO_COLS = {"y": "y", "d": "treated * post", "quantity": "quantity", "discount": "discount"}
+
+
+@query(f"""
+    WITH q AS MATERIALIZED (SELECT *, entity_id AS e, year AS t FROM ({SUPPLIER_YEAR_SQL})), k AS (SELECT DISTINCT e AS gone FROM q), p AS (SELECT * FROM q, k WHERE e <> gone),
+    z AS MATERIALIZED ({within("p", _LOO_COLS, "gone")}), {sweep(moments("z", ["d", "quantity", "discount"], by="gone"), 3, "m", "gone, n")},
+    b AS (SELECT gone, a0_3 AS b, avg(a0_3) OVER () AS mean, stddev_pop(a0_3) OVER () AS sd FROM m)
+    SELECT round(min(b), 4) AS lo, min_by(gone, b) AS lo_entity, round(max(b), 4) AS hi, max_by(gone, b) AS hi_entity, round(any_value(sd), 4) AS sd, count(*) FILTER (abs(b - mean) > 2 * sd) AS influential FROM b
+""")
 def leave_one_out_summary(spark, sf):
-    return robust.loo_summary(robust.leave_one_out(panels.supplier_year(spark, sf), P1), "entity_id")
+    return rounded(robust.loo_summary(robust.leave_one_out(panels.supplier_year(spark, sf), P1), "entity_id"), 4)
 
 
 @query(f"""
@@ -147,18 +202,40 @@ def leave_one_out_summary(spark, sf):
     SELECT draw::INT AS draw, round(sum(dt * yt) / sum(dt * dt), 5) AS coef FROM z GROUP BY draw
 """)
 def placebo_permutation(spark, sf):
-    order = lambda e, s: (e * 7919 + s * 104729) * (e % 97 + 13) % 1000003
-    return rounded(robust.placebo_permutation(panels.supplier_year(spark, sf), PLAIN, 40, order=order), 5)
+    return rounded(robust.placebo_permutation(panels.supplier_year(spark, sf), PLAIN, 40, order=_order), 5)
 
 
-@query()
+#: An order of entities that differs by draw and that SQL can state.
+_ORDER = "(e * 7919 + draw * 104729) * (e % 97 + 13) % 1000003"
+
+
+def _order(e, draw):
+    return (e * 7919 + draw * 104729) * (e % 97 + 13) % 1000003
+
+
+@query(f"""
+    WITH q AS (SELECT entity_id AS e, year AS t, y, treated, post FROM ({SUPPLIER_YEAR_SQL})), n AS (SELECT count(DISTINCT e) FILTER (treated > 0) AS k FROM q),
+    r AS (SELECT e, draw, row_number() OVER (PARTITION BY draw ORDER BY {_ORDER}, e) AS r FROM (SELECT DISTINCT e FROM q), (SELECT unnest(range(0, 501)) AS draw)),
+    p AS (SELECT draw, q.e, t, y, post * (CASE WHEN draw = 0 THEN treated > 0 ELSE r <= k END)::INT AS d FROM q JOIN r USING (e), n), {_by("draw")},
+    b AS (SELECT draw, sum(dt * yt) / sum(dt * dt) AS b FROM z GROUP BY draw), a AS (SELECT b AS actual FROM b WHERE draw = 0)
+    SELECT count(*) AS draws, round(avg((abs(b) >= abs(actual))::INT), 6) AS p, round(avg(b), 4) AS mean, round(stddev_pop(b), 4) AS sd, round(quantile_cont(b, 0.025), 4) AS lo, round(quantile_cont(b, 0.975), 4) AS hi, round(any_value(actual), 4) AS actual
+    FROM b, a WHERE draw > 0
+""")
 def placebo_summary(spark, sf):
-    return robust.randomization_inference(panels.supplier_year(spark, sf), PLAIN)
+    r = robust.randomization_inference(panels.supplier_year(spark, sf), PLAIN, order=_order)
+    r = r.select("draws", F.round("p", 6).alias("p"), "mean", "sd", F.get("range", F.lit(0)).alias("lo"), F.get("range", F.lit(1)).alias("hi"), "actual")
+    return r.select("draws", "p", *((F.round(c, 4) + 0.0).alias(c) for c in ("mean", "sd", "lo", "hi", "actual")))
 
 
-@query()
+@query(f"""
+    WITH q AS (SELECT entity_id AS e, year AS t, y, first_treated AS ft FROM ({SUPPLIER_YEAR_SQL})), u AS (SELECT DISTINCT e, ft FROM q WHERE ft IS NOT NULL),
+    r AS (SELECT e, draw, row_number() OVER (PARTITION BY draw ORDER BY ft, e) AS i, row_number() OVER (PARTITION BY draw ORDER BY {_ORDER}, e) AS j, ft FROM u, (SELECT unnest(range(1, 201)) AS draw)),
+    g AS (SELECT a.draw, a.e, b.ft AS given FROM r a JOIN r b ON a.draw = b.draw AND a.j = b.i),
+    p AS (SELECT k.draw, q.e, t, y, coalesce((t >= given)::INT, 0) AS d FROM q CROSS JOIN (SELECT unnest(range(1, 201)) AS draw) k LEFT JOIN g ON g.e = q.e AND g.draw = k.draw), {_by("draw")}
+    SELECT draw::INT AS draw, round(sum(dt * yt) / sum(dt * dt), 4) AS coef FROM z GROUP BY draw
+""")
 def staggered_placebo(spark, sf):
-    return robust.staggered_placebo(panels.supplier_year(spark, sf), PLAIN)
+    return rounded(robust.staggered_placebo(panels.supplier_year(spark, sf), PLAIN, order=_order), 4)
 
 
 @query(f"""
@@ -171,14 +248,27 @@ def placebo_in_time(spark, sf):
     return rounded(robust.placebo_in_time(panels.supplier_year(spark, sf), PLAIN, 1998, (-2, -1)).select("shift", "status", "n", "coef"), 5)
 
 
-@query()
+_STEPS = f"z AS MATERIALIZED ({within(f'(SELECT *, entity_id AS e, year AS t FROM ({SUPPLIER_YEAR_SQL}))', _LOO_COLS)}), {sweep(moments('z', ['d']), 1, 's0')}, {sweep(moments('z', ['d', 'quantity']), 2, 's1')}, {sweep(moments('z', ['d', 'quantity', 'discount']), 3, 's2')}"
+
+
+@query(f"""
+    WITH {_STEPS}, v AS (SELECT var_pop(y) * count(y) AS tss FROM ({SUPPLIER_YEAR_SQL})),
+    r AS (SELECT s0.a0_1 AS b0, 1 - s0.a1_1 / tss AS r0, s2.a0_3 AS b1, 1 - s2.a3_3 / tss AS r1, least(1.3 * (1 - s2.a3_3 / tss), 0.99) AS most FROM s0, s2, v),
+    x AS (SELECT *, b1 - (b0 - b1) * (most - r1) / (r1 - r0) AS star, b1 * (r1 - r0) / ((b0 - b1) * (most - r1)) AS delta FROM r)
+    SELECT round(b0, 4) AS beta_short, round(r0, 4) AS r2_short, round(b1, 4) AS beta_full, round(r1, 4) AS r2_full, round(most, 4) AS r2_max, round(star, 4) AS beta_star, round(delta, 4) AS delta_zero, (star > 0) = (b1 > 0) AND abs(delta) >= 1 AS robust FROM x
+""")
 def oster_bounds(spark, sf):
-    return robust.oster_bounds(panels.supplier_year(spark, sf), P1)
+    return rounded(robust.oster_bounds(panels.supplier_year(spark, sf), P1), 4)
 
 
-@query()
+@query(f"""
+    WITH {_STEPS}, k AS (SELECT count(DISTINCT e) AS ne, count(DISTINCT t) AS nt FROM z),
+    r AS ({" UNION ALL ".join(f"SELECT {i} AS step, '{a}' AS added, a0_{i + 1} AS coef, sqrt(-a0_0 * a{i + 1}_{i + 1} / (n - ne - nt - {i})) AS se, n - ne - nt - {i} AS df FROM s{i}, k" for i, a in enumerate(("none", "quantity", "discount")))}),
+    x AS (SELECT *, coef / se AS t, (min(coef) OVER () > 0 OR max(coef) OVER () < 0) AND max(abs(coef)) OVER () < 2 * min(abs(coef)) OVER () AS stable FROM r)
+    SELECT step::INT AS step, added, round(coef, 4) AS coef, round(se, 4) AS se, round(t, 4) AS t, round({t_p("t", "df")}, 4) AS p, stable FROM x
+""")
 def coefficient_stability(spark, sf):
-    return robust.coefficient_stability(panels.supplier_year(spark, sf), P1)
+    return rounded(robust.coefficient_stability(panels.supplier_year(spark, sf), P1), 4)
 
 
 @query()
@@ -219,9 +309,15 @@ def att_doubly_robust(spark, sf):
     return staggered.att_gt(panels.supplier_year(spark, sf), P1)
 
 
-@query()
+@query(f"""
+    WITH p AS MATERIALIZED ({SUPPLIER_YEAR_SQL}), g AS (SELECT DISTINCT first_treated AS g FROM p WHERE first_treated IS NOT NULL),
+    c AS (SELECT g, b.year::DOUBLE AS t, coalesce(a.first_treated = g, false) AS d, b.y - a.y AS dy
+          FROM g JOIN p a ON a.year = g - 1 JOIN p b ON b.entity_id = a.entity_id AND b.year <> g - 1 WHERE a.first_treated IS NULL OR a.first_treated = g OR a.first_treated > b.year)
+    SELECT g, t, round(avg(dy) FILTER (d) - avg(dy) FILTER (NOT d), 4) AS att, round(sqrt(var_pop(dy) FILTER (d) / count(*) FILTER (d) + var_pop(dy) FILTER (NOT d) / count(*) FILTER (NOT d)), 4) AS se,
+           count(*) FILTER (d) AS n_treated, count(*) FILTER (NOT d) AS n_control FROM c GROUP BY g, t
+""")
 def att_not_yet_treated(spark, sf):
-    return staggered.att_gt(panels.supplier_year(spark, sf), PLAIN, control="notyet", pre=True)
+    return rounded(staggered.att_gt(panels.supplier_year(spark, sf), PLAIN, control="notyet", pre=True), 4)
 
 
 @query()
@@ -229,14 +325,48 @@ def att_bootstrap(spark, sf):
     return staggered.bootstrap_att(panels.supplier_year(spark, sf), PLAIN, 50)
 
 
-@query()
+def _sun_abraham_sql() -> str:
+    used = [(g, r) for g in (1997, 1998, 1999) for r in (-3, -2, 0, 1, 2, 3) if 1995 <= g + r <= 2001]
+    cols, k = [f"c{i}" for i in range(len(used))], len(used)
+    x = {c: f"coalesce((first_treated = {g} AND rel = {r})::INT, 0)" for c, (g, r) in zip(cols, used)}
+    rows = []
+    for r in _RELS:
+        own = [(i, g) for i, (g, q) in enumerate(used) if q == r]
+        w = {i: f"(SELECT count(y) FILTER (first_treated = {g} AND rel = {r}) / count(y) FILTER (first_treated IN ({', '.join(str(h) for _, h in own)}) AND rel = {r}) FROM {_REL})" for i, g in own}
+        coef = " + ".join(f"{w[i]} * a{i}_{k}" for i, _ in own)
+        var = " + ".join(f"{w[i]} * {w[j]} * -a{min(i, j)}_{max(i, j)}" for i, _ in own for j, _ in own)
+        rows.append(f"SELECT {r} AS rel_time, {coef} AS coef, sqrt(({var}) * s2) AS se FROM v")
+    return f"""
+        WITH z AS MATERIALIZED ({within(_REL, {"y": "y", **x})}), {sweep(moments("z", cols), k, "m")},
+        v AS MATERIALIZED (SELECT m.*, a{k}_{k} / (n - ne - nt + 1 - {k}) AS s2 FROM m, (SELECT count(DISTINCT e) AS ne, count(DISTINCT t) AS nt FROM z)),
+        r AS MATERIALIZED (SELECT *, coef / se AS zz FROM ({" UNION ALL ".join(rows)}))
+        SELECT rel_time::INT AS rel_time, round(coef, 4) AS coef, round(se, 4) AS se, round({normal_p("zz")}, 4) AS p FROM r
+    """
+
+
+@query(_sun_abraham_sql())
 def sun_abraham(spark, sf):
-    return staggered.sun_abraham(panels.supplier_year(spark, sf), PLAIN, 3, 3)
+    return rounded(staggered.sun_abraham(panels.supplier_year(spark, sf), PLAIN, 3, 3), 4)
 
 
-@query()
+@query(f"""
+    WITH c AS MATERIALIZED (SELECT first_treated AS g, year AS t, avg(y) AS y, count(DISTINCT entity_id) AS n FROM ({SUPPLIER_YEAR_SQL}) GROUP BY ALL),
+    n AS (SELECT g, max(n) AS n FROM c GROUP BY g), s AS (SELECT (SELECT sum(n) FROM n) AS total, (SELECT n FROM n WHERE g IS NULL) AS n0, (SELECT count(DISTINCT t) FROM c) AS nt),
+    h AS (SELECT c.g, any_value(n.n) AS n, count(*) FILTER (c.t >= c.g) / any_value(nt) AS share FROM c JOIN n ON c.g = n.g, s WHERE c.g IS NOT NULL GROUP BY c.g),
+    v AS (SELECT 'treated vs never' AS kind, h.g AS first, NULL AS second, avg(a.y - b.y) FILTER (a.t >= h.g) - avg(a.y - b.y) FILTER (a.t < h.g) AS estimate,
+                 any_value(((h.n + n0) / total) ** 2 * (h.n / (h.n + n0)) * (n0 / (h.n + n0)) * share * (1 - share)) AS w
+          FROM h JOIN c a ON a.g = h.g JOIN c b ON b.g IS NULL AND a.t = b.t, s GROUP BY h.g),
+    p AS (SELECT k.g AS k, l.g AS l, k.n AS nk, l.n AS nl, k.share AS dk, l.share AS dl FROM h k JOIN h l ON k.g < l.g),
+    e AS (SELECT 'earlier vs later', k, l, avg(a.y - b.y) FILTER (a.t >= k) - avg(a.y - b.y) FILTER (a.t < k), any_value(((nk + nl) / total * (1 - dl)) ** 2 * (nk / (nk + nl)) * (nl / (nk + nl)) * ((dk - dl) / (1 - dl)) * ((1 - dk) / (1 - dl)))
+          FROM p JOIN c a ON a.g = k AND a.t < l JOIN c b ON b.g = l AND a.t = b.t, s GROUP BY k, l),
+    u AS (SELECT 'later vs earlier', l, k, avg(a.y - b.y) FILTER (a.t >= l) - avg(a.y - b.y) FILTER (a.t < l), any_value(((nk + nl) / total * dk) ** 2 * (nk / (nk + nl)) * (nl / (nk + nl)) * (dl / dk) * ((dk - dl) / dk))
+          FROM p JOIN c a ON a.g = l AND a.t >= k JOIN c b ON b.g = k AND a.t = b.t, s GROUP BY k, l),
+    r AS (SELECT * FROM v UNION ALL SELECT * FROM e UNION ALL SELECT * FROM u)
+    SELECT kind, first::DOUBLE AS first, second::DOUBLE AS second, round(estimate, 4) AS estimate, round(w / sum(w) OVER (), 6) AS weight FROM r
+""")
 def goodman_bacon(spark, sf):
-    return staggered.goodman_bacon(panels.supplier_year(spark, sf), PLAIN)
+    b = staggered.goodman_bacon(panels.supplier_year(spark, sf), PLAIN)
+    return b.withColumns({"estimate": F.round("estimate", 4) + 0.0, "weight": F.round("weight", 6)})
 
 
 # --- cross-sections ------------------------------------------------------------------------------------------------
@@ -252,18 +382,29 @@ def rdd_sharp_uniform(spark, sf):
     return rounded(cross_section.sharp_rdd(panels.orders_by_balance(spark, sf), "y", "x", 4500.0, 2000.0, "uniform").select("coef", "bandwidth", "n_below", "n_above"), 4)
 
 
-@query()
+@query(f"""
+    WITH h AS (SELECT 1.84 * stddev_pop(x) * count(x) ** (-0.2) AS h FROM ({ORDERS_BY_BALANCE_SQL})),
+    r AS MATERIALIZED (SELECT x - 4500 AS dist, (x >= 4500)::INT AS above, y, h, 1 - abs(x - 4500) / h AS w FROM ({ORDERS_BY_BALANCE_SQL}), h WHERE abs(x - 4500) <= h),
+    {sweep(moments("(SELECT * FROM r WHERE w > 0)", ["above", "1", "dist", "dist * above"], "w"), 4, "m")},
+    v AS (SELECT a0_4 AS coef, sqrt(a4_4 / (m.n - 4) * -a0_0) AS se, m.n - 4 AS df, 1 - a4_4 / (SELECT a4_4 - a1_4 * a1_4 / a1_1 FROM m_0) AS r2 FROM m), t AS (SELECT *, coef / se AS t FROM v)
+    SELECT 'jump' AS term, round(coef, 4) AS coef, round(se, 4) AS se, round(t, 4) AS t, round({t_p("t", "df")}, 4) AS p, round(r2, 6) AS r2, (SELECT round(h, 4) FROM h) AS bandwidth,
+           (SELECT count(*) FROM r WHERE above = 0) AS n_below, (SELECT count(*) FROM r WHERE above = 1) AS n_above FROM t
+""")
 def rdd_sharp_triangular(spark, sf):
-    return cross_section.sharp_rdd(panels.orders_by_balance(spark, sf), "y", "x", 4500.0)
+    r = cross_section.sharp_rdd(panels.orders_by_balance(spark, sf), "y", "x", 4500.0)
+    return r.select("term", *((F.round(c, 6 if c == "r2" else 4) + 0.0).alias(c) for c in ("coef", "se", "t", "p", "r2", "bandwidth")), "n_below", "n_above")
 
 
 @query(f"""
-    SELECT round((regr_intercept(taken, dist) FILTER (dist >= 0) - regr_intercept(taken, dist) FILTER (dist < 0)), 8) AS first_stage,
-           round(regr_intercept(y, dist) FILTER (dist >= 0) - regr_intercept(y, dist) FILTER (dist < 0), 4) AS itt, count(*) AS n FROM {_NEAR}
+    WITH r AS MATERIALIZED (SELECT *, (dist >= 0)::INT AS above FROM {_NEAR}), {sweep(moments("r", ["1", "dist", "dist * above"], last=("above", "taken", "y")), 3, "m", rest=3)},
+    v AS (SELECT *, a3_4 / a3_3 AS fs, (a4_4 - a3_4 * a3_4 / a3_3) / (n - 4) / a3_3 AS fv, a3_5 / a3_4 AS late FROM m),
+    e AS (SELECT *, sqrt((a5_5 - 2 * late * a4_5 + late * late * a4_4) / (n - 4) * a3_3 / a3_4 / a3_4) AS se, n - 4 AS df FROM v), t AS (SELECT *, late / se AS t FROM e)
+    SELECT round(fs, 8) AS first_stage, round(fs * fs / fv, 4) AS first_stage_f, round(a3_5 / a3_3, 4) AS itt, round(late, 2) AS late, round(se, 2) AS se, round({t_p("t", "df")}, 4) AS p, 2000.0::DOUBLE AS bandwidth, n FROM t
 """)
 def rdd_fuzzy_uniform(spark, sf):
     r = cross_section.fuzzy_rdd(panels.orders_by_balance(spark, sf), "y", "x", "taken", 4500.0, 2000.0, "uniform")
-    return r.select(F.round("first_stage", 8).alias("first_stage"), F.round("itt", 4).alias("itt"), "n")
+    places = {"first_stage": 8, "first_stage_f": 4, "itt": 4, "late": 2, "se": 2, "p": 4, "bandwidth": 4}
+    return r.select(*((F.round(c, k) + 0.0).alias(c) for c, k in places.items()), "n")
 
 
 @query(f"SELECT round(1.84 * stddev_pop(x) * count(x) ** (-0.2), 6) AS bandwidth, count(x) AS n FROM ({ORDERS_BY_BALANCE_SQL})")
@@ -281,9 +422,16 @@ def density_histogram(spark, sf):
     return rounded(cross_section.density_bins(panels.orders_by_balance(spark, sf), "x"))
 
 
-@query()
+@query(f"""
+    WITH o AS ({ORDERS_BY_BALANCE_SQL}), s AS (SELECT min(x) AS lo, max(x) AS hi, floor(sqrt(count(*)))::INT AS k FROM o),
+    b AS (SELECT least(floor((x - lo) / ((hi - lo) / k)), k - 1)::INT AS bin, count(*) AS n FROM o, s GROUP BY 1),
+    g AS MATERIALIZED (SELECT coalesce(b.n, 0) AS y, lo + (i + 0.5) * ((hi - lo) / k) - 4500 AS dist FROM (SELECT unnest(range(k)) AS i, lo, hi, k FROM s) LEFT JOIN b ON i = bin),
+    {sweep(moments("(SELECT *, (dist >= 0)::INT AS above FROM g)", ["above", "1", "dist", "dist * above"]), 4, "m")},
+    t AS (SELECT a0_4 AS jump, a0_4 / sqrt(a4_4 / (n - 4) * -a0_0) AS t, n - 4 AS df, n AS bins FROM m), p AS (SELECT *, {t_p("t", "df")} AS p FROM t)
+    SELECT round(jump, 4) AS jump, round(t, 4) AS t, round(p, 4) AS p, bins::INT AS bins, p < 0.05 AS manipulated FROM p
+""")
 def mccrary_density(spark, sf):
-    return cross_section.mccrary(panels.orders_by_balance(spark, sf), "x", 4500.0)
+    return rounded(cross_section.mccrary(panels.orders_by_balance(spark, sf), "x", 4500.0), 4)
 
 
 @query(f"SELECT round(covar_pop(y, discount) / covar_pop(quantity + 100 * discount, discount), 4) AS coef, count(*) AS n FROM ({LINE_ITEMS_SQL})")
@@ -292,10 +440,24 @@ def iv_just_identified(spark, sf):
     return rounded(cross_section.instrumental(x, "y", "strong", ["discount"]).where("estimator = '2sls'").select("coef", "n"), 4)
 
 
-@query()
+@query(f"""
+    WITH r AS MATERIALIZED (SELECT y, quantity + 100 * discount AS d, discount AS z1, tax AS z2, size FROM ({LINE_ITEMS_SQL})), c AS (SELECT avg(y) AS my, avg(d) AS md, avg(z1) AS m1, avg(z2) AS m2, avg(size) AS ms FROM r),
+    x AS MATERIALIZED (SELECT y - my AS y, d - md AS d, z1 - m1 AS z1, z2 - m2 AS z2, size - ms AS size FROM r, c),
+    {sweep(moments("x", ["size", "z1", "z2"], last=("d", "y")), 3, "w", rest=2)},
+    k AS (SELECT w.n, w_1.a3_3 AS dd, w_1.a3_4 AS dy, w_1.a4_4 AS yy, w.a3_3 AS ed, w.a3_4 AS edy, w.a4_4 AS ey FROM w, w_1),
+    q AS (SELECT *, dd - ed AS pd, dy - edy AS pdy, yy - ey AS py, ed * ey - edy * edy AS det, dd * ey + yy * ed - 2 * dy * edy AS mid, dd * yy - dy * dy AS det0 FROM k),
+    e AS (SELECT '2sls' AS estimator, 1.0 AS kappa, * FROM q UNION ALL SELECT 'liml', 2 * det0 / (mid + sqrt(mid * mid - 4 * det * det0)), * FROM q),
+    b AS (SELECT *, ((1 - kappa) * dy + kappa * pdy) / ((1 - kappa) * dd + kappa * pd) AS b FROM e),
+    s AS (SELECT *, yy - 2 * b * dy + b * b * dd AS rss, n - 3 AS df, pd / 2 / (ed / (n - 4)) AS f FROM b),
+    t AS (SELECT *, sqrt(rss / df / ((1 - kappa) * dd + kappa * pd)) AS se, (py - 2 * b * pdy + b * b * pd) / (rss / n) AS j FROM s), u AS (SELECT *, b / se AS t, sqrt(j) AS rj FROM t)
+    SELECT estimator, round(b, 3) AS coef, round(se, 3) AS se, round({t_p("t", "df")}, 4) AS p, round(dy / dd, 3) AS ols_coef, round(f, 3) AS first_stage_f, round((1 + 2 * f / (n - 4)) ** (-(n - 4) / 2.0), 4) AS first_stage_p, f < 13.9 AS weak,
+           round(j, 3) AS j, round({normal_p("rj")}, 3) AS j_p, round(kappa, 5) AS kappa, n FROM u
+""")
 def iv_2sls_and_liml(spark, sf):
     x = panels.line_items(spark, sf).withColumn("strong", F.col("quantity") + 100 * F.col("discount"))
-    return cross_section.instrumental(x, "y", "strong", ["discount", "tax"], ("size",))
+    r = cross_section.instrumental(x, "y", "strong", ["discount", "tax"], ("size",))
+    places = {"coef": 3, "se": 3, "p": 4, "ols_coef": 3, "first_stage_f": 3, "first_stage_p": 4, "j": 3, "j_p": 3, "kappa": 5}
+    return r.select("estimator", *((F.round(c, k) + 0.0).alias(c) for c, k in places.items()), "weak", "n")
 
 
 @query()
@@ -358,10 +520,16 @@ def causal_forest_groups(spark, sf):
     return dml.quintile_means(c, ["size", "quantity"]).select("feature", F.lit("top").alias("level"), F.col("top").alias("value")).union(dml.group_effects(c, "quantity").select(F.lit("quantity"), "level", "cate"))
 
 
-@query()
+@query(f"""
+    WITH r AS (SELECT quantity * size / 10 + retail / 100 AS y, size, quantity FROM ({LINE_ITEMS_SQL})), c AS (SELECT avg(size) AS m1, stddev_pop(size) AS s1, avg(quantity) AS m2, stddev_pop(quantity) AS s2 FROM r),
+    x AS MATERIALIZED (SELECT y, (size - m1) / s1 AS x1, (quantity - m2) / s2 AS x2 FROM r, c), {sweep(moments("x", ["1", "x1", "x2"]), 3, "m")},
+    v AS ({" UNION ALL ".join(f"SELECT '{x}' AS term, a{i}_3 AS coef, sqrt(a3_3 / (n - 3) * -a{i}_{i}) AS se FROM m" for i, x in enumerate(("const", "size", "quantity")))}), t AS (SELECT *, coef / se AS t FROM v)
+    SELECT term, round(coef, 6) AS coef, round(se, 6) AS se, round(t, 4) AS t, round({normal_p("t")}, 4) AS p FROM t
+""")
 def best_linear_projection(spark, sf):
-    x = _items(spark, sf).withColumn("cate", F.col("quantity") * 2 + F.col("size"))
-    return cross_section.best_linear_projection(x, "cate", ["size", "quantity"])
+    x = _items(spark, sf).withColumn("cate", F.col("quantity") * F.col("size") / 10 + F.col("retail") / 100)
+    r = cross_section.best_linear_projection(x, "cate", ["size", "quantity"])
+    return r.select("term", *((F.round(c, k) + 0.0).alias(c) for c, k in {"coef": 6, "se": 6, "t": 4, "p": 4}.items()))
 
 
 @query(f"""
@@ -520,7 +688,30 @@ def outliers_z(spark, sf):
     return rounded(validate.outliers(table(spark, sf, "orders"), ["o_totalprice"], "z", 1.5), 4)
 
 
-@query()
+@query(f"""
+    WITH h AS MATERIALIZED (SELECT * FROM {_HOLES}), np AS (SELECT count(DISTINCT year) AS np, max(year) AS top, count(*) AS rows FROM h),
+    steps AS (SELECT year - lag(year) OVER (ORDER BY year) AS d FROM (SELECT DISTINCT year FROM h)),
+    e AS (SELECT entity_id, count(DISTINCT year) AS p, count(DISTINCT treated) AS kinds, count(DISTINCT first_treated) AS starts, max(treated) AS d, min(first_treated) AS ft, count(*) FILTER (post = 1 AND year < first_treated) AS early,
+                 count(y) FILTER (year < first_treated) AS outcomes FROM h GROUP BY entity_id),
+    q AS (SELECT quantile_cont(y, 0.25) AS a, quantile_cont(y, 0.75) AS b FROM h), o AS (SELECT count(*) FILTER (y < a - 3 * (b - a) OR y > b + 3 * (b - a)) AS k, count(y) AS n FROM h, q),
+    i AS (
+        SELECT 'duplicate_keys' AS "check", 'critical' AS severity, 'rows share an entity and period' AS detail, coalesce(sum(k) FILTER (k > 1), 0)::BIGINT AS n FROM (SELECT count(*) AS k FROM h GROUP BY entity_id, year)
+        UNION ALL SELECT 'incomplete_entities', 'warning', 'entities lack periods', count(*) FILTER (p < np) FROM e, np
+        UNION ALL SELECT 'uneven_time', 'warning', 'steps differ from the median by over a tenth', count(*) FILTER (abs(d - m) > 0.1 * abs(m)) FROM steps, (SELECT quantile_cont(d, 0.5) AS m FROM steps)
+        UNION ALL SELECT 'treatment_values', 'critical', 'treatment values other than 0 and 1', count(*) FILTER (treated NOT IN (0, 1)) FROM h
+        UNION ALL SELECT 'null_ids', 'critical', 'rows without an entity', count(*) FILTER (entity_id IS NULL) FROM h
+        UNION ALL SELECT 'constant_y', 'critical', 'y doesn''t vary', (count(DISTINCT y) <= 1)::INT FROM h
+        UNION ALL SELECT 'missing_values', 'warning', 'y', CASE WHEN 100.0 * (count(*) - count(y)) / count(*) > 5 THEN count(*) - count(y) ELSE 0 END FROM h
+        UNION ALL SELECT 'outliers', 'warning', 'y', CASE WHEN 100.0 * k / n > 1 THEN k ELSE 0 END FROM o
+        UNION ALL SELECT 'treatment_varies', 'warning', 'treatment changes within entities', count(*) FILTER (kinds > 1) FROM e
+        UNION ALL SELECT 'several_starts', 'critical', 'entities with several first periods', count(*) FILTER (starts > 1) FROM e
+        UNION ALL SELECT 'post_before_start', 'critical', 'post is 1 before the first treated period', count(*) FILTER (early > 0) FROM e
+        UNION ALL SELECT 'never_with_start', 'critical', 'never-treated entities with a first period', count(*) FILTER (d = 0 AND ft IS NOT NULL) FROM e
+        UNION ALL SELECT 'treated_at_end', 'warning', 'treated at or after the last period', count(*) FILTER (ft >= top) FROM e, np
+        UNION ALL SELECT 'pretreatment', 'critical', 'treated entities with too few periods before', count(*) FILTER (ft IS NOT NULL AND outcomes < 2) FROM e
+    )
+    SELECT CASE WHEN bool_or(severity = 'critical') OVER () THEN 'FAIL' ELSE 'WARN' END AS verdict, "check", severity, detail, n FROM i WHERE n > 0
+""")
 def validate_panel(spark, sf):
     return validate.validate(_holes(spark, sf), PLAIN)
 
@@ -580,9 +771,9 @@ def aggregate_by_month(spark, sf):
     return rounded(reshape.aggregate_by_month(table(spark, sf, "events"), "ts", "events", "value", "median"))
 
 
-@query(f"SELECT year, {', '.join(f'round(max(y) FILTER (entity_id = {k}), 6) AS s{k}' for k in (1, 2, 3))} FROM ({SUPPLIER_YEAR_SQL}) WHERE entity_id BETWEEN 1 AND 3 GROUP BY year")
+@query(f"SELECT year, {', '.join(f'round(max(y) FILTER (entity_id = {k}), 6) AS n{k}' for k in range(25))} FROM ({NATION_YEAR_SQL}) GROUP BY year")
 def pivot_entities(spark, sf):
-    p = panels.supplier_year(spark, sf).where("entity_id between 1 and 3").withColumn("s", F.concat(F.lit("s"), F.col("entity_id").cast("string")))
+    p = panels.nation_year(spark, sf).withColumn("s", F.concat(F.lit("n"), F.col("entity_id").cast("string")))
     return rounded(reshape.pivot_wide(p, "year", "s", "y"))
 
 
@@ -610,14 +801,35 @@ def significance_stars(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", stats.stars((F.col("o_orderkey") % 200) / 1000.0).alias("stars"))
 
 
-@query()
+_WORDS = "list_distinct(list_filter(regexp_extract_all({0}, '[a-z0-9]+'), lambda w: length(w) > 1))"
+
+
+def _match_sql(q: str, t: str) -> str:
+    """Likeness of two ASCII texts."""
+    q, t = f"lower(trim({q}))", f"lower(trim({t}))"
+    a, b = _WORDS.format(q), _WORDS.format(t)
+    return f"CASE WHEN {q} = '' OR {t} = '' THEN 0 WHEN {q} = {t} THEN 1 WHEN contains({t}, {q}) THEN 0.85 WHEN contains({q}, {t}) THEN 0.8 ELSE 0.5 * least(len(list_intersect({a}, {b})) / greatest(len({a}), 1), 1) END"
+
+
+@query(f"""
+    WITH c AS (SELECT DISTINCT p_type AS key, p_brand AS description FROM part), q AS (SELECT DISTINCT p_type AS query FROM part),
+    s AS (SELECT query, key, round(0.35 * ({_match_sql("query", "description")})::DOUBLE + 0.35 * ({_match_sql("query", "key")})::DOUBLE + 0.15 + CASE WHEN lower(query) = lower(key) OR lower(query) = lower(description) THEN 0.15 ELSE 0 END, 6)::DOUBLE AS score FROM q, c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM s WHERE score >= 0.1)
+    SELECT query, key, score, rank::INT AS rank FROM r WHERE rank <= 3
+""")
 def catalogue_search(spark, sf):
     parts = table(spark, sf, "part")
     catalogue = parts.select(F.col("p_type").alias("key"), F.col("p_brand").alias("description"), F.lit("yearly").alias("level")).distinct()
     return reshape.search_catalogue(parts.select(F.col("p_type").alias("query"), F.lit("yearly").alias("level")).distinct(), catalogue, 3)
 
 
-@query()
+@query("""
+    WITH b AS (SELECT DISTINCT lower(p_type) AS key, lower(p_name) AS description FROM part), a AS (SELECT unnest(['steel', 'copper', 'nothing_like_it']) AS concept),
+    s AS (SELECT concept, key, (CASE WHEN key = concept THEN 100 WHEN contains(key, concept) THEN 50 ELSE 0 END + CASE WHEN contains(description, replace(concept, '_', ' ')) THEN 40 ELSE 0 END
+                 + 5 * len(list_intersect(list_distinct(string_split(replace(concept, '_', ' '), ' ')), list_distinct(string_split(description, ' ')))))::INT AS score FROM a, b),
+    m AS (SELECT concept, max(score) AS score FROM s WHERE score > 0 GROUP BY concept), k AS (SELECT m.concept, m.score, max(key) AS key FROM m JOIN s ON m.concept = s.concept AND m.score = s.score GROUP BY ALL)
+    SELECT a.concept, key, score, CASE WHEN score >= 50 THEN 'A' WHEN score IS NOT NULL THEN 'B' ELSE 'C' END AS tier FROM a LEFT JOIN k USING (concept)
+""")
 def data_requirements(spark, sf):
     parts = table(spark, sf, "part")
     catalogue = parts.select(F.lower("p_type").alias("key"), F.lower("p_name").alias("description")).distinct()
@@ -636,6 +848,18 @@ def html_statistical_table(spark, sf):
     return html_tables.statistical_values(cells, "page_id", "GDP", 2020)
 
 
+@query("""
+    SELECT * FROM (SELECT n_regionkey AS page_id, n_name AS entity_id, unnest([2019, 2020])::INT AS year, unnest([(1 + n_nationkey) * 1234.5, n_nationkey * 10000.0])::DOUBLE AS value FROM nation) WHERE value > 0
+""")
+def statistical_tables_of_nations(spark, sf):
+    """A page per region with a table of its nations, read back for both years."""
+    n = table(spark, sf, "nation").withColumn("row", F.concat(F.lit("<tr><td>"), "n_name", F.lit("</td><td>"), F.format_number((F.col("n_nationkey") + 1) * 1234.5, 1), F.lit("</td><td>"), F.col("n_nationkey").cast("string"), F.lit("万</td></tr>")))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "row"))), lambda x: x["row"]), "")
+    pages = n.groupBy(F.col("n_regionkey").alias("page_id")).agg(F.concat(F.lit("<html><body><p>x</p><table><tr><td colspan=3>Table</td></tr><tr><th>Nation</th><th>GDP 2019</th><th>GDP 2020</th></tr>"), body, F.lit("</table>")).alias("html"))
+    cells = html_tables.table_cells(pages, "page_id", "html")
+    return html_tables.statistical_values(cells, "page_id", "GDP", 2019).union(html_tables.statistical_values(cells, "page_id", "GDP", 2020))
+
+
 # --- decisions, reports, streams -----------------------------------------------------------------------------------
 
 _BITS = [c for c, t, _ in decide.FACTS if t == "boolean"]
@@ -654,21 +878,34 @@ def classify_mechanisms(spark, sf):
     return decide.classify(decide.all_facts(spark)).select("policy_id", "mechanism", "method")
 
 
-@query()
+def _recommendations_sql() -> str:
+    listed = ", ".join(f"('{m}', {k}, '{f}')" for k, (m, f, _) in enumerate(decide.FALLBACKS))
+    counts = ", ".join(f"('{m}', {sum(a[0] == m for a in decide.ASSUMPTIONS)})" for m in sorted({a[0] for a in decide.ASSUMPTIONS}))
+    own = [("has_threshold", "threshold_rule", "rdd"), ("has_instrument", "time_varying_unobservables", "iv"), ("overlapping_policies", "multiple_overlapping_policies", "ddd"), ("has_intensity", "continuous_intensity", "intensity_did"), ("staggered", "staggered_policy_shock", "staggered_did")]
+    extra = ", ".join(f"CASE WHEN {c} AND mechanism <> '{m}' THEN '{f}' END" for c, m, f in own)
+    return f"""
+        WITH c AS ({ORACLE_SQL["classify_mechanisms"]}), f AS ({_FACTS_SQL}), l AS (SELECT m, list(f ORDER BY k) AS fs FROM (VALUES {listed}) AS v(m, k, f) GROUP BY m), n AS (SELECT * FROM (VALUES {counts}) AS v(m, k))
+        SELECT policy_id, mechanism, method, CASE mechanism WHEN 'threshold_rule' THEN CASE WHEN perfect_compliance THEN 'sharp' ELSE 'fuzzy' END WHEN 'staggered_policy_shock' THEN CASE WHEN never_treated_units THEN 'never-treated controls' ELSE 'not-yet-treated controls' END END AS variant,
+               n.k::INT AS assumptions, array_to_string(list_concat(coalesce(fs, []), list_filter([{extra}], lambda x: x IS NOT NULL)), ',') AS fallbacks
+        FROM c JOIN f USING (policy_id) LEFT JOIN l ON l.m = method LEFT JOIN n ON n.m = method
+    """
+
+
+@query(_recommendations_sql())
 def method_recommendations(spark, sf):
     r = decide.recommend(decide.all_facts(spark))
     return r.select("policy_id", "mechanism", "method", "variant", F.size("assumptions").alias("assumptions"), F.array_join(F.transform("fallbacks", lambda x: x["fallback"]), ",").alias("fallbacks"))
 
 
 @query("""
-    WITH v AS (SELECT o_custkey % 50 AS "case", CASE o_orderkey % 7 WHEN 0 THEN 'FAIL' WHEN 1 THEN 'UNCERTAIN' ELSE 'PASS' END AS verdict, o_custkey % 2 = 0 AS changed FROM orders WHERE o_orderkey <= 200),
+    WITH v AS (SELECT o_custkey AS "case", CASE o_orderkey % 7 WHEN 0 THEN 'FAIL' WHEN 1 THEN 'UNCERTAIN' ELSE 'PASS' END AS verdict, o_custkey % 2 = 0 AS changed FROM orders),
     a AS (SELECT "case", count(*) FILTER (verdict = 'PASS') AS passed, count(*) FILTER (verdict = 'FAIL') AS failed, count(*) AS total, bool_or(changed) AS changed FROM v GROUP BY "case")
     SELECT "case", passed, failed, total, CASE WHEN failed = 0 AND passed >= 0.75 * total AND NOT changed THEN 'strong' WHEN failed = 0 THEN 'moderate' WHEN failed <= 2 AND changed THEN 'suggestive' ELSE 'not identifiable' END AS strength FROM a
 """)
 def identification_strength(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey <= 200")
+    o = table(spark, sf, "orders")
     v = F.when(F.col("o_orderkey") % 7 == 0, "FAIL").when(F.col("o_orderkey") % 7 == 1, "UNCERTAIN").otherwise("PASS")
-    return decide.strengths(o.select((F.col("o_custkey") % 50).alias("case"), v.alias("verdict"), (F.col("o_custkey") % 2 == 0).alias("changed")))
+    return decide.strengths(o.select(F.col("o_custkey").alias("case"), v.alias("verdict"), (F.col("o_custkey") % 2 == 0).alias("changed")))
 
 
 @query()
