@@ -13,14 +13,10 @@ from pyspark.sql import functions as F
 
 from causeway.llm._common import materialise
 
-#: The masks of the query's SQL: 1 marks a word that has to agree, 0 one that is ignored. They miss some overlaps of
-#: 12 to 14 words in 15 and are not used here.
-MASKS = ("11011001011", "1110010100111", "1010110110011")
 WINDOW = 15
 LEAST_WORDS = 5  # items with fewer words can't be told from chance and match nothing
 SEGMENT = 4096  # words of a document that are handled together
 BLOCK_SEEDS = 200_000  # benchmark seeds broadcast at once, of 0.5 KB at most
-_SPAN = max(map(len, MASKS))
 #: Masks by an item's number of words, the last ones for WINDOW words and more. However a fifth of the words, rounded
 #: down, is substituted, one of the masks fits somewhere between them (a test goes through all patterns).
 FAMILIES = {
@@ -36,6 +32,7 @@ FAMILIES = {
     14: ("101111",),
     WINDOW: ("110111", "110001011"),
 }
+_SPAN = max(len(m) for masks in FAMILIES.values() for m in masks)
 #: Words before and after a seed's first word that a window around it can reach.
 _BEFORE, _AFTER = WINDOW, WINDOW + _SPAN
 

@@ -165,6 +165,21 @@ def test_language(spark, docs, none):
     assert {r["lang_pred"] for r in langid.predict_language(docs, empty).collect()} == {"und"}
 
 
+def test_language_shares_by_grid():
+    """Expectation-maximisation comes to the shares of greatest likelihood, and the penalty picks the set, as a grid over all shares does."""
+    r = np.random.default_rng(9)
+    model = langid.LanguageModel(["a", "b", "c"], r.integers(0, 50, (3, langid.BINS)).astype(float))
+    for text in ("the quick brown fox jumps over it " * 3, "abc def ghi", "x"):
+        bins, counts = langid.trigram_bins(text)
+        p = model.probs[bins].astype(float)
+        grid = [(i / 50, j / 50, 1 - i / 50 - j / 50) for i in range(51) for j in range(51 - i)]
+        value = lambda s: counts @ np.log(p @ np.array(s)) - (sum(x > 0 for x in s) - 1) * np.log(max(counts.sum(), 2)) / 2
+        best = max(grid, key=value)
+        found = model.mixture(text, rounds=400)
+        own = [found.get(k, 0.0) for k in "abc"]
+        assert value(own) >= value(best) - 0.05 and sum(own) == pytest.approx(1)
+
+
 def test_language_of_a_short_passage_in_a_long_text(spark):
     en, fr = "the house and the garden of the king with other things ", "la maison et le jardin du roi avec les autres choses "
     train = spark.createDataFrame([(i, (en, fr)[i % 2] * 5, ("en", "fr")[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
@@ -202,6 +217,93 @@ def test_toxicity_scores_do_not_depend_on_neighbours():
     assert together == pytest.approx([net.logits(*toxicity.encode([t])[:2])[0] for t in texts], abs=1e-4)
 
 
+def test_gradients_by_finite_differences():
+    """One step of Adagrad tells the gradient: the step is rate x g / sqrt(0.1 + g^2)."""
+    r = np.random.default_rng(4)
+    texts = [" ".join("".join(chr(97 + c) for c in r.integers(0, 26, 7)) for _ in range(9)) for _ in range(6)]
+    tables, labels = [toxicity.encode([t])[0] for t in texts], np.array([1, 0, 1, 1, 0, 0])
+    starts = np.cumsum([0] + [len(t) for t in tables[:-1]])
+    every = np.concatenate(tables)
+
+    def fresh():
+        net = toxicity.ConvNet(seed=3)
+        net.table *= 10
+        net.table[0] = 0
+        net.known[:] = True
+        for f in net.shift.values():
+            f += 0.4
+        return net
+
+    def loss(net):
+        z = net.logits(every, starts)
+        return float(np.mean(np.log1p(np.exp(z)) - labels * z))  # labels of either kind weigh alike here
+
+    before, net, rate = fresh(), fresh(), 0.05
+    net.train(tables, labels, epochs=1, batch=6, rate=rate)
+    where = [(lambda n, w=w: n.filters[w], tuple(int(r.integers(0, k)) for k in before.filters[w].shape)) for w in toxicity.WIDTHS for _ in range(6)]
+    where += [(lambda n, w=w: n.shift[w], (int(r.integers(0, toxicity.FILTERS)),)) for w in toxicity.WIDTHS for _ in range(3)]
+    where += [(lambda n: n.out, (k,)) for k in (0, 13, 30)]
+    checked = 0
+    for of, at in where:
+        moved = float(of(before)[at] - of(net)[at]) / rate
+        got = moved * np.sqrt(0.1) / np.sqrt(max(1 - moved**2, 1e-12))
+        up, down = fresh(), fresh()
+        of(up)[at] += 1e-3
+        of(down)[at] -= 1e-3
+        forward, backward = (loss(up) - loss(before)) / 1e-3, (loss(before) - loss(down)) / 1e-3
+        if abs(forward - backward) < 2e-3:  # else another word becomes the maximum in between
+            assert got == pytest.approx((forward + backward) / 2, abs=2e-3)
+            checked += abs(got) > 5e-3
+    assert checked > 15
+
+
+def test_training_improves_on_the_start():
+    """The label is told by the order of two words, which no word's log-odds tells."""
+    r = np.random.default_rng(6)
+    filler = ["".join(chr(97 + c) for c in r.integers(0, 26, 4)) for _ in range(60)]
+    texts, labels = [], []
+    for i in range(600):
+        w = [str(x) for x in r.choice(filler, 12)]
+        at = int(r.integers(0, 11))
+        w[at : at + 2] = ["veryx", "badly"] if i % 2 else ["badly", "veryx"]
+        texts.append(" ".join(w))
+        labels.append(i % 2)
+    labels, tables = np.array(labels), [toxicity.encode([t])[0] for t in texts]
+    net = toxicity.ConvNet()
+    net.start_from(tables[:450], labels[:450])
+    right = lambda: np.mean([(net.logits(t, np.zeros(1, np.int64))[0] > np.median(z)) == y for t, y in zip(tables[450:], labels[450:])])
+    z = [net.logits(t, np.zeros(1, np.int64))[0] for t in tables[450:]]
+    start = right()
+    net.train(tables[:450], labels[:450], epochs=12)
+    z = [net.logits(t, np.zeros(1, np.int64))[0] for t in tables[450:]]
+    assert start < 0.6 and right() > 0.8
+
+
+def test_label_model_by_rows():
+    """Counted patterns give what expectation-maximisation over every row, written out, gives."""
+    r = np.random.default_rng(7)
+    rows = ["".join(r.choice(list("01-"), p=(0.2, 0.6, 0.2)) for _ in range(4)) for _ in range(400)]
+    counts = {p: rows.count(p) for p in rows}
+    got = quality.fit_label_model(counts, rounds=8)
+    q = [1 - min(p.count("0") / 2, 0.95) for p in rows]
+    for _ in range(8):
+        share, rates = min(max(sum(q) / len(q), 0.01), 0.99), []
+        for j in range(4):
+            cast = [k for k, p in enumerate(rows) if p[j] != "-"]
+            yes = [k for k in cast if rows[k][j] == "1"]
+            prior = 0.2 * len(cast) + 1
+            rates.append(((sum(1 - q[k] for k in yes) + 1) / (sum(1 - q[k] for k in cast) + 2), (sum(q[k] for k in yes) + prior * 0.99) / (sum(q[k] for k in cast) + prior)))
+        q = []
+        for p in rows:
+            good, bad = share, 1 - share
+            for j, c in enumerate(p):
+                if c != "-":
+                    good *= rates[j][1] if c == "1" else 1 - rates[j][1]
+                    bad *= rates[j][0] if c == "1" else 1 - rates[j][0]
+            q.append(good / (good + bad))
+    assert got.rates == pytest.approx(np.array(rates), abs=1e-9) and [got.of(p) for p in rows[:50]] == pytest.approx(q[:50], abs=1e-9)
+
+
 def test_label_model_finds_accuracies():
     r = np.random.default_rng(2)
     truth = r.random(20_000) < 0.8
@@ -558,3 +660,31 @@ def test_pipeline(spark, sf):
         assert kept < {r[0] for r in docs.select("doc_id").collect()}, name
         docs = docs.where(F.col("doc_id").isin(sorted(kept)))
     assert {r[0] for r in corpus_pipeline.run(spark, sf).select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf, tmp_path):
+    """Null and repeated ids, null, empty, long and equal texts, columns of clashing names, and empty tables."""
+    import corpus_pipeline
+
+    source = spark.read.parquet(f"{sf}/documents.parquet")
+    toxic = spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").join(source, "doc_id").first()["text"]
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 60").first()["text"]
+    clean = source.join(spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 0 and quality = 1"), "doc_id").where("lang = 'en'").first()["text"]
+    junk = "$$$ %%% ### !!! " * 40
+    rows = [(None, toxic), (None, clean), (9_000_001, toxic), (9_000_001, clean), (9_000_002, None), (9_000_002, ""), (9_000_003, clean), (None, item), (9_000_004, item), (9_000_004, clean), (None, junk), (9_000_005, junk), (9_000_006, LONG), (9_000_003, clean)]
+    odd = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], source.schema)
+    docs = source.union(odd).select("*", *(F.lit(1).alias(c) for c in ("_gone", "_row_key", "_id", "_text", "_words", "seed", "n", "keys")))
+    gone = {"toxicity": (toxic, None), "quality": (junk, None), "decontamination": (item, None)}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        left = [(r["doc_id"], r["text"]) for r in out.select("doc_id", "text").collect()] if name != "packing" else None
+        if name in gone:
+            assert out.columns == docs.columns and not [x for x in left if x[1] == gone[name][0]], name
+            assert left.count((9_000_003, clean)) == 2 and (None, clean) in left and (9_000_001, clean) in left and (9_000_004, clean) in left, name
+        if name == "near duplicates":
+            assert out.columns == docs.columns and {r["doc_id"] for r in out.where("doc_id is null").collect()} == {None}
+            kept = [x for x in left if x[1] == clean and x[0] is not None]
+            assert len({x[0] for x in kept}) == 1 and (9_000_002, "") in left and (9_000_002, None) in left
+        assert stage(spark, docs.where("false"), sf).count() == 0, name
+        if name == "packing":
+            assert out.groupBy("sequence_id", "offset").count().where("count > 1").count() == 0
