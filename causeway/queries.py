@@ -14,6 +14,7 @@ from causeway.panels import LINE_ITEMS_SQL, NATION_YEAR_SQL, ORDERS_BY_BALANCE_S
 from causeway.plans import confirm, cross_section, decide, did, dml, robust, staggered, synthetic
 from causeway.regression_sql import moments, normal_p, sweep, t_p, within
 from causeway.spec import Method, PanelSpec
+from causeway.sources import readers
 from causeway.streaming import panel_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -860,6 +861,110 @@ def statistical_tables_of_nations(spark, sf):
     return html_tables.statistical_values(cells, "page_id", "GDP", 2019).union(html_tables.statistical_values(cells, "page_id", "GDP", 2020))
 
 
+# --- payloads of connectors, made of the tables and read back --------------------------------------------------------
+
+
+def _nation_year(spark, sf):
+    return panels.nation_year(spark, sf).join(F.broadcast(table(spark, sf, "nation")), F.col("entity_id") == F.col("n_nationkey")).select("n_name", "year", "y")  # 25 nations
+
+
+_NATION_YEAR_NAMED = f"SELECT n_name AS entity_id, year::INT AS year, round(y, 6) AS value FROM ({NATION_YEAR_SQL}) JOIN nation ON entity_id = n_nationkey"
+
+
+def _by_nation(spark, sf, entry, body: str):
+    """(name, json) a nation; ``entry`` makes an entry of the map or list of a year that ``body`` holds at %s."""
+    rows = _nation_year(spark, sf).groupBy(F.col("n_name").alias("name")).agg(F.array_join(F.sort_array(F.collect_list(entry)), ",").alias("x"))
+    head, tail = body.split("%s")
+    return rows.select("name", F.concat(F.lit(head), "x", F.lit(tail)).alias("json"))
+
+
+@query(_NATION_YEAR_NAMED)
+def payload_oecd(spark, sf):
+    at = F.concat(F.lit('"0:'), (F.col("year") - 1990).cast("string"), F.lit('":['), F.col("y").cast("string"), F.lit(",0]"))
+    periods = ",".join(f'{{"id":"{1990 + k}"}}' for k in range(30))
+    body = '{"dataSets":[{"observations":{%s}}],"structure":{"dimensions":{"observation":[{"name":"MEASURE","keyPosition":0},{"name":"TIME_PERIOD","keyPosition":1,"values":[' + periods + "]}]}}}"
+    return rounded(readers.oecd(_by_nation(spark, sf, at, body)))
+
+
+@query(_NATION_YEAR_NAMED)
+def payload_eurostat(spark, sf):
+    at = F.concat(F.lit('"'), (30 + F.col("year") - 1990).cast("string"), F.lit('":'), F.col("y").cast("string"))
+    periods = ",".join(f'"{1990 + k}":{k}' for k in range(30))
+    body = '{"value":{%s},"id":["unit","time"],"size":[2,30],"dimension":{"time":{"category":{"index":{' + periods + "}}}}}"
+    return rounded(readers.eurostat(_by_nation(spark, sf, at, body)))
+
+
+@query("SELECT 'orders' AS entity_id, date, round(value, 6) AS value FROM (SELECT make_date(year(o_orderdate), month(o_orderdate), 1) AS date, avg(o_totalprice) AS value FROM orders GROUP BY ALL)")
+def payload_fred(spark, sf):
+    o = table(spark, sf, "orders").groupBy(F.trunc("o_orderdate", "month").cast("string").alias("date")).agg(F.avg("o_totalprice").cast("string").alias("value"))
+    o = o.union(spark.createDataFrame([("2030-01-01", ".")], "date string, value string"))
+    return rounded(readers.fred(o.agg(F.to_json(F.struct(F.collect_list(F.struct("date", "value")).alias("observations"))).alias("json")), "orders"))
+
+
+@query(f"SELECT entity_id, year, 'M13' AS period, 'Annual' AS period_name, value FROM ({_NATION_YEAR_NAMED})")
+def payload_bls(spark, sf):
+    each = F.struct(F.col("year").cast("string").alias("year"), F.lit("M13").alias("period"), F.lit("Annual").alias("periodName"), F.col("y").cast("string").alias("value"))
+    series = _nation_year(spark, sf).groupBy(F.col("n_name").alias("seriesID")).agg(F.collect_list(each).alias("data"))
+    return rounded(readers.bls(series.select(F.to_json(F.struct(F.struct(F.array(F.struct("seriesID", "data")).alias("series")).alias("Results"))).alias("json"))))
+
+
+@query(_NATION_YEAR_NAMED)
+def payload_national_statistics(spark, sf):
+    rows = _nation_year(spark, sf)
+    code = F.concat(F.lit("c"), F.crc32("n_name").cast("string"))
+    wds = F.array(F.struct(F.lit("reg").alias("wdcode"), code.alias("valuecode")), F.struct(F.lit("sj").alias("wdcode"), F.col("year").cast("string").alias("valuecode")))
+    nodes = rows.agg(F.collect_list(F.struct(F.struct(F.col("y").alias("data"), F.lit(True).alias("hasdata")).alias("data"), wds.alias("wds"))).alias("datanodes"), F.collect_set(F.struct(code.alias("code"), F.col("n_name").alias("cname"))).alias("n"))
+    named = F.array(F.struct(F.lit("reg").alias("wdcode"), F.col("n").alias("nodes")))
+    return rounded(readers.national_statistics(nodes.select(F.to_json(F.struct(F.struct("datanodes", named.alias("wdnodes")).alias("returndata"))).alias("json"))))
+
+
+@query(_NATION_YEAR_NAMED)
+def payload_world_bank(spark, sf):
+    wide = _nation_year(spark, sf).groupBy(F.col("n_name").alias("economy")).pivot("year", list(range(1995, 2003))).agg(F.first("y"))
+    return rounded(readers.world_bank(wide.withColumnsRenamed({str(k): f"YR{k}" for k in range(1995, 2003)})))
+
+
+@query("SELECT c_name AS name, c_acctbal AS amount, 'fec' AS entity_id FROM customer")
+def payload_campaign_finance(spark, sf):
+    pages = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").alias("amount"))).alias("results"))).alias("json"))
+    return readers.campaign_finance(pages, "name:string,amount:double")
+
+
+@query("SELECT n_name AS entity_id, 2020 AS year, (n_nationkey * 1000)::DOUBLE AS value FROM nation WHERE n_nationkey > 0")
+def payload_census(spark, sf):
+    return readers.census(table(spark, sf, "nation").select(F.col("n_name").alias("地区"), F.lit("x").alias("备注"), (F.col("n_nationkey") * 1000).cast("string").alias("常住人口")), "total_population", 2020)
+
+
+@query("SELECT user_id::VARCHAR AS entity_id, ts::DATE AS date, count(*)::DOUBLE AS aqi, round(max(value), 6) AS pm25 FROM events GROUP BY ALL")
+def payload_city_air_quality(spark, sf):
+    days = table(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("city"), F.date_format("ts", "yyyy/MM/dd").alias("日期")).agg(F.count(F.lit(1)).alias("AQI"), F.max("value").alias("PM2.5"))
+    return rounded(readers.city_air_quality(days, F.col("city")))
+
+
+@query("SELECT 'sp500' AS entity_id, ts::DATE AS date, round(min(value), 6) AS low, round(max(value), 6) AS high, count(*)::DOUBLE AS volume FROM events GROUP BY ALL")
+def payload_stock_index(spark, sf):
+    days = table(spark, sf, "events").groupBy(F.to_date("ts").alias("Date")).agg(F.min("value").alias("Low"), F.max("value").alias("High"), F.count(F.lit(1)).alias("Volume"))
+    return rounded(readers.stock_index(days, "sp500").select("entity_id", "date", "low", "high", "volume"))
+
+
+@query("SELECT lpad((l_suppkey % 90)::VARCHAR, 2, '0') || '-' || lpad(l_linenumber::VARCHAR, 3, '0') || '-' || lpad((l_partkey % 9000)::VARCHAR, 4, '0') AS entity_id, l_shipdate::DATE AS date, CASE WHEN l_returnflag = 'R' THEN l_tax ELSE l_discount END AS value, l_returnflag AS parameter FROM lineitem")
+def payload_air_monitors(spark, sf):
+    x = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 90).cast("string").alias("state_code"), F.col("l_linenumber").cast("string").alias("county_code"), (F.col("l_partkey") % 9000).cast("string").alias("site_number"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date_local"), F.when(F.col("l_returnflag") != "R", F.col("l_discount")).alias("arithmetic_mean"), F.col("l_tax").alias("sample_measurement"), F.col("l_returnflag").alias("parameter"))
+    return readers.air_quality(x)
+
+
+@query("SELECT l_suppkey::VARCHAR AS entity_id, l_shipdate::DATE AS date, l_quantity / 10 AS temp, CASE WHEN l_linenumber % 2 = 0 THEN l_tax / 10 ELSE 0 END AS max, l_discount / 10 AS min, 0.0::DOUBLE AS prcp, l_linenumber / 10.0::DOUBLE AS wdsp FROM lineitem")
+def payload_weather(spark, sf):
+    x = table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("station"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), F.col("l_quantity").cast("string").alias("temp"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_tax").cast("string")).alias("max"), F.col("l_discount").cast("string").alias("min"), F.lit("n/a").alias("prcp"), F.col("l_linenumber").cast("string").alias("wdsp"))
+    return readers.weather(x)
+
+
+@query("SELECT event_id, ts::DATE AS date FROM events WHERE event_type = 'error'")
+def payload_open_records(spark, sf):
+    x = table(spark, sf, "events").select("event_id", "event_type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("created_date"))
+    return readers.open_records(x, "created_date", "event_type = 'error'").select("event_id", "date")
+
+
 # --- decisions, reports, streams -----------------------------------------------------------------------------------
 
 _BITS = [c for c, t, _ in decide.FACTS if t == "boolean"]

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from causeway.functions.text import iso_date
+
 LONG = "entity_id string, year int, value double"
 
 
@@ -57,24 +59,125 @@ def fred(payload: DataFrame, series: str) -> DataFrame:
     return o.where(~F.col("o.value").isin(".", "") & F.col("o.value").isNotNull()).select(F.lit(series).alias("entity_id"), F.to_date("o.date").alias("date"), F.col("o.value").try_cast("double").alias("value"))
 
 
-def oecd(payload: DataFrame) -> DataFrame:
-    """SDMX-JSON: series keyed by positions, observations keyed by the period's position."""
-    schema = "structure struct<entities:array<string>,periods:array<string>>, series map<string,struct<observations:map<string,array<double>>>>"
-    p = payload.select(F.from_json("json", schema).alias("p")).select("p.structure", F.explode("p.series").alias("key", "s"))
-    o = p.select("structure", "key", F.explode("s.observations").alias("at", "v"))
-    entity = F.get("structure.entities", F.split("key", ":")[0].cast("int"))
-    period = F.get("structure.periods", F.col("at").cast("int"))
-    return o.select(entity.alias("entity_id"), F.substring(period, 1, 4).cast("int").alias("year"), F.get("v", F.lit(0)).alias("value")).where("value is not null")
-
+def oecd(payload: DataFrame, entity: Column | None = None) -> DataFrame:
+    """SDMX-JSON of one country a row (name, json): dataSets[].observations keyed by positions joined by colons.
 
-def eurostat(payload: DataFrame) -> DataFrame:
-    """JSON-stat: values keyed by flat position; positions of places and times are inverted to labels."""
-    schema = "value map<string,double>, geo map<string,int>, time map<string,int>"
-    p = payload.select(F.from_json("json", schema).alias("p")).select("p.*")
+    The dimension TIME_PERIOD says which part of the key is the period (the last where it doesn't); a part that is a
+    position in the dimension's values is looked up there, and is the year itself where none are listed.
+    Of a list of values the first counts; what isn't a number or a year is left out.
+    """
+    dimension = "struct<name:string,id:string,keyPosition:int,values:array<struct<id:string>>>"
+    schema = f"dataSets array<struct<observations:map<string,string>>>, structure struct<dimensions:struct<observation:array<{dimension}>>>"
+    p = payload.select((F.col("name") if entity is None else entity).alias("entity_id"), F.from_json("json", schema).alias("p"))
+    time = F.get(F.filter("p.structure.dimensions.observation", lambda d: F.coalesce(d["name"], d["id"]) == "TIME_PERIOD"), F.lit(0))
+    sets = p.select("entity_id", time.alias("time"), F.explode("p.dataSets").alias("s"))
+    o = sets.select("entity_id", "time", F.explode("s.observations").alias("key", "value"))
+    parts = F.split("key", ":")
+    at = F.col("time.keyPosition")
+    part = F.when((at >= 0) & (at < F.size(parts)), F.get(parts, at)).otherwise(F.element_at(parts, -1))
+    year = F.coalesce(F.get("time.values", part.try_cast("int"))["id"], part)
+    value = F.regexp_extract("value", r"^\[?\s*([^,\]]*)", 1)
+    rows = o.select("entity_id", F.substring(year, 1, 4).try_cast("int").alias("year"), value.try_cast("double").alias("value"))
+    return rows.where("year is not null and value is not null")
+
+
+def eurostat(payload: DataFrame, entity: Column | None = None) -> DataFrame:
+    """JSON-stat of one place a row (name, json): values by flat position; dimension.time.category.index names the periods.
+
+    With ``id`` and ``size`` the period's part of the position is worked out, and a dimension geo names the place; without
+    them the position is the period's, and the payload's name is the place.
+    """
+    index = "struct<category:struct<index:map<string,int>>>"
+    schema = f"value map<string,double>, id array<string>, size array<int>, dimension struct<time:{index},geo:{index}>"
+    p = payload.select((F.col("name") if entity is None else entity).alias("name"), F.from_json("json", schema).alias("p")).select("name", "p.*")
     flipped = lambda c: F.map_from_entries(F.transform(F.map_entries(c), lambda e: F.struct(e["value"], e["key"])))
-    v = p.select(flipped(F.col("geo")).alias("g"), flipped(F.col("time")).alias("t"), F.size("time").alias("k"), F.explode("value").alias("at", "value"))
+
+    def place(dimension: str, at: Column) -> Column:
+        where = F.array_position("id", dimension).cast("int")
+        stride = F.aggregate(F.slice("size", where + 1, F.greatest(F.size("size") - where, F.lit(0))), F.lit(1), lambda x, y: x * y)
+        own = F.floor(at / stride).cast("int") % F.get("size", where - 1)
+        return F.when(where > 0, own)
+
+    v = p.select("name", "id", "size", flipped(F.col("dimension.time.category.index")).alias("t"), flipped(F.col("dimension.geo.category.index")).alias("g"), F.explode("value").alias("at", "value"))
     at = F.col("at").cast("int")
-    return v.select(F.try_element_at("g", F.floor(at / F.col("k")).cast("int")).alias("entity_id"), F.substring(F.try_element_at("t", at % F.col("k")), 1, 4).cast("int").alias("year"), "value").where("value is not null")
+    year = F.try_element_at("t", F.coalesce(place("time", at), at))
+    place_name = F.coalesce(F.try_element_at("g", F.coalesce(place("geo", at), F.lit(0))), "name")
+    return v.select(place_name.alias("entity_id"), F.substring(year, 1, 4).try_cast("int").alias("year"), "value").where("year is not null and value is not null")
+
+
+def campaign_finance(payload: DataFrame, fields: str) -> DataFrame:
+    """Rows of ``results`` with the ``fields`` given (a schema), of a page of answers."""
+    r = payload.select(F.explode(F.from_json("json", f"results array<struct<{fields}>>")["results"]).alias("r"))
+    return r.select("r.*", F.lit("fec").alias("entity_id"))
+
+
+#: Headings of a city's daily air quality.
+AIR_COLUMNS = {"日期": "date", "AQI": "aqi", "PM2.5": "pm25", "PM10": "pm10", "SO2": "so2", "NO2": "no2", "CO": "co", "O3": "o3"}
+
+
+def city_air_quality(rows: DataFrame, city: str | Column) -> DataFrame:
+    """(entity_id, date, measures that are there) of one city, or of many where ``city`` is a column."""
+    have = {a: b for a, b in AIR_COLUMNS.items() if a in rows.columns}
+    measures = [F.col(f"`{a}`").try_cast("double").alias(b) for a, b in have.items() if b != "date"]
+    return rows.select((F.lit(city) if isinstance(city, str) else city).alias("entity_id"), F.to_date(iso_date(F.col("日期").cast("string"))).alias("date"), *measures).where("date is not null")
+
+
+def stock_index(rows: DataFrame, index: str) -> DataFrame:
+    """(entity_id, date, open, high, low, close, volume), those that are there; headings in any case."""
+    named = {c.lower(): c for c in rows.columns}
+    kept = [F.col(f"`{named[c]}`").cast("double").alias(c) for c in ("open", "high", "low", "close", "volume") if c in named]
+    return rows.select(F.lit(index).alias("entity_id"), F.to_date(named["date"]).alias("date"), *kept)
+
+
+#: Census indicators by key, and headings of places, tried in order.
+CENSUS = {
+    "total_population": "常住人口", "male_population": "男性人口", "female_population": "女性人口", "sex_ratio": "性别比", "age_0_14_pct": "0-14岁占比", "age_15_59_pct": "15-59岁占比",
+    "age_60_plus_pct": "60岁以上占比", "age_65_plus_pct": "65岁以上占比", "urban_population": "城镇人口", "urbanization_rate": "城镇化率", "avg_household_size": "平均家庭户规模",
+    "college_edu_pct": "大专及以上占比", "illiteracy_rate": "文盲率", "avg_education_years": "平均受教育年限", "birth_rate": "出生率", "death_rate": "死亡率", "natural_growth_rate": "自然增长率", "migrant_population": "流动人口",
+}
+CENSUS_PLACES = ("地区", "城市", "省份", "地区名称", "城市名称")
+
+
+def census(rows: DataFrame, indicator: str, year: int) -> DataFrame:
+    """Long rows of one indicator of a census table, positive values only.
+
+    The value is the column of the indicator's name; else the first that has the key or the name's first two letters in it; else the
+    first further column that is a number. The place is the first column where none of the usual headings is there.
+    """
+    label = CENSUS.get(indicator, indicator)
+    area = next((c for c in CENSUS_PLACES if c in rows.columns), rows.columns[0])
+    likely = [c for c in rows.columns if indicator.replace("_", "") in c.replace(" ", "") or label[:2] in c]
+    numeric = [c for c, t in rows.dtypes[1:] if t.startswith(("int", "bigint", "double", "float", "decimal", "smallint"))]
+    column = label if label in rows.columns else next(iter(likely or numeric), None)
+    if column is None:
+        raise ValueError(f"no column for {indicator} among {', '.join(rows.columns)}")
+    return rows.select(F.col(f"`{area}`").cast("string").alias("entity_id"), F.lit(year).alias("year"), F.col(f"`{column}`").try_cast("double").alias("value")).where("value > 0")
+
+
+def zipped_trips(spark: SparkSession, path: str, columns: list[str], entity: str, year: int, month: int) -> DataFrame:
+    """Trips of zipped csv files (one task per file): the ``columns`` as text, with entity_id, year and month.
+
+    A column that a file lacks is null. Files are unpacked in pieces of 50,000 rows.
+    """
+
+    def unpack(batches):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        for batch in batches:
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for name in sorted(n for n in z.namelist() if n.lower().endswith(".csv") and "__MACOSX" not in n):
+                        with z.open(name) as f:
+                            for part in pd.read_csv(f, dtype=str, chunksize=50_000, keep_default_na=False, na_values=[""]):
+                                part = part.reindex(columns=columns).astype(object)
+                                yield part.where(part.notna(), None)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("content")
+    rows = files.mapInPandas(unpack, ", ".join(f"`{c}` string" for c in columns))
+    return rows.select("*", F.lit(entity).alias("entity_id"), F.lit(year).alias("year"), F.lit(month).alias("month"))
 
 
 def national_statistics(payload: DataFrame) -> DataFrame:

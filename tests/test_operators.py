@@ -68,10 +68,22 @@ def test_reshape(spark):
 def test_payloads(spark, tmp_path):
     j = lambda s: spark.createDataFrame([(s,)], "json string")
     assert readers.fred(j('{"observations":[{"date":"2020-01-01","value":"1.5"},{"date":"2020-01-02","value":"."}]}'), "S").count() == 1
-    o = readers.oecd(j('{"structure":{"entities":["A","B"],"periods":["2019","2020"]},"series":{"1:0":{"observations":{"1":[4.0,0]}}}}')).first()
-    assert tuple(o) == ("B", 2020, 4.0)
-    e = readers.eurostat(j('{"value":{"3":7.0},"geo":{"X":0,"Y":1},"time":{"2019":0,"2020":1}}')).first()
-    assert tuple(e) == ("Y", 2020, 7.0)
+    k = lambda name, s: spark.createDataFrame([(name, s)], "name string, json string")
+    shape = '"structure":{"dimensions":{"observation":[{"name":"TIME_PERIOD","keyPosition":1}]}}'
+    o = readers.oecd(k("FRA", '{"dataSets":[{"observations":{"0:2019":[4.0,0],"0:x":[1],"0:2020":[null]}}],' + shape + "}")).collect()
+    assert [tuple(r) for r in o] == [("FRA", 2019, 4.0)]
+    o = readers.oecd(k("FRA", '{"dataSets":[{"observations":{"0:1":[4.5]}}],' + shape.replace('"keyPosition":1', '"keyPosition":1,"values":[{"id":"2019"},{"id":"2020"}]') + "}")).first()
+    assert tuple(o) == ("FRA", 2020, 4.5) and readers.oecd(k("A", "{}")).count() == 0
+    time = '"dimension":{"time":{"category":{"index":{"2019":0,"2020":1},"label":{"2019":"2019"}}}}'
+    assert tuple(readers.eurostat(k("DE", '{"value":{"1":7.0,"9":1.0},' + time + "}")).first()) == ("DE", 2020, 7.0)
+    both = '{"value":{"3":7.0},"id":["geo","time"],"size":[2,2],"dimension":{"geo":{"category":{"index":{"X":0,"Y":1}}},' + time.split("{", 1)[1] + "}"
+    assert tuple(readers.eurostat(k("DE", both)).first()) == ("Y", 2020, 7.0)
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "trips.zip", "w") as z:
+        z.writestr("trips.csv", "ride_id,start\na,2024-01-01\nb,\n")
+    trips = readers.zipped_trips(spark, f"file://{tmp_path}", ["ride_id", "start", "bike"], "citi_bike_nyc", 2024, 1).orderBy("ride_id").collect()
+    assert [tuple(r) for r in trips] == [("a", "2024-01-01", None, "citi_bike_nyc", 2024, 1), ("b", None, None, "citi_bike_nyc", 2024, 1)]
     n = readers.national_statistics(j('{"returndata":{"datanodes":[{"data":{"data":3.0,"hasdata":true},"wds":[{"wdcode":"reg","valuecode":"11"},{"wdcode":"sj","valuecode":"2020"}]}],"wdnodes":[{"wdcode":"reg","nodes":[{"code":"11","cname":"北京"}]}]}}')).first()
     assert tuple(n) == ("北京", 2020, 3.0)
     (tmp_path / "a.json").write_text("{}")
