@@ -9,6 +9,7 @@ from io import BytesIO
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -461,6 +462,16 @@ def test_near_duplicates_with_more_blocks_than_documents(spark, monkeypatch):
     assert got == brute_components(texts, 3, 85)[0] and calls.value > 0
 
 
+def test_runs_keep_groups_whole():
+    r = np.random.default_rng(3)
+    rows = pd.DataFrame({"k": np.sort(r.integers(0, 30, 200)), "j": 0, "v": range(200)})
+    for cuts in ([], [50, 51, 120], list(range(1, 200)), [0, 200]):
+        parts = [rows.iloc[a:b] for a, b in zip([0, *cuts], [*cuts, 200])]
+        got = [part["v"].iloc[a:b].tolist() for part, starts in minhash._runs(iter(parts), ["k", "j"]) for a, b in zip(starts, starts[1:])]
+        assert got == [g["v"].tolist() for _, g in rows.groupby("k")]
+    assert list(minhash._runs(iter([rows.iloc[:0]]), ["k"])) == []
+
+
 def test_near_duplicates_edges(docs, none):
     got = minhash.near_duplicates(docs, k=3).collect()
     assert len(got) == docs.count() and minhash.near_duplicates(none).count() == 0
@@ -667,7 +678,9 @@ def test_pipeline_stages_on_odd_rows(spark, sf, tmp_path):
     import corpus_pipeline
 
     source = spark.read.parquet(f"{sf}/documents.parquet")
-    toxic = spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").join(source, "doc_id").first()["text"]
+    net = toxicity.fit_toxicity(toxicity.with_labels(source, spark.read.parquet(f"{sf}/labels.parquet"), "toxic"))
+    worst = toxicity.score_toxicity(source, net).orderBy(F.desc("score"), "doc_id").first()["doc_id"]
+    toxic = source.where(f"doc_id = {worst}").first()["text"]
     item = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 60").first()["text"]
     clean = source.join(spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 0 and quality = 1"), "doc_id").where("lang = 'en'").first()["text"]
     junk = "$$$ %%% ### !!! " * 40
