@@ -56,6 +56,23 @@ LEVELS = {"daily": ["daily", "day", "每日", "日度"], "monthly": ["monthly",
 PLACES = {"city": ["city", "城市", "市"], "province": ["province", "省"], "county": ["county", "县"], "us": ["us", "united states", "美国"], "cn": ["china", "中国"]}
 
 
+#: English words that a Chinese term stands for.
+ENGLISH = {
+    "收入": "income disposable wage earnings", "工资": "wage earnings salary", "消费": "consumption retail", "房价": "house price real estate housing", "投资": "investment fixed asset",
+    "出口": "export trade", "进口": "import trade", "医院": "hospital health medical", "医疗": "medical health insurance hospital", "教育": "education school student teacher college",
+    "学生": "student school education", "教师": "teacher education", "医生": "doctor physician health", "床位": "bed hospital", "道路": "road area infrastructure", "绿地": "green park area",
+    "供水": "water supply", "供气": "gas supply", "用电": "electricity consumption power", "汽车": "car vehicle ownership", "手机": "mobile phone telecom", "互联网": "internet broadband",
+    "专利": "patent innovation", "养老": "pension insurance social security", "失业": "unemployment insurance", "污水处理": "sewage treatment waste", "垃圾": "waste treatment",
+    "公共交通": "public transport transit bus", "出租车": "taxi", "建成区": "built up area urban", "研发": "rd research development science technology expenditure",
+    "生育率": "fertility rate birth births per woman TFR", "生育": "fertility birth", "死亡率": "mortality death rate IMR", "死亡": "mortality death", "老龄化": "elderly aging old age", "人均": "per capita",
+}
+
+
+def expand_query(query: Column) -> Column:
+    """The query with the English words of each Chinese term in it, in the table's order."""
+    return F.concat_ws(" ", query, *(F.when(query.contains(k), F.lit(v)) for k, v in ENGLISH.items()))
+
+
 def _first_hit(text: Column, table: dict[str, list[str]], default: str) -> Column:
     out = None
     for k, words in table.items():

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from difflib import SequenceMatcher
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from causeway.functions.text import clean_name
 from causeway.spec import ENTITY_ALIASES, TIME_ALIASES, number, sniff
@@ -80,12 +84,42 @@ def impute_sporadic(df: DataFrame, entity: str, time: str, variable: str, max_ga
     return x.select(*(F.when(F.col("_fill"), F.col("_mid")).otherwise(F.col(c)).alias(c) if c == variable else F.col(c) for c in df.columns), F.col("_fill").cast("int").alias(f"{variable}_imputed"))
 
 
+MOST_ALIASES = 100_000
+
+
+def _alike(names: DataFrame, mapping: DataFrame, least: float) -> DataFrame:
+    """(_name, _c4): codes of cleaned names by parts or likeness; the dictionary goes to the tasks once its size is known."""
+    entries = [tuple(r) for r in mapping.orderBy("_p", "_a").select("_ca", "_code").limit(MOST_ALIASES + 1).collect()]
+    if len(entries) > MOST_ALIASES:
+        raise ValueError(f"a dictionary of over {MOST_ALIASES} aliases is too large for matching by likeness")
+    shared = names.sparkSession.sparkContext.broadcast(entries)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = [(a or "", code) for a, code in shared.value]
+        for batch in batches:
+            codes = []
+            for name in batch["_clean"]:
+                found = next((code for a, code in known if len(name) >= 2 and len(a) >= 2 and (name in a or a in name)), None)
+                if found is None:
+                    best, match = 0.0, SequenceMatcher(None)
+                    for a, code in known:
+                        match.set_seqs(name, a)
+                        if match.real_quick_ratio() > best and match.quick_ratio() > best and (ratio := match.ratio()) > best:
+                            best, found = ratio, code
+                    found = found if best >= least else None
+                codes.append(found)
+            yield pd.DataFrame({"_name": batch["_name"], "_c4": pd.Series(codes, dtype=object)})
+
+    return names.mapInPandas(run, f"_name string, _c4 {mapping.schema['_code'].dataType.simpleString()}")
+
+
 def normalise_entities(df: DataFrame, entity: str, mapping: DataFrame, fuzzy: bool = True, least: float = 0.75) -> DataFrame:
     """Replaces names by codes: as written, then cleaned, then cleaned against cleaned, then by likeness.
 
-    ``mapping`` is (alias, code, position) of a bounded dictionary. Likeness is tried on the distinct names
-    left over: the first alias that contains or is contained (two letters at least), else the most alike
-    by edit distance. Names without a match, blanks and the words nan, none and null stay.
+    ``mapping`` is (alias, code, position) of a dictionary of MOST_ALIASES entries at most; a larger one is an error if ``fuzzy``.
+    Likeness is tried on the distinct names left over: the first alias that contains or is contained (two letters at
+    least), else the most alike by the share of matching blocks, from ``least`` on, the first of equals. Names
+    without a match, blanks and the words nan, none and null stay.
     """
     m = mapping.select(F.col("alias").alias("_a"), F.col("code").alias("_code"), F.col("position").alias("_p"), clean_name(F.col("alias")).alias("_ca"))
     first = lambda key: m.groupBy(F.col(key).alias("_k")).agg(F.min_by("_code", "_p").alias("_c"))
@@ -96,13 +130,8 @@ def normalise_entities(df: DataFrame, entity: str, mapping: DataFrame, fuzzy: bo
     x = x.join(exact.select(F.col("_k").alias("_clean"), F.col("_c").alias("_c2")), "_clean", "left").join(cleaned.select(F.col("_k").alias("_clean"), F.col("_c").alias("_c3")), "_clean", "left")
     x = x.withColumn("_hit", F.coalesce("_c1", "_c2", "_c3"))
     if fuzzy:
-        left = x.where(F.col("_hit").isNull() & real & (F.length("_clean") >= 2)).select("_name", "_clean")
-        inside = (F.length("_ca") >= 2) & (F.col("_ca").contains(F.col("_clean")) | F.col("_clean").contains(F.col("_ca")))
-        alike = 1 - F.levenshtein("_clean", "_ca") / F.greatest(F.length("_clean"), F.length("_ca"))
-        scored = left.join(F.broadcast(m), inside | (alike >= least))
-        rank = F.struct(F.when(inside, 0).otherwise(1), F.when(inside, 0.0).otherwise(-alike), F.col("_p"))
-        best = scored.groupBy("_name").agg(F.min_by("_code", rank).alias("_c4"))
-        x = x.join(best, "_name", "left").withColumn("_hit", F.coalesce("_hit", "_c4"))
+        left = x.where(F.col("_hit").isNull() & real & (F.length("_clean") > 0)).select("_name", "_clean")
+        x = x.join(_alike(left, m, least), "_name", "left").withColumn("_hit", F.coalesce("_hit", "_c4"))
     known = x.where(F.col("_hit").isNotNull() & real).select("_name", "_hit")
     return df.join(known, F.col(entity) == F.col("_name"), "left").select(*(F.coalesce("_hit", F.col(c)).alias(c) if c == entity else F.col(c) for c in df.columns))
 
@@ -126,3 +155,64 @@ def attach_treatment(panel: DataFrame, timing: DataFrame, entity: str = "entity_
     treated = F.col("first_treated").isNotNull().cast("int")
     post = F.coalesce((F.col(time) >= F.col("first_treated")).cast("int"), F.lit(0))
     return x.withColumns({"treated": treated, "post": post, "treated_post": treated * post})
+
+
+def missing_verdicts(df: DataFrame, entity: str, time: str, variables: list[str]) -> DataFrame:
+    """(variable, missing, pct, entities, systematic, sporadic, boundary, gap_runs, verdict) of each variable.
+
+    warn_systematic and warn_sporadic where those are over three tenths of the entities, has_gaps where runs are longer
+    than a period, minor with any other null, else ok.
+    """
+    out = None
+    units = df.agg(F.countDistinct(entity).alias("entities"), F.count(F.lit(1)).alias("_n"), *(F.sum(F.col(v).isNull().cast("long")).alias(f"_m{k}") for k, v in enumerate(variables)))
+    for k, v in enumerate(variables):
+        kind = lambda x: F.coalesce(F.sum((F.col("kind") == x).cast("long")), F.lit(0))
+        runs = missing_runs(df, entity, time, v).agg(
+            F.countDistinct(F.when(F.col("kind") == "systematic", F.col(entity))).alias("systematic"), kind("sporadic").alias("sporadic"), kind("boundary").alias("boundary"), kind("gap_run").alias("gap_runs")
+        )
+        many = F.col("entities") * 0.3
+        verdict = F.when(F.col("systematic") > many, "warn_systematic").when(F.col("sporadic") > many, "warn_sporadic").when(F.col("gap_runs") > 0, "has_gaps").when(F.col("missing") > 0, "minor").otherwise("ok")
+        one = units.crossJoin(F.broadcast(runs)).withColumn("missing", F.coalesce(f"_m{k}", F.lit(0)))  # one row each
+        one = one.select(F.lit(v).alias("variable"), "missing", F.round(100 * F.col("missing") / F.nullif("_n", F.lit(0)), 4).alias("pct"), "entities", "systematic", "sporadic", "boundary", "gap_runs", verdict.alias("verdict"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def forward_fill(df: DataFrame, by: str | None, order: str, columns: list[str]) -> DataFrame:
+    """Nulls take the value before them within ``by`` (merged cells of a table, gaps of a series); leading ones stay.
+
+    Without ``by`` the whole frame is one sequence, which suits a table's rows only.
+    """
+    w = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumns({c: F.last(c, True).over(w) for c in columns})
+
+
+def numeric_columns(df: DataFrame, but: tuple[str, ...] = ("entity_id", "year", "post", "treated_post")) -> list[str]:
+    """Names of the columns that hold numbers, less those that are keys or made from others."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in but]
+
+
+def first_treated_column(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``name`` as a column of first treated periods: a column, or a number that holds for all units."""
+    if name in df.columns:
+        return df, name
+    try:
+        year = float(name)
+    except ValueError:
+        raise ValueError(f"{name!r} is neither a column nor a number") from None
+    return df.withColumn("_first_treated", F.lit(year)), "_first_treated"
+
+
+def head_samples(df: DataFrame, key: str, order: str, n: int = 10) -> DataFrame:
+    """The first ``n`` rows of each key; ``n`` is the feature, for reports."""
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("_r") <= n).drop("_r")
+
+
+def ordered_union(frames: list[DataFrame], key: str) -> DataFrame:
+    """Rows of all frames with each key once: that of the first frame that has it. Rows of one frame with equal keys
+    are told apart by their columns' order."""
+    tagged = [f.withColumn("_from", F.lit(k)) for k, f in enumerate(frames)]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    rest = [c for c in every.columns if c not in (key, "_from")]
+    w = Window.partitionBy(key).orderBy("_from", *rest)
+    return every.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_from")

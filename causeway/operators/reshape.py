@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from causeway.functions.text import any_keyword, text_match
+from causeway.functions.text import any_keyword, infer_level, infer_place, text_match
 
 
 def wide_to_long(df: DataFrame, keep: list[str], labels: dict[str, str], name: str = "entity_id", value: str = "value") -> DataFrame:
@@ -84,3 +84,29 @@ def requirements(matches: DataFrame, concepts: DataFrame) -> DataFrame:
     best = matches.groupBy("concept").agg(F.max(F.struct("score", F.col("key"))).alias("b"))
     tier = F.when(F.col("b.score") >= 50, "A").when(F.col("b.score").isNotNull(), "B").otherwise("C")
     return concepts.join(best, "concept", "left").select("concept", F.col("b.key").alias("key"), F.col("b.score").alias("score"), tier.alias("tier"))
+
+
+def gap_report(requirements: DataFrame, found: DataFrame, fetched: DataFrame) -> DataFrame:
+    """(name, section, key, score, alternatives, tier, suggestion): where each required variable stands.
+
+    ``requirements`` is (name, description, level, place), ``found`` the ranked matches of search_catalogue() with the
+    name as query, ``fetched`` (name, status). fetched: it is there; available: its best match scores half or more; needed:
+    to be collected by hand, B from surveys and other sources, C from yearbooks and policy documents.
+    """
+    ranked = found.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("rank", "key", "score"))).alias("m"))
+    ok = fetched.where(F.col("status").isin("success", "cached")).select(F.col("name").alias("_ok")).distinct()
+    x = requirements.join(ranked, F.col("name") == F.col("query"), "left").join(ok, F.col("name") == F.col("_ok"), "left")
+    best = F.get("m", F.lit(0))
+    section = F.when(F.col("_ok").isNotNull(), "fetched").when(best["score"] >= 0.5, "available").otherwise("needed")
+    desc = F.lower(F.coalesce("description", "name"))
+    level, place = F.coalesce("level", infer_level(desc)), F.coalesce("place", infer_place(desc))
+    survey, yearbook, policy = desc.contains("micro") | desc.contains("survey"), level.isin("city", "province") & (place == "cn"), desc.contains("policy") | desc.contains("pilot")
+    tier = F.when(section != "needed", "A").when(survey, "B").when(yearbook | policy, "C").otherwise("B")
+    suggestion = F.when(section == "needed", F.when(survey, "survey data, after registration").when(yearbook, "statistical yearbooks, or by hand").when(policy, "policy documents, by hand").otherwise("not in public sources searched"))
+    others = F.when(section == "available", F.array_join(F.transform(F.slice("m", 2, 2), lambda k: k["key"]), ", "))
+    return x.select("name", section.alias("section"), F.when(section == "available", best["key"]).alias("key"), F.when(section == "available", best["score"]).alias("score"), others.alias("alternatives"), tier.alias("tier"), suggestion.alias("suggestion"))
+
+
+def gap_summary(report: DataFrame) -> DataFrame:
+    """(fetched, available, needed): how many variables each."""
+    return report.agg(*(F.sum((F.col("section") == s).cast("long")).alias(s) for s in ("fetched", "available", "needed")))

@@ -141,9 +141,10 @@ def validate(df: DataFrame, spec: PanelSpec) -> DataFrame:
         parts.append(treatment_consistency(df, spec))
         few = pretreatment(df, spec).agg(F.sum((~F.col("enough")).cast("long")).alias("few"))
         parts.append(_issues(few, {"pretreatment": ("critical", F.lit("treated entities with too few periods before"), F.coalesce("few", F.lit(0)))}))
-    issues = reduce(DataFrame.union, parts)
-    verdict = issues.agg(F.when(F.max((F.col("severity") == "critical").cast("int")) == 1, "FAIL").when(F.count("check") > 0, "WARN").otherwise("PASS").alias("verdict"))
-    return F.broadcast(verdict).join(issues, how="left")
+    issues = [tuple(r) for r in reduce(DataFrame.union, parts).collect()]  # a row per check and variable at most
+    df.unpersist()
+    verdict = "FAIL" if any(r[1] == "critical" for r in issues) else "WARN" if issues else "PASS"
+    return df.sparkSession.createDataFrame([(verdict, *r) for r in issues or [(None,) * 4]], "verdict string, check string, severity string, detail string, n long")
 
 
 def smd(df: DataFrame, treatment: str, covariates: list[str], pooled: bool = True) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causeway.functions.stats import normal_p
 from causeway.operators import validate as v
 from causeway.plans import cross_section, decide, did, dml, robust, staggered, synthetic
 from causeway.spec import Method, PanelSpec
@@ -137,10 +138,17 @@ def diagnose(case: Case, method: Method) -> list[dict]:
     return rows
 
 
+def _staggered(c: Case) -> DataFrame:
+    """The overall effect with the error of the cluster bootstrap."""
+    att = staggered.aggregate_att(staggered.att_gt(c.data, c.spec)).where("kind = 'overall'").first()["att"]
+    se = staggered.bootstrap_att(c.data, c.spec, 100).first()["sd"]
+    return did.frame(c.data, [{"coef": att, "se": se, "p": normal_p(att / se) if se else None}], "coef double, se double, p double")
+
+
 #: What each method needs beyond entity, time and outcome, and how it estimates: a frame with coef and se.
 ESTIMATORS: dict[Method, tuple[tuple[str, ...], Callable[[Case], DataFrame]]] = {
     Method.DID: (("treated", "post"), lambda c: did.twfe(c.data, c.spec).select("coef", "se", "p")),
-    Method.STAGGERED_DID: (("first_treated",), lambda c: staggered.aggregate_att(staggered.att_gt(c.data, c.spec)).where("kind = 'overall'").select(F.col("att").alias("coef"), F.lit(None).cast("double").alias("se"), F.lit(None).cast("double").alias("p"))),
+    Method.STAGGERED_DID: (("first_treated",), lambda c: _staggered(c)),
     Method.INTENSITY_DID: (("dose", "post"), lambda c: did.intensity_did(c.data, c.spec, c.dose).select("coef", "se", "p")),
     Method.DDD: (("treated", "post", "group"), lambda c: did.triple_difference(c.data, c.spec, c.group).where("term = 'ddd'").select("coef", "se", "p")),
     Method.RDD: (("running", "cutoff"), lambda c: cross_section.sharp_rdd(c.data, c.spec.outcome, c.running, c.cutoff).select("coef", "se", "p")),
@@ -149,7 +157,7 @@ ESTIMATORS: dict[Method, tuple[tuple[str, ...], Callable[[Case], DataFrame]]] =
     Method.SYNTHETIC_DID: (("unit", "first"), lambda c: synthetic.synthetic_did(c.data, c.spec, c.unit, c.first).select(F.col("att").alias("coef"), "se", "p")),
     Method.DML: (("treated", "controls"), lambda c: dml.dml(c.data, c.spec.outcome, c.spec.treated, list(c.spec.controls), c.spec.entity).select(F.col("theta").alias("coef"), "se", "p")),
     Method.CAUSAL_FOREST: (("treated", "controls"), lambda c: dml.forest_summary(dml.causal_forest(c.data, c.spec.outcome, c.spec.treated, list(c.spec.controls), c.spec.entity)).select(F.col("mean").alias("coef"), "se", F.lit(None).cast("double").alias("p"))),
-    Method.PSM: (("treated", "controls"), lambda c: dml.weighting(c.data, c.spec.outcome, c.spec.treated, list(c.spec.controls)).where("estimator = 'aipw'").select(F.col("ate").alias("coef"), "se", F.lit(None).cast("double").alias("p"))),
+    Method.PSM: (("treated", "controls"), lambda c: dml.psm(c.data, c.spec.outcome, c.spec.treated, list(c.spec.controls), c.spec.entity).select(F.col("att").alias("coef"), "se", "p")),
     Method.RANDOMIZATION: (("treated", "post"), lambda c: robust.randomization_inference(c.data, c.spec, 200).select(F.col("actual").alias("coef"), F.col("sd").alias("se"), "p")),
 }
 
@@ -158,20 +166,53 @@ def available(case: Case, method: Method) -> bool:
     return method in ESTIMATORS and all(_has(case, r) for r in ESTIMATORS[method][0])
 
 
+def fallback_attempts(case: Case, method: Method) -> list[dict]:
+    """Fallbacks tried in order until one is selected: (method, hop, outcome, reason, verdicts).
+
+    First those of the method, then those of its fallbacks, and so on, each method once: skipped without the columns it
+    needs, rejected with a failed assumption, else selected.
+    """
+    attempts, seen, level, hop = [], {str(method)}, [str(method)], 1
+    while level:
+        following = []
+        for asked in level:
+            for m, fallback, _ in decide.FALLBACKS:
+                if m != asked or fallback in seen:
+                    continue
+                seen.add(fallback)
+                following.append(fallback)
+                own = Method(fallback)
+                if not available(case, own):
+                    needs = ESTIMATORS[own][0] if own in ESTIMATORS else ()
+                    lacks = [r for r in needs if not _has(case, r)]
+                    attempts.append({"method": fallback, "hop": hop, "outcome": "skipped", "reason": f"lacks {', '.join(lacks)}" if lacks else "has no estimator", "verdicts": []})
+                    continue
+                verdicts = diagnose(case, own)
+                failed = [r["assumption"] for r in verdicts if r["verdict"] == "FAIL"]
+                attempts.append({"method": fallback, "hop": hop, "outcome": "rejected" if failed else "selected", "reason": ", ".join(failed), "verdicts": verdicts})
+                if not failed:
+                    return attempts
+        level, hop = following, hop + 1
+    return attempts
+
+
 def confirm(case: Case, method: Method) -> dict:
-    """The method, or the first fallback without a failed assumption, with verdicts and the strength of the case."""
+    """The method, or the first fallback without a failed assumption, with verdicts, attempts and the strength of the case."""
     first = diagnose(case, method) if available(case, method) else [{"method": str(method), "assumption": "data", "verdict": "FAIL", "values": {}}]
-    final, rows = method, first
+    final, rows, attempts = method, first, []
     if any(r["verdict"] == "FAIL" for r in first):
-        for m, fallback, _ in decide.FALLBACKS:
-            if m == method and available(case, Method(fallback)):
-                own = diagnose(case, Method(fallback))
-                if not any(r["verdict"] == "FAIL" for r in own):
-                    final, rows = Method(fallback), own
-                    break
+        attempts = fallback_attempts(case, method)
+        if attempts and attempts[-1]["outcome"] == "selected":
+            final, rows = Method(attempts[-1]["method"]), attempts[-1]["verdicts"]
     ran = [r for r in rows if r["verdict"] != "NOT_RUN"]
     passed, failed = sum(r["verdict"] == "PASS" for r in ran), sum(r["verdict"] == "FAIL" for r in ran)
-    return {"method": method, "final": final, "verdicts": first if final == method else first + rows, "strength": decide.strength(passed, failed, len(ran), final != method)}
+    return {"method": method, "final": final, "verdicts": first if final == method else first + rows, "attempts": attempts, "strength": decide.strength(passed, failed, len(ran), final != method)}
+
+
+def specification(case: Case, method: Method) -> dict:
+    """What an estimation of the method needs, by role: a dictionary of plain values for a report or a job."""
+    roles = {r: getattr(case.spec, r) if hasattr(case.spec, r) else getattr(case, r) for r in (ESTIMATORS[method][0] if method in ESTIMATORS else ())}
+    return {"method": str(method), "entity": case.spec.entity, "time": case.spec.time, "outcome": case.spec.outcome, "controls": list(case.spec.controls), **roles, "complete": available(case, method)}
 
 
 def evaluate(case: Case, method: Method) -> DataFrame:
@@ -181,6 +222,7 @@ def evaluate(case: Case, method: Method) -> DataFrame:
     found = confirm(case, method)
     rows = [("method", "asked", str(found["method"])), ("method", "used", str(found["final"])), ("method", "strength", found["strength"])]
     rows += [("assumption", f"{r['method']}: {r['assumption']}", r["verdict"]) for r in found["verdicts"]]
+    rows += [("fallback", a["method"], f"{a['outcome']}{': ' if a['reason'] else ''}{a['reason']}") for a in found["attempts"]]
     if available(case, found["final"]):
         e = ESTIMATORS[found["final"]][1](case).first()
         rows += [("estimate", k, None if e[k] is None else repr(float(e[k]))) for k in ("coef", "se", "p")]
@@ -193,6 +235,7 @@ def evaluate(case: Case, method: Method) -> DataFrame:
         checks["placebo"] = robust.randomization_inference(data, case.spec, 100).first()["p"] < 0.05
     rows += [("robustness", k, "not run" if x is None else "pass" if x else "fail") for k, x in checks.items()]
     rows.append(("robustness", "verdict", robust.sensitivity_verdict(checks)))
+    data.unpersist()
     return data.sparkSession.createDataFrame(rows, "section string, item string, value string")
 
 

@@ -48,7 +48,7 @@ def twfe(df: DataFrame, spec: PanelSpec, baseline: bool = False, clustered: bool
         if label == "full" or baseline:
             fit = g.fit(use)
             rows.append(_row(label, fit, "did", *(g.clustered(fit) if clustered else ())))
-    g.blocks.unpersist()
+    g.free()
     return frame(df, rows, RESULT)
 
 
@@ -77,7 +77,7 @@ def event_study(df: DataFrame, spec: PanelSpec, n_pre: int = 4, n_post: int = 4,
 
     The reference period is a row with zeros. The pre-trend test is a joint F of all earlier periods but it.
     """
-    x = df.withColumn("_rel", relative_time(spec.time, spec.first_treated, n_pre, n_post))
+    x = df.select(spec.entity, spec.time, spec.outcome, spec.first_treated, *spec.controls).withColumn("_rel", relative_time(spec.time, spec.first_treated, n_pre, n_post)).persist()
     there = {r[0] for r in x.where("_rel is not null").select("_rel").distinct().collect()}
     rels = [r for r in range(-n_pre, n_post + 1) if r != reference and r in there]
     dummies = {f"r={r}": F.coalesce((F.col("_rel") == r).cast("double"), F.lit(0.0)) for r in rels}
@@ -85,7 +85,8 @@ def event_study(df: DataFrame, spec: PanelSpec, n_pre: int = 4, n_post: int = 4,
     fit = g.fit()
     stat, q = wald_f(fit, [f"r={r}" for r in rels if r < 0])
     p = f_p(stat, q, fit.df) if q else None
-    g.blocks.unpersist()
+    g.free()
+    x.unpersist()
     rows = []
     for r in sorted({*rels, reference}):
         own = {"coef": 0.0, "se": 0.0, "t": None, "p": None} if r == reference else fit.row(f"r={r}")
@@ -107,7 +108,9 @@ def alternative_windows(df: DataFrame, spec: PanelSpec, first: int, widths: tupl
     for w in widths:
         part = window_sample(df, spec.time, first, w)
         g = did_gram(part, spec)
-        if g.total[1] < least:
+        enough = g.total[1] >= least
+        g.free()
+        if not enough:
             rows.append({"width": w, "status": "too few rows", "n": g.total[1]})
             continue
         rows.append({"width": w, "status": "ok", "n": g.total[1], **{k: v for k, v in g.fit().row("did").items() if k != "t"}})
@@ -133,7 +136,7 @@ def intensity_did(df: DataFrame, spec: PanelSpec, dose: str) -> DataFrame:
     g = Gram(df, spec.entity, spec.time, spec.outcome, {"dose": F.col(dose).cast("double") * F.col(spec.post).cast("double"), **{c: F.col(c) for c in spec.controls}}).persist()
     fit = g.fit()
     row = _row("intensity", fit, "dose", *g.clustered(fit))
-    g.blocks.unpersist()
+    g.free()
     return frame(df, [row], RESULT)
 
 
@@ -144,7 +147,7 @@ def triple_difference(df: DataFrame, spec: PanelSpec, group: str) -> DataFrame:
     fit = g.fit()
     cov = g.clustered(fit)
     rows = [_row("ddd", fit, x, *cov) for x in ("ddd", "treated_post", "group_post")]
-    g.blocks.unpersist()
+    g.free()
     return frame(df, rows, RESULT)
 
 

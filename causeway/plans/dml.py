@@ -6,7 +6,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions.stats import normal_p
@@ -59,6 +59,61 @@ def weighting(df: DataFrame, y: str, treatment: str, covariates: list[str]) -> D
     return out
 
 
+def matched(df: DataFrame, outcome: str, treatment: str, covariates: list[str], unit: str) -> DataFrame:
+    """(unit, ps, y, match_ps, match_y) of each treated unit and the control with the nearest propensity (with replacement).
+
+    The nearest control is found by sorting within 64 bins of the score: the last control before and the first after each
+    treated unit, the nearer of the two (the earlier on ties); bins without one look at the nearest ends of the others.
+    """
+    bins = propensity(df, treatment, covariates, keep=[outcome, unit]).withColumn("_bin", F.floor(F.col("ps") * 64))
+    edge = Window.partitionBy("_bin").orderBy("ps", "_t", F.col(unit))
+    back = Window.partitionBy("_bin").orderBy(F.desc("ps"), "_t", F.col(unit))  # a growing frame; one that shrinks costs the square
+    ctrl = F.when(F.col("_t") == 0, F.struct(F.col("ps").alias("p"), F.col(outcome).alias("y")))
+    one = F.struct(F.col("ps").alias("p"), F.col(unit).alias("u"), F.col(outcome).alias("y"))
+    ends = bins.where("_t = 0").groupBy("_bin").agg(F.max(one).alias("last"), F.min(one).alias("first"))
+    slots = df.sparkSession.range(65).select(F.col("id").alias("_bin"))  # a fixed number of bins
+    carry = slots.join(ends, "_bin", "left").select("_bin", F.last("last", True).over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)).alias("_lo"), F.first("first", True).over(Window.orderBy("_bin").rowsBetween(1, Window.unboundedFollowing)).alias("_hi"))
+    near = bins.withColumn("_b", F.last(ctrl, True).over(edge)).withColumn("_a", F.last(ctrl, True).over(back)).where("_t = 1").join(F.broadcast(carry), "_bin", "left")
+    b = F.coalesce("_b", F.when(F.col("_lo").isNotNull(), F.struct(F.col("_lo.p").alias("p"), F.col("_lo.y").alias("y"))))
+    a = F.coalesce("_a", F.when(F.col("_hi").isNotNull(), F.struct(F.col("_hi.p").alias("p"), F.col("_hi.y").alias("y"))))
+    chosen = F.when(b.isNull() | (F.abs(a["p"] - F.col("ps")) < F.abs(F.col("ps") - b["p"])), a).otherwise(b)
+    return near.select(F.col(unit).alias("unit"), "ps", F.col(outcome).cast("double").alias("y"), chosen["p"].alias("match_ps"), chosen["y"].cast("double").alias("match_y")).where("match_y is not null")
+
+
+def psm(df: DataFrame, y: str, treatment: str, covariates: list[str], unit: str, caliper: float | None = None) -> DataFrame:
+    """(att, se, p, pairs, unmatched): mean difference of matched pairs; pairs further apart than ``caliper`` are left out and counted."""
+    m = matched(df, y, treatment, covariates, unit)
+    near = F.lit(True) if caliper is None else F.abs(F.col("ps") - F.col("match_ps")) <= caliper
+    diff = F.when(near, F.col("y") - F.col("match_y"))
+    r = m.agg(F.avg(diff).alias("att"), (F.stddev_samp(diff) / F.sqrt(F.count(diff))).alias("se"), F.count(diff).alias("pairs"), (F.count(F.lit(1)) - F.count(diff)).alias("unmatched")).first()
+    p = normal_p(r["att"] / r["se"]) if r["se"] else None
+    return frame(df, [{"att": r["att"], "se": r["se"], "p": p, "pairs": r["pairs"], "unmatched": r["unmatched"]}], "att double, se double, p double, pairs long, unmatched long")
+
+
+def cem(df: DataFrame, y: str, treatment: str, covariates: list[str], bins: int = 5) -> DataFrame:
+    """(att, se, strata, treated, controls, dropped) by coarsened exact matching.
+
+    Covariates are cut into ``bins`` equal ranges; strata with both arms count, with as much weight as they have treated
+    units. The error is that of a difference of weighted means within strata. ``dropped`` are rows in other strata.
+    """
+    rows = df.select(F.col(y).cast("double").alias("_y"), F.col(treatment).cast("double").alias("_t"), *(F.col(c).cast("double").alias(f"_c{k}") for k, c in enumerate(covariates))).dropna()
+    edges = rows.agg(*(f(f"_c{k}").alias(f"_{n}{k}") for k in range(len(covariates)) for n, f in (("lo", F.min), ("hi", F.max))))
+    cut = [F.least(F.floor((F.col(f"_c{k}") - F.col(f"_lo{k}")) / F.nullif((F.col(f"_hi{k}") - F.col(f"_lo{k}")) / bins, F.lit(0.0))), F.lit(bins - 1)).alias(f"_b{k}") for k in range(len(covariates))]
+    coarse = rows.crossJoin(F.broadcast(edges)).select("_y", "_t", *cut)  # one row of edges
+    yes, no = F.col("_t") == 1, F.col("_t") == 0
+    each = coarse.groupBy(*(f"_b{k}" for k in range(len(covariates)))).agg(
+        F.sum(yes.cast("long")).alias("n1"), F.sum(no.cast("long")).alias("n0"), F.avg(F.when(yes, F.col("_y"))).alias("m1"), F.avg(F.when(no, F.col("_y"))).alias("m0"),
+        F.var_pop(F.when(yes, F.col("_y"))).alias("v1"), F.var_pop(F.when(no, F.col("_y"))).alias("v0"),
+    )
+    both = (F.col("n1") > 0) & (F.col("n0") > 0)
+    w = F.when(both, F.col("n1"))
+    total = F.sum(w)
+    return each.agg(
+        (F.sum(w * (F.col("m1") - F.col("m0"))) / total).alias("att"), (F.sqrt(F.sum(w * w * (F.col("v1") / F.col("n1") + F.col("v0") / F.col("n0")))) / total).alias("se"),
+        F.count(w).alias("strata"), total.alias("treated"), F.sum(F.when(both, F.col("n0"))).alias("controls"), F.sum(F.when(~both, F.col("n1") + F.col("n0")).otherwise(0)).alias("dropped"),
+    )
+
+
 def learner(kind: str, classify: bool, label: str, seed: int = 42):
     """Nuisance models: linear (or logit), lasso, random forest, boosted trees."""
     roles = {"featuresCol": "_x", "labelCol": label}

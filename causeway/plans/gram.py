@@ -56,8 +56,9 @@ class Gram:
     def __init__(self, df: DataFrame, entity: str, time: str | None, outcome: str, columns: dict[str, Column] | list[str], periods: list | None = None):
         columns = {c: F.col(c) for c in columns} if isinstance(columns, list) else columns
         rows = df.select(F.col(entity).alias("_e"), *([F.col(time).alias("_t")] if time else []), F.col(outcome).cast("double").alias("_y"), *(c.cast("double").alias(f"_x{k}") for k, c in enumerate(columns.values())))
-        rows = rows.dropna()
-        self.entity = entity
+        # read twice, for the means and for the sums; let go once the blocks are there
+        rows = self.rows = rows.dropna().persist()
+        self.entity, self.kept = entity, False
         raw = [f"_x{k}" for k in range(len(columns))] + ["_y"]
         # one pass for the periods, which are few, and the means: sums of squares of centred values lose no digits
         means = rows.agg(*(F.avg(c).alias(c) for c in raw), *([F.collect_set("_t").alias("_t")] if time else [])).first()
@@ -77,9 +78,15 @@ class Gram:
         self.blocks = by.select("_e", "n", F.array(*within).alias("g"))
 
     def persist(self) -> "Gram":
-        self.blocks = self.blocks.persist()
+        self.blocks, self.kept = self.blocks.persist(), True
         return self
 
+    def free(self) -> None:
+        """Gives back what is cached; results that were collected stay."""
+        self.rows.unpersist()
+        if self.kept:
+            self.blocks.unpersist()
+
     def _square(self, upper) -> np.ndarray:
         g = np.zeros((self.k, self.k))
         i = np.triu_indices(self.k)
@@ -98,6 +105,8 @@ class Gram:
             yield pd.DataFrame({"g": [list(g)] if e else [None], "n": [n], "e": [e]})
 
         parts = self.blocks.select("g", "n").mapInPandas(run, "g array<double>, n long, e long").where("e > 0").collect()  # one row per partition
+        if self.kept:
+            self.rows.unpersist()
         g = np.sum([p["g"] for p in parts], axis=0) if parts else np.zeros(self.k * (self.k + 1) // 2)
         return self._square(g), sum(p["n"] for p in parts), sum(p["e"] for p in parts)
 
@@ -141,20 +150,22 @@ class Gram:
         return fit.bread @ meat @ fit.bread * factor, e - 1
 
     def leave_one_out(self, name: str) -> DataFrame:
-        """(entity, coef): the coefficient without each entity, from the total less its block; solved in batches."""
+        """(entity, coef): the coefficient without each entity, from the total less its block; solved many at once."""
         g, _, _ = self.total
         k, at = self.names.index(name), np.triu_indices(self.k)
         scale = np.sqrt(np.maximum(np.diag(g)[:-1], 1e-300))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            step = max(1, (1 << 22) // g.size)  # 32 MB of matrices at once
             for batch in batches:
-                out = np.empty(len(batch))
-                for i, upper in enumerate(batch["g"]):
-                    own = np.zeros_like(g)
-                    own[at] = upper
-                    rest = g - (own + own.T - np.diag(np.diag(own)))
-                    out[i] = (np.linalg.pinv(rest[:-1, :-1] / np.outer(scale, scale), rcond=1e-11, hermitian=True) @ (rest[:-1, -1] / scale) / scale)[k]
-                yield pd.DataFrame({"entity": batch["_e"].array, "coef": out})
+                for lo in range(0, len(batch), step):
+                    part = batch.iloc[lo : lo + step]
+                    own = np.zeros((len(part), *g.shape))
+                    own[:, at[0], at[1]] = np.stack(part["g"].to_list())
+                    own[:, at[1], at[0]] = own[:, at[0], at[1]]
+                    rest = g - own
+                    inverses = np.linalg.pinv(rest[:, :-1, :-1] / np.outer(scale, scale), rcond=1e-11, hermitian=True)
+                    yield pd.DataFrame({"entity": part["_e"].array, "coef": (inverses[:, k] * (rest[:, :-1, -1] / scale)).sum(axis=1) / scale[k]})
 
         kind = self.blocks.schema["_e"].dataType.simpleString()
         return self.blocks.select("_e", "g").mapInPandas(run, f"entity {kind}, coef double")

@@ -45,9 +45,23 @@ def placebo_permutation(df: DataFrame, spec: PanelSpec, draws: int = 500, seed:
     treated = df.groupBy(F.col(spec.entity).alias("_e")).agg(F.max(F.col(spec.treated)).alias("d")).agg(F.sum((F.col("d") > 0).cast("long"))).first()[0]
     k, rows = _draws(g, "post")
     key = order or (lambda e, s: F.xxhash64(e, s, F.lit(seed)))
-    every = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    # only (entity, draw) is sorted; the draws that chose an entity meet its block once
+    every = g.blocks.select("_e", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     ranked = every.withColumn("_r", F.row_number().over(Window.partitionBy("draw").orderBy(key(F.col("_e"), F.col("draw")), "_e")))
-    sums = ranked.where(F.col("_r") <= F.lit(treated)).groupBy("draw").agg(F.array(*(F.sum(f"b{j}") for j in range(g.k))).alias("b"))
+    chosen = ranked.where(F.col("_r") <= F.lit(treated)).groupBy("_e").agg(F.collect_list("draw").alias("draws"))
+
+    def add(batches):
+        import pandas as pd
+
+        total = np.zeros((draws, g_k))
+        for batch in batches:
+            for own, b in zip(batch["draws"], batch["b"]):
+                total[np.asarray(own, np.int64) - 1] += np.asarray(b)
+        yield pd.DataFrame({"draw": np.arange(1, draws + 1, dtype=np.int32), "b": list(total)})
+
+    g_k = g.k
+    parts = rows.select("_e", F.array(*(f"b{j}" for j in range(g.k))).alias("b")).join(chosen, "_e").select("draws", "b").mapInPandas(add, "draw int, b array<double>")
+    sums = parts.groupBy("draw").agg(F.array(*(F.sum(F.get("b", F.lit(j))) for j in range(g.k))).alias("b"))
     cols = [j for j in range(g.k - 1) if j != k]
 
     def run(batches):
@@ -120,7 +134,7 @@ def oster_bounds(df: DataFrame, spec: PanelSpec, factor: float = 1.3) -> DataFra
     g = did_gram(df, spec).persist()
     tss = df.select(F.col(spec.outcome).cast("double").alias("y"), interaction(spec).alias("d"), spec.time, *spec.controls).dropna().agg(F.var_pop("y") * F.count("y")).first()[0]
     short, full = g.fit(["did"]), g.fit()
-    g.blocks.unpersist()
+    g.free()
     r = [1 - f.rss / tss for f in (short, full)]
     b = [float(f.beta[f.names.index("did")]) for f in (short, full)]
     most = min(factor * r[1], 0.99)
@@ -138,7 +152,7 @@ def coefficient_stability(df: DataFrame, spec: PanelSpec) -> DataFrame:
     for k in range(len(spec.controls) + 1):
         fit = g.fit(["did", *spec.controls[:k]])
         rows.append({"step": k, "added": spec.controls[k - 1] if k else "none", **fit.row("did")})
-    g.blocks.unpersist()
+    g.free()
     size = [abs(r["coef"]) for r in rows]
     stable = len({r["coef"] > 0 for r in rows}) == 1 and max(size) < 2 * min(size)
     return frame(df, [r | {"stable": stable} for r in rows], "step int, added string, coef double, se double, t double, p double, stable boolean")
@@ -152,6 +166,7 @@ def placebo_in_time(df: DataFrame, spec: PanelSpec, first: int, shifts: tuple[in
         fake = before.withColumn("_fake", (F.col(spec.time) >= first + s).cast("double"))
         g = Gram(fake, spec.entity, spec.time, spec.outcome, {"did": F.col(spec.treated).cast("double") * F.col("_fake"), **{c: F.col(c) for c in spec.controls}})
         total, n, _ = g.total
+        g.free()
         fit = g.fit()
         usable = n > 0 and total[0, 0] > 0 and fit.df > 0
         rows.append({"shift": s, "n": n, "status": "ok" if usable else "no variation", **({k: v for k, v in fit.row("did").items() if k != "t"} if usable else {})})
@@ -159,27 +174,10 @@ def placebo_in_time(df: DataFrame, spec: PanelSpec, first: int, shifts: tuple[in
 
 
 def rosenbaum_bounds(df: DataFrame, outcome: str, treatment: str, covariates: list[str], unit: str, gammas: tuple[float, ...] = (1, 1.2, 1.5, 1.8, 2, 2.5, 3)) -> DataFrame:
-    """Signed-rank bounds after matching each treated unit to the control with the nearest propensity.
+    """Signed-rank bounds after matching each treated unit to the control with the nearest propensity."""
+    from causeway.plans.dml import matched
 
-    The nearest control is found by one sort: the last control before and the first after each treated
-    unit, the nearer of the two (the earlier on ties).
-    """
-    from causeway.plans.dml import propensity
-
-    scored = propensity(df, treatment, covariates, keep=[outcome, unit])
-    bins = scored.withColumn("_bin", F.floor(F.col("ps") * 64))
-    edge = Window.partitionBy("_bin").orderBy("ps", "_t", F.col(unit))
-    back = Window.partitionBy("_bin").orderBy(F.desc("ps"), "_t", F.col(unit))  # a growing frame; one that shrinks costs the square
-    is_c = F.col("_t") == 0
-    ctrl = F.when(is_c, F.struct(F.col("ps").alias("p"), F.col(outcome).alias("y")))
-    ends = bins.where("_t = 0").groupBy("_bin").agg(F.max(F.struct(F.col("ps").alias("p"), F.col(unit).alias("u"), F.col(outcome).alias("y"))).alias("last"), F.min(F.struct(F.col("ps").alias("p"), F.col(unit).alias("u"), F.col(outcome).alias("y"))).alias("first"))
-    slots = df.sparkSession.range(65).select(F.col("id").alias("_bin"))  # a fixed number of bins
-    carry = slots.join(ends, "_bin", "left").select("_bin", F.last("last", True).over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)).alias("_lo"), F.first("first", True).over(Window.orderBy("_bin").rowsBetween(1, Window.unboundedFollowing)).alias("_hi"))
-    near = bins.withColumn("_b", F.last(ctrl, True).over(edge)).withColumn("_a", F.last(ctrl, True).over(back)).where("_t = 1").join(F.broadcast(carry), "_bin", "left")
-    b = F.coalesce("_b", F.when(F.col("_lo").isNotNull(), F.struct(F.col("_lo.p").alias("p"), F.col("_lo.y").alias("y"))))
-    a = F.coalesce("_a", F.when(F.col("_hi").isNotNull(), F.struct(F.col("_hi.p").alias("p"), F.col("_hi.y").alias("y"))))
-    chosen = F.when(b.isNull() | (F.abs(a["p"] - F.col("ps")) < F.abs(F.col("ps") - b["p"])), a).otherwise(b)
-    diffs = near.select((F.col(outcome) - chosen["y"]).alias("diff")).where("diff is not null and diff <> 0")
+    diffs = matched(df, outcome, treatment, covariates, unit).select((F.col("y") - F.col("match_y")).alias("diff")).where("diff <> 0")
     # ranks of |diff| with ties averaged, from counts of distinct values
     sizes = diffs.groupBy(F.abs("diff").alias("a")).agg(F.count(F.lit(1)).alias("k"), F.sum((F.col("diff") > 0).cast("long")).alias("up"))
     cum = F.sum("k").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1))
@@ -197,7 +195,9 @@ def rosenbaum_bounds(df: DataFrame, outcome: str, treatment: str, covariates: li
 
 def randomization_inference(df: DataFrame, spec: PanelSpec, draws: int = 500, seed: int = 42, order=None) -> DataFrame:
     """Permutation p-value of the estimate itself."""
-    actual = did_gram(df, spec).fit()
+    g = did_gram(df, spec)
+    actual = g.fit()
+    g.free()
     return placebo_summary(placebo_permutation(df, spec, draws, seed, order), float(actual.beta[actual.names.index("did")]))
 
 

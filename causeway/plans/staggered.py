@@ -136,6 +136,7 @@ def sun_abraham(df: DataFrame, spec: PanelSpec, n_pre: int = 4, n_post: int = 4)
     dummies = {f"{g}:{r}": F.coalesce(((F.col(spec.first_treated) == g) & (F.col("_rel") == r)).cast("double"), F.lit(0.0)) for g, r in used}
     gram = Gram(x, spec.entity, spec.time, spec.outcome, {**dummies, **{c: F.col(c) for c in spec.controls}})
     fit = gram.fit()
+    gram.free()
     rows = []
     for r in sorted({r for _, r in used}):
         own = [(fit.names.index(f"{g}:{q}"), cells[g, q]) for g, q in used if q == r]

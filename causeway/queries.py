@@ -505,6 +505,22 @@ def ipw_and_aipw(spark, sf):
     return dml.weighting(_items(spark, sf), "y", "d", ["size", "quantity"])
 
 
+@query()
+def psm_matching(spark, sf):
+    return dml.psm(_items(spark, sf), "y", "d", ["size", "quantity"], "u")
+
+
+@query(f"""
+    WITH r AS ({LINE_ITEMS_SQL}), e AS (SELECT min(size) AS l1, max(size) AS h1, min(quantity) AS l2, max(quantity) AS h2 FROM r),
+    c AS (SELECT least(floor((size - l1) / ((h1 - l1) / 5)), 4) AS b1, least(floor((quantity - l2) / ((h2 - l2) / 5)), 4) AS b2, d, y FROM r, e),
+    s AS (SELECT b1, b2, count(*) FILTER (d = 1) AS n1, count(*) FILTER (d = 0) AS n0, avg(y) FILTER (d = 1) AS m1, avg(y) FILTER (d = 0) AS m0, var_pop(y) FILTER (d = 1) AS v1, var_pop(y) FILTER (d = 0) AS v0 FROM c GROUP BY b1, b2)
+    SELECT round(sum(n1 * (m1 - m0)) FILTER (n1 > 0 AND n0 > 0) / sum(n1) FILTER (n1 > 0 AND n0 > 0), 4) AS att, round(sqrt(sum(n1 * n1 * (v1 / n1 + v0 / n0)) FILTER (n1 > 0 AND n0 > 0)) / sum(n1) FILTER (n1 > 0 AND n0 > 0), 4) AS se,
+           count(*) FILTER (n1 > 0 AND n0 > 0) AS strata, (sum(n1) FILTER (n1 > 0 AND n0 > 0))::BIGINT AS treated, (sum(n0) FILTER (n1 > 0 AND n0 > 0))::BIGINT AS controls, coalesce(sum(n1 + n0) FILTER (n1 = 0 OR n0 = 0), 0)::BIGINT AS dropped FROM s
+""")
+def cem_matching(spark, sf):
+    return rounded(dml.cem(_items(spark, sf), "y", "d", ["size", "quantity"]), 4)
+
+
 @query()
 def propensity_overlap(spark, sf):
     return dml.overlap(_items(spark, sf), "d", ["size", "quantity"])
@@ -623,6 +639,33 @@ def impute_sporadic(spark, sf):
     return rounded(clean.impute_sporadic(_holes(spark, sf).select("entity_id", "year", "y"), "entity_id", "year", "y"))
 
 
+@query(f"""
+    WITH h AS (SELECT *, lag(y) OVER w AS a, lead(y) OVER w AS b, row_number() OVER w AS i, count(*) OVER (PARTITION BY entity_id) AS n, count(y) OVER (PARTITION BY entity_id) AS k FROM {_HOLES} WINDOW w AS (PARTITION BY entity_id ORDER BY year)),
+    s AS (SELECT count(DISTINCT entity_id) AS entities, count(*) - count(y) AS missing, count(*) AS n, count(DISTINCT entity_id) FILTER (k = 0) AS systematic, count(*) FILTER (k > 0 AND y IS NULL AND i > 1 AND i < n AND a IS NOT NULL AND b IS NOT NULL) AS sporadic,
+                 count(*) FILTER (k > 0 AND y IS NULL AND (i = 1 AND b IS NOT NULL OR i = n AND a IS NOT NULL)) AS boundary, count(*) FILTER (k > 0 AND y IS NULL AND (i = 1 OR a IS NOT NULL) AND i < n AND b IS NULL) AS gap_runs FROM h)
+    SELECT 'y' AS variable, missing, round(100.0 * missing / n, 4)::DOUBLE AS pct, entities, systematic, sporadic, boundary, gap_runs,
+           CASE WHEN systematic > 0.3 * entities THEN 'warn_systematic' WHEN sporadic > 0.3 * entities THEN 'warn_sporadic' WHEN gap_runs > 0 THEN 'has_gaps' WHEN missing > 0 THEN 'minor' ELSE 'ok' END AS verdict FROM s
+""")
+def missing_verdicts(spark, sf):
+    return clean.missing_verdicts(_holes(spark, sf), "entity_id", "year", ["y"])
+
+
+@query(f"SELECT entity_id, year, round(last_value(y IGNORE NULLS) OVER (PARTITION BY entity_id ORDER BY year), 6) AS y FROM {_HOLES}")
+def forward_filled(spark, sf):
+    return rounded(clean.forward_fill(_holes(spark, sf).select("entity_id", "year", "y"), "entity_id", "year", ["y"]))
+
+
+@query(f"SELECT entity_id, year FROM (SELECT entity_id, year, row_number() OVER (PARTITION BY entity_id ORDER BY year) AS r FROM ({USER_DAY_SQL.replace('day(ts) AS day', 'day(ts) AS year')})) WHERE r <= 3")
+def first_days(spark, sf):
+    return clean.head_samples(panels.user_day(spark, sf).select("entity_id", F.col("day").alias("year")), "entity_id", "year", 3)
+
+
+@query("SELECT n_nationkey AS key, CASE WHEN n_nationkey < 5 THEN (SELECT r_name FROM region WHERE r_regionkey = n_nationkey) ELSE n_name END AS name FROM nation")
+def ordered_union(spark, sf):
+    r = table(spark, sf, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))
+    return clean.ordered_union([r, table(spark, sf, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")), r], "key")
+
+
 @query(f"""
     WITH p AS ({SUPPLIER_YEAR_SQL}), a AS (SELECT entity_id, year, y FROM p WHERE entity_id % 3 <> 0), b AS (SELECT entity_id, year, quantity FROM p WHERE year > 1996), c AS (SELECT entity_id, year, discount FROM p WHERE (entity_id + year) % 2 = 0)
     SELECT entity_id, year, round(y, 6) AS y, round(quantity, 6) AS quantity, round(discount, 6) AS discount FROM a FULL JOIN b USING (entity_id, year) FULL JOIN c USING (entity_id, year)
@@ -838,6 +881,23 @@ def data_requirements(spark, sf):
     return reshape.requirements(reshape.match_concepts(concepts, catalogue), concepts)
 
 
+_CONCEPTS = [("steel_x", "a survey of metals", "city", "cn"), ("zzz_qq", "zzz qq", "province", "cn"), ("pilot_y", "a pilot policy", None, None), ("got_it", "there already", None, None)]
+
+
+@query("""
+    SELECT min(p_type) AS name, 'available' AS section, min(p_type) AS key, 0.65::DOUBLE AS score, min(p_type) || ', ' || min(p_type) AS alternatives, 'A' AS tier, NULL::VARCHAR AS suggestion FROM part
+    UNION ALL VALUES ('got_it', 'fetched', NULL, NULL, NULL, 'A', NULL), ('steel_x', 'needed', NULL, NULL, NULL, 'B', 'survey data, after registration'), ('zzz_qq', 'needed', NULL, NULL, NULL, 'C', 'statistical yearbooks, or by hand'),
+        ('pilot_y', 'needed', NULL, NULL, NULL, 'C', 'policy documents, by hand')
+""")
+def data_gaps(spark, sf):
+    parts = table(spark, sf, "part")
+    known = parts.agg(F.min("p_type")).first()[0]
+    needs = spark.createDataFrame([(known, "a kind of part", None, None), *_CONCEPTS], "name string, description string, level string, place string")
+    catalogue = parts.select(F.col("p_type").alias("key"), F.col("p_brand").alias("description"), F.lit("yearly").alias("level")).distinct()
+    found = reshape.search_catalogue(needs.select(F.col("name").alias("query"), F.lit("yearly").alias("level")), catalogue, 3)
+    return reshape.gap_report(needs, found, spark.createDataFrame([("got_it", "cached")], "name string, status string"))
+
+
 @query("SELECT page_id, list_distinct(regexp_extract_all(html, '(?i)href\\s*=\\s*[\"'']([^\"''#]+)', 1)).len() AS links FROM pages")
 def page_links(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.size(F.array_distinct(text.links(F.col("html")))).cast("long").alias("links"))

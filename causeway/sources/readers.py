@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from causeway.functions.text import iso_date
+from causeway.sources.sinks import exists
 
 LONG = "entity_id string, year int, value double"
 
@@ -35,6 +36,30 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     raise ValueError(f"unknown kind of file: {path}")
 
 
+def resolve(spark: SparkSession, path: str, merged: str) -> str:
+    """``path``, or the file of that name in the folder ``merged`` where only that exists."""
+    other = f"{merged.rstrip('/')}/{path.rstrip('/').rsplit('/', 1)[-1]}"
+    return other if not exists(spark, path) and exists(spark, other) else path
+
+
+def entity_map(spark: SparkSession, path: str) -> DataFrame:
+    """(alias, code, position) of a JSON object {alias: code}, in its order; empty where there is no file."""
+    schema = "alias string, code string, position int"
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
+    return text.select(F.posexplode(F.map_entries("m"))).select(F.col("col.key").alias("alias"), F.col("col.value").alias("code"), F.col("pos").alias("position"))
+
+
+CATALOGUE_FIELDS = "struct<description:string,source:string,level:string,keywords:array<string>,notes:string>"
+
+
+def variable_map(spark: SparkSession, path: str) -> DataFrame:
+    """(key, description, source, level, keywords, notes) of a JSON object; keys that start with _ are comments."""
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.map_entries(F.from_json("value", "map<string,string>"))).alias("e")).where(~F.col("e.key").startswith("_"))
+    return raw.select(F.col("e.key").alias("key"), F.from_json("e.value", CATALOGUE_FIELDS).alias("v")).select("key", "v.*")
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
 

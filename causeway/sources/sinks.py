@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 
@@ -67,3 +68,34 @@ def retry(call: Callable, times: int = 3, base: float = 1.0, factor: float = 2.0
 def confidence_bands(effects: DataFrame) -> DataFrame:
     """What an event-study plot shows."""
     return effects.select("rel_time", "coef", (F.col("coef") - 1.96 * F.col("se")).alias("lo"), (F.col("coef") + 1.96 * F.col("se")).alias("hi"))
+
+
+def _stored(spark: SparkSession, path: str) -> str | None:
+    return spark.read.text(path, wholetext=True).first()["value"] if exists(spark, path) else None
+
+
+def load_state(spark: SparkSession, path: str) -> dict:
+    """The state of a pipeline's stages as written, or that of a new one."""
+    text = _stored(spark, path)
+    return json.loads(text) if text else {"pipeline": {"started": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "current_stage": 0, "completed_stages": []}, "stages": {}}
+
+
+def save_state(spark: SparkSession, state: dict, path: str) -> None:
+    """Writes the document through Hadoop's file system: first beside, then in place of the old one."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target, draft = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    fs = target.getFileSystem(conf)
+    out = fs.create(draft, True)
+    out.write(bytearray(json.dumps(state, ensure_ascii=False, indent=2, default=str).encode()))
+    out.close()
+    fs.delete(target, False)
+    fs.rename(draft, target)
+
+
+def mark_stage_complete(spark: SparkSession, state: dict, stage: int, result: dict, path: str) -> dict:
+    """The state with a stage's result, written as well; a stage done again replaces its result and counts once."""
+    done = sorted({*state["pipeline"].get("completed_stages", []), stage})
+    pipeline = {**state["pipeline"], "current_stage": stage, "completed_stages": done, "last_updated": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}
+    new = {**state, "pipeline": pipeline, "stages": {**state["stages"], f"stage{stage}": result}}
+    save_state(spark, new, path)
+    return new

@@ -48,6 +48,21 @@ def test_merge_and_normalise(spark):
     assert {r[0] for r in clean.normalise_entities(df, "entity_id", m).collect()} == {"330100", "330200", "nan", "", None, "北京"}
 
 
+def test_names_by_likeness(spark):
+    """Matching blocks, not edits: as difflib tells, the first of equals, parts before likeness."""
+    from difflib import SequenceMatcher
+
+    aliases = ["northern hills", "hills of the north", "eastshore", "westshore", "lake"]
+    m = spark.createDataFrame([(a, f"c{k}", k) for k, a in enumerate(aliases)], "alias string, code string, position int")
+    names = ["northern hill", "nothern hils", "estshore", "big lake town", "shores", "qqq", "x"]
+    got = dict(zip(names, [r[0] for r in clean.normalise_entities(spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k int, n string"), "n", m).orderBy("k").select("n").collect()]))
+    for n in names:
+        inside = [k for k, a in enumerate(aliases) if len(n) >= 2 and (n in a or a in n)]
+        ratios = [SequenceMatcher(None, n, a).ratio() for a in aliases]
+        want = inside[0] if inside else max(range(5), key=lambda k: ratios[k]) if max(ratios) >= 0.75 else None
+        assert got[n] == (n if want is None else f"c{want}")
+
+
 def test_validation(spark):
     rows = [(e, t, float(e + t), float(e % 2), float(t > 1), 2.0 if e % 2 else None) for e in range(4) for t in range(4)]
     spec = PanelSpec("e", "t", "y", "d", "p", "ft")
@@ -117,3 +132,37 @@ def test_html_tables(spark):
     pages = spark.createDataFrame([(1, html), (2, None), (3, "<p>none</p>")], "id int, html string")
     got = html_tables.statistical_values(html_tables.table_cells(pages, "id", "html"), "id", "GDP", 2020).collect()
     assert [tuple(r) for r in got] == [(1, "A", 2020, 3e4)]
+
+
+def test_gaps_maps_and_state(spark, tmp_path):
+    needs = spark.createDataFrame([("gdp", "output", "yearly", "cn"), ("a", "a survey", None, None), ("b", "pilot list", None, None), ("c", "x", "city", "cn"), ("d", "x", None, None), ("e", "x", None, None)], "name string, description string, level string, place string")
+    found = spark.createDataFrame([("gdp", "cn_gdp", 0.9, 1), ("gdp", "us_gdp", 0.6, 2), ("e", "k", 0.9, 1), ("d", "weak", 0.2, 1)], "query string, key string, score double, rank int")
+    fetched = spark.createDataFrame([("e", "cached"), ("c", "error")], "name string, status string")
+    report = reshape.gap_report(needs, found, fetched)
+    got = {r["name"]: (r["section"], r["key"], r["alternatives"], r["tier"]) for r in report.collect()}
+    assert got == {"gdp": ("available", "cn_gdp", "us_gdp", "A"), "a": ("needed", None, None, "B"), "b": ("needed", None, None, "C"), "c": ("needed", None, None, "C"), "d": ("needed", None, None, "B"), "e": ("fetched", None, None, "A")}
+    assert tuple(reshape.gap_summary(report).first()) == (1, 1, 4)
+    base = f"file://{tmp_path}"
+    (tmp_path / "m.json").write_text('{"杭州": "330100", "宁波": "330200"}', encoding="utf-8")
+    assert [tuple(r) for r in readers.entity_map(spark, f"{base}/m.json").orderBy("position").collect()] == [("杭州", "330100", 0), ("宁波", "330200", 1)]
+    assert readers.entity_map(spark, f"{base}/none.json").count() == 0
+    (tmp_path / "v.json").write_text('{"_note": "x", "gdp": {"description": "output", "keywords": ["a"], "level": "yearly"}}')
+    assert [(r["key"], r["description"], r["keywords"]) for r in readers.variable_map(spark, f"{base}/v.json").collect()] == [("gdp", "output", ["a"])]
+    assert readers.resolve(spark, f"{base}/x/m.json", base) == f"{base}/m.json" and readers.resolve(spark, f"{base}/m.json", base) == f"{base}/m.json"
+    state = sinks.load_state(spark, f"{base}/state.json")
+    for stage in (3, 2, 3):
+        state = sinks.mark_stage_complete(spark, state, stage, {"n": stage, "x": "é"}, f"{base}/state.json")
+    again = sinks.load_state(spark, f"{base}/state.json")
+    assert again == state and again["pipeline"]["completed_stages"] == [2, 3] and again["stages"]["stage3"]["x"] == "é"
+
+
+def test_small_helpers(spark):
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, None), ("b", 1, None)], "entity_id string, year int, v double")
+    assert clean.numeric_columns(df) == ["v"]
+    x, name = clean.first_treated_column(df, "2018")
+    assert x.first()[name] == 2018.0 and clean.first_treated_column(df, "v")[1] == "v"
+    with pytest.raises(ValueError):
+        clean.first_treated_column(df, "when")
+    assert {tuple(r) for r in clean.forward_fill(df, "entity_id", "year", ["v"]).collect()} == {("a", 1, 1.0), ("a", 2, 1.0), ("b", 1, None)}
+    assert [tuple(r) for r in clean.forward_fill(df, None, "year", ["v"]).where("entity_id = 'a'").collect()][0] == ("a", 1, 1.0)
+    assert column(spark, ["房价和收入", "x"], text.expand_query) == ["房价和收入 income disposable wage earnings house price real estate housing", "x"]
