@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from causeway.functions.stats import normal_p
 from causeway.plans.cross_section import effect_distribution
 from causeway.plans.did import frame
-from causeway.plans.gram import ols
+from causeway.plans.gram import logit, ols
 
 
 def _vector(df: DataFrame, features: list[str], name: str = "_x") -> DataFrame:
@@ -25,11 +25,13 @@ def propensity(df: DataFrame, treatment: str, covariates: list[str], keep: list[
     arms = rows.agg(F.avg("_t"), F.count("_t")).first()
     if not covariates or not arms[1] or arms[0] in (0.0, 1.0):
         return rows.select(*keep, "_t", F.lit(arms[0]).alias("ps"))
-    x = _vector(rows, [f"_c{i}" for i in range(len(covariates))], "_raw")
-    x = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True).fit(x).transform(x)
-    model = LogisticRegression(featuresCol="_x", labelCol="_t", regParam=penalty, maxIter=50).fit(x)
-    p = vector_to_array("probability")[1]
-    return model.transform(x).select(*keep, "_t", F.greatest(F.least(p, F.lit(high)), F.lit(low)).alias("ps"))
+    names = [f"_c{i}" for i in range(len(covariates))]
+    m = rows.agg(*(f(c).alias(f"{n}{c}") for c in names for n, f in (("m", F.avg), ("s", F.stddev_samp)))).first()
+    x = rows.select(*keep, "_t", *(((F.col(c) - F.lit(m[f"m{c}"])) / F.lit(m[f"s{c}"] or 1.0)).alias(c) for c in names)).persist()
+    beta = logit(x, "_t", names, penalty)
+    x.unpersist()
+    p = 1 / (1 + F.exp(-sum((F.lit(float(b)) * F.col(c) for b, c in zip(beta[1:], names)), F.lit(float(beta[0])))))
+    return x.select(*keep, "_t", F.greatest(F.least(p, F.lit(high)), F.lit(low)).alias("ps"))
 
 
 def overlap(df: DataFrame, treatment: str, covariates: list[str]) -> DataFrame:
@@ -135,11 +137,11 @@ def _predicted(model, df: DataFrame, classify: bool, name: str) -> DataFrame:
     return out.withColumn(name, value).drop(*extra)
 
 
-def cross_fitted(df: DataFrame, y: str, treatment: str, features: list[str], unit: str, folds: int = 5, kind: str = "linear") -> DataFrame:
-    """Rows with residuals _ry and _rt from models fitted on the other folds; a unit's fold comes from a hash of its id."""
+def cross_fitted(df: DataFrame, y: str, treatment: str, features: list[str], unit: str, folds: int = 5, kind: str = "linear", fold=None) -> DataFrame:
+    """Rows with residuals _ry and _rt from models fitted on the other folds; a unit's fold comes from a hash of its id, or is the column ``fold``."""
     distinct = df.select(treatment).distinct().limit(3).count()
     classify = distinct <= 2 and kind != "linear"
-    rows = df.dropna(subset=[y, treatment, *features]).withColumn("_fold", F.pmod(F.xxhash64(unit), F.lit(folds)))
+    rows = df.dropna(subset=[y, treatment, *features]).withColumn("_fold", F.pmod(F.xxhash64(unit), F.lit(folds)) if fold is None else fold)
     x = _vector(rows.withColumn("_yd", F.col(y).cast("double")).withColumn("_td", F.col(treatment).cast("double")), features).persist()
     out = None
     for k in range(folds):
@@ -150,9 +152,9 @@ def cross_fitted(df: DataFrame, y: str, treatment: str, features: list[str], uni
     return out.select("*", (F.col("_yd") - F.col("_my")).alias("_ry"), (F.col("_td") - F.col("_mt")).alias("_rt"))
 
 
-def dml(df: DataFrame, y: str, treatment: str, features: list[str], unit: str, folds: int = 5, kind: str = "linear") -> DataFrame:
+def dml(df: DataFrame, y: str, treatment: str, features: list[str], unit: str, folds: int = 5, kind: str = "linear", fold=None) -> DataFrame:
     """Partially linear model: mean over folds of E[rt ry]/E[rt^2], error from the influence function."""
-    r = cross_fitted(df, y, treatment, features, unit, folds, kind)
+    r = cross_fitted(df, y, treatment, features, unit, folds, kind, fold)
     by = r.groupBy("_fold").agg((F.avg(F.col("_rt") * F.col("_ry")) / F.nullif(F.avg(F.col("_rt") ** 2), F.lit(0.0))).alias("theta"))
     theta = by.agg(F.avg("theta")).first()[0]
     a = r.agg(F.avg(F.col("_rt") ** 2).alias("j"), F.avg((F.col("_rt") * (F.col("_ry") - F.lit(theta) * F.col("_rt"))) ** 2).alias("v"), F.count("_rt").alias("n"), (1 - F.sum(F.col("_ry") ** 2) / (F.var_pop("_yd") * F.count("_yd"))).alias("r2_y"), (1 - F.sum(F.col("_rt") ** 2) / (F.var_pop("_td") * F.count("_td"))).alias("r2_t")).first()
@@ -160,9 +162,9 @@ def dml(df: DataFrame, y: str, treatment: str, features: list[str], unit: str, f
     return frame(df, [{"theta": theta, "se": se, "p": normal_p(theta / se) if se else None, "n": a["n"], "r2_y": a["r2_y"], "r2_t": a["r2_t"]}], "theta double, se double, p double, n long, r2_y double, r2_t double")
 
 
-def linear_cate(df: DataFrame, y: str, treatment: str, features: list[str], unit: str, folds: int = 5, kind: str = "linear") -> DataFrame:
+def linear_cate(df: DataFrame, y: str, treatment: str, features: list[str], unit: str, folds: int = 5, kind: str = "linear", fold=None) -> DataFrame:
     """(term, coef, se, t, p): residual on residual x [1, features]: how the effect varies with the features."""
-    r = cross_fitted(df, y, treatment, features, unit, folds, kind)
+    r = cross_fitted(df, y, treatment, features, unit, folds, kind, fold)
     terms = {"effect": F.col("_rt"), **{f"effect:{c}": F.col("_rt") * F.col(c) for c in features}}
     fit = ols(r, F.col("_ry"), terms)
     return frame(df, [{"term": x, **fit.row(x, normal=True)} for x in fit.names if x != "const"], "term string, coef double, se double, t double, p double")

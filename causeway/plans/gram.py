@@ -244,3 +244,33 @@ class Moments:
 def ols(df: DataFrame, y: Column, xs: dict[str, Column], weight: Column | None = None) -> Ols:
     """Weighted least squares with a constant, from an aggregation for the means and one for the products."""
     return Moments(df, {**xs, "_y": y}, weight).ols("_y", ["const", *xs])
+
+
+def logit(df: DataFrame, y: str, xs: list[str], penalty: float = 0.0, rounds: int = 30) -> np.ndarray:
+    """Coefficients [constant, xs] of a logistic regression by Newton's method, one aggregation a round.
+
+    ``penalty`` is half the weight of the squared coefficients (without the constant) against the mean of the
+    log-likelihood. Rows with a null are left out. Only k x k sums reach the driver.
+    """
+    cols = [F.lit(1.0), *(F.col(c).cast("double") for c in xs)]
+    k, b = len(cols), np.zeros(len(cols))
+    rows = df.select(F.col(y).cast("double").alias("_y"), *(c.alias(f"z{i}") for i, c in enumerate(cols))).dropna()
+    z = [F.col(f"z{i}") for i in range(k)]
+    ridge = np.diag([0.0, *[penalty] * (k - 1)]) + 1e-12 * np.eye(k)
+    for _ in range(rounds):
+        score = sum((F.lit(float(v)) * c for v, c in zip(b, z)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-F.greatest(F.least(score, F.lit(30.0)), F.lit(-30.0))))
+        at = rows.withColumn("_p", p).withColumn("_w", F.col("_p") * (1 - F.col("_p")))
+        sums = [F.sum(F.col("_w") * z[i] * z[j]) for i in range(k) for j in range(i, k)] + [F.sum((F.col("_y") - F.col("_p")) * c) for c in z]
+        r = at.agg(F.count(F.lit(1)), *sums).first()
+        n, values = r[0], np.array([x or 0.0 for x in r[1:]])
+        if not n:
+            return b
+        h = np.zeros((k, k))
+        h[np.triu_indices(k)] = values[:-k] / n
+        h = h + h.T - np.diag(np.diag(h)) + ridge
+        step = np.linalg.solve(h, values[-k:] / n - ridge @ b)
+        b = b + np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-10:
+            break
+    return b

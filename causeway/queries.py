@@ -12,7 +12,7 @@ from causeway.functions import stats, text
 from causeway.operators import clean, html_tables, reshape, validate
 from causeway.panels import LINE_ITEMS_SQL, NATION_YEAR_SQL, ORDERS_BY_BALANCE_SQL, SUPPLIER_YEAR_SQL, USER_DAY_SQL, table
 from causeway.plans import confirm, cross_section, decide, did, dml, robust, staggered, synthetic
-from causeway.regression_sql import moments, normal_p, sweep, t_p, within
+from causeway.regression_sql import moments, newton, normal_p, sweep, t_p, within
 from causeway.spec import Method, PanelSpec
 from causeway.sources import readers
 from causeway.streaming import panel_stream
@@ -305,9 +305,19 @@ def att_aggregates(spark, sf):
     return rounded(staggered.aggregate_att(staggered.att_gt(panels.supplier_year(spark, sf), PLAIN)), 5)
 
 
-@query()
+@query(f"""
+    WITH p AS MATERIALIZED ({SUPPLIER_YEAR_SQL}), g AS (SELECT DISTINCT first_treated AS g FROM p WHERE first_treated IS NOT NULL),
+    c0 AS (SELECT g, b.year::DOUBLE AS t, a.entity_id AS e, (a.first_treated IS NOT NULL)::INT AS d, b.y - a.y AS dy, a.quantity AS q, a.discount AS k
+           FROM g JOIN p a ON a.year = g - 1 AND (a.first_treated = g OR a.first_treated IS NULL) JOIN p b ON b.entity_id = a.entity_id AND b.year >= g),
+    c AS MATERIALIZED (SELECT g, t, e, d, dy, (q - avg(q) OVER w) / stddev_pop(q) OVER w AS x1, (k - avg(k) OVER w) / stddev_pop(k) OVER w AS x2 FROM c0 WINDOW w AS (PARTITION BY g, t)),
+    {newton("c", "d", ["x1", "x2"], "b", "g, t")}, {sweep(moments("(SELECT * FROM c WHERE d = 0)", ["1", "x1", "x2"], by="g, t", last=("dy",)), 3, "o", "g, t, n")},
+    r AS (SELECT c.g, c.t, d, dy - a0_3 - a1_3 * x1 - a2_3 * x2 AS r, greatest(least(1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))), 0.99), 0.01) AS ps FROM c JOIN b USING (g, t) JOIN o USING (g, t)),
+    w AS (SELECT g, t, d, r, d / avg(d) OVER k AS w1, ps * (1 - d) / (1 - ps) / avg(ps * (1 - d) / (1 - ps)) OVER k AS w0 FROM r WINDOW k AS (PARTITION BY g, t)),
+    m AS (SELECT *, avg(w1 * r) OVER k AS m1, avg(w0 * r) OVER k AS m0 FROM w WINDOW k AS (PARTITION BY g, t))
+    SELECT g, t, round(any_value(m1 - m0), 3) AS att, round(sqrt(var_pop(w1 * (r - m1) - w0 * (r - m0)) / count(*)), 3) AS se, count(*) FILTER (d = 1) AS n_treated, count(*) FILTER (d = 0) AS n_control FROM m GROUP BY g, t
+""")
 def att_doubly_robust(spark, sf):
-    return staggered.att_gt(panels.supplier_year(spark, sf), P1)
+    return rounded(staggered.att_gt(panels.supplier_year(spark, sf), P1), 3)
 
 
 @query(f"""
@@ -485,9 +495,32 @@ def _items(spark, sf):
     return panels.line_items(spark, sf).withColumn("u", F.col("order_id") * 10 + F.col("line"))
 
 
-@query()
+_FOLD = "(order_id * 7 + line) % 5"
+_FEATURES = ["size", "retail", "quantity", "discount"]
+
+
+def _residuals_sql(features: list[str]) -> str:
+    """CTEs up to ``r``: rows with fold f and residuals ry and rt of regressions on the other folds."""
+    centred = ", ".join(f"{c} - avg({c}) OVER () AS c{i}" for i, c in enumerate(features))
+    cols = ["1", *(f"c{i}" for i in range(len(features)))]
+    k = len(cols)
+    fit = lambda y: " + ".join(f"a{i}_{y} * {c}" for i, c in enumerate(cols))
+    return f"""
+        x AS MATERIALIZED (SELECT y, d, {", ".join(features)}, {_FOLD} AS f, {centred} FROM ({LINE_ITEMS_SQL})), o AS (SELECT x.*, k.f AS out_of FROM x JOIN (SELECT unnest(range(5)) AS f) k ON x.f <> k.f),
+        {sweep(moments("o", cols, by="out_of", last=("y", "d")), k, "m", "out_of, n", rest=2)}, r AS MATERIALIZED (SELECT x.*, y - ({fit(k)}) AS ry, d - ({fit(k + 1)}) AS rt FROM x JOIN m ON f = out_of)
+    """
+
+
+@query(f"""
+    WITH {_residuals_sql(_FEATURES)}, t AS (SELECT avg(th) AS theta FROM (SELECT avg(rt * ry) / avg(rt * rt) AS th FROM r GROUP BY f)),
+    a AS (SELECT any_value(theta) AS theta, avg(rt * rt) AS j, avg((rt * (ry - theta * rt)) ** 2) AS v, count(*) AS n, 1 - sum(ry * ry) / (var_pop(y) * count(*)) AS r2_y, 1 - sum(rt * rt) / (var_pop(d) * count(*)) AS r2_t FROM r, t),
+    s AS (SELECT *, sqrt(v / n) / j AS se FROM a), z AS (SELECT *, theta / se AS z FROM s)
+    SELECT round(theta, 4) AS theta, round(se, 4) AS se, round({normal_p("z")}, 4) AS p, n, round(r2_y, 6) AS r2_y, round(r2_t, 6) AS r2_t FROM z
+""")
 def dml_linear(spark, sf):
-    return dml.dml(_items(spark, sf), "y", "d", ["size", "retail", "quantity", "discount"], "u")
+    fold = (F.col("order_id") * 7 + F.col("line")) % 5
+    r = dml.dml(_items(spark, sf), "y", "d", _FEATURES, "u", fold=fold)
+    return r.select(*((F.round(c, 4) + 0.0).alias(c) for c in ("theta", "se", "p")), "n", *((F.round(c, 6) + 0.0).alias(c) for c in ("r2_y", "r2_t")))
 
 
 @query()
@@ -495,14 +528,27 @@ def dml_forest(spark, sf):
     return dml.dml(_items(spark, sf), "y", "d", ["size", "retail", "quantity", "discount"], "u", folds=2, kind="boosting")
 
 
-@query()
+@query(f"""
+    WITH {_residuals_sql(["size", "quantity"])}, {sweep(moments("r", ["1", "rt", "rt * size", "rt * quantity"], last=("ry",)), 4, "e")},
+    v AS ({" UNION ALL ".join(f"SELECT '{x}' AS term, a{i + 1}_4 AS coef, sqrt(a4_4 / (n - 4) * -a{i + 1}_{i + 1}) AS se FROM e" for i, x in enumerate(("effect", "effect:size", "effect:quantity")))}), t AS (SELECT *, coef / se AS t FROM v)
+    SELECT term, round(coef, 4) AS coef, round(se, 4) AS se, round(t, 4) AS t, round({normal_p("t")}, 4) AS p FROM t
+""")
 def dml_linear_cate(spark, sf):
-    return dml.linear_cate(_items(spark, sf), "y", "d", ["size", "quantity"], "u")
+    fold = (F.col("order_id") * 7 + F.col("line")) % 5
+    return rounded(dml.linear_cate(_items(spark, sf), "y", "d", ["size", "quantity"], "u", fold=fold), 4)
 
 
-@query()
+_SCALED = f"x AS MATERIALIZED (SELECT y, d, size, quantity, (size - avg(size) OVER ()) / stddev_samp(size) OVER () AS x1, (quantity - avg(quantity) OVER ()) / stddev_samp(quantity) OVER () AS x2 FROM ({LINE_ITEMS_SQL}))"
+
+
+@query(f"""
+    WITH {_SCALED}, {newton("x", "d", ["x1", "x2"], "b")}, {sweep(moments("(SELECT * FROM x WHERE d = 1)", ["1", "x1", "x2"]), 3, "m1")}, {sweep(moments("(SELECT * FROM x WHERE d = 0)", ["1", "x1", "x2"]), 3, "m0")},
+    p AS (SELECT y, d, greatest(least(1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))), 0.99), 0.01) AS ps, m1.a0_3 + m1.a1_3 * x1 + m1.a2_3 * x2 AS f1, m0.a0_3 + m0.a1_3 * x1 + m0.a2_3 * x2 AS f0 FROM x, b, m1, m0),
+    q AS (SELECT d * y / ps - (1 - d) * y / (1 - ps) AS ipw, f1 - f0 + d * (y - f1) / ps - (1 - d) * (y - f0) / (1 - ps) AS aipw FROM p)
+    SELECT 'ipw' AS estimator, round(avg(ipw), 3) AS ate, round(stddev_pop(ipw) / sqrt(count(*)), 3) AS se, count(*) AS n FROM q UNION ALL SELECT 'aipw', round(avg(aipw), 3), round(stddev_pop(aipw) / sqrt(count(*)), 3), count(*) FROM q
+""")
 def ipw_and_aipw(spark, sf):
-    return dml.weighting(_items(spark, sf), "y", "d", ["size", "quantity"])
+    return rounded(dml.weighting(_items(spark, sf), "y", "d", ["size", "quantity"]), 3)
 
 
 @query()
@@ -521,9 +567,14 @@ def cem_matching(spark, sf):
     return rounded(dml.cem(_items(spark, sf), "y", "d", ["size", "quantity"]), 4)
 
 
-@query()
+@query(f"""
+    WITH {_SCALED}, {newton("x", "d", ["x1", "x2"], "b", penalty=0.001)}, p AS (SELECT d, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS ps FROM x, b),
+    a AS (SELECT min(ps) FILTER (d = 1) AS t_lo, max(ps) FILTER (d = 1) AS t_hi, min(ps) FILTER (d = 0) AS c_lo, max(ps) FILTER (d = 0) AS c_hi FROM p),
+    s AS (SELECT *, greatest(least(t_hi, c_hi) - greatest(t_lo, c_lo), 0) / nullif(greatest(t_hi, c_hi) - least(t_lo, c_lo), 0) AS share FROM a)
+    SELECT round(t_lo, 6) AS t_lo, round(t_hi, 6) AS t_hi, round(c_lo, 6) AS c_lo, round(c_hi, 6) AS c_hi, round(coalesce(share, 1), 6) AS overlap, CASE WHEN share < 0.1 THEN 'FAIL' WHEN share < 0.5 THEN 'UNCERTAIN' ELSE 'PASS' END AS verdict FROM s
+""")
 def propensity_overlap(spark, sf):
-    return dml.overlap(_items(spark, sf), "d", ["size", "quantity"])
+    return rounded(dml.overlap(_items(spark, sf), "d", ["size", "quantity"]))
 
 
 @query()

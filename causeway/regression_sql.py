@@ -48,3 +48,25 @@ def normal_p(z: str) -> str:
 def t_p(t: str, v: str) -> str:
     """Two-sided p-value of Student's t with ``v`` degrees of freedom, by Simpson's rule up to 40."""
     return f"CASE WHEN {t} IS NULL THEN NULL WHEN abs({t}) > 40 THEN 0 ELSE greatest(0, 1 - 2 * abs({t}) / 6000 * exp(lgamma(({v} + 1) / 2.0) - lgamma({v} / 2.0)) / sqrt({v} * pi()) * list_sum([(CASE WHEN i % 2000 = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * (1 + ({t} * i / 2000.0) ** 2 / {v}) ** (-({v} + 1) / 2.0) FOR i IN range(0, 2001)])) END"
+
+
+def newton(source: str, y: str, cols: list[str], name: str, by: str = "", rounds: int = 9, penalty: float = 0.0) -> str:
+    """CTEs of a logistic regression of ``y`` on [1, cols] in the CTE ``source``, by group where ``by`` is given; ``name`` has b0, b1, ...
+
+    A step is a weighted regression of (y - p) / (p (1 - p)) with weights p (1 - p). ``penalty`` isn't on the constant.
+    """
+    k = len(cols) + 1
+    b = ", ".join(f"b{i}" for i in range(k))
+    key, join = (f"{by}, ", f"JOIN {{0}} USING ({by})") if by else ("", "CROSS JOIN {0}")
+    score = " + ".join(["b0", *(f"b{i + 1} * {c}" for i, c in enumerate(cols))])
+    out = [f"{name}0 AS MATERIALIZED (SELECT DISTINCT {key}{', '.join(f'0.0::DOUBLE AS b{i}' for i in range(k))} FROM {source})"]
+    for r in range(rounds):
+        at = f"(SELECT *, p * (1 - p) AS w, ({y} - p) / (p * (1 - p)) AS z FROM (SELECT *, 1 / (1 + exp(-({score}))) AS p FROM {source} {join.format(f'{name}{r}')}))"
+        start = moments(at, ["1", *cols], "w", by, ("z",))
+        if penalty:
+            own = ", ".join(f"a{i}_{i} + n * {penalty} AS a{i}_{i}, a{i}_{k} - n * {penalty} * b{i} AS a{i}_{k}" for i in range(1, k))
+            start = f"SELECT * REPLACE ({own}) FROM ({start}) {join.format(f'{name}{r}')}"
+        out.append(sweep(start, k, f"{name}s{r}", f"{key}n"))
+        step = ", ".join(f"b{i} + a{i}_{k} AS b{i}" for i in range(k))
+        out.append(f"{name if r == rounds - 1 else f'{name}{r + 1}'} AS MATERIALIZED (SELECT {key}{step} FROM {name}{r} {join.format(f'{name}s{r}')})")
+    return ", ".join(out)

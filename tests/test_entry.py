@@ -71,9 +71,9 @@ def test_draws_and_folds_are_the_defaults(spark, sf, monkeypatch):
     assert QUERIES["staggered_placebo"](spark, sf).count() == 200
     folds, fitted = [], dml.cross_fitted
 
-    def noted(df, y, treatment, features, unit, n, kind):
+    def noted(df, y, treatment, features, unit, n, kind, fold):
         folds.append(n)
-        return fitted(df, y, treatment, features, unit, n, kind)
+        return fitted(df, y, treatment, features, unit, n, kind, fold)
 
     monkeypatch.setattr(dml, "cross_fitted", noted)
     QUERIES["dml_linear_cate"](spark, sf)
