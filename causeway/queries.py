@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from causeway.panels import LINE_ITEMS_SQL, NATION_YEAR_SQL, ORDERS_BY_BALANCE_S
 from causeway.plans import confirm, cross_section, decide, did, dml, robust, staggered, synthetic
 from causeway.regression_sql import moments, newton, normal_p, sweep, t_p, within
 from causeway.spec import Method, PanelSpec
-from causeway.sources import readers
+from causeway.sources import readers, sinks
 from causeway.streaming import panel_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1131,10 +1132,6 @@ def evaluation_report(spark, sf):
 
 @query("SELECT user_id AS entity_id, date_trunc('day', ts)::TIMESTAMP AS start, count(value) AS n, round(sum(value), 6) AS total, round(sum(value * value), 6) AS squares FROM events GROUP BY ALL")
 def stream_entity_windows(spark, sf):
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    name = f"windows_{uuid.uuid4().hex}"
-    done = panel_stream.run_once(panel_stream.entity_windows(panel_stream.event_stream(spark, sf)), name, f"{shared}/stream-{name}")
+    folder = f"{sinks.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    done = panel_stream.run_once(panel_stream.entity_windows(panel_stream.event_stream(spark, sf)), f"{folder}/windows", f"{folder}/checkpoint")
     return rounded(done.withColumn("start", F.col("start").cast("timestamp_ntz")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import time
 from collections.abc import Callable
 
@@ -26,6 +27,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; a temporary one where it is unset on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or f"file://{tempfile.mkdtemp(prefix='causeway-')}").rstrip("/")
+
+
 def age_hours(spark: SparkSession, path: str) -> float | None:
     """Hours since the table was written; null if there is none."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.sources.sinks import exists
+
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
     """The events table as a stream."""
@@ -22,12 +24,20 @@ def entity_windows(events: DataFrame, late: str = "1 day", window: str = "1 day"
     return g.agg(F.count("value").alias("n"), F.sum("value").alias("total"), F.sum(F.col("value") * F.col("value")).alias("squares")).select("entity_id", F.col("w.start").alias("start"), "n", "total", "squares")
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there and gives the resulting table; for tests and backfills."""
+def run_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs a stream over all that is there and gives the resulting table; for tests and backfills.
+
+    Every batch has the complete result, which executors write to ``path`` (a folder all of them reach) in place of the
+    one before; nothing of it is collected. A stream without any data gives an empty table.
+    """
     spark = stream.sparkSession
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    q = stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], stream.schema)
 
 
 def keep_panel(stream: DataFrame, path: str, checkpoint: str):
