@@ -273,12 +273,6 @@ def coefficient_stability(spark, sf):
     return rounded(robust.coefficient_stability(panels.supplier_year(spark, sf), P1), 4)
 
 
-@query()
-def rosenbaum_bounds(spark, sf):
-    x = panels.line_items(spark, sf).withColumn("u", F.col("order_id") * 10 + F.col("line"))
-    return robust.rosenbaum_bounds(x, "y", "d", ["size", "quantity"], "u")
-
-
 # --- staggered adoption --------------------------------------------------------------------------------------------
 
 _ATT = f"""
@@ -539,7 +533,7 @@ def dml_linear_cate(spark, sf):
     return rounded(dml.linear_cate(_items(spark, sf), "y", "d", ["size", "quantity"], "u", fold=fold), 4)
 
 
-_SCALED = f"x AS MATERIALIZED (SELECT y, d, size, quantity, (size - avg(size) OVER ()) / stddev_samp(size) OVER () AS x1, (quantity - avg(quantity) OVER ()) / stddev_samp(quantity) OVER () AS x2 FROM ({LINE_ITEMS_SQL}))"
+_SCALED = f"x AS MATERIALIZED (SELECT order_id * 10 + line AS u, y, d, size, quantity, (size - avg(size) OVER ()) / stddev_samp(size) OVER () AS x1, (quantity - avg(quantity) OVER ()) / stddev_samp(quantity) OVER () AS x2 FROM ({LINE_ITEMS_SQL}))"
 
 
 @query(f"""
@@ -552,9 +546,34 @@ def ipw_and_aipw(spark, sf):
     return rounded(dml.weighting(_items(spark, sf), "y", "d", ["size", "quantity"]), 3)
 
 
-@query()
+#: Each treated unit with the nearest control by propensity: of equals the last at or below, in the next bin of 1/64 the first above.
+_MATCHED = f"""
+    {_SCALED}, {newton("x", "d", ["x1", "x2"], "b")}, s AS MATERIALIZED (SELECT u, y, d, greatest(least(1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))), 0.99), 0.01) AS ps FROM x, b),
+    l AS MATERIALIZED (SELECT ps, arg_max(y, u) AS last, arg_min(y, u) AS first FROM s WHERE d = 0 GROUP BY ps),
+    below AS (SELECT s.u, s.ps, s.y, l.ps AS bp, l.last AS bv FROM s ASOF LEFT JOIN l ON s.ps >= l.ps WHERE d = 1),
+    both_ AS (SELECT k.*, l.ps AS ap, CASE WHEN floor(l.ps * 64) = floor(k.ps * 64) THEN l.last ELSE l.first END AS av FROM below k ASOF LEFT JOIN l ON k.ps <= l.ps),
+    m AS MATERIALIZED (SELECT y - CASE WHEN bp IS NULL OR abs(ap - ps) < abs(ps - bp) THEN av ELSE bv END AS diff FROM both_)
+"""
+
+
+@query(f"""
+    WITH {_MATCHED}, a AS (SELECT avg(diff) AS att, stddev_samp(diff) / sqrt(count(diff)) AS se, count(diff) AS pairs FROM m), z AS (SELECT *, att / se AS z FROM a)
+    SELECT round(att, 4) AS att, round(se, 4) AS se, round({normal_p("z")}, 4) AS p, pairs, 0::BIGINT AS unmatched FROM z
+""")
 def psm_matching(spark, sf):
-    return dml.psm(_items(spark, sf), "y", "d", ["size", "quantity"], "u")
+    return rounded(dml.psm(_items(spark, sf), "y", "d", ["size", "quantity"], "u"), 4)
+
+
+@query(f"""
+    WITH {_MATCHED}, v AS (SELECT abs(diff) AS a, count(*) AS k, count(*) FILTER (diff > 0) AS up FROM m WHERE diff <> 0 GROUP BY abs(diff)),
+    r AS (SELECT k, up, coalesce(sum(k) OVER (ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (k + 1) / 2.0 AS rank FROM v),
+    t AS (SELECT sum(k)::BIGINT AS pairs, sum(up * rank)::DOUBLE AS w, sum(k * rank)::DOUBLE AS s1, sum(k * rank * rank)::DOUBLE AS s2 FROM r), g AS (SELECT unnest([1, 1.2, 1.5, 1.8, 2, 2.5, 3])::DOUBLE AS gamma),
+    z AS (SELECT gamma, pairs, (w - gamma / (1 + gamma) * s1) / sqrt(gamma / (1 + gamma) * (1 - gamma / (1 + gamma)) * s2) AS zu, (w - (1 - gamma / (1 + gamma)) * s1) / sqrt(gamma / (1 + gamma) * (1 - gamma / (1 + gamma)) * s2) AS zl FROM g, t),
+    p AS (SELECT *, CASE WHEN zu > 0 THEN ({normal_p("zu")}) / 2 ELSE 1 - ({normal_p("zu")}) / 2 END AS pu, CASE WHEN zl > 0 THEN ({normal_p("zl")}) / 2 ELSE 1 - ({normal_p("zl")}) / 2 END AS pl FROM z)
+    SELECT gamma, pairs, round(zu, 4) AS z_upper, round(pu, 4) AS p_upper, round(zl, 4) AS z_lower, round(pl, 4) AS p_lower, (SELECT min(gamma) FROM p WHERE pu > 0.05) AS critical_gamma FROM p
+""")
+def rosenbaum_bounds(spark, sf):
+    return rounded(robust.rosenbaum_bounds(_items(spark, sf), "y", "d", ["size", "quantity"], "u"), 4)
 
 
 @query(f"""
