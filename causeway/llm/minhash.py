@@ -172,23 +172,43 @@ def _dealt(rows: DataFrame, group: str, docs: int, shingles: int | None) -> Data
     return left.union(right).repartition(group, "i", "j")
 
 
+def _runs(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """Batches of rows sorted by ``by``, cut so that no group is in two of them, with the places where groups start and the end."""
+    rest = None
+    for batch in batches:
+        batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        new = np.zeros(max(len(batch) - 1, 0), bool)
+        for c in by:
+            values = batch[c].to_numpy()
+            new |= values[1:] != values[:-1]
+        starts = [0, *(np.flatnonzero(new) + 1).tolist()]
+        rest = batch.iloc[starts[-1] :].reset_index(drop=True)
+        if len(starts) > 1:
+            yield batch, starts
+    if rest is not None and len(rest):
+        yield rest, [0, len(rest)]
+
+
 def _promising(percent: int):
     """Of two blocks of a bucket the rows whose signatures agree enough with one of another component."""
     least = agreement(percent)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = _sides(rows)
-        found = set()
-        if len(left) and len(right):
-            low = [np.frombuffer(b"".join(x["low"]), np.uint8).reshape(len(x), -1) for x in (left, right)]
-            na, nb, ca, cb = left["n"].to_numpy(), right["n"].to_numpy(), left["component"].to_numpy(), right["component"].to_numpy()
-            for k in range(len(right)):
-                hit = (low[0] == low[1][k]).sum(axis=1) >= least
-                hit &= (ca != cb[k]) & (100 * np.minimum(na, nb[k]) >= percent * np.maximum(na, nb[k]))
-                if hit.any():
-                    found.add(right["rep"].iat[k])
-                    found.update(left["rep"][hit])
-        return pd.DataFrame({"key": key[0], "rep": pd.Series(list(found), dtype=rows["rep"].dtype)})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts in _runs(batches, ["key", "i", "j"]):
+            low = np.frombuffer(b"".join(rows["low"]), np.uint8).reshape(len(rows), -1)
+            n, component, right = rows["n"].to_numpy(), pd.factorize(rows["component"])[0], rows["right"].to_numpy(bool)
+            found = np.zeros(len(rows), bool)
+            for lo, hi in zip(starts, starts[1:]):
+                side = right[lo:hi]
+                a, every = np.flatnonzero(~side) + lo, np.flatnonzero(side) + lo
+                for k in range(0, len(every) if len(a) else 0, 16):
+                    b = every[k : k + 16]
+                    hit = component[a][:, None] != component[b]
+                    hit &= 100 * np.minimum(n[a][:, None], n[b]) >= percent * np.maximum(n[a][:, None], n[b])
+                    x, y = np.nonzero(hit)
+                    close = (low[a[x]] == low[b[y]]).sum(axis=1) >= least
+                    found[a[x[close]]] = found[b[y[close]]] = True
+            yield rows.loc[found, ["key", "rep"]].drop_duplicates()
 
     return run
 
@@ -281,7 +301,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     open_keys = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     signed = open_.join(open_keys, "key").join(groups.select(F.col("_id").alias("rep"), "n", "low"), "rep").select("key", "rep", "component", "n", "low")
     signed = scratch.put(signed, "open")
-    found = _dealt(signed, "key", SIGNED_DOCS, None).groupBy("key", "i", "j").applyInPandas(_promising(percent), f"key long, rep {kind}")
+    # sorted rows in place of groups: most buckets are small, and every group would cost as much as hundreds of rows
+    found = _dealt(signed, "key", SIGNED_DOCS, None).sortWithinPartitions("key", "i", "j").mapInPandas(_promising(percent), f"key long, rep {kind}")
     found = scratch.put(found.distinct(), "promising")
 
     # clusters of such documents are compared on their sets
