@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm._common import bounded_sample, release, tidied
+from causeway.llm._common import bounded_sample, in_order, release, tidied
 from causeway.llm.toxicity import FUNCTION_WORDS
 
 GOOD, BAD, ABSTAIN = 1, 0, -1
@@ -175,16 +175,19 @@ class HashedScorer:
 
 
 def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 6000, max_bytes: int = 48 << 20) -> tuple[HashedScorer, LabelModel]:
-    """Fits the label model on the votes of all ``docs`` and the scorer on a sample of about ``max_docs`` rows
-    and ``max_bytes`` of text at most, chosen by a hash of the id. No given label is used."""
+    """Fits the label model on the votes of all ``docs`` and the scorer on a sample of ``max_docs`` rows
+    and ``max_bytes`` of text at most. No given label is used."""
     patterns = {r["v"]: r["count"] for r in docs.select(votes(docs, text_col).alias("v")).groupBy("v").count().collect()}
     model, scorer = fit_label_model(patterns), HashedScorer()
     usable = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     sample = bounded_sample(usable, "_id", "_text", max_docs, max_bytes, "quality")
-    found = sorted(map(tuple, sample.select("_id", "_text", votes(sample, "_text").alias("v")).collect()), key=lambda r: (r[0] is None, r[0], r[1]))
-    if found:
-        scorer.train([features(t) for _, t, _ in found], np.array([model.of(v) for *_, v in found]))
-    del found
+    rows, targets = [], []
+    for _, text, v in in_order(sample.select("_id", "_text", votes(sample, "_text").alias("v"))):
+        rows.append(features(text))
+        targets.append(model.of(v))
+    if rows:
+        scorer.train(rows, np.array(targets))
+    del rows
     _shapes.clear()
     release()
     return scorer, model

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm._common import bounded_sample, release, sampled, tidied
+from causeway.llm._common import bounded_sample, in_order, release, sampled, tidied
 
 ROWS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 12, (1, 2, 3)
 PAD = max(WIDTHS) - 1
@@ -215,24 +215,24 @@ def _best_split(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def fit_toxicity(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 6000, max_bytes: int = 48 << 20) -> ConvNet:
-    """Trains on about ``max_docs`` labelled rows and ``max_bytes`` of text at most, all of it where there is less.
+    """Trains on ``max_docs`` labelled rows and ``max_bytes`` of text at most, all of it where there is less.
 
     Rows with a null label aren't used; null texts count as empty. Of the sample every fifth row (by
     id order) is kept from training for the thresholds. Without labels of both kinds the model
     answers below 0.5 everywhere.
     """
     usable = labelled.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(label_col).cast("int").alias("_label"))
-    found = sorted(map(tuple, bounded_sample(usable, "_id", "_text", max_docs, max_bytes, "toxicity").collect()), key=lambda r: (r[0] is None, r[0], r[1]))
     net = ConvNet()
-    labels = np.array([int(y > 0) for *_, y in found])
+    tables, kinds, languages = [], [], []
+    for _, text, y in in_order(bounded_sample(usable, "_id", "_text", max_docs, max_bytes, "toxicity")):
+        rows, _, lang = encode([text])
+        tables.append(np.ascontiguousarray(rows))
+        kinds.append(int(y > 0))
+        languages.append(int(lang[0]))
+    labels, language = np.array(kinds, np.int64), np.array(languages, np.int64)
     if not len(labels) or labels.min() == labels.max():
         net.thresholds[:] = 60
         return net
-    tables, language = [], np.zeros(len(found), np.int64)
-    for k, (_, text, _) in enumerate(found):
-        rows, _, lang = encode([text])
-        tables.append(rows)
-        language[k] = lang[0]
     held = np.zeros(len(labels), bool)
     for y in (0, 1):  # a fifth of either label
         held[np.flatnonzero(labels == y)[4::5]] = True
@@ -242,7 +242,7 @@ def fit_toxicity(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "t
     check = np.flatnonzero(held) if 0 < labels[held].sum() < held.sum() else fit
     logits = np.concatenate([net.logits(tables[i], np.zeros(1, np.int64)) for i in check])
     net.calibrate(logits, labels[check], language[check])
-    del tables, found
+    del tables
     clear_cache()
     release()
     return net
