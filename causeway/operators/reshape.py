@@ -51,12 +51,22 @@ def aggregate_by_month(df: DataFrame, ts: str, entity: str, column: str | None,
     return df.groupBy(F.year(ts).alias("year"), F.month(ts).alias("month")).agg(value.cast("double").alias("value")).select(F.lit(entity).alias("entity_id"), "year", "month", "value")
 
 
+MOST_ENTRIES = 100_000
+
+
+def _bounded(catalogue: DataFrame) -> DataFrame:
+    """The catalogue, to be broadcast, once its size is known; every query meets every entry, so a larger one is an error."""
+    if catalogue.count() > MOST_ENTRIES:
+        raise ValueError(f"a catalogue of over {MOST_ENTRIES} entries is too large to be searched by likeness")
+    return F.broadcast(catalogue)
+
+
 def search_catalogue(queries: DataFrame, catalogue: DataFrame, top: int = 5, least: float = 0.1) -> DataFrame:
     """(query, key, score, rank): .35 description + .35 key + .15 level, .15 more if key or description is the query.
 
-    ``queries`` is (query, level); ``catalogue`` is (key, description, level), a bounded list that is broadcast.
+    ``queries`` is (query, level); ``catalogue`` is (key, description, level) of MOST_ENTRIES rows at most.
     """
-    q, c = queries.alias("q"), F.broadcast(catalogue).alias("c")
+    q, c = queries.alias("q"), _bounded(catalogue).alias("c")
     desc, name = text_match(F.col("q.query"), F.col("c.description")), text_match(F.col("q.query"), F.col("c.key"))
     exact = (F.lower("q.query") == F.lower("c.key")) | (F.lower("q.query") == F.lower("c.description"))
     same = F.coalesce((F.col("q.level") == F.col("c.level")).cast("double"), F.lit(0.0))
@@ -68,7 +78,7 @@ def search_catalogue(queries: DataFrame, catalogue: DataFrame, top: int = 5, lea
 
 def match_concepts(concepts: DataFrame, catalogue: DataFrame, hints: dict[str, list[str]] | None = None) -> DataFrame:
     """(concept, key, score): 100 for the key, 50 for a part of it, 40 in the description, 30 for a hint's word, 5 per shared word."""
-    a, b = concepts.alias("a"), F.broadcast(catalogue).alias("b")
+    a, b = concepts.alias("a"), _bounded(catalogue).alias("b")
     k, desc = F.lower("b.key"), F.lower("b.description")
     x = F.lower("a.concept")
     shared = F.size(F.array_intersect(F.split(F.regexp_replace(x, "_", " "), " "), F.split(desc, " ")))

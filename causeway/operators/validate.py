@@ -71,7 +71,7 @@ def outliers(df: DataFrame, variables: list[str], method: str = "iqr", threshold
 
 
 def types(df: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Outcome numeric, treatment 0/1, ids there, no constant measures."""
+    """Outcome numeric, treatment 0/1, ids there, no constant measures. The approximate count of distinct values tells none or one from more exactly."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     wrong = not isinstance(kinds[spec.outcome], NumericType)
     text_time = isinstance(kinds[spec.time], StringType)

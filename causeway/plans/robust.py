@@ -173,6 +173,22 @@ def placebo_in_time(df: DataFrame, spec: PanelSpec, first: int, shifts: tuple[in
     return frame(df, rows, "shift int, status string, n long, coef double, se double, p double")
 
 
+def before(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """``df`` with ``name``, the sum of ``value`` over all rows of smaller ``order``, which is unique.
+
+    Rows are dealt by ranges of ``order``; a range's own running sum and the totals of the ranges before it (a number a
+    range on the driver) make the sum, so no task gets all rows.
+    """
+    dealt = df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()).persist()
+    offset, starts = 0, []
+    for r in sorted(dealt.groupBy("_range").agg(F.sum(value).alias("s")).collect()):
+        starts.append((r["_range"], offset))
+        offset += r["s"] or 0
+    starts = df.sparkSession.createDataFrame(starts, "_range int, _start long")
+    own = F.sum(value).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return dealt.withColumn(name, F.coalesce(own, F.lit(0))).join(F.broadcast(starts), "_range").withColumn(name, F.col(name) + F.col("_start")).drop("_range", "_start")
+
+
 def rosenbaum_bounds(df: DataFrame, outcome: str, treatment: str, covariates: list[str], unit: str, gammas: tuple[float, ...] = (1, 1.2, 1.5, 1.8, 2, 2.5, 3)) -> DataFrame:
     """Signed-rank bounds after matching each treated unit to the control with the nearest propensity."""
     from causeway.plans.dml import matched
@@ -180,8 +196,8 @@ def rosenbaum_bounds(df: DataFrame, outcome: str, treatment: str, covariates: li
     diffs = matched(df, outcome, treatment, covariates, unit).select((F.col("y") - F.col("match_y")).alias("diff")).where("diff <> 0")
     # ranks of |diff| with ties averaged, from counts of distinct values
     sizes = diffs.groupBy(F.abs("diff").alias("a")).agg(F.count(F.lit(1)).alias("k"), F.sum((F.col("diff") > 0).cast("long")).alias("up"))
-    cum = F.sum("k").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1))
-    r = sizes.select("k", "up", (F.coalesce(cum, F.lit(0)) + (F.col("k") + 1) / 2).alias("rank")).agg(F.sum("k").alias("n"), F.sum(F.col("up") * F.col("rank")).alias("w"), F.sum(F.col("k") * F.col("rank")).alias("s1"), F.sum(F.col("k") * F.col("rank") ** 2).alias("s2")).first()
+    ranked = before(sizes, "a", "k", "_before")
+    r = ranked.select("k", "up", (F.col("_before") + (F.col("k") + 1) / 2).alias("rank")).agg(F.sum("k").alias("n"), F.sum(F.col("up") * F.col("rank")).alias("w"), F.sum(F.col("k") * F.col("rank")).alias("s1"), F.sum(F.col("k") * F.col("rank") ** 2).alias("s2")).first()
     rows = []
     for gamma in gammas:
         p = gamma / (1 + gamma)

@@ -91,6 +91,16 @@ def test_logit_and_matching(spark):
     assert exact["att"] == 1 and exact["strata"] == 1 and exact["dropped"] == 0
 
 
+def test_running_sums_over_ranges(spark):
+    df = spark.range(500).select(((F.col("id") * 37) % 500).alias("a"), (F.col("id") % 7).alias("k"))
+    got = robust.before(df, "a", "k", "b").orderBy("a").collect()
+    total = 0
+    for r in got:
+        assert r["b"] == total
+        total += r["k"]
+    assert len(got) == 500 and robust.before(df.where("false"), "a", "k", "b").count() == 0
+
+
 def test_fallbacks_are_tried_in_order(spark):
     data = spark.createDataFrame([(e, t, float(e + t), float(e % 2), float(t > 1)) for e in range(8) for t in range(4)], "e int, t int, y double, d double, p double")
     case = confirm.Case(data, PanelSpec("e", "t", "y", "d", "p"))
