@@ -137,8 +137,8 @@ def _predicted(model, df: DataFrame, classify: bool, name: str) -> DataFrame:
     return out.withColumn(name, value).drop(*extra)
 
 
-def cross_fitted(df: DataFrame, y: str, treatment: str, features: list[str], unit: str, folds: int = 5, kind: str = "linear", fold=None) -> DataFrame:
-    """Rows with residuals _ry and _rt from models fitted on the other folds; a unit's fold comes from a hash of its id, or is the column ``fold``."""
+def cross_fitted(df: DataFrame, y: str, treatment: str, features: list[str], unit: str, folds: int = 5, kind: str = "linear", fold=None) -> tuple[DataFrame, DataFrame]:
+    """Rows with residuals _ry and _rt, and the cached rows they are made of, from models fitted on the other folds; a unit's fold comes from a hash of its id, or is the column ``fold``."""
     distinct = df.select(treatment).distinct().limit(3).count()
     classify = distinct <= 2 and kind != "linear"
     rows = df.dropna(subset=[y, treatment, *features]).withColumn("_fold", F.pmod(F.xxhash64(unit), F.lit(folds)) if fold is None else fold)
@@ -149,24 +149,26 @@ def cross_fitted(df: DataFrame, y: str, treatment: str, features: list[str], uni
         part = _predicted(learner(kind, False, "_yd").fit(train), test, False, "_my")
         part = _predicted(learner(kind, classify, "_td").fit(train), part, classify, "_mt")
         out = part if out is None else out.unionByName(part)
-    return out.select("*", (F.col("_yd") - F.col("_my")).alias("_ry"), (F.col("_td") - F.col("_mt")).alias("_rt"))
+    return out.select("*", (F.col("_yd") - F.col("_my")).alias("_ry"), (F.col("_td") - F.col("_mt")).alias("_rt")), x
 
 
 def dml(df: DataFrame, y: str, treatment: str, features: list[str], unit: str, folds: int = 5, kind: str = "linear", fold=None) -> DataFrame:
     """Partially linear model: mean over folds of E[rt ry]/E[rt^2], error from the influence function."""
-    r = cross_fitted(df, y, treatment, features, unit, folds, kind, fold)
+    r, cached = cross_fitted(df, y, treatment, features, unit, folds, kind, fold)
     by = r.groupBy("_fold").agg((F.avg(F.col("_rt") * F.col("_ry")) / F.nullif(F.avg(F.col("_rt") ** 2), F.lit(0.0))).alias("theta"))
     theta = by.agg(F.avg("theta")).first()[0]
     a = r.agg(F.avg(F.col("_rt") ** 2).alias("j"), F.avg((F.col("_rt") * (F.col("_ry") - F.lit(theta) * F.col("_rt"))) ** 2).alias("v"), F.count("_rt").alias("n"), (1 - F.sum(F.col("_ry") ** 2) / (F.var_pop("_yd") * F.count("_yd"))).alias("r2_y"), (1 - F.sum(F.col("_rt") ** 2) / (F.var_pop("_td") * F.count("_td"))).alias("r2_t")).first()
+    cached.unpersist()
     se = (a["v"] / a["n"]) ** 0.5 / a["j"] if a["j"] else float("nan")
     return frame(df, [{"theta": theta, "se": se, "p": normal_p(theta / se) if se else None, "n": a["n"], "r2_y": a["r2_y"], "r2_t": a["r2_t"]}], "theta double, se double, p double, n long, r2_y double, r2_t double")
 
 
 def linear_cate(df: DataFrame, y: str, treatment: str, features: list[str], unit: str, folds: int = 5, kind: str = "linear", fold=None) -> DataFrame:
     """(term, coef, se, t, p): residual on residual x [1, features]: how the effect varies with the features."""
-    r = cross_fitted(df, y, treatment, features, unit, folds, kind, fold)
+    r, cached = cross_fitted(df, y, treatment, features, unit, folds, kind, fold)
     terms = {"effect": F.col("_rt"), **{f"effect:{c}": F.col("_rt") * F.col(c) for c in features}}
     fit = ols(r, F.col("_ry"), terms)
+    cached.unpersist()
     return frame(df, [{"term": x, **fit.row(x, normal=True)} for x in fit.names if x != "const"], "term string, coef double, se double, t double, p double")
 
 
