@@ -209,22 +209,79 @@ def test_toxicity(spark, sf, docs, none):
     assert {x["predicted"] for x in toxicity.score_toxicity(df, blank).collect()} == {0}
 
 
+def _encoded(texts):
+    """Word numbers of each text, and rows and lines of the vocabulary, as training takes them."""
+    words = toxicity.Vocabulary()
+    numbers = [toxicity.encode([t], words)[0] for t in texts]
+    rows, starts = toxicity.subwords(words.taken())
+    return numbers, rows, np.concatenate([[0], starts, [len(rows)]])
+
+
+def _vectors(net, rows, lines):
+    return np.concatenate([np.zeros((1, toxicity.DIM), np.float32), net.embedded(rows, lines[1:-1])])
+
+
 def test_toxicity_scores_do_not_depend_on_neighbours():
     net = toxicity.ConvNet()
     net.table += np.random.default_rng(0).standard_normal(net.table.shape).astype(np.float32)
     net.table[0] = 0
     texts = [t or "" for t in TEXTS]
-    together = net.logits(*toxicity.encode(texts)[:2])
-    assert together == pytest.approx([net.logits(*toxicity.encode([t])[:2])[0] for t in texts], abs=1e-4)
+
+    def logits(some):
+        words = toxicity.Vocabulary()
+        numbers, starts, _ = toxicity.encode(some, words)
+        rows, lines = toxicity.subwords(words.taken())
+        return net.logits(_vectors(net, rows, np.concatenate([[0], lines, [len(rows)]]))[numbers], starts)
+
+    assert logits(texts) == pytest.approx([logits([t])[0] for t in texts], rel=1e-4, abs=1e-3)
+
+
+def test_subwords_by_hand(spark):
+    """Equal n-grams have equal rows, whatever words they are in; different ones hardly ever."""
+    words = ["réeuxpa", "a", "中文", "pareux", "réeux", "aa"]
+    rows, starts = toxicity.subwords(words)
+    seen, wanted = {}, 0
+    for w, at in zip(words, starts):
+        marked = f"<{w}>"
+        for i in range(len(marked)):
+            for k, n in enumerate(toxicity.NGRAMS):
+                gram = marked[i : i + n] if i + n <= len(marked) else None
+                got = rows[at + i, k]
+                assert (got == 0) == (gram is None)
+                if gram:
+                    wanted += 1
+                    assert seen.setdefault((n, gram), got) == got
+        assert rows[at, -1] > 0 and not rows[at + 1 : at + len(marked), -1].any()
+    assert len(set(seen.values())) == len(seen) < wanted and len(set(rows[starts, -1])) == len(words)
+    alone = [toxicity.subwords([w])[0] for w in words]
+    assert np.array_equal(np.concatenate(alone), rows)
+
+
+def test_toxicity_meets_new_forms_of_a_stem(spark):
+    """Held-out forms are in no training text; they share a stem of four letters with those that are. Clean texts are of the same syllables."""
+    r = np.random.default_rng(2)
+    syllables = ["ba", "ño", "rr", "ti", "men", "so", "que", "ía", "lo", "cu", "per", "dan"]
+    word = lambda: "".join(r.choice(syllables, int(r.integers(1, 4))))
+    rows = []
+    for i in range(600):
+        w = [word() for _ in range(40)]
+        if i % 5 == 0:
+            for k in r.integers(0, 40, 4):
+                w[k] = "zorb" + str(r.choice(["ba", "ño", "rr", "ti", "men", "so"] if i < 450 else ["que", "ía", "lo", "cu", "per", "dan"]))
+        rows.append((i, " ".join(w), int(i % 5 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    net = toxicity.fit_toxicity(df.where("doc_id < 450"))
+    got = {x["doc_id"]: x["predicted"] for x in toxicity.score_toxicity(df.where("doc_id >= 450"), net).collect()}
+    assert sum(got[i] for i in got if i % 5 == 0) >= 29 and sum(got[i] for i in got if i % 5) <= 3
 
 
 def test_gradients_by_finite_differences():
     """One step of Adagrad tells the gradient: the step is rate x g / sqrt(0.1 + g^2)."""
     r = np.random.default_rng(4)
     texts = [" ".join("".join(chr(97 + c) for c in r.integers(0, 26, 7)) for _ in range(9)) for _ in range(6)]
-    tables, labels = [toxicity.encode([t])[0] for t in texts], np.array([1, 0, 1, 1, 0, 0])
-    starts = np.cumsum([0] + [len(t) for t in tables[:-1]])
-    every = np.concatenate(tables)
+    (numbers, rows, lines), labels = _encoded(texts), np.array([1, 0, 1, 1, 0, 0])
+    starts = np.cumsum([0] + [len(t) for t in numbers[:-1]])
+    every = np.concatenate(numbers)
 
     def fresh():
         net = toxicity.ConvNet(seed=3)
@@ -236,14 +293,14 @@ def test_gradients_by_finite_differences():
         return net
 
     def loss(net):
-        z = net.logits(every, starts)
+        z = net.logits(_vectors(net, rows, lines)[every], starts)
         return float(np.mean(np.log1p(np.exp(z)) - labels * z))  # labels of either kind weigh alike here
 
     before, net, rate = fresh(), fresh(), 0.05
-    net.train(tables, labels, epochs=1, batch=6, rate=rate)
+    net.train(numbers, labels, rows, lines, epochs=1, batch=6, rate=rate)
     where = [(lambda n, w=w: n.filters[w], tuple(int(r.integers(0, k)) for k in before.filters[w].shape)) for w in toxicity.WIDTHS for _ in range(6)]
     where += [(lambda n, w=w: n.shift[w], (int(r.integers(0, toxicity.FILTERS)),)) for w in toxicity.WIDTHS for _ in range(3)]
-    where += [(lambda n: n.out, (k,)) for k in (0, 13, 30)]
+    where += [(lambda n: n.out, (k,)) for k in (0, 13, 30, 50, 90)]
     checked = 0
     for of, at in where:
         moved = float(of(before)[at] - of(net)[at]) / rate
@@ -269,14 +326,17 @@ def test_training_improves_on_the_start():
         w[at : at + 2] = ["veryx", "badly"] if i % 2 else ["badly", "veryx"]
         texts.append(" ".join(w))
         labels.append(i % 2)
-    labels, tables = np.array(labels), [toxicity.encode([t])[0] for t in texts]
+    labels, (numbers, rows, lines) = np.array(labels), _encoded(texts)
     net = toxicity.ConvNet()
-    net.start_from(tables[:450], labels[:450])
-    right = lambda: np.mean([(net.logits(t, np.zeros(1, np.int64))[0] > np.median(z)) == y for t, y in zip(tables[450:], labels[450:])])
-    z = [net.logits(t, np.zeros(1, np.int64))[0] for t in tables[450:]]
+    net.start_from(numbers[:450], labels[:450], rows, lines)
+
+    def right():
+        vectors = _vectors(net, rows, lines)
+        z = np.array([net.logits(vectors[t], np.zeros(1, np.int64))[0] for t in numbers[450:]])
+        return np.mean((z > np.median(z)) == labels[450:])
+
     start = right()
-    net.train(tables[:450], labels[:450], epochs=12)
-    z = [net.logits(t, np.zeros(1, np.int64))[0] for t in tables[450:]]
+    net.train(numbers[:450], labels[:450], rows, lines, epochs=12)
     assert start < 0.6 and right() > 0.8
 
 
