@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from causeway.functions.text import any_keyword, infer_level, infer_place, text_match
+from causeway.operators.ranges import exact_quantiles
 
 
 def wide_to_long(df: DataFrame, keep: list[str], labels: dict[str, str], name: str = "entity_id", value: str = "value") -> DataFrame:
@@ -46,7 +47,11 @@ def melt_dates(df: DataFrame, entity: str, contains: str | None = None) -> DataF
 
 def aggregate_by_month(df: DataFrame, ts: str, entity: str, column: str | None, how: str = "sum") -> DataFrame:
     """(entity_id, year, month, value): sum, mean, median or count of a column, or rows where it is missing."""
-    ways = {"sum": F.sum, "mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5)), "count": F.count}
+    if how == "median" and column in df.columns:
+        months = df.select(F.year(ts).alias("year"), F.month(ts).alias("month"), column)
+        found = exact_quantiles(months, {column: [0.5]}, ["year", "month"])  # a number a month
+        return df.sparkSession.createDataFrame([(entity, y, m, q[0]) for (y, m, _), q in found.items()], "entity_id string, year int, month int, value double")
+    ways = {"sum": F.sum, "mean": F.avg, "median": F.count, "count": F.count}
     value = ways[how](column) if column in df.columns else F.count(F.lit(1))
     return df.groupBy(F.year(ts).alias("year"), F.month(ts).alias("month")).agg(value.cast("double").alias("value")).select(F.lit(entity).alias("entity_id"), "year", "month", "value")
 

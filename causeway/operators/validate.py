@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from causeway.operators.ranges import exact_quantiles
 from causeway.spec import PanelSpec
 
 ISSUE = ["check", "severity", "detail", "n"]
@@ -53,20 +54,21 @@ def complete_by_period(df: DataFrame, time: str, variables: list[str]) -> DataFr
 
 
 def outliers(df: DataFrame, variables: list[str], method: str = "iqr", threshold: float = 3.0, least: int = 10) -> DataFrame:
-    """(variable, n, outliers, pct, p1, p99): outside quartiles -/+ threshold x range, or beyond threshold standard deviations."""
-    q = [0.01, 0.25, 0.75, 0.99]
-    stats = df.agg(*(F.struct(F.percentile(v, F.array(*map(F.lit, q))).alias("q"), F.avg(v).alias("m"), F.stddev_samp(v).alias("s")).alias(f"_{i}") for i, v in enumerate(variables)))
-    x = df.select(*variables).crossJoin(F.broadcast(stats))
+    """(variable, n, outliers, pct, p1, p99): outside quartiles -/+ threshold x range, or beyond threshold standard deviations.
+
+    Quantiles are exact and come from several passes over counts.
+    """
+    q = exact_quantiles(df, {v: [0.01, 0.25, 0.75, 0.99] for v in variables})
+    moments = df.agg(*(F.struct(F.avg(v).alias("m"), F.stddev_samp(v).alias("s")).alias(f"_{i}") for i, v in enumerate(variables))).first() if method != "iqr" else None
 
     def outside(i: int, v: str) -> Column:
-        s = F.col(f"_{i}")
-        lo, hi = F.get(s["q"], F.lit(1)), F.get(s["q"], F.lit(2))
         if method == "iqr":
-            return (F.col(v) < lo - threshold * (hi - lo)) | (F.col(v) > hi + threshold * (hi - lo))
-        return F.abs(F.col(v) - s["m"]) > threshold * s["s"]
+            _, lo, hi, _ = q[(v,)]
+            return F.lit(False) if lo is None else (F.col(v) < lo - threshold * (hi - lo)) | (F.col(v) > hi + threshold * (hi - lo))
+        return F.abs(F.col(v) - F.lit(moments[i]["m"])) > threshold * F.lit(moments[i]["s"])
 
-    a = x.agg(*(F.struct(F.count(v).alias("n"), F.sum(F.coalesce(outside(i, v).cast("long"), F.lit(0))).alias("k"), F.first(F.get(F.col(f"_{i}")["q"], F.lit(0))).alias("p1"), F.first(F.get(F.col(f"_{i}")["q"], F.lit(3))).alias("p99")).alias(v) for i, v in enumerate(variables)))
-    each = F.array(*(F.struct(F.lit(v).alias("variable"), F.col(f"{v}.n").alias("n"), F.col(f"{v}.k").alias("outliers"), F.round(100 * F.col(f"{v}.k") / F.nullif(F.col(f"{v}.n"), F.lit(0)), 4).alias("pct"), F.col(f"{v}.p1").alias("p1"), F.col(f"{v}.p99").alias("p99")) for v in variables))
+    a = df.agg(*(F.struct(F.count(v).alias("n"), F.sum(F.coalesce(outside(i, v).cast("long"), F.lit(0))).alias("k")).alias(f"_{i}") for i, v in enumerate(variables)))
+    each = F.array(*(F.struct(F.lit(v).alias("variable"), F.col(f"_{i}.n").alias("n"), F.col(f"_{i}.k").alias("outliers"), F.round(100 * F.col(f"_{i}.k") / F.nullif(F.col(f"_{i}.n"), F.lit(0)), 4).alias("pct"), F.lit(q[(v,)][0]).cast("double").alias("p1"), F.lit(q[(v,)][3]).cast("double").alias("p99")) for i, v in enumerate(variables)))
     return a.select(F.explode(each).alias("r")).select("r.*").where(F.col("n") >= least)
 
 

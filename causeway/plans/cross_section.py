@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions.stats import chi2_p, f_p, inverse, normal_p, solve, t_p
+from causeway.operators.ranges import exact_quantiles
 from causeway.plans.did import frame
 from causeway.plans.gram import Moments, Ols, ols
 
@@ -144,9 +145,11 @@ def best_linear_projection(df: DataFrame, cate: str, features: list[str]) -> Dat
 
 
 def effect_distribution(df: DataFrame, cate: str) -> DataFrame:
+    """One row: mean, sd, lo, hi, exact quantiles, share_positive, n."""
     q = [0.05, 0.25, 0.5, 0.75, 0.95]
-    a = df.agg(F.avg(cate).alias("mean"), F.stddev_pop(cate).alias("sd"), F.min(cate).alias("lo"), F.max(cate).alias("hi"), F.percentile(cate, F.array(*map(F.lit, q))).alias("q"), F.avg((F.col(cate) > 0).cast("double")).alias("share_positive"), F.count(cate).alias("n"))
-    return a.select("mean", "sd", "lo", "hi", *(F.get("q", F.lit(i)).alias(f"p{int(x * 100)}") for i, x in enumerate(q)), "share_positive", "n")
+    a = df.agg(F.avg(cate).alias("mean"), F.stddev_pop(cate).alias("sd"), F.min(cate).alias("lo"), F.max(cate).alias("hi"), F.avg((F.col(cate) > 0).cast("double")).alias("share_positive"), F.count(cate).alias("n"))
+    found = exact_quantiles(df, {cate: q})[(cate,)]
+    return a.select("mean", "sd", "lo", "hi", *(F.lit(v).cast("double").alias(f"p{int(x * 100)}") for x, v in zip(q, found)), "share_positive", "n")
 
 
 def z_test(coef: float, se: float) -> float:

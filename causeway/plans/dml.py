@@ -1,4 +1,4 @@
-"""Propensity scores, matching and weighting, double machine learning and causal forests on pyspark.ml."""
+"""Propensity scores, matching and weighting, double machine learning on pyspark.ml, and what causal forests tell."""
 
 from __future__ import annotations
 
@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions.stats import normal_p
+from causeway.operators.ranges import exact_quantiles, with_range
 from causeway.plans.cross_section import effect_distribution
 from causeway.plans.did import frame
+from causeway.plans.forest import causal_forest
 from causeway.plans.gram import logit, ols
 
 
@@ -61,32 +63,42 @@ def weighting(df: DataFrame, y: str, treatment: str, covariates: list[str]) -> D
     return out
 
 
-def matched(df: DataFrame, outcome: str, treatment: str, covariates: list[str], unit: str) -> DataFrame:
+def matched(df: DataFrame, outcome: str, treatment: str, covariates: list[str], unit: str, caliper: float | None = None) -> DataFrame:
     """(unit, ps, y, match_ps, match_y) of each treated unit and the control with the nearest propensity (with replacement).
 
-    The nearest control is found by sorting within 64 bins of the score: the last control before and the first after each
-    treated unit, the nearer of the two (the earlier on ties); bins without one look at the nearest ends of the others.
+    Units of one score have one match, so the search goes over distinct scores: of each, the control of the largest
+    unit. They are dealt by ranges of the score with as many scores in each as can be; the nearest control at or below
+    and at or above a score is found inside its range, or is the border control of the nearest range that has one
+    (a row a range, which the driver deals out). Of two equally near ones the lower is taken. Treated units whose match
+    is further away than ``caliper`` have nulls for it; without any control the result is empty.
     """
-    bins = propensity(df, treatment, covariates, keep=[outcome, unit]).withColumn("_bin", F.floor(F.col("ps") * 64))
-    edge = Window.partitionBy("_bin").orderBy("ps", "_t", F.col(unit))
-    back = Window.partitionBy("_bin").orderBy(F.desc("ps"), "_t", F.col(unit))  # a growing frame; one that shrinks costs the square
-    ctrl = F.when(F.col("_t") == 0, F.struct(F.col("ps").alias("p"), F.col(outcome).alias("y")))
-    one = F.struct(F.col("ps").alias("p"), F.col(unit).alias("u"), F.col(outcome).alias("y"))
-    ends = bins.where("_t = 0").groupBy("_bin").agg(F.max(one).alias("last"), F.min(one).alias("first"))
-    slots = df.sparkSession.range(65).select(F.col("id").alias("_bin"))  # a fixed number of bins
-    carry = slots.join(ends, "_bin", "left").select("_bin", F.last("last", True).over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)).alias("_lo"), F.first("first", True).over(Window.orderBy("_bin").rowsBetween(1, Window.unboundedFollowing)).alias("_hi"))
-    near = bins.withColumn("_b", F.last(ctrl, True).over(edge)).withColumn("_a", F.last(ctrl, True).over(back)).where("_t = 1").join(F.broadcast(carry), "_bin", "left")
-    b = F.coalesce("_b", F.when(F.col("_lo").isNotNull(), F.struct(F.col("_lo.p").alias("p"), F.col("_lo.y").alias("y"))))
-    a = F.coalesce("_a", F.when(F.col("_hi").isNotNull(), F.struct(F.col("_hi.p").alias("p"), F.col("_hi.y").alias("y"))))
+    rows = propensity(df, treatment, covariates, keep=[outcome, unit])
+    one = F.struct(F.col(unit).alias("u"), F.col(outcome).cast("double").alias("y"))
+    scores = with_range(rows.groupBy("ps").agg(F.max(F.when(F.col("_t") == 0, one)).alias("c")), "ps")
+    ctrl = F.when(F.col("c").isNotNull(), F.struct(F.col("ps").alias("p"), F.col("c.y").alias("y")))
+    ends = {r["_range"]: r for r in scores.groupBy("_range").agg(F.min(ctrl).alias("first"), F.max(ctrl).alias("last")).collect()}
+    borders, below, above = {}, None, None
+    for k in sorted(ends):
+        borders[k], below = [below, None], ends[k]["last"] or below
+    for k in sorted(ends, reverse=True):
+        borders[k][1], above = above, ends[k]["first"] or above
+    pair = "struct<p:double,y:double>"
+    carried = df.sparkSession.createDataFrame([(k, *map(lambda x: x and tuple(x), v)) for k, v in borders.items()], f"_range double, _lo {pair}, _hi {pair}")
+    up = Window.partitionBy("_range").orderBy("ps")
+    down = Window.partitionBy("_range").orderBy(F.desc("ps"))  # a growing frame; one that shrinks costs the square
+    near = scores.select("ps", "_range", F.last(ctrl, True).over(up).alias("_b"), F.last(ctrl, True).over(down).alias("_a")).join(F.broadcast(carried), "_range")
+    b, a = F.coalesce("_b", "_lo"), F.coalesce("_a", "_hi")
     chosen = F.when(b.isNull() | (F.abs(a["p"] - F.col("ps")) < F.abs(F.col("ps") - b["p"])), a).otherwise(b)
-    return near.select(F.col(unit).alias("unit"), "ps", F.col(outcome).cast("double").alias("y"), chosen["p"].alias("match_ps"), chosen["y"].cast("double").alias("match_y")).where("match_y is not null")
+    found = near.select("ps", chosen.alias("m")).where("m is not null")
+    out = rows.where("_t = 1").select(F.col(unit).alias("unit"), "ps", F.col(outcome).cast("double").alias("y")).join(found, "ps")
+    ok = F.lit(True) if caliper is None else F.abs(F.col("ps") - F.col("m.p")) <= caliper
+    return out.select("unit", "ps", "y", F.when(ok, F.col("m.p")).alias("match_ps"), F.when(ok, F.col("m.y")).alias("match_y"))
 
 
 def psm(df: DataFrame, y: str, treatment: str, covariates: list[str], unit: str, caliper: float | None = None) -> DataFrame:
     """(att, se, p, pairs, unmatched): mean difference of matched pairs; pairs further apart than ``caliper`` are left out and counted."""
-    m = matched(df, y, treatment, covariates, unit)
-    near = F.lit(True) if caliper is None else F.abs(F.col("ps") - F.col("match_ps")) <= caliper
-    diff = F.when(near, F.col("y") - F.col("match_y"))
+    m = matched(df, y, treatment, covariates, unit, caliper)
+    diff = F.col("y") - F.col("match_y")
     r = m.agg(F.avg(diff).alias("att"), (F.stddev_samp(diff) / F.sqrt(F.count(diff))).alias("se"), F.count(diff).alias("pairs"), (F.count(F.lit(1)) - F.count(diff)).alias("unmatched")).first()
     p = normal_p(r["att"] / r["se"]) if r["se"] else None
     return frame(df, [{"att": r["att"], "se": r["se"], "p": p, "pairs": r["pairs"], "unmatched": r["unmatched"]}], "att double, se double, p double, pairs long, unmatched long")
@@ -172,28 +184,6 @@ def linear_cate(df: DataFrame, y: str, treatment: str, features: list[str], unit
     return frame(df, [{"term": x, **fit.row(x, normal=True)} for x in fit.names if x != "const"], "term string, coef double, se double, t double, p double")
 
 
-def causal_forest(df: DataFrame, y: str, treatment: str, features: list[str], unit: str, trees: int = 50, depth: int = 6, seed: int = 42) -> DataFrame:
-    """Adds ``cate``: a random forest on [x, t, t x x] gives f(x, 1) - f(x, 0).
-
-    Honest halves by a hash of the id: each half is predicted by the forest fitted on the other.
-    """
-    rows = df.dropna(subset=[y, treatment, *features]).withColumn("_half", F.pmod(F.xxhash64(unit, F.lit(seed)), F.lit(2))).withColumn("_yd", F.col(y).cast("double"))
-    crossed = [f"_t_{i}" for i in range(len(features))]
-
-    def design(x: DataFrame, t) -> DataFrame:
-        x = x.withColumns({"_t": t, **{n: t * F.col(c).cast("double") for n, c in zip(crossed, features)}})
-        return _vector(x, [*features, "_t", *crossed]).drop("_t", *crossed)
-
-    out = None
-    for half in (0, 1):
-        forest = RandomForestRegressor(featuresCol="_x", labelCol="_yd", numTrees=trees, maxDepth=depth, minInstancesPerNode=20, seed=seed).fit(design(rows.where(F.col("_half") != half), F.col(treatment).cast("double")))
-        test = rows.where(F.col("_half") == half)
-        one = _predicted(forest, design(test, F.lit(1.0)), False, "_f1").drop("_x")
-        part = _predicted(forest, design(one, F.lit(0.0)), False, "_f0").drop("_x")
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("cate", F.col("_f1") - F.col("_f0")).drop("_f1", "_f0", "_half", "_yd")
-
-
 def forest_summary(cates: DataFrame) -> DataFrame:
     """Average effect with sd/sqrt(n), and the distribution of effects."""
     return effect_distribution(cates, "cate").withColumn("se", F.col("sd") / F.sqrt("n"))
@@ -201,10 +191,9 @@ def forest_summary(cates: DataFrame) -> DataFrame:
 
 def quintile_means(cates: DataFrame, features: list[str]) -> DataFrame:
     """(feature, top, bottom): means where the effect is in the top and bottom fifth."""
-    q = cates.agg(F.percentile("cate", F.array(F.lit(0.2), F.lit(0.8))).alias("q"))
-    x = cates.join(F.broadcast(q))
-    hi, lo = F.col("cate") >= F.get("q", F.lit(1)), F.col("cate") <= F.get("q", F.lit(0))
-    a = x.agg(*(F.avg(F.when(c, F.col(f))).alias(f"{n}{i}") for i, f in enumerate(features) for n, c in (("t", hi), ("b", lo))))
+    low, high = exact_quantiles(cates, {"cate": [0.2, 0.8]})[("cate",)]
+    hi, lo = F.col("cate") >= F.lit(high), F.col("cate") <= F.lit(low)
+    a = cates.agg(*(F.avg(F.when(c, F.col(f))).alias(f"{n}{i}") for i, f in enumerate(features) for n, c in (("t", hi), ("b", lo))))
     return a.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"t{i}").alias("top"), F.col(f"b{i}").alias("bottom")) for i, f in enumerate(features)))).alias("r")).select("r.*")
 
 
@@ -212,21 +201,21 @@ def group_effects(cates: DataFrame, feature: str, least: int = 10) -> DataFrame:
     """(level, cate, n): by value if there are 20 at most, else by quartile bins closed on the right."""
     if cates.select(feature).distinct().limit(21).count() <= 20:
         level = F.col(feature).cast("string")
-        x = cates
     else:
-        x = cates.join(F.broadcast(cates.agg(F.percentile(feature, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))))
-        level = F.when(F.col(feature) <= F.get("q", F.lit(0)), "q1").when(F.col(feature) <= F.get("q", F.lit(1)), "q2").when(F.col(feature) <= F.get("q", F.lit(2)), "q3").otherwise("q4")
-    return x.groupBy(level.alias("level")).agg(F.avg("cate").alias("cate"), F.count("cate").alias("n")).where(F.col("n") >= least)
+        q = exact_quantiles(cates, {feature: [0.25, 0.5, 0.75]})[(feature,)]
+        level = F.when(F.col(feature) <= F.lit(q[0]), "q1").when(F.col(feature) <= F.lit(q[1]), "q2").when(F.col(feature) <= F.lit(q[2]), "q3").otherwise("q4")
+    return cates.groupBy(level.alias("level")).agg(F.avg("cate").alias("cate"), F.count("cate").alias("n")).where(F.col("n") >= least)
 
 
 def heterogeneity_drivers(df: DataFrame, y: str, treatment: str, features: list[str], unit: str) -> DataFrame:
     """(feature, importance): share of the variance of effects that lies between fifths of the feature; no refit is needed."""
     cates = causal_forest(df, y, treatment, features, unit).persist()
-    out = None
-    for f in features:
-        q = F.broadcast(cates.agg(F.percentile(f, F.array(*(F.lit(k / 5) for k in range(1, 5)))).alias("q"), F.var_pop("cate").alias("v"), F.avg("cate").alias("m")))
-        x = cates.join(q).withColumn("_b", F.size(F.filter("q", lambda v: v < F.col(f))))
-        by = x.groupBy("_b").agg(F.avg("cate").alias("mb"), F.count("cate").alias("n"), F.first("v").alias("v"), F.first("m").alias("m"))
-        one = by.agg((F.sum(F.col("n") * (F.col("mb") - F.col("m")) ** 2) / F.sum("n") / F.nullif(F.first("v"), F.lit(0.0))).alias("importance")).select(F.lit(f).alias("feature"), "importance")
-        out = one if out is None else out.union(one)
-    return out
+    cuts = exact_quantiles(cates, {f: [k / 5 for k in range(1, 5)] for f in features})
+    whole = cates.agg(F.var_pop("cate").alias("v"), F.avg("cate").alias("m")).first()
+    fifths = [sum(((F.col(f) > F.lit(q)).cast("int") for q in cuts[(f,)]), F.lit(0)).alias(f"_b{i}") for i, f in enumerate(features)]
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"_b{i}").alias("b")) for i, f in enumerate(features))))
+    by = cates.select("cate", *fifths).select("cate", each.alias("r")).groupBy("r.feature", "r.b").agg(F.avg("cate").alias("m"), F.count("cate").alias("n"))
+    between = F.sum(F.col("n") * (F.col("m") - F.lit(whole["m"])) ** 2) / F.sum("n")
+    rows = [r.asDict() for r in by.groupBy("feature").agg((between / F.nullif(F.lit(whole["v"]), F.lit(0.0))).alias("importance")).collect()]  # a row a feature
+    cates.unpersist()
+    return frame(df, rows, "feature string, importance double")

@@ -51,13 +51,18 @@ class Fit:
 
 
 class Gram:
-    """Blocks of a panel. ``columns`` are the regressors; time effects become dummies of all periods but the first."""
+    """Blocks of a panel. ``columns`` are the regressors; time effects become dummies of all periods but the first.
 
-    def __init__(self, df: DataFrame, entity: str, time: str | None, outcome: str, columns: dict[str, Column] | list[str], periods: list | None = None):
+    ``keep`` has columns of which an entity's largest value stands beside its block.
+    """
+
+    def __init__(self, df: DataFrame, entity: str, time: str | None, outcome: str, columns: dict[str, Column] | list[str], periods: list | None = None, keep: dict[str, Column] | None = None):
         columns = {c: F.col(c) for c in columns} if isinstance(columns, list) else columns
-        rows = df.select(F.col(entity).alias("_e"), *([F.col(time).alias("_t")] if time else []), F.col(outcome).cast("double").alias("_y"), *(c.cast("double").alias(f"_x{k}") for k, c in enumerate(columns.values())))
+        keep = keep or {}
+        used = [F.col(entity).alias("_e"), *([F.col(time).alias("_t")] if time else []), F.col(outcome).cast("double").alias("_y"), *(c.cast("double").alias(f"_x{k}") for k, c in enumerate(columns.values()))]
+        rows = df.select(*used, *(c.alias(f"_k_{n}") for n, c in keep.items()))
         # read twice, for the means and for the sums; let go once the blocks are there
-        rows = self.rows = rows.dropna().persist()
+        rows = self.rows = rows.dropna(subset=[c for c in rows.columns if not c.startswith("_k_")]).persist()
         self.entity, self.kept = entity, False
         raw = [f"_x{k}" for k in range(len(columns))] + ["_y"]
         # one pass for the periods, which are few, and the means: sums of squares of centred values lose no digits
@@ -67,15 +72,20 @@ class Gram:
         z = [F.col(c) - F.lit(means[c] or 0.0) for c in raw]
         z = z[:-1] + [(F.col("_t") == F.lit(p)).cast("double") for p in self.periods[1:]] + z[-1:]
         self.k = len(z)
-        wide = rows.select("_e", *(c.alias(f"z{i}") for i, c in enumerate(z)))
+        wide = rows.select("_e", *(f"_k_{n}" for n in keep), *(c.alias(f"z{i}") for i, c in enumerate(z)))
         sums = [F.sum(f"z{i}").alias(f"s{i}") for i in range(self.k)]
         dummy = range(len(columns), self.k - 1)  # at most one of them is 1, so their products need no sum
         pairs = [(i, j) for i in range(self.k) for j in range(i, self.k)]
         products = [F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"p{i}_{j}") for i, j in pairs if not (i in dummy and j in dummy)]
-        by = wide.groupBy("_e").agg(F.count(F.lit(1)).alias("n"), *sums, *products)
+        by = wide.groupBy("_e").agg(F.count(F.lit(1)).alias("n"), *(F.max(f"_k_{n}").alias(n) for n in keep), *sums, *products)
         raw = lambda i, j: F.col(f"s{i}") if i == j in dummy else F.lit(0.0) if i in dummy and j in dummy else F.col(f"p{i}_{j}")
         within = [raw(i, j) - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n") for i, j in pairs]
-        self.blocks = by.select("_e", "n", F.array(*within).alias("g"))
+        self.blocks = by.select("_e", "n", *keep, F.array(*within).alias("g"))
+
+    def place(self, i: int, j: int) -> int:
+        """Where a block has the product of columns ``i`` and ``j``: the upper triangle, line by line."""
+        i, j = min(i, j), max(i, j)
+        return i * self.k - i * (i - 1) // 2 + j - i
 
     def persist(self) -> "Gram":
         self.blocks, self.kept = self.blocks.persist(), True

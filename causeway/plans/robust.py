@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions.stats import normal_cdf, solve
+from causeway.operators.ranges import kth_of_each_draw, not_after, running_sum
 from causeway.plans.did import did_gram, frame, interaction, post_flag
 from causeway.plans.gram import Gram
 from causeway.spec import PanelSpec
@@ -16,7 +17,7 @@ from causeway.spec import PanelSpec
 
 def leave_one_out(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """(entity, coef, influential): without each entity; influential if over 2 standard deviations from the mean."""
-    loo = did_gram(df, spec).persist().leave_one_out("did").withColumnRenamed("entity", spec.entity)
+    loo = did_gram(df, spec).leave_one_out("did").withColumnRenamed("entity", spec.entity)
     m = loo.agg(F.avg("coef").alias("m"), F.stddev_pop("coef").alias("s"))
     return loo.join(F.broadcast(m)).select(spec.entity, "coef", (F.abs(F.col("coef") - F.col("m")) > 2 * F.col("s")).alias("influential"))
 
@@ -25,12 +26,38 @@ def loo_summary(loo: DataFrame, entity: str) -> DataFrame:
     return loo.agg(F.min("coef").alias("lo"), F.min_by(entity, "coef").alias("lo_entity"), F.max("coef").alias("hi"), F.max_by(entity, "coef").alias("hi_entity"), F.stddev_pop("coef").alias("sd"), F.sum(F.col("influential").cast("long")).alias("influential"))
 
 
-def _draws(g: Gram, post: str) -> tuple[int, DataFrame]:
-    """Per entity the entries of its block in the row of ``post`` (with every column)."""
-    k = g.names.index(post)
-    upper = {(i, j): n for n, (i, j) in enumerate(zip(*np.triu_indices(g.k)))}
-    cols = [F.get("g", F.lit(upper[min(k, j), max(k, j)])).alias(f"b{j}") for j in range(g.k)]
-    return k, g.blocks.select("_e", *cols)
+def _dealt(units: DataFrame, draws: int, quotas: list[int], rows: int, seed: int, order) -> DataFrame:
+    """``units`` once for each draw, with ``draw`` and ``_part``: the number of the quota that the unit falls in, by order of (key, _e).
+
+    The first quotas[0] units of a draw get part 0, the next quotas[1] part 1, and so on; the rest get the number of
+    quotas. Parts are told by the unit at the end of each quota, of which there is one a draw, so nothing is sorted.
+    """
+    key = order(F.col("_e"), F.col("draw")).cast("long") if order else F.shiftright(F.xxhash64("_e", "draw", F.lit(seed)), 2)
+    every = units.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("key", key)
+    ends = [int(x) for x in np.cumsum(quotas)]
+    found = kth_of_each_draw(every.select("draw", "key", "_e"), draws, sorted({e for e in ends if 0 < e < rows}), rows)
+    kind = units.schema["_e"].dataType.simpleString()
+    columns = ", ".join(f"_k{i} long, _u{i} {kind}" for i in range(len(ends)))
+    # a quota that ends at 0 has nobody, one that ends at the last unit everybody
+    first, last = (-(1 << 63), None), ((1 << 63) - 1, None)
+    table = [(d, *(x for e in ends for x in (first if e <= 0 else last if e >= rows else found[d, e]))) for d in range(1, draws + 1)]
+    cuts = F.broadcast(units.sparkSession.createDataFrame(table, f"draw int, {columns}"))  # a row a draw
+    part = F.lit(0)
+    for i in range(len(ends)):
+        part = part + F.when(F.coalesce(not_after(F.col("key"), F.col("_e"), F.col(f"_k{i}"), F.col(f"_u{i}")), F.lit(False)), 0).otherwise(1)
+    return every.join(cuts, "draw").withColumn("_part", part)
+
+
+def _coefficients(sums: DataFrame, one) -> DataFrame:
+    """(draw, coef) of the rows of sums ``b``, of which there is one a draw."""
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            yield pd.DataFrame({"draw": batch["draw"], "coef": pd.Series([one(np.asarray(b)) for b in batch["b"]], dtype=float)})
+
+    return sums.mapInPandas(run, "draw int, coef double")
 
 
 def placebo_permutation(df: DataFrame, spec: PanelSpec, draws: int = 500, seed: int = 42, order=None) -> DataFrame:
@@ -38,48 +65,29 @@ def placebo_permutation(df: DataFrame, spec: PanelSpec, draws: int = 500, seed:
 
     With treatment constant in an entity, the row of treated x post in the sum of blocks is the sum of the
     chosen entities' rows of post, so a draw is a sum, not a refit. Entities are chosen by the least
-    values of ``order`` (entity, draw), a hash by default. Draws that are collinear have a null.
+    values of ``order`` (entity, draw), a hash by default, up to a threshold that counts tell. Draws that are
+    collinear have a null.
     """
-    g = Gram(df, spec.entity, spec.time, spec.outcome, {"post": F.col(spec.post), **{c: F.col(c) for c in spec.controls}}).persist()
-    total, _, _ = g.total
-    treated = df.groupBy(F.col(spec.entity).alias("_e")).agg(F.max(F.col(spec.treated)).alias("d")).agg(F.sum((F.col("d") > 0).cast("long"))).first()[0]
-    k, rows = _draws(g, "post")
-    key = order or (lambda e, s: F.xxhash64(e, s, F.lit(seed)))
-    # only (entity, draw) is sorted; the draws that chose an entity meet its block once
-    every = g.blocks.select("_e", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    ranked = every.withColumn("_r", F.row_number().over(Window.partitionBy("draw").orderBy(key(F.col("_e"), F.col("draw")), "_e")))
-    chosen = ranked.where(F.col("_r") <= F.lit(treated)).groupBy("_e").agg(F.collect_list("draw").alias("draws"))
-
-    def add(batches):
-        import pandas as pd
-
-        total = np.zeros((draws, g_k))
-        for batch in batches:
-            for own, b in zip(batch["draws"], batch["b"]):
-                total[np.asarray(own, np.int64) - 1] += np.asarray(b)
-        yield pd.DataFrame({"draw": np.arange(1, draws + 1, dtype=np.int32), "b": list(total)})
-
-    g_k = g.k
-    parts = rows.select("_e", F.array(*(f"b{j}" for j in range(g.k))).alias("b")).join(chosen, "_e").select("draws", "b").mapInPandas(add, "draw int, b array<double>")
-    sums = parts.groupBy("draw").agg(F.array(*(F.sum(F.get("b", F.lit(j))) for j in range(g.k))).alias("b"))
+    g = Gram(df, spec.entity, spec.time, spec.outcome, {"post": F.col(spec.post), **{c: F.col(c) for c in spec.controls}}, keep={"d": F.col(spec.treated).cast("double")}).persist()
+    total, _, entities = g.total
+    treated = g.blocks.agg(F.sum((F.col("d") > 0).cast("long"))).first()[0] or 0
+    k = g.names.index("post")
+    units = g.blocks.select("_e", *(F.get("g", F.lit(g.place(k, j))).alias(f"b{j}") for j in range(g.k)))
+    chosen = _dealt(units, draws, [treated], entities, seed, order).where("_part = 0")
+    sums = chosen.groupBy("draw").agg(F.array(*(F.sum(f"b{j}") for j in range(g.k))).alias("b"))
     cols = [j for j in range(g.k - 1) if j != k]
 
-    def run(batches):
-        import pandas as pd
-
-        for batch in batches:
-            out = []
-            for b in batch["b"]:
-                b = np.asarray(b)
-                xx = np.empty((len(cols) + 1,) * 2)
-                xx[1:, 1:] = total[np.ix_(cols, cols)]
-                xx[0, 0], xx[0, 1:], xx[1:, 0] = b[k], b[cols], b[cols]
-                # what treated x post has beyond the other columns
-                free = b[k] - b[cols] @ solve(xx[1:, 1:], b[cols]) if cols else b[k]
-                out.append(float(solve(xx, np.concatenate([[b[-1]], total[cols, -1]]))[0]) if free > 1e-9 * max(b[k], 1e-300) else None)
-            yield pd.DataFrame({"draw": batch["draw"], "coef": pd.Series(out, dtype=float)})
+    def one(b: np.ndarray) -> float | None:
+        xx = np.empty((len(cols) + 1,) * 2)
+        xx[1:, 1:] = total[np.ix_(cols, cols)]
+        xx[0, 0], xx[0, 1:], xx[1:, 0] = b[k], b[cols], b[cols]
+        # what treated x post has beyond the other columns
+        free = b[k] - b[cols] @ solve(xx[1:, 1:], b[cols]) if cols else b[k]
+        return float(solve(xx, np.concatenate([[b[-1]], total[cols, -1]]))[0]) if free > 1e-9 * max(b[k], 1e-300) else None
 
-    return sums.mapInPandas(run, "draw int, coef double")
+    found = frame(df, [r.asDict() for r in _coefficients(sums, one).collect()], "draw int, coef double")  # a row a draw
+    g.free()
+    return found
 
 
 def placebo_summary(draws: DataFrame, actual: float) -> DataFrame:
@@ -91,38 +99,29 @@ def placebo_summary(draws: DataFrame, actual: float) -> DataFrame:
 def staggered_placebo(df: DataFrame, spec: PanelSpec, draws: int = 200, seed: int = 42, order=None) -> DataFrame:
     """(draw, coef): first treated periods dealt anew among the treated entities, in the order of ``order`` (entity, draw), a hash by default.
 
-    Each entity has a block for each cohort; a draw picks one of them per entity and adds them up.
+    The first entities get the earliest period, as many as have it, the next ones the second, and so on: quotas over
+    the order. Each entity has a block for each cohort; a draw picks one of them per entity and adds them up.
     """
-    units = df.groupBy(F.col(spec.entity).alias("_e")).agg(F.min(spec.first_treated).alias("ft"))
-    cohorts = sorted(r[0] for r in units.where("ft is not null").select("ft").distinct().collect())
+    cohorts = sorted(r[0] for r in df.select(spec.first_treated).where(F.col(spec.first_treated).isNotNull()).distinct().collect())
     names = {f"c{k}": (F.col(spec.time) >= F.lit(c)).cast("double") for k, c in enumerate(cohorts)}
-    g = Gram(df, spec.entity, spec.time, spec.outcome, names).persist()
+    g = Gram(df, spec.entity, spec.time, spec.outcome, names, keep={"ft": F.col(spec.first_treated)}).persist()
     total, _, _ = g.total
-    upper = {(i, j): n for n, (i, j) in enumerate(zip(*np.triu_indices(g.k)))}
     m, rest = len(cohorts), range(len(cohorts), g.k)
-    per = F.array(*(F.array(F.get("g", F.lit(upper[k, k])), *(F.get("g", F.lit(upper[k, j])) for j in rest)) for k in range(m)))
-    treated = g.blocks.select("_e", per.alias("b")).join(units.where("ft is not null"), "_e")
-    every = treated.select("_e", "b", "ft", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    own = Window.partitionBy("draw")
-    dealt = every.withColumn("_i", F.row_number().over(own.orderBy("ft", "_e"))).withColumn("_j", F.row_number().over(own.orderBy(order(F.col("_e"), F.col("draw")) if order else F.xxhash64("_e", "draw", F.lit(seed)), "_e")))
-    givers = dealt.select("draw", F.col("_i").alias("_j"), F.col("ft").alias("given"))
-    takers = dealt.select("draw", "_j", "b").join(givers, ["draw", "_j"])
-    pick = F.get("b", F.array_position(F.array(*map(F.lit, cohorts)), F.col("given")).cast("int") - 1)
-    sums = takers.select("draw", pick.alias("b")).groupBy("draw").agg(F.array(*(F.sum(F.get("b", F.lit(i))) for i in range(1 + len(rest)))).alias("b"))
-
-    def run(batches):
-        import pandas as pd
-
-        inner = total[m:-1, m:-1]
-        for batch in batches:
-            out = []
-            for b in batch["b"]:
-                b = np.asarray(b)
-                xx = np.block([[b[:1, None].reshape(1, 1), b[None, 1:-1]], [b[1:-1, None], inner]])
-                out.append(float(solve(xx, np.concatenate([b[-1:], total[m:-1, -1]]))[0]))
-            yield pd.DataFrame({"draw": batch["draw"], "coef": out})
-
-    return sums.mapInPandas(run, "draw int, coef double")
+    treated = g.blocks.where("ft is not null")
+    size = {r["ft"]: r["n"] for r in treated.groupBy("ft").agg(F.count(F.lit(1)).alias("n")).collect()}
+    quotas = [size.get(c, 0) for c in cohorts]
+    per = F.array(*(F.array(F.get("g", F.lit(g.place(k, k))), *(F.get("g", F.lit(g.place(k, j))) for j in rest)) for k in range(m)))
+    dealt = _dealt(treated.select("_e", per.alias("b")), draws, quotas, sum(quotas), seed, order)
+    sums = dealt.select("draw", F.get("b", F.col("_part")).alias("b")).groupBy("draw").agg(F.array(*(F.sum(F.get("b", F.lit(i))) for i in range(1 + len(rest)))).alias("b"))
+    inner = total[m:-1, m:-1]
+
+    def one(b: np.ndarray) -> float:
+        xx = np.block([[b[:1, None], b[None, 1:-1]], [b[1:-1, None], inner]])
+        return float(solve(xx, np.concatenate([b[-1:], total[m:-1, -1]]))[0])
+
+    found = frame(df, [r.asDict() for r in _coefficients(sums, one).collect()], "draw int, coef double")  # a row a draw
+    g.free()
+    return found
 
 
 OSTER = "beta_short double, r2_short double, beta_full double, r2_full double, r2_max double, beta_star double, delta_zero double, robust boolean"
@@ -173,22 +172,6 @@ def placebo_in_time(df: DataFrame, spec: PanelSpec, first: int, shifts: tuple[in
     return frame(df, rows, "shift int, status string, n long, coef double, se double, p double")
 
 
-def before(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """``df`` with ``name``, the sum of ``value`` over all rows of smaller ``order``, which is unique.
-
-    Rows are dealt by ranges of ``order``; a range's own running sum and the totals of the ranges before it (a number a
-    range on the driver) make the sum, so no task gets all rows.
-    """
-    dealt = df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()).persist()
-    offset, starts = 0, []
-    for r in sorted(dealt.groupBy("_range").agg(F.sum(value).alias("s")).collect()):
-        starts.append((r["_range"], offset))
-        offset += r["s"] or 0
-    starts = df.sparkSession.createDataFrame(starts, "_range int, _start long")
-    own = F.sum(value).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return dealt.withColumn(name, F.coalesce(own, F.lit(0))).join(F.broadcast(starts), "_range").withColumn(name, F.col(name) + F.col("_start")).drop("_range", "_start")
-
-
 def rosenbaum_bounds(df: DataFrame, outcome: str, treatment: str, covariates: list[str], unit: str, gammas: tuple[float, ...] = (1, 1.2, 1.5, 1.8, 2, 2.5, 3)) -> DataFrame:
     """Signed-rank bounds after matching each treated unit to the control with the nearest propensity."""
     from causeway.plans.dml import matched
@@ -196,7 +179,7 @@ def rosenbaum_bounds(df: DataFrame, outcome: str, treatment: str, covariates: li
     diffs = matched(df, outcome, treatment, covariates, unit).select((F.col("y") - F.col("match_y")).alias("diff")).where("diff <> 0")
     # ranks of |diff| with ties averaged, from counts of distinct values
     sizes = diffs.groupBy(F.abs("diff").alias("a")).agg(F.count(F.lit(1)).alias("k"), F.sum((F.col("diff") > 0).cast("long")).alias("up"))
-    ranked = before(sizes, "a", "k", "_before")
+    ranked = running_sum(sizes, "a", "k", "_before")
     r = ranked.select("k", "up", (F.col("_before") + (F.col("k") + 1) / 2).alias("rank")).agg(F.sum("k").alias("n"), F.sum(F.col("up") * F.col("rank")).alias("w"), F.sum(F.col("k") * F.col("rank")).alias("s1"), F.sum(F.col("k") * F.col("rank") ** 2).alias("s2")).first()
     rows = []
     for gamma in gammas:

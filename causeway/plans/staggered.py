@@ -5,8 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions.stats import normal_p, solve
@@ -22,25 +21,30 @@ def cohorts_and_periods(df: DataFrame, spec: PanelSpec) -> tuple[list, list]:
     return g, t
 
 
-def long_differences(df: DataFrame, spec: PanelSpec, control: str = "never", pre: bool = False) -> DataFrame:
-    """(g, t, entity, d, dy, controls at g-1): changes since the last period before g, of the cohort and its controls.
+def _outcomes(df: DataFrame, spec: PanelSpec) -> DataFrame:
+    """(entity, ft, at): one row an entity, with a map from period to outcome and controls; so no self-join is needed."""
+    cell = F.struct(F.col(spec.outcome).cast("double").alias("y"), *(F.col(c).cast("double").alias(c) for c in spec.controls))
+    return df.where(F.col(spec.outcome).isNotNull()).groupBy(F.col(spec.entity).alias("entity"), F.col(spec.first_treated).cast("double").alias("ft")).agg(F.map_from_entries(F.collect_list(F.struct(F.col(spec.time).cast("double"), cell))).alias("at"))
 
-    ``control`` is ``never`` (never treated) or ``notyet`` (not treated by t as well). Each entity is
-    collected once as a map from period to outcome, so no self-join is needed.
-    """
-    gs, ts = cohorts_and_periods(df, spec)
+
+def _changes(x: DataFrame, gs: list, ts: list, controls: tuple[str, ...], control: str, pre: bool) -> DataFrame:
     pairs = [(float(g), float(t), float(max(x for x in ts if x < g))) for g in gs if any(x < g for x in ts) for t in ts if pre and t != max(x for x in ts if x < g) or t >= g]
-    x = df.where(F.col(spec.outcome).isNotNull()).groupBy(F.col(spec.entity).alias("entity"), F.col(spec.first_treated).cast("double").alias("ft")).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col(spec.time).cast("double"), F.struct(F.col(spec.outcome).cast("double").alias("y"), *(F.col(c).cast("double").alias(c) for c in spec.controls))))).alias("at")
-    )
-    grid = df.sparkSession.createDataFrame(pairs or [(0.0, 0.0, 0.0)], "g double, t double, base double").where(F.lit(bool(pairs)))
+    grid = x.sparkSession.createDataFrame(pairs or [(0.0, 0.0, 0.0)], "g double, t double, base double").where(F.lit(bool(pairs)))
     both = x.join(F.broadcast(grid), F.when(F.col("ft").isNull(), True).otherwise((F.col("ft") == F.col("g")) | (F.col("ft") > F.col("t")) & F.lit(control == "notyet")))
     now, then = F.try_element_at("at", F.col("t")), F.try_element_at("at", F.col("base"))
-    out = both.select("g", "t", "entity", F.coalesce((F.col("ft") == F.col("g")).cast("int"), F.lit(0)).alias("d"), (now["y"] - then["y"]).alias("dy"), *(then[c].alias(c) for c in spec.controls))
-    return out.dropna(subset=["dy", *spec.controls])
+    out = both.select("g", "t", "entity", F.coalesce((F.col("ft") == F.col("g")).cast("int"), F.lit(0)).alias("d"), (now["y"] - then["y"]).alias("dy"), *(then[c].alias(c) for c in controls))
+    return out.dropna(subset=["dy", *controls])
+
+
+def long_differences(df: DataFrame, spec: PanelSpec, control: str = "never", pre: bool = False) -> DataFrame:
+    """(g, t, entity, d, dy, controls at g-1): changes since the last period before g, of the cohort and its controls.
+
+    ``control`` is ``never`` (never treated) or ``notyet`` (not treated by t as well).
+    """
+    return _changes(_outcomes(df, spec), *cohorts_and_periods(df, spec), spec.controls, control, pre)
 
 
-ATT = "g double, t double, att double, se double, p double, n_treated long, n_control long"
+ATT_ROW = "g double, t double, att double, se double, n_treated long, n_control long"
 
 
 def att_plain(changes: DataFrame) -> DataFrame:
@@ -55,45 +59,86 @@ def att_plain(changes: DataFrame) -> DataFrame:
     return a.select("g", "t", (F.col("m1") - F.col("m0")).alias("att"), se.alias("se"), "n_treated", "n_control")
 
 
-def _doubly_robust(controls: tuple[str, ...]):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        d, dy = rows["d"].to_numpy(float), rows["dy"].to_numpy(float)
-        n1, n0 = int(d.sum()), int((1 - d).sum())
-        out = {"g": [rows["g"].iat[0]], "t": [rows["t"].iat[0]], "att": [None], "se": [None], "n_treated": [n1], "n_control": [n0]}
-        if n1 and n0:
-            x = rows[list(controls)].to_numpy(float)
-            sd = x.std(axis=0)
-            x = np.column_stack([np.ones(len(x)), (x - x.mean(axis=0)) / np.where(sd > 0, sd, 1)])
-            b = np.zeros(x.shape[1])
-            for _ in range(30):
-                p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-                step = np.linalg.pinv(x.T @ (x * (p * (1 - p))[:, None]) + 1e-9 * np.eye(len(b))) @ (x.T @ (d - p))
-                b += step
-                if np.abs(step).max() < 1e-9:
-                    break
-            ps = np.clip(1 / (1 + np.exp(-np.clip(x @ b, -30, 30))), 0.01, 0.99)
-            c = d == 0
-            gamma = solve(x[c].T @ x[c], x[c].T @ dy[c]) if c.sum() >= 10 else np.zeros(x.shape[1])
-            r = dy - x @ gamma
-            w1, w0 = d / d.mean(), ps * (1 - d) / (1 - ps)
-            w0 = w0 / w0.mean()
-            att = (w1 * r).mean() - (w0 * r).mean()
-            influence = w1 * (r - (w1 * r).mean()) - w0 * (r - (w0 * r).mean())
-            out["att"], out["se"] = [float(att)], [float(math.sqrt(influence.var() / len(r)))]
-        return pd.DataFrame(out)
-
-    return run
+def _of_each_pair(changes: DataFrame, values: dict[tuple, list[float]], names: list[str]) -> DataFrame:
+    """``changes`` of the pairs (g, t) that ``values`` has, with columns of a pair's values."""
+    table = changes.sparkSession.createDataFrame([(*k, *map(float, v)) for k, v in values.items()], ", ".join(f"{c} double" for c in ("g", "t", *names)))
+    return changes.join(F.broadcast(table), ["g", "t"])  # a row a pair
+
+
+def _dot(weights: list[str], columns: list[Column]) -> Column:
+    return sum((F.col(w) * c for w, c in zip(weights, columns)), F.lit(0.0))
+
+
+def att_doubly_robust(changes: DataFrame, controls: tuple[str, ...], rounds: int = 30) -> DataFrame:
+    """(g, t, att, se, n_treated, n_control) of all pairs at once, from sums by pair.
+
+    Logit propensities by Newton's method, one aggregation a round for all pairs that haven't settled; outcome
+    regressions among controls; then weighted means, and in a last pass the squares of the influence functions. What
+    is broadcast and what comes back is a row a pair, whatever its number of entities. Pairs without treated or control
+    entities are left out; with under ten controls the outcome regression is nil.
+    """
+    k = len(controls) + 1
+    names = {n: [f"_{n}{i}" for i in range(k)] for n in ("m", "s", "b", "c")}
+    moments = changes.groupBy("g", "t").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("n1"), *(f(c).alias(f"{n}{i}") for i, c in enumerate(controls, 1) for n, f in (("m", F.avg), ("s", F.stddev_pop)))).collect()
+    size = {(r["g"], r["t"]): (r["n"], r["n1"]) for r in moments if 0 < r["n1"] < r["n"]}
+    if not size:
+        return frame(changes, [], ATT_ROW)
+    scale = {(r["g"], r["t"]): [*(r[f"m{i}"] for i in range(1, k)), *(r[f"s{i}"] or 1.0 for i in range(1, k))] for r in moments if (r["g"], r["t"]) in size}
+    z = [F.lit(1.0), *((F.col(c) - F.col(m)) / F.col(s) for c, m, s in zip(controls, names["m"][1:], names["s"][1:]))]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def square(values: list) -> np.ndarray:
+        h = np.zeros((k, k))
+        for (i, j), v in zip(pairs, values):
+            h[i, j] = h[j, i] = v or 0.0
+        return h
+
+    beta = {p: np.zeros(k) for p in size}
+    gamma: dict[tuple, np.ndarray] = {}
+    active = set(size)
+    score = F.greatest(F.least(_dot(names["b"], z), F.lit(30.0)), F.lit(-30.0))
+    ps = 1 / (1 + F.exp(-score))
+    for round_ in range(rounds):
+        at = _of_each_pair(changes, {p: [*scale[p], *beta[p]] for p in active}, [*names["m"][1:], *names["s"][1:], *names["b"]])
+        at = at.select("g", "t", "d", "dy", ps.alias("_p"), *(c.alias(f"_z{i}") for i, c in enumerate(z)))
+        x, no = [F.col(f"_z{i}") for i in range(k)], F.col("d") == 0
+        sums = [F.sum(F.col("_p") * (1 - F.col("_p")) * x[i] * x[j]) for i, j in pairs] + [F.sum((F.col("d") - F.col("_p")) * c) for c in x]
+        if not round_:  # the outcome regression doesn't depend on the propensities
+            sums += [F.sum(F.when(no, x[i] * x[j])) for i, j in pairs] + [F.sum(F.when(no, c * F.col("dy"))) for c in x]
+        for r in at.groupBy("g", "t").agg(*sums).collect():
+            p, v = (r[0], r[1]), list(r[2:])
+            step = np.linalg.pinv(square(v[: len(pairs)]) + 1e-9 * np.eye(k)) @ np.array(v[len(pairs) : len(pairs) + k])
+            beta[p] = beta[p] + step
+            if np.abs(step).max() < 1e-9:
+                active.discard(p)
+            if not round_:
+                own = v[len(pairs) + k :]
+                few = size[p][0] - size[p][1] < 10
+                gamma[p] = np.zeros(k) if few else solve(square(own[: len(pairs)]), np.array(own[len(pairs) :]))
+        if not active:
+            break
+    at = _of_each_pair(changes, {p: [*scale[p], *beta[p], *gamma[p]] for p in size}, [*names["m"][1:], *names["s"][1:], *names["b"], *names["c"]])
+    at = at.select("g", "t", "d", F.greatest(F.least(ps, F.lit(0.99)), F.lit(0.01)).alias("_p"), (F.col("dy") - _dot(names["c"], z)).alias("_r"))
+    at = at.select("g", "t", "d", "_r", (F.col("_p") * (1 - F.col("d")) / (1 - F.col("_p"))).alias("_w"))
+    means = {(r["g"], r["t"]): (r["w"], r["r1"] / size[r["g"], r["t"]][1], r["r0"] / r["w"]) for r in at.groupBy("g", "t").agg(F.sum("_w").alias("w"), F.sum(F.col("d") * F.col("_r")).alias("r1"), F.sum(F.col("_w") * F.col("_r")).alias("r0")).collect()}
+    last = _of_each_pair(at, {p: [n / n1, n / means[p][0], *means[p][1:]] for p, (n, n1) in size.items()}, ["_f1", "_f0", "_m1", "_m0"])
+    influence = F.col("d") * F.col("_f1") * (F.col("_r") - F.col("_m1")) - F.col("_w") * F.col("_f0") * (F.col("_r") - F.col("_m0"))
+    squares = {(r["g"], r["t"]): r["v"] for r in last.groupBy("g", "t").agg(F.avg(influence**2).alias("v")).collect()}
+    rows = [{"g": p[0], "t": p[1], "att": means[p][1] - means[p][2], "se": math.sqrt(squares[p] / n), "n_treated": n1, "n_control": n - n1} for p, (n, n1) in size.items()]
+    return frame(changes, rows, ATT_ROW)
 
 
 def att_gt(df: DataFrame, spec: PanelSpec, control: str = "never", pre: bool = False) -> DataFrame:
     """ATT(g,t) for t >= g; with controls doubly robust (logit propensity and outcome regression among controls).
 
-    Each (g,t) is one group of a row per entity. Errors are from influence functions over entities.
+    Errors are from influence functions over entities.
     """
-    changes = long_differences(df, spec, control, pre)
     if not spec.controls:
-        return att_plain(changes)
-    return changes.groupBy("g", "t").applyInPandas(_doubly_robust(spec.controls), "g double, t double, att double, se double, n_treated long, n_control long").where("att is not null")
+        return att_plain(long_differences(df, spec, control, pre))
+    x = _outcomes(df, spec).persist()  # a row an entity, read once a round
+    found = att_doubly_robust(_changes(x, *cohorts_and_periods(df, spec), spec.controls, control, pre), spec.controls)
+    x.unpersist()
+    return found
 
 
 def aggregate_att(att: DataFrame) -> DataFrame:
@@ -124,6 +169,7 @@ def bootstrap_att(df: DataFrame, spec: PanelSpec, replicates: int = 100, seed: i
     by = weighted.groupBy("rep", "g", "t").agg((mean(d) - mean(~d)).alias("att"), F.sum(F.when(d, F.col("w"))).alias("n"))
     by_g = by.where("att is not null").groupBy("rep", "g").agg(F.avg("att").alias("att"), F.max("n").alias("n"))
     overall = by_g.groupBy("rep").agg((F.sum(F.col("att") * F.col("n")) / F.sum("n")).alias("att"))
+    # a row a replicate
     return overall.agg(F.count("att").alias("replicates"), F.avg("att").alias("mean"), F.stddev_samp("att").alias("sd"), F.percentile("att", F.lit(0.025)).alias("lo"), F.percentile("att", F.lit(0.975)).alias("hi"))
 
 

@@ -546,12 +546,12 @@ def ipw_and_aipw(spark, sf):
     return rounded(dml.weighting(_items(spark, sf), "y", "d", ["size", "quantity"]), 3)
 
 
-#: Each treated unit with the nearest control by propensity: of equals the last at or below, in the next bin of 1/64 the first above.
+#: Each treated unit with the nearest control by propensity: of equally near ones the lower, of one score the largest unit.
 _MATCHED = f"""
     {_SCALED}, {newton("x", "d", ["x1", "x2"], "b")}, s AS MATERIALIZED (SELECT u, y, d, greatest(least(1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))), 0.99), 0.01) AS ps FROM x, b),
-    l AS MATERIALIZED (SELECT ps, arg_max(y, u) AS last, arg_min(y, u) AS first FROM s WHERE d = 0 GROUP BY ps),
+    l AS MATERIALIZED (SELECT ps, arg_max(y, u) AS last FROM s WHERE d = 0 GROUP BY ps),
     below AS (SELECT s.u, s.ps, s.y, l.ps AS bp, l.last AS bv FROM s ASOF LEFT JOIN l ON s.ps >= l.ps WHERE d = 1),
-    both_ AS (SELECT k.*, l.ps AS ap, CASE WHEN floor(l.ps * 64) = floor(k.ps * 64) THEN l.last ELSE l.first END AS av FROM below k ASOF LEFT JOIN l ON k.ps <= l.ps),
+    both_ AS (SELECT k.*, l.ps AS ap, l.last AS av FROM below k ASOF LEFT JOIN l ON k.ps <= l.ps),
     m AS MATERIALIZED (SELECT y - CASE WHEN bp IS NULL OR abs(ap - ps) < abs(ps - bp) THEN av ELSE bv END AS diff FROM both_)
 """
 
@@ -599,12 +599,12 @@ def propensity_overlap(spark, sf):
 
 @query()
 def causal_forest(spark, sf):
-    return dml.forest_summary(dml.causal_forest(_items(spark, sf), "y", "d", ["size", "quantity"], "u", trees=20))
+    return dml.forest_summary(dml.causal_forest(_items(spark, sf), "y", "d", ["size", "quantity"], "u"))
 
 
 @query()
 def causal_forest_groups(spark, sf):
-    c = dml.causal_forest(_items(spark, sf), "y", "d", ["size", "quantity"], "u", trees=10, depth=4).persist()
+    c = dml.causal_forest(_items(spark, sf), "y", "d", ["size", "quantity"], "u")
     return dml.quintile_means(c, ["size", "quantity"]).select("feature", F.lit("top").alias("level"), F.col("top").alias("value")).union(dml.group_effects(c, "quantity").select(F.lit("quantity"), "level", "cate"))
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from causeway.functions import stats, text
-from causeway.operators import clean, reshape, validate
+from causeway.operators import clean, ranges, reshape, validate
 from causeway.plans import confirm, cross_section, dml, robust
 from causeway.plans.gram import logit
 from causeway.sources import readers, sinks
@@ -92,13 +92,13 @@ def test_logit_and_matching(spark):
 
 
 def test_running_sums_over_ranges(spark):
-    df = spark.range(500).select(((F.col("id") * 37) % 500).alias("a"), (F.col("id") % 7).alias("k"))
-    got = robust.before(df, "a", "k", "b").orderBy("a").collect()
+    df = spark.range(500).select(((F.col("id") * 37) % 500).cast("double").alias("a"), (F.col("id") % 7).alias("k"))
+    got = ranges.running_sum(df, "a", "k", "b").orderBy("a").collect()
     total = 0
     for r in got:
         assert r["b"] == total
         total += r["k"]
-    assert len(got) == 500 and robust.before(df.where("false"), "a", "k", "b").count() == 0
+    assert len(got) == 500 and ranges.running_sum(df.where("false"), "a", "k", "b").count() == 0
 
 
 def test_fallbacks_are_tried_in_order(spark):
