@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 from causeway.llm._common import materialise
 
 WINDOW = 15
-LEAST_WORDS = 5  # items with fewer words can't be told from chance and match nothing
+LEAST_WORDS = 1
 SEGMENT = 4096  # words of a document that are handled together
 BLOCK_SEEDS = 200_000  # benchmark seeds broadcast at once, of 0.5 KB at most
 #: Masks by an item's number of words, the last ones for WINDOW words and more. However a fifth of the words, rounded
 #: down, is substituted, one of the masks fits somewhere between them (a test goes through all patterns).
 FAMILIES = {
+    1: ("1",),
+    2: ("11",),
+    3: ("111",),
+    4: ("1111",),
     5: ("1111", "10111", "11011", "11101"),
     6: ("1111", "11011"),
     7: ("11011",),
@@ -71,8 +75,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """(id, item_id, matched_words, window_words) for every document and item that overlap.
 
     ``matched_words`` is the most words that agree in an aligned window of ``window_words`` (15, or the
-    item's words if fewer). Null and empty texts and items overlap with nothing, and so do items with
-    fewer than LEAST_WORDS words. Nothing else is missed: an item's masks (FAMILIES) hit every window
+    item's words if fewer). Null and empty texts and items overlap with nothing. Items of under five words
+    are met whole and exactly. Nothing is missed: an item's masks (FAMILIES) hit every window
     with four fifths of its words. Rows of equal ids count as one document or item (null ids as well). Empty tables give an empty result; further
     columns are not read. The benchmark is broadcast in blocks of about BLOCK_SEEDS seeds, so its size
     isn't limited; the documents are never shuffled.

@@ -135,6 +135,22 @@ def test_ring_plan_by_brute_force():
     assert got == want
 
 
+def test_warc_reaches_the_stores_that_spark_names(monkeypatch):
+    asked = []
+
+    class Own:
+        from_uri = staticmethod(lambda u: asked.append(("own", u)) or (None, u))
+
+    class Hadoop:
+        from_uri = staticmethod(lambda u: asked.append(("hadoop", u)))
+
+    monkeypatch.setattr(warc, "FileSystem", Own)
+    monkeypatch.setattr(warc, "HadoopFileSystem", Hadoop)
+    paths = [warc.file_system(u)[1] for u in ("s3a://b/x/y", "s3n://b/x", "gs://b/x", "file:///tmp/x", "/tmp/x", "hdfs://name:8020/x/y", "viewfs://far/z")]
+    assert [u for _, u in asked] == ["s3://b/x/y", "s3://b/x", "gs://b/x", "file:///tmp/x", "/tmp/x", "hdfs://name:8020/x/y", "viewfs://far/z"]
+    assert [k for k, _ in asked] == ["own"] * 5 + ["hadoop"] * 2 and paths[-2:] == ["/x/y", "/z"]
+
+
 def test_warc(spark):
     same = "<p>" + "x" * 200 + "</p>"
     rows = [(5, "http://a/ b", same), (2, None, same), (2, "u", same), (3, "u", "short"), (4, "u", "short"), (None, "u", same), (6, "u", None), (7, "u\n", ""), (8, "é", "é" * 50_000)]
@@ -392,7 +408,7 @@ def test_quality(spark, sf, docs, none):
 
 def brute_overlaps(doc, item):
     d, b = (__import__("re").findall(r"[^\W_]+", x.lower()) for x in (doc, item))
-    if len(b) < 5:
+    if not b:
         return 0
     w, best = min(15, len(b)), 0
     for i in range(-w, len(d)):
@@ -411,10 +427,10 @@ def test_decontamination(spark, docs):
     texts = {1: noise(50) + items[0] + noise(9), 2: noise(5000) + sub + noise(10), 3: items[1], 4: noise(9) + items[2][:20], 5: noise(60), 6: noise(4) + items[3] + noise(4), 7: items[4] + noise(20), 8: items[2][:6] + noise(30), 9: items[0][:13]}
     table = spark.createDataFrame([(k, " ".join(v).upper() if k == 1 else ", ".join(v)) for k, v in texts.items()] + [(10, None), (11, "")], "doc_id long, text string").withColumn("seed", F.lit(1)).withColumn("item_id", F.lit(1))
     bench = spark.createDataFrame([(k, " ".join(v)) for k, v in enumerate(items)] + [(9, None)], "item_id long, text string").withColumn("doc_id", F.lit(1))
-    want = {(d, i) for d, x in texts.items() for i, y in enumerate(items) if 5 * brute_overlaps(" ".join(x), " ".join(y)) >= 4 * min(15, len(y)) and len(y) >= 5}
+    want = {(d, i) for d, x in texts.items() for i, y in enumerate(items) if 5 * brute_overlaps(" ".join(x), " ".join(y)) >= 4 * min(15, len(y))}
     rows = decontam.overlaps(table, bench).collect()
     assert {(r["doc_id"], r["item_id"]) for r in rows} == want
-    assert {d for d, _ in want} == {1, 2, 3, 4, 6, 9}
+    assert {d for d, _ in want} == {1, 2, 3, 4, 6, 7, 9}
     assert all(r["matched_words"] == brute_overlaps(" ".join(texts[r["doc_id"]]), " ".join(items[r["item_id"]])) for r in rows)
     blocks = decontam.BLOCK_SEEDS
     decontam.BLOCK_SEEDS = 50
@@ -425,6 +441,16 @@ def test_decontamination(spark, docs):
     assert decontam.overlaps(docs, bench).count() == 0 and decontam.overlaps(table, bench.where("false")).count() == 0 and decontam.overlaps(table.where("false"), bench).count() == 0
 
 
+def test_short_items_are_met_whole(spark):
+    """Items of one to four words: every place where all of them stand, and no other."""
+    items = {1: "solo", 2: "two words", 3: "three short words", 4: "here are four words", 5: "Solo"}
+    texts = ["", "solo", "so lo", "x two words y", "two x words", "three short words here are four", "here are four words", "here are our words", None, "words two words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["matched_words"], r["window_words"]) for r in decontam.overlaps(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    want = {(d, i, len(x.split()), len(x.split())) for d, t in enumerate(texts) for i, x in items.items() if t and f" {x.lower()} " in f" {t} "}
+    assert got == want and {i for _, i, *_ in want} == set(items)
+
+
 def test_masks_hit_every_pattern_of_substitutions():
     for n in range(decontam.LEAST_WORDS, 26):
         w = min(n, decontam.WINDOW)
