@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import pandas as pd
-from pyarrow.fs import FileSystem
+from pyarrow.fs import FileSystem, HadoopFileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +25,22 @@ INDEX_SCHEMA = "file string, offset long, length long, url string, payload_diges
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+#: Hadoop's names of stores that pyarrow knows by another.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfss": "abfss", "file": "file"}
+
+
+def file_system(folder: str) -> tuple[FileSystem, str]:
+    """The file system of a folder that Spark names, and the folder's path in it.
+
+    Object stores are reached by pyarrow's own clients, every other scheme (hdfs, viewfs and what else is in the
+    cluster's configuration) by Hadoop's client.
+    """
+    scheme, sep, rest = folder.partition("://")
+    if sep and scheme not in SCHEMES:
+        return HadoopFileSystem.from_uri(folder), "/" + rest.partition("/")[2]
+    return FileSystem.from_uri(f"{SCHEMES[scheme]}://{rest}" if sep else folder)
+
+
 def record_bytes(id_: str, url: str | None, payload: bytes, refers_to: str | None, digest: str) -> bytes:
     """One record as a gzip member. A revisit keeps the response's HTTP head, and with it the payload's length."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -61,7 +77,7 @@ def parse_record(member: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
 def _writer(folder: str):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, path = FileSystem.from_uri(folder)
+        fs, path = file_system(folder)
         # each attempt of a task has a file of its own; the index names only those of attempts that ended well
         name, out, at = f"{uuid.uuid4().hex}.warc.gz", None, 0
         for batch in batches:
@@ -128,7 +144,7 @@ def read_records(index: DataFrame, folder: str, payloads: bool = False) -> DataF
     names = [x.split()[0] for x in READ_SCHEMA.split(", ")] + ["payload"] * payloads
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, path = FileSystem.from_uri(folder)
+        fs, path = file_system(folder)
         for batch in batches:
             for name, part in groupby(batch.itertuples(index=False, name=None), key=lambda r: r[0]):
                 part = list(part)
