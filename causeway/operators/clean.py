@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from causeway.functions.text import clean_name
+from causeway.operators.likeness import first_or_most_alike
 from causeway.spec import ENTITY_ALIASES, TIME_ALIASES, number, sniff
 
 
@@ -84,40 +82,10 @@ def impute_sporadic(df: DataFrame, entity: str, time: str, variable: str, max_ga
     return x.select(*(F.when(F.col("_fill"), F.col("_mid")).otherwise(F.col(c)).alias(c) if c == variable else F.col(c) for c in df.columns), F.col("_fill").cast("int").alias(f"{variable}_imputed"))
 
 
-MOST_ALIASES = 100_000
-
-
-def _alike(names: DataFrame, mapping: DataFrame, least: float) -> DataFrame:
-    """(_name, _c4): codes of cleaned names by parts or likeness; the dictionary goes to the tasks once its size is known."""
-    entries = [tuple(r) for r in mapping.orderBy("_p", "_a").select("_ca", "_code").limit(MOST_ALIASES + 1).collect()]
-    if len(entries) > MOST_ALIASES:
-        raise ValueError(f"a dictionary of over {MOST_ALIASES} aliases is too large for matching by likeness")
-    shared = names.sparkSession.sparkContext.broadcast(entries)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = [(a or "", code) for a, code in shared.value]
-        for batch in batches:
-            codes = []
-            for name in batch["_clean"]:
-                found = next((code for a, code in known if len(name) >= 2 and len(a) >= 2 and (name in a or a in name)), None)
-                if found is None:
-                    best, match = 0.0, SequenceMatcher(None)
-                    for a, code in known:
-                        match.set_seqs(name, a)
-                        if match.real_quick_ratio() > best and match.quick_ratio() > best and (ratio := match.ratio()) > best:
-                            best, found = ratio, code
-                    found = found if best >= least else None
-                codes.append(found)
-            yield pd.DataFrame({"_name": batch["_name"], "_c4": pd.Series(codes, dtype=object)})
-
-    return names.mapInPandas(run, f"_name string, _c4 {mapping.schema['_code'].dataType.simpleString()}")
-
-
 def normalise_entities(df: DataFrame, entity: str, mapping: DataFrame, fuzzy: bool = True, least: float = 0.75) -> DataFrame:
     """Replaces names by codes: as written, then cleaned, then cleaned against cleaned, then by likeness.
 
-    ``mapping`` is (alias, code, position) of a dictionary of MOST_ALIASES entries at most; a larger one is an error if ``fuzzy``.
-    Likeness is tried on the distinct names left over: the first alias that contains or is contained (two letters at
+    ``mapping`` is (alias, code, position) of a dictionary of any size. Likeness is tried on the distinct names left over: the first alias that contains or is contained (two letters at
     least), else the most alike by the share of matching blocks, from ``least`` on, the first of equals. Names
     without a match, blanks and the words nan, none and null stay.
     """
@@ -131,7 +99,10 @@ def normalise_entities(df: DataFrame, entity: str, mapping: DataFrame, fuzzy: bo
     x = x.withColumn("_hit", F.coalesce("_c1", "_c2", "_c3"))
     if fuzzy:
         left = x.where(F.col("_hit").isNull() & real & (F.length("_clean") > 0)).select("_name", "_clean")
-        x = x.join(_alike(left, m, least), "_name", "left").withColumn("_hit", F.coalesce("_hit", "_c4"))
+        order = F.struct("_p", "_a")
+        entries = m.where(F.col("_ca") != "").groupBy(F.col("_ca").alias("r")).agg(F.min_by("_code", order).alias("code"), F.min(order).alias("at"))
+        found = first_or_most_alike(left.select(F.col("_clean").alias("l")).distinct(), entries, least)
+        x = x.join(found.select(F.col("l").alias("_clean"), F.col("code").alias("_c4")), "_clean", "left").withColumn("_hit", F.coalesce("_hit", "_c4"))
     known = x.where(F.col("_hit").isNotNull() & real).select("_name", "_hit")
     return df.join(known, F.col(entity) == F.col("_name"), "left").select(*(F.coalesce("_hit", F.col(c)).alias(c) if c == entity else F.col(c) for c in df.columns))
 

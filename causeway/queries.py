@@ -761,7 +761,8 @@ def load_variable_first_row(spark, sf):
 """)
 def normalise_names(spark, sf):
     c = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
-    odd = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.col("n_name"), F.lit(" (x)"))).otherwise(F.col("n_name"))
+    # a third as written, a third with brackets, a third with a wrong letter, which only likeness finds
+    odd = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.col("n_name"), F.lit(" (x)"))).when(F.col("c_custkey") % 3 == 1, F.translate("n_name", "O", "X")).otherwise(F.col("n_name"))
     mapping = table(spark, sf, "nation").select(F.col("n_name").alias("alias"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("code"), F.col("n_nationkey").alias("position"))
     return clean.normalise_entities(c.select("c_custkey", odd.alias("nation")), "nation", mapping)
 
