@@ -23,26 +23,35 @@ def clean_name(name: Column) -> Column:
     return F.trim(reduce(lambda x, e: F.regexp_replace(x, f"^(.{{2,}}){e}$", "$1"), REGION_ENDINGS, bare))
 
 
+CHINESE = "\\x{4e00}-\\x{9fff}"
+
+
 def has_chinese(text: Column) -> Column:
-    return text.rlike("[\\x{4e00}-\\x{9fff}]")
+    return text.rlike(f"[{CHINESE}]")
 
 
 def tokens(text: Column) -> Column:
-    """Distinct words of two letters or more, and each Chinese character and pair of neighbours."""
+    """Distinct lower-case words of two letters or more, cut at blanks, _ and -, and each Chinese character and pair of them.
+
+    Pairs are of characters that follow each other once everything else is left out.
+    """
     low = F.lower(text)
-    words = F.filter(F.regexp_extract_all(low, F.lit(r"([a-z0-9]+)"), F.lit(1)), lambda w: F.length(w) > 1)
-    single = F.regexp_extract_all(low, F.lit("([\\x{4e00}-\\x{9fff}])"), F.lit(1))
-    pairs = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(2))), lambda p: p.rlike("^[\\x{4e00}-\\x{9fff}]{2}$"))
-    return F.array_distinct(F.concat(words, single, pairs))
+    words = F.filter(F.split(F.regexp_replace(low, f"[{CHINESE}_\\-\\s]", " "), " +"), lambda w: F.length(w) > 1)
+    only = F.regexp_replace(low, f"[^{CHINESE}]", "")
+    n = F.length(only)
+    single = F.when(n > 0, F.split(only, "")).otherwise(F.array().cast("array<string>"))
+    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(only, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.filter(F.concat(words, pairs, single), lambda x: x != ""))
 
 
 def text_match(query: Column, target: Column) -> Column:
-    """1 if equal, .85 if the query is inside, .8 if the target is, .7 for a common pair of Chinese characters,
-    else half the share of the query's tokens that the target has."""
+    """1 if equal, .85 if the query is inside, .8 if the target is, .7 if both are Chinese and two neighbouring characters of the query are in the target,
+    else half the share of the query's tokens that the target has; a Chinese query counts with its English words, too."""
     q, t = F.lower(F.trim(query)), F.lower(F.trim(target))
-    common = F.array_intersect(tokens(q), tokens(t))
-    pair = F.exists(common, lambda x: x.rlike("^[\\x{4e00}-\\x{9fff}]{2}$"))
-    share = F.size(common) / F.greatest(F.size(tokens(q)), F.lit(1))
+    asked = F.when(has_chinese(q), F.array_union(tokens(q), tokens(expand_query(q)))).otherwise(tokens(q))
+    runs = F.when(F.length(q) > 1, F.transform(F.sequence(F.lit(1), F.length(q) - 1), lambda i: F.substring(q, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    pair = has_chinese(q) & has_chinese(t) & F.exists(runs, lambda x: t.contains(x))
+    share = F.size(F.array_intersect(asked, tokens(t))) / F.greatest(F.size(asked), F.lit(1))
     empty = (F.length(q) == 0) | (F.length(t) == 0)
     return F.when(query.isNull() | target.isNull() | empty, 0.0).when(q == t, 1.0).when(t.contains(q), 0.85).when(q.contains(t), 0.8).when(pair, 0.7).otherwise(0.5 * F.least(share, F.lit(1.0)))
 
@@ -52,8 +61,21 @@ def any_keyword(text: Column, words: list[str]) -> Column:
 
 
 #: Words by which the level of data is told, in order.
-LEVELS = {"daily": ["daily", "day", "每日", "日度"], "monthly": ["monthly", "month", "月度"], "quarterly": ["quarter", "季度"], "yearly": ["yearly", "annual", "year", "年度"]}
-PLACES = {"city": ["city", "城市", "市"], "province": ["province", "省"], "county": ["county", "县"], "us": ["us", "united states", "美国"], "cn": ["china", "中国"]}
+LEVELS = {
+    "city": ["city", "城市", "municipal", "prefecture", "地级"],
+    "province": ["province", "省", "provincial", "省级"],
+    "country": ["country", "national", "国家", "全国", "nationwide"],
+    "daily": ["daily", "日频", "日度", "daily frequency"],
+    "monthly": ["monthly", "月度", "月频"],
+    "yearly": ["yearly", "annual", "年度", "每年"],
+}
+#: Words by which the region of data is told, in order.
+PLACES = {
+    "cn": ["china", "中国", "cn", "chinese", "beijing", "shanghai", "城市", "province", "省", "city", "akshare", "nbs"],
+    "us": ["us", "usa", "united states", "美国", "nyc", "new york", "chicago", "epa", "bls", "fec", "fred", "zillow", "citi bike"],
+    "eu": ["eu", "europe", "eurostat", "oecd", "european", "germany", "france", "uk", "italy", "spain"],
+    "global": ["world", "global", "international", "world bank", "wb", "cross-country", "跨国"],
+}
 
 
 #: English words that a Chinese term stands for.
@@ -64,7 +86,9 @@ ENGLISH = {
     "供水": "water supply", "供气": "gas supply", "用电": "electricity consumption power", "汽车": "car vehicle ownership", "手机": "mobile phone telecom", "互联网": "internet broadband",
     "专利": "patent innovation", "养老": "pension insurance social security", "失业": "unemployment insurance", "污水处理": "sewage treatment waste", "垃圾": "waste treatment",
     "公共交通": "public transport transit bus", "出租车": "taxi", "建成区": "built up area urban", "研发": "rd research development science technology expenditure",
-    "生育率": "fertility rate birth births per woman TFR", "生育": "fertility birth", "死亡率": "mortality death rate IMR", "死亡": "mortality death", "老龄化": "elderly aging old age", "人均": "per capita",
+    "生育率": "fertility rate birth births per woman TFR", "生育": "fertility birth", "死亡率": "mortality death rate IMR", "死亡": "mortality death", "老龄化": "elderly aging old age",
+    "城镇化": "urbanization urban", "流动人口": "migrant migration", "财政": "fiscal revenue expenditure", "外资": "fdi foreign investment", "卫生": "health hygiene medical sanitary",
+    "社保": "social security insurance pension", "居民": "resident household urban rural", "城市": "city urban municipal", "农村": "rural village countryside", "人均": "per capita",
 }
 
 
@@ -80,12 +104,20 @@ def _first_hit(text: Column, table: dict[str, list[str]], default: str) -> Colum
     return out.otherwise(default)
 
 
-def infer_level(text: Column) -> Column:
-    return _first_hit(text, LEVELS, "yearly")
+def infer_level(text: Column, hint: Column | None = None) -> Column:
+    """city, province, country, daily, monthly or yearly: what the hint names, else the first level with a word in the text, else yearly."""
+    found = _first_hit(F.coalesce(text, F.lit("")), LEVELS, "yearly")
+    if hint is None:
+        return found
+    h = F.lower(hint)
+    named = F.coalesce(*(F.when(h.isin(k, *words), k) for k, words in LEVELS.items()))
+    return F.coalesce(named, found)
 
 
-def infer_place(text: Column) -> Column:
-    return _first_hit(text, PLACES, "global")
+def infer_place(text: Column, hint: Column | None = None) -> Column:
+    """cn, us, eu or global: the first region with a word in the text or the hint, else global."""
+    both = F.concat_ws(" ", F.coalesce(text, F.lit("")), F.lit("") if hint is None else F.coalesce(hint, F.lit("")))
+    return _first_hit(both, PLACES, "global")
 
 
 def parse_amount(text: Column) -> Column:

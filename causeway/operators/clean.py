@@ -10,6 +10,7 @@ from pyspark.sql.types import NumericType
 
 from causeway.functions.text import clean_name
 from causeway.operators.likeness import first_or_most_alike
+from causeway.sources.sinks import written
 from causeway.spec import ENTITY_ALIASES, TIME_ALIASES, number, sniff
 
 
@@ -98,10 +99,10 @@ def normalise_entities(df: DataFrame, entity: str, mapping: DataFrame, fuzzy: bo
     x = x.join(exact.select(F.col("_k").alias("_clean"), F.col("_c").alias("_c2")), "_clean", "left").join(cleaned.select(F.col("_k").alias("_clean"), F.col("_c").alias("_c3")), "_clean", "left")
     x = x.withColumn("_hit", F.coalesce("_c1", "_c2", "_c3"))
     if fuzzy:
-        left = x.where(F.col("_hit").isNull() & real & (F.length("_clean") > 0)).select("_name", "_clean")
+        left = x.where(F.col("_hit").isNull() & real & (F.length("_clean") > 0)).select(F.col("_clean").alias("l")).distinct()
         order = F.struct("_p", "_a")
         entries = m.where(F.col("_ca") != "").groupBy(F.col("_ca").alias("r")).agg(F.min_by("_code", order).alias("code"), F.min(order).alias("at"))
-        found = first_or_most_alike(left.select(F.col("_clean").alias("l")).distinct(), entries, least)
+        found = first_or_most_alike(written(left, "names"), written(entries, "aliases"), least)
         x = x.join(found.select(F.col("l").alias("_clean"), F.col("code").alias("_c4")), "_clean", "left").withColumn("_hit", F.coalesce("_hit", "_c4"))
     known = x.where(F.col("_hit").isNotNull() & real).select("_name", "_hit")
     return df.join(known, F.col(entity) == F.col("_name"), "left").select(*(F.coalesce("_hit", F.col(c)).alias(c) if c == entity else F.col(c) for c in df.columns))

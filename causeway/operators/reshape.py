@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from causeway.functions.text import any_keyword, infer_level, infer_place, text_match
+from causeway.functions.text import any_keyword, expand_query, has_chinese, infer_level, infer_place, text_match, tokens
+from causeway.operators.likeness import grams
 from causeway.operators.ranges import exact_quantiles
 
 
@@ -81,6 +82,42 @@ def search_catalogue(queries: DataFrame, catalogue: DataFrame, top: int = 5, lea
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
+def search_requirements(requirements: DataFrame, catalogue: DataFrame, top: int = 3, least: float = 0.3) -> DataFrame:
+    """(name, key, score, rank): for each requirement the entries that score ``least`` or more, ``top`` at most.
+
+    ``requirements`` is (name, description, level, place), ``catalogue`` is (key, search_text, level). The score is .35
+    of the description's match with the entry's text, .35 of the name's with its key, .15 of the levels' (half of it
+    where neither is in the other), and .15 more for an equal name. The level comes from the hint or the description.
+    Entries that share no word, pair of letters or character with name or description can't get there: only those that
+    share a part are compared, of equal scores the first key counts first.
+    """
+    r = requirements.select("name", F.coalesce("description", "name").alias("_d"), "level").distinct()
+    r = r.select("name", "_d", infer_level(F.col("_d"), F.col("level")).alias("_l"))
+    c = catalogue.select("key", F.coalesce("search_text", F.lit("")).alias("_t"), F.coalesce("level", F.lit("")).alias("_cl"))
+    asked = r.select("name", "_d", "_l", F.explode(F.array_distinct(F.concat(_parts("_d", "asked"), _parts("name", "asked")))).alias("g"))
+    offered = c.select("key", "_t", "_cl", F.explode(F.array_distinct(F.concat(_parts("_t", "offered"), _parts("key", "offered")))).alias("g"))
+    both = asked.join(offered, "g").drop("g").distinct()
+    fit = F.when(F.col("_cl").contains(F.col("_l")) | F.col("_l").contains(F.col("_cl")), 1.0).otherwise(0.5)
+    exact = F.when(F.lower("name") == F.lower("key"), 0.15).otherwise(0.0)
+    score = 0.35 * text_match(F.col("_d"), F.col("_t")) + 0.35 * text_match(F.col("name"), F.col("key")) + 0.15 * fit + exact
+    scored = both.select("name", "key", score.alias("s")).where(F.col("s") >= least)
+    w = Window.partitionBy("name").orderBy(F.desc("score"), "key")
+    return scored.select("name", "key", F.round("s", 3).alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def _parts(column: str, side: str) -> Column:
+    """Words, characters and pairs of letters by which two texts that match at all can meet.
+
+    A text of one letter is looked for among the letters of all texts of the other side, under a mark of its side.
+    """
+    low, none = F.lower(F.trim(column)), F.array().cast("array<string>")
+    words = tokens(F.when(has_chinese(low), expand_query(low)).otherwise(low)) if side == "asked" else tokens(low)
+    other = {"asked": "offered", "offered": "asked"}[side]
+    alone = F.when(F.length(low) == 1, F.array(F.concat(F.lit(f"{side} "), low))).otherwise(none)
+    letters = F.transform(grams(low, 1), lambda x: F.concat(F.lit(f"{other} "), x))
+    return F.filter(F.concat(words, grams(low, 2), alone, letters), lambda x: x != "")
+
+
 def match_concepts(concepts: DataFrame, catalogue: DataFrame, hints: dict[str, list[str]] | None = None) -> DataFrame:
     """(concept, key, score): 100 for the key, 50 for a part of it, 40 in the description, 30 for a hint's word, 5 per shared word."""
     a, b = concepts.alias("a"), _bounded(catalogue).alias("b")
@@ -114,7 +151,7 @@ def gap_report(requirements: DataFrame, found: DataFrame, fetched: DataFrame) ->
     best = F.get("m", F.lit(0))
     section = F.when(F.col("_ok").isNotNull(), "fetched").when(best["score"] >= 0.5, "available").otherwise("needed")
     desc = F.lower(F.coalesce("description", "name"))
-    level, place = F.coalesce("level", infer_level(desc)), F.coalesce("place", infer_place(desc))
+    level, place = infer_level(desc, F.col("level")), infer_place(desc, F.col("place"))
     survey, yearbook, policy = desc.contains("micro") | desc.contains("survey"), level.isin("city", "province") & (place == "cn"), desc.contains("policy") | desc.contains("pilot")
     tier = F.when(section != "needed", "A").when(survey, "B").when(yearbook | policy, "C").otherwise("B")
     suggestion = F.when(section == "needed", F.when(survey, "survey data, after registration").when(yearbook, "statistical yearbooks, or by hand").when(policy, "policy documents, by hand").otherwise("not in public sources searched"))

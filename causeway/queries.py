@@ -659,16 +659,68 @@ def heterogeneity_drivers(spark, sf):
     return dml.heterogeneity_drivers(_items(spark, sf), "y", "d", ["size", "quantity"], "u")
 
 
-@query("SELECT p_partkey, CASE WHEN contains(lower(p_type), 'day') THEN 'daily' WHEN contains(lower(p_type), 'month') THEN 'monthly' WHEN contains(lower(p_type), 'quarter') THEN 'quarterly' ELSE 'yearly' END AS level FROM part")
+_WORDS = "list_distinct(list_filter(string_split_regex({0}, '[\\s_-]+'), lambda w: length(w) > 1))"
+
+
+def _match_sql(q: str, t: str) -> str:
+    """Likeness of two ASCII texts."""
+    q, t = f"lower(trim({q}))", f"lower(trim({t}))"
+    a, b = _WORDS.format(q), _WORDS.format(t)
+    return f"CASE WHEN {q} = '' OR {t} = '' THEN 0 WHEN {q} = {t} THEN 1 WHEN contains({t}, {q}) THEN 0.85 WHEN contains({q}, {t}) THEN 0.8 ELSE 0.5 * least(len(list_intersect({a}, {b})) / greatest(len({a}), 1), 1) END"
+
+
+def _hit_sql(x: str, words: dict[str, list[str]], default: str) -> str:
+    return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower({x}), {w!r})' for w in ws)} THEN '{k}'" for k, ws in words.items()) + f" ELSE '{default}' END"
+
+
+def _level_sql(x: str, hint: str) -> str:
+    named = " ".join(f"WHEN lower({hint}) IN ('{k}', {', '.join(map(repr, ws))}) THEN '{k}'" for k, ws in text.LEVELS.items())
+    return f"CASE {named} ELSE {_hit_sql(x, text.LEVELS, 'yearly')} END"
+
+
+#: What a description may say, and what hint may stand beside it, dealt out by the key.
+_SAID = ["in every city", "省 GDP", "nationwide", "日度", "by month, 月频", "annual", "as such", "地级", "of Germany", "美国", "中国", "World Bank", "at the moon"]
+_HINTS = ["", "monthly", "省级", "nationwide", "unknown", "CITY"]
+
+
+def _described(spark, sf):
+    of = lambda words, k: F.get(F.array(*map(F.lit, words)), (F.col("c_custkey") % k).cast("int"))
+    return table(spark, sf, "customer").select("c_custkey", F.concat_ws(" ", "c_mktsegment", of(_SAID, len(_SAID))).alias("description"), F.nullif(of(_HINTS, len(_HINTS)), F.lit("")).alias("hint"))
+
+
+_DESCRIBED = f"(SELECT c_custkey, c_mktsegment || ' ' || {_SAID}[c_custkey % {len(_SAID)} + 1] AS description, {_HINTS}[c_custkey % {len(_HINTS)} + 1] AS hint FROM customer)"
+
+
+@query(f"SELECT c_custkey, {_level_sql('description', 'hint')} AS level, {_hit_sql('description', text.LEVELS, 'yearly')} AS plain FROM {_DESCRIBED}")
 def inferred_levels(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", text.infer_level(F.col("p_type")).alias("level"))
+    return _described(spark, sf).select("c_custkey", text.infer_level(F.col("description"), F.col("hint")).alias("level"), text.infer_level(F.col("description")).alias("plain"))
+
 
+@query(f"SELECT c_custkey, {_hit_sql('description', text.PLACES, 'global')} AS place, {_hit_sql(chr(40) + 'description || chr(32) || hint' + chr(41), text.PLACES, 'global')} AS hinted FROM {_DESCRIBED}")
+def inferred_places(spark, sf):
+    return _described(spark, sf).select("c_custkey", text.infer_place(F.col("description")).alias("place"), text.infer_place(F.col("description"), F.col("hint")).alias("hinted"))
 
-@query("SELECT n_nationkey, CASE WHEN lower(n_name) = lower(r_name) THEN 1.0 WHEN contains(lower(r_name), lower(n_name)) THEN 0.85 WHEN contains(lower(n_name), lower(r_name)) THEN 0.8 WHEN len(list_intersect(string_split_regex(lower(n_name), '[^a-z0-9]+'), string_split_regex(lower(r_name), '[^a-z0-9]+'))) = 0 THEN 0.0 END::DOUBLE AS score FROM nation JOIN region ON n_regionkey = r_regionkey WHERE NOT len(list_intersect(string_split_regex(lower(n_name), '[^a-z0-9]+'), string_split_regex(lower(r_name), '[^a-z0-9]+'))) > 0")
+
+@query(f"SELECT n_nationkey, ({_match_sql('n_name', 'r_name')})::DOUBLE AS score, ({_match_sql('n_name', chr(39) + 'nation 7, of ' + chr(39) + ' || r_name')})::DOUBLE AS loose FROM nation JOIN region ON n_regionkey = r_regionkey")
 def text_scores(spark, sf):
     x = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # 5 regions
-    words = lambda c: F.split(F.lower(c), "[^a-z0-9]+")
-    return x.where(F.size(F.array_intersect(words("n_name"), words("r_name"))) == 0).select("n_nationkey", text.text_match(F.col("n_name"), F.col("r_name")).alias("score"))
+    return x.select("n_nationkey", text.text_match(F.col("n_name"), F.col("r_name")).alias("score"), text.text_match(F.col("n_name"), F.concat(F.lit("nation 7, of "), "r_name")).alias("loose"))
+
+
+@query(f"""
+    WITH r AS (SELECT DISTINCT p_type AS name, p_type || CASE WHEN p_size % 2 = 0 THEN ' by city' ELSE '' END AS d, CASE WHEN p_size % 3 = 0 THEN 'monthly' ELSE '' END AS hint FROM part),
+    c AS (SELECT DISTINCT p_name AS key, p_type AS t, CASE WHEN p_size > 25 THEN 'city' ELSE 'monthly' END AS cl FROM part),
+    l AS (SELECT name, d, {_level_sql('d', 'hint')} AS l FROM r),
+    s AS (SELECT name, key, 0.35 * ({_match_sql('d', 't')})::DOUBLE + 0.35 * ({_match_sql('name', 'key')})::DOUBLE + 0.15 * CASE WHEN contains(cl, l) OR contains(l, cl) THEN 1.0 ELSE 0.5 END + CASE WHEN lower(name) = lower(key) THEN 0.15 ELSE 0 END AS s FROM l, c),
+    b AS (SELECT name, key, round(max(s), 3)::DOUBLE AS score FROM s WHERE s >= 0.3 GROUP BY ALL)
+    SELECT name, count(*) AS entries, max(score) AS best, round(sum(score), 2) AS total FROM b GROUP BY name
+""")
+def requirement_search(spark, sf):
+    p = table(spark, sf, "part")
+    needs = p.select(F.col("p_type").alias("name"), F.concat("p_type", F.when(F.col("p_size") % 2 == 0, " by city").otherwise("")).alias("description"), F.when(F.col("p_size") % 3 == 0, "monthly").alias("level"), F.lit(None).cast("string").alias("place"))
+    catalogue = p.select(F.col("p_name").alias("key"), F.col("p_type").alias("search_text"), F.when(F.col("p_size") > 25, "city").otherwise("monthly").alias("level")).distinct()
+    found = reshape.search_requirements(needs, catalogue, top=1 << 30).groupBy("name", "key").agg(F.max("score").alias("score"))
+    return found.groupBy("name").agg(F.count("key").alias("entries"), F.max("score").alias("best"), F.round(F.sum("score"), 2).alias("total"))
 
 
 # --- cleaning and validation ---------------------------------------------------------------------------------------
@@ -917,16 +969,6 @@ def significance_stars(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", stats.stars((F.col("o_orderkey") % 200) / 1000.0).alias("stars"))
 
 
-_WORDS = "list_distinct(list_filter(regexp_extract_all({0}, '[a-z0-9]+'), lambda w: length(w) > 1))"
-
-
-def _match_sql(q: str, t: str) -> str:
-    """Likeness of two ASCII texts."""
-    q, t = f"lower(trim({q}))", f"lower(trim({t}))"
-    a, b = _WORDS.format(q), _WORDS.format(t)
-    return f"CASE WHEN {q} = '' OR {t} = '' THEN 0 WHEN {q} = {t} THEN 1 WHEN contains({t}, {q}) THEN 0.85 WHEN contains({q}, {t}) THEN 0.8 ELSE 0.5 * least(len(list_intersect({a}, {b})) / greatest(len({a}), 1), 1) END"
-
-
 @query(f"""
     WITH c AS (SELECT DISTINCT p_type AS key, p_brand AS description FROM part), q AS (SELECT DISTINCT p_type AS query FROM part),
     s AS (SELECT query, key, round(0.35 * ({_match_sql("query", "description")})::DOUBLE + 0.35 * ({_match_sql("query", "key")})::DOUBLE + 0.15 + CASE WHEN lower(query) = lower(key) OR lower(query) = lower(description) THEN 0.15 ELSE 0 END, 6)::DOUBLE AS score FROM q, c),

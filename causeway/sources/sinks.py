@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
 import tempfile
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,12 +30,28 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+_local: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, ``spark.checkpoint.dir``; a temporary one where it is unset on one machine."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; where it is unset on one machine, one temporary folder for all calls, removed at the end."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (found or f"file://{tempfile.mkdtemp(prefix='causeway-')}").rstrip("/")
+    if not _local:
+        folder = tempfile.mkdtemp(prefix="causeway-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _local.append(f"file://{folder}")
+    return _local[0]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: what several plans read is worked out once, and a lost executor costs none of it."""
+    path = f"{shared_dir(df.sparkSession)}/causeway/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def age_hours(spark: SparkSession, path: str) -> float | None:

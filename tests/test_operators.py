@@ -166,3 +166,72 @@ def test_small_helpers(spark):
     assert {tuple(r) for r in clean.forward_fill(df, "entity_id", "year", ["v"]).collect()} == {("a", 1, 1.0), ("a", 2, 1.0), ("b", 1, None)}
     assert [tuple(r) for r in clean.forward_fill(df, None, "year", ["v"]).where("entity_id = 'a'").collect()][0] == ("a", 1, 1.0)
     assert column(spark, ["房价和收入", "x"], text.expand_query) == ["房价和收入 income disposable wage earnings house price real estate housing", "x"]
+
+
+LEVEL_CASES = [
+    ("city GDP", None, "city"), ("省级 income", None, "province"), ("Nationwide survey", None, "country"), ("日频 air", None, "daily"), ("月度 CPI", None, "monthly"), ("每年", None, "yearly"), ("stock index", None, "yearly"),
+    ("city GDP", "月频", "monthly"), ("city GDP", "Daily Frequency", "daily"), ("city GDP", "weekly", "city"), ("annual city", "", "city"), (None, "省", "province"), (None, None, "yearly"),
+]
+PLACE_CASES = [
+    ("中国 GDP", None, "cn"), ("Beijing air", None, "cn"), ("FRED series", None, "us"), ("trust", None, "us"), ("Germany and France", None, "eu"), ("跨国 panel", None, "global"), ("moon", None, "global"),
+    ("GDP", "nbs", "cn"), ("Germany", "cn", "cn"), ("", "oecd", "eu"), (None, None, "global"),
+]
+
+
+def test_levels_and_places(spark):
+    for cases, of in ((LEVEL_CASES, text.infer_level), (PLACE_CASES, text.infer_place)):
+        df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, x string, hint string, want string")
+        assert [tuple(r) for r in df.select("x", "hint", of(F.col("x"), F.col("hint")).alias("got")).collect()] == [tuple(c) for c in cases]
+
+
+def _tokens_by_hand(x):
+    chinese = lambda c: "\u4e00" <= c <= "\u9fff"
+    found = {w.lower() for w in "".join(" " if chinese(c) else c for c in x).replace("_", " ").replace("-", " ").split() if len(w) > 1}
+    only = [c for c in x if chinese(c)]
+    return found | set(only) | {a + b for a, b in zip(only, only[1:])}
+
+
+def _match_by_hand(q, t):
+    q, t = (q or "").lower().strip(), (t or "").lower().strip()
+    if not q or not t:
+        return 0.0
+    if q == t:
+        return 1.0
+    if q in t:
+        return 0.85
+    if t in q:
+        return 0.8
+    chinese = lambda x: any("\u4e00" <= c <= "\u9fff" for c in x)
+    if chinese(q) and chinese(t) and any(q[i : i + 2] in t for i in range(len(q) - 1)):
+        return 0.7
+    own = _tokens_by_hand(q)
+    if chinese(q):
+        own |= _tokens_by_hand(q + "".join(" " + v for k, v in text.ENGLISH.items() if k in q))
+    return 0.5 * min(1.0, len(own & _tokens_by_hand(t)) / len(own)) if own else 0.0
+
+
+TEXTS = ["房价", "城镇化 率", "社保-支出", "house price index", "urban_population share", "Social Security", "财政收入", "gdp", "GDP per capita", "城市 房 价", "x", "市", "农村居民 x y", "", None, "so2, no2", "外资 fdi", "a-b_c", "人均 收入"]
+
+
+def test_matches_of_all_pairs_of_texts(spark):
+    df = spark.createDataFrame([(a, b) for a in TEXTS for b in TEXTS], "q string, t string")
+    for r in df.select("q", "t", text.text_match(F.col("q"), F.col("t")).alias("s")).collect():
+        assert r["s"] == pytest.approx(_match_by_hand(r["q"], r["t"])), (r["q"], r["t"])
+    assert len(text.ENGLISH) == 46 and _match_by_hand("城镇化 率", "urban rate") > 0
+
+
+def test_requirements_find_every_entry_that_scores(spark):
+    """Blocking by words and letters loses nothing: all pairs by hand, at a low and at the usual limit."""
+    needs = [(f"n{i}" if i % 3 else x, x, [None, "city", "weekly"][i % 3]) for i, x in enumerate(t for t in TEXTS if t)] + [("gdp", None, None)]
+    entries = [(f"k{i}" if i % 2 else (x or "none"), x, ["city", "city/province", None][i % 3]) for i, x in enumerate(TEXTS)]
+    want_level = {r["name"]: r["l"] for r in spark.createDataFrame([(n, d or n, v) for n, d, v in needs], "name string, d string, v string").select("name", text.infer_level(F.col("d"), F.col("v")).alias("l")).collect()}
+    for least in (0.3, 0.2):
+        got = {(r["name"], r["key"]): r["score"] for r in reshape.search_requirements(spark.createDataFrame([(*n, None) for n in needs], "name string, description string, level string, place string"), spark.createDataFrame(entries, "key string, search_text string, level string"), 100, least).collect()}
+        want = {}
+        for name, d, _ in needs:
+            for key, t, level in entries:
+                fit = 1.0 if want_level[name] in (level or "") or (level or "") in want_level[name] else 0.5
+                s = 0.35 * _match_by_hand(d or name, t) + 0.35 * _match_by_hand(name, key) + 0.15 * fit + 0.15 * (name.lower() == key.lower())
+                if s >= least:
+                    want[name, key] = pytest.approx(s, abs=6e-4)
+        assert got == want and len(want) > 20
