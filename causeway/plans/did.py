@@ -77,16 +77,14 @@ def event_study(df: DataFrame, spec: PanelSpec, n_pre: int = 4, n_post: int = 4,
 
     The reference period is a row with zeros. The pre-trend test is a joint F of all earlier periods but it.
     """
-    x = df.select(spec.entity, spec.time, spec.outcome, spec.first_treated, *spec.controls).withColumn("_rel", relative_time(spec.time, spec.first_treated, n_pre, n_post)).persist()
-    there = {r[0] for r in x.where("_rel is not null").select("_rel").distinct().collect()}
-    rels = [r for r in range(-n_pre, n_post + 1) if r != reference and r in there]
-    dummies = {f"r={r}": F.coalesce((F.col("_rel") == r).cast("double"), F.lit(0.0)) for r in rels}
-    g = Gram(x, spec.entity, spec.time, spec.outcome, {**dummies, **{c: F.col(c) for c in spec.controls}}).persist()
-    fit = g.fit()
+    x = df.select(spec.entity, spec.time, spec.outcome, spec.first_treated, *spec.controls).withColumn("_rel", relative_time(spec.time, spec.first_treated, n_pre, n_post))
+    dummies = {f"r={r}": F.coalesce((F.col("_rel") == r).cast("double"), F.lit(0.0)) for r in range(-n_pre, n_post + 1) if r != reference}
+    g = Gram(x, spec.entity, spec.time, spec.outcome, {**dummies, **{c: F.col(c) for c in spec.controls}})
+    rels = [r for r in range(-n_pre, n_post + 1) if r != reference and g.means[f"r={r}"]]  # those that a row has
+    fit = g.fit([*(f"r={r}" for r in rels), *spec.controls])
     stat, q = wald_f(fit, [f"r={r}" for r in rels if r < 0])
     p = f_p(stat, q, fit.df) if q else None
     g.free()
-    x.unpersist()
     rows = []
     for r in sorted({*rels, reference}):
         own = {"coef": 0.0, "se": 0.0, "t": None, "p": None} if r == reference else fit.row(f"r={r}")

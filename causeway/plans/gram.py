@@ -69,6 +69,7 @@ class Gram:
         means = rows.agg(*(F.avg(c).alias(c) for c in raw), *([F.collect_set("_t").alias("_t")] if time else [])).first()
         self.periods = list(periods) if periods is not None else sorted(means["_t"]) if time else []
         self.names = [*columns, *(f"t={p}" for p in self.periods[1:])]
+        self.means = {c: means[r] or 0.0 for c, r in zip(columns, raw)}
         z = [F.col(c) - F.lit(means[c] or 0.0) for c in raw]
         z = z[:-1] + [(F.col("_t") == F.lit(p)).cast("double") for p in self.periods[1:]] + z[-1:]
         self.k = len(z)

@@ -12,12 +12,15 @@ from causeway.functions.stats import normal_cdf, solve
 from causeway.operators.ranges import kth_of_each_draw, not_after, running_sum
 from causeway.plans.did import did_gram, frame, interaction, post_flag
 from causeway.plans.gram import Gram
+from causeway.sources.sinks import written
 from causeway.spec import PanelSpec
 
 
 def leave_one_out(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """(entity, coef, influential): without each entity; influential if over 2 standard deviations from the mean."""
-    loo = did_gram(df, spec).leave_one_out("did").withColumnRenamed("entity", spec.entity)
+    g = did_gram(df, spec).persist()
+    loo = written(g.leave_one_out("did"), "leave-one-out").withColumnRenamed("entity", spec.entity)  # solved once, read twice
+    g.free()
     m = loo.agg(F.avg("coef").alias("m"), F.stddev_pop("coef").alias("s"))
     return loo.join(F.broadcast(m)).select(spec.entity, "coef", (F.abs(F.col("coef") - F.col("m")) > 2 * F.col("s")).alias("influential"))
 
