@@ -158,7 +158,7 @@ ESTIMATORS: dict[Method, tuple[tuple[str, ...], Callable[[Case], DataFrame]]] =
     Method.DML: (("treated", "controls"), lambda c: dml.dml(c.data, c.spec.outcome, c.spec.treated, list(c.spec.controls), c.spec.entity).select(F.col("theta").alias("coef"), "se", "p")),
     Method.CAUSAL_FOREST: (("treated", "controls"), lambda c: dml.forest_summary(dml.causal_forest(c.data, c.spec.outcome, c.spec.treated, list(c.spec.controls), c.spec.entity)).select(F.col("mean").alias("coef"), "se", F.lit(None).cast("double").alias("p"))),
     Method.PSM: (("treated", "controls"), lambda c: dml.psm(c.data, c.spec.outcome, c.spec.treated, list(c.spec.controls), c.spec.entity).select(F.col("att").alias("coef"), "se", "p")),
-    Method.RANDOMIZATION: (("treated", "post"), lambda c: robust.randomization_inference(c.data, c.spec, 200).select(F.col("actual").alias("coef"), F.col("sd").alias("se"), "p")),
+    Method.RANDOMIZATION: (("treated", "post"), lambda c: robust.randomization_inference(c.data, c.spec).select(F.col("actual").alias("coef"), F.col("sd").alias("se"), "p")),
 }
 
 
@@ -232,7 +232,7 @@ def evaluate(case: Case, method: Method) -> DataFrame:
         s = robust.loo_summary(loo, case.spec.entity).first()
         checks["leave one out"] = (s["lo"] > 0) == (s["hi"] > 0)
         checks["coefficient stability"] = robust.coefficient_stability(data, case.spec).first()["stable"] if case.spec.controls else None
-        checks["placebo"] = robust.randomization_inference(data, case.spec, 100).first()["p"] < 0.05
+        checks["placebo"] = robust.randomization_inference(data, case.spec).first()["p"] < 0.05
     rows += [("robustness", k, "not run" if x is None else "pass" if x else "fail") for k, x in checks.items()]
     rows.append(("robustness", "verdict", robust.sensitivity_verdict(checks)))
     data.unpersist()

@@ -150,15 +150,15 @@ def aggregate_att(att: DataFrame) -> DataFrame:
     return overall.select(F.lit("overall").alias("kind"), F.lit(None).cast("double").alias("at"), "att").union(by_g.select(F.lit("cohort"), "g", "att")).union(by_e.select(F.lit("event"), "at", "att"))
 
 
-def bootstrap_att(df: DataFrame, spec: PanelSpec, replicates: int = 100, seed: int = 42) -> DataFrame:
+def bootstrap_att(df: DataFrame, spec: PanelSpec, replicates: int = 100, seed: int = 42, uniform=None) -> DataFrame:
     """Cluster bootstrap of the overall ATT without covariates: entities are weighted by Poisson(1) draws.
 
-    (replicates, mean, sd, lo, hi). The weights come from a hash of entity and replicate, so a retried task
-    draws the same ones.
+    (replicates, mean, sd, lo, hi). The weights come from ``uniform`` (entity, replicate), a number from 0 to 1, by
+    default a hash, so a retried task draws the same ones.
     """
     changes = long_differences(df, PanelSpec(**{**spec.__dict__, "controls": ()}))
     reps = changes.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = F.pmod(F.xxhash64("entity", "rep", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    u = uniform(F.col("entity"), F.col("rep")) if uniform else F.pmod(F.xxhash64("entity", "rep", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     cdf, terms = 0.0, []
     for k in range(8):
         cdf += math.exp(-1) / math.factorial(k)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -16,7 +17,7 @@ from causeway.plans import confirm, cross_section, decide, did, dml, robust, sta
 from causeway.regression_sql import moments, newton, normal_p, sweep, t_p, within
 from causeway.spec import Method, PanelSpec
 from causeway.sources import readers, sinks
-from causeway.streaming import panel_stream
+from causeway.streaming import incremental, panel_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -199,12 +200,12 @@ def leave_one_out_summary(spark, sf):
 
 @query(f"""
     WITH q AS (SELECT entity_id AS e, year AS t, y, post FROM ({SUPPLIER_YEAR_SQL})), n AS (SELECT count(*) AS k FROM (SELECT DISTINCT l_suppkey FROM lineitem) WHERE l_suppkey % 2 = 0),
-    r AS (SELECT e, draw, row_number() OVER (PARTITION BY draw ORDER BY (e * 7919 + draw * 104729) * (e % 97 + 13) % 1000003, e) AS r FROM (SELECT DISTINCT e FROM q), (SELECT unnest(range(1, 41)) AS draw)),
+    r AS (SELECT e, draw, row_number() OVER (PARTITION BY draw ORDER BY (e * 7919 + draw * 104729) * (e % 97 + 13) % 1000003, e) AS r FROM (SELECT DISTINCT e FROM q), (SELECT unnest(range(1, 501)) AS draw)),
     p AS (SELECT draw, q.e, t, y, post * (r <= k)::INT AS d FROM q JOIN r USING (e), n), {_by("draw")}
     SELECT draw::INT AS draw, round(sum(dt * yt) / sum(dt * dt), 5) AS coef FROM z GROUP BY draw
 """)
 def placebo_permutation(spark, sf):
-    return rounded(robust.placebo_permutation(panels.supplier_year(spark, sf), PLAIN, 40, order=_order), 5)
+    return rounded(robust.placebo_permutation(panels.supplier_year(spark, sf), PLAIN, order=_order), 5)
 
 
 #: An order of entities that differs by draw and that SQL can state.
@@ -326,9 +327,24 @@ def att_not_yet_treated(spark, sf):
     return rounded(staggered.att_gt(panels.supplier_year(spark, sf), PLAIN, control="notyet", pre=True), 4)
 
 
-@query()
+def _poisson_sql(u: str) -> str:
+    """Draws of a Poisson variable of mean 1 from uniform numbers."""
+    cdf, steps = 0.0, []
+    for k in range(8):
+        cdf += math.exp(-1) / math.factorial(k)
+        steps.append(f"({u} >= {cdf!r})::INT")
+    return " + ".join(steps)
+
+
+@query(f"""
+    WITH {_ATT}, u AS (SELECT g, t, d, dy, draw, (entity_id * 7919 + draw * 104729) * (entity_id % 97 + 13) % 1000003 / 1000003 AS u FROM c, (SELECT unnest(range(1, 101)) AS draw)),
+    w AS (SELECT g, t, d, dy, draw, ({_poisson_sql("u")})::DOUBLE AS w FROM u),
+    b AS (SELECT draw, g, t, sum(w * dy) FILTER (d = 1) / nullif(sum(w) FILTER (d = 1), 0) - sum(w * dy) FILTER (d = 0) / nullif(sum(w) FILTER (d = 0), 0) AS att, sum(w) FILTER (d = 1) AS n FROM w GROUP BY ALL),
+    h AS (SELECT draw, g, avg(att) AS att, max(n) AS n FROM b WHERE att IS NOT NULL GROUP BY ALL), o AS (SELECT draw, sum(att * n) / sum(n) AS att FROM h GROUP BY draw)
+    SELECT count(att) AS replicates, round(avg(att), 4) AS mean, round(stddev_samp(att), 4) AS sd, round(quantile_cont(att, 0.025), 4) AS lo, round(quantile_cont(att, 0.975), 4) AS hi FROM o
+""")
 def att_bootstrap(spark, sf):
-    return staggered.bootstrap_att(panels.supplier_year(spark, sf), PLAIN, 50)
+    return rounded(staggered.bootstrap_att(panels.supplier_year(spark, sf), PLAIN, uniform=lambda e, s: _order(e, s) / 1000003), 4)
 
 
 def _sun_abraham_sql() -> str:
@@ -1197,3 +1213,18 @@ def stream_entity_windows(spark, sf):
     folder = f"{sinks.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     done = panel_stream.run_once(panel_stream.entity_windows(panel_stream.event_stream(spark, sf)), f"{folder}/windows", f"{folder}/checkpoint")
     return rounded(done.withColumn("start", F.col("start").cast("timestamp_ntz")))
+
+
+@query(f"""
+    WITH q AS (SELECT user_id AS e, (day(ts) - 1) // 8 AS t, avg(value) AS y FROM events GROUP BY ALL), p AS (SELECT *, (e % 2 = 0 AND t >= 2)::INT AS d, (t = 1)::INT AS p1, (t = 2)::INT AS p2, (t = 3)::INT AS p3 FROM q),
+    z AS MATERIALIZED (SELECT {", ".join(f"{c} - avg({c}) OVER k AS {c}" for c in ("y", "d", "p1", "p2", "p3"))} FROM p WINDOW k AS (PARTITION BY e)), {sweep(moments("z", ["d", "p1", "p2", "p3"]), 4, "m")}
+    SELECT round(a0_4, 4) AS coef, (SELECT count(*) FROM p) AS n, (SELECT count(DISTINCT e) FROM p) AS entities FROM m
+""")
+def stream_did(spark, sf):
+    """Events dealt into four files, a batch each, so that later batches have rows of cells of earlier ones."""
+    folder = f"{sinks.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    table(spark, sf, "events").repartition(4, "event_id").write.parquet(f"{folder}/events.parquet")
+    events = panel_stream.event_stream(spark, folder)
+    kept = incremental.IncrementalDid(spark, f"{folder}/state", F.col("e") % 2 == 0, F.col("t") >= 2)
+    kept.run(events.select(F.col("user_id").alias("e"), F.floor((F.dayofmonth("ts") - 1) / 8).alias("t"), F.col("value").alias("y")), f"{folder}/checkpoint")
+    return rounded(kept.estimate(), 4)
