@@ -78,9 +78,9 @@ def _j_test(c: Case) -> Verdict:
 
 
 def _fit(c: Case) -> Verdict:
-    r = synthetic.synthetic_control(c.data, c.spec, c.unit, c.first).where("treated").first()
+    error = synthetic.pre_rmse(c.data, c.spec, c.unit, c.first)
     sd = c.data.where(F.col(c.spec.time) < c.first).agg(F.stddev_samp(c.spec.outcome)).first()[0]
-    return _word(None if not sd else r["pre_rmse"] < 0.5 * sd), {"pre_rmse": r["pre_rmse"], "sd": sd}
+    return _word(None if not sd or error is None else error < 0.5 * sd), {"pre_rmse": error, "sd": sd}
 
 
 def _overlap(c: Case) -> Verdict:

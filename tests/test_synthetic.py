@@ -1,9 +1,11 @@
 """Synthetic control against a fine grid of weights and a general solver."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
-from causeway.plans import synthetic
+from causeway.plans import confirm, synthetic
 from causeway.spec import PanelSpec
 
 SPEC = PanelSpec(entity="e", time="t", outcome="y")
@@ -115,3 +117,28 @@ def test_equal_courses_have_no_noise(spark):
     y[0, 4:] += 3
     got = synthetic.synthetic_did(_panel(spark, y), SPEC, 0, 4).first()
     assert got["att"] == pytest.approx(3, abs=1e-6) and got["se"] == pytest.approx(0, abs=1e-6)
+
+
+def test_a_batch_meets_a_block_of_targets_in_tiles():
+    r = np.random.default_rng(6)
+    y, x = r.normal(0, 1, (4000, 3)), r.normal(0, 1, (20_000, 3))
+    tracemalloc.start()
+    least, low = synthetic._least(y, x, [(k, k) for k in range(0, 4000, 2)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # all products are 640 MB
+    for k in (0, 1, 2, 3998, 3999, 4000, 19_999):
+        g = y @ x[k]
+        if k % 2 == 0 and k < 4000:
+            g[k] = np.inf
+        assert least[k] == g.argmin() and low[k] == pytest.approx(g.min())
+
+
+def test_fit_of_the_treated_unit_needs_no_placebos(spark, monkeypatch):
+    y = np.cumsum(np.random.default_rng(7).normal(0, 1, (12, 8)), axis=1)
+    df = _panel(spark, y)
+    want = synthetic.synthetic_control(df, SPEC, 3, 6).where("treated").first()["pre_rmse"]
+    monkeypatch.setattr(synthetic, "synthetic_control", None)
+    assert synthetic.pre_rmse(df, SPEC, 3, 6) == pytest.approx(want, abs=1e-9)
+    verdict, values = confirm.DIAGNOSTICS["fit"][0](confirm.Case(df, SPEC, unit=3, first=6))
+    assert values["pre_rmse"] == pytest.approx(want, abs=1e-9) and verdict in ("PASS", "FAIL")
