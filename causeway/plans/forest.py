@@ -2,7 +2,7 @@
 
 Outcome and treatment are first taken less what linear models fitted on the other fold make of the features (ry, rt).
 A level of all trees is one aggregation: for each node, feature and bin the number of rows and the sums of rt, ry,
-rt^2 and rt ry. A node is cut where the effects of its two sides, slopes of ry on rt, differ most for the information
+rt^2 and rt ry. Where the bins of all features make few cells, one aggregation by cell is enough for all levels. A node is cut where the effects of its two sides, slopes of ry on rt, differ most for the information
 they have. Effects of leaves come from rows that had no say in the cuts. What reaches the driver is of the trees' size.
 """
 
@@ -20,6 +20,7 @@ from causeway.operators.ranges import exact_quantiles
 from causeway.plans.gram import Moments
 
 BINS = 32
+MOST_CELLS = 2048  # of the bins of all features together, where a tree is grown on sums by cell
 LITTLE = 2  # trees that share a half of the rows; the spread between such groups gives the error
 SUMS = ["n", "t", "y", "tt", "ty"]
 CUT, ESTIMATE = 1, 2
@@ -116,11 +117,93 @@ def residuals(df: DataFrame, y: str, treatment: str, features: list[str], unit:
     return rows.select("_h", (F.col("_y") - of["_y"]).alias("_ry"), (F.col("_t") - of["_t"]).alias("_rt"), *names)
 
 
+def _node_effects(sums: np.ndarray, least: int) -> np.ndarray:
+    """Effects of the nodes of each tree; where too few rows are left, the parent's."""
+    slope, info = _slope(sums)
+    good, effect = (sums[..., 0] >= least) & (info > 1e-12), np.zeros(sums.shape[:2])
+    for node in range(sums.shape[1]):
+        effect[:, node] = np.where(good[:, node], slope[:, node], effect[:, (node - 1) // 2] if node else 0.0)
+    return effect
+
+
+def _cell_of(codes: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """The number of the cell that a row's codes make."""
+    return np.ravel_multi_index(tuple(codes.T), [len(e) + 1 for e in edges])
+
+
+def _cells(edges: list[np.ndarray]) -> np.ndarray:
+    """The codes of each cell."""
+    shape = [len(e) + 1 for e in edges]
+    return np.stack(np.unravel_index(np.arange(int(np.prod(shape))), shape), axis=1)
+
+
+def _grown_on_cells(rows: DataFrame, forest: Forest, depth: int, least: int) -> Forest:
+    """The same forest where the bins of all features make few cells: rows are read once, for sums by tree, role and cell.
+
+    A group is a tree with its cells, of which all its cuts and effects follow.
+    """
+    trees, size = forest.feature.shape
+    features, codes = len(forest.edges), _cells(forest.edges)
+    names = [f"_f{j}" for j in range(features)]
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, cells = shared.value, len(codes)
+        total = np.zeros((trees, 2 * cells, len(SUMS)))
+        for batch in batches:
+            h, rt, ry = batch["_h"].to_numpy().astype(np.uint64), batch["_rt"].to_numpy(), batch["_ry"].to_numpy()
+            cell, values = _cell_of(model.codes(batch[names].to_numpy(float)), model.edges), np.stack([rt, ry, rt * rt, rt * ry], axis=1)
+            for start in range(0, trees, LITTLE):
+                half = np.flatnonzero(in_half(h, start))  # the same for all trees of a group
+                own, at, v = h[half], cell[half], list(values[half].T.copy())
+                for tree in range(start, min(start + LITTLE, trees)):
+                    cut = _mixed(own, tree + 1_000_003) >> np.uint64(63) == 1
+                    total[tree] += _sums_of(at + cells * ~cut, 2 * cells, v)
+        some = np.argwhere(total[..., 0] > 0)
+        yield pd.DataFrame({"tree": some[:, 0], "cell": some[:, 1], **{s: total[some[:, 0], some[:, 1], k] for k, s in enumerate(SUMS)}})
+
+    def one_tree(own: pd.DataFrame) -> pd.DataFrame:
+        tree, cells = int(own["tree"].iat[0]), len(codes)
+        total = np.zeros((2 * cells, len(SUMS)))
+        total[own["cell"]] = own[SUMS]
+        cutting, estimating = total[:cells], total[cells:]
+        feature, cut, node = np.full(size, -1, np.int32), np.zeros(size, np.int32), np.zeros(cells, np.int64)
+        reached = np.zeros((size, len(SUMS)))
+        np.add.at(reached, node, estimating)
+        for level in range(depth):
+            for k in np.unique(node[(node >= 2**level - 1) & (cutting[:, 0] > 0)]):
+                at = node == k
+                by = np.zeros((features, BINS, len(SUMS)))
+                for j in range(features):
+                    np.add.at(by[j], codes[at, j], cutting[at])
+                feature[k], cut[k] = best_cut(by, offered(tree, int(k), features), least)
+            f = feature[node]
+            down = f >= 0
+            node = np.where(down, 2 * node + 1 + (codes[np.arange(cells), np.maximum(f, 0)] > cut[node]), node)
+            np.add.at(reached, node[down], estimating[down])
+        out = pd.DataFrame({"tree": tree, "node": np.arange(size), "feature": feature, "cut": cut})
+        for k, s in enumerate(SUMS):
+            out[s] = reached[:, k]
+        return out
+
+    listed = ", ".join(f"{s} double" for s in SUMS)
+    by = rows.mapInPandas(sums, f"tree int, cell int, {listed}").groupBy("tree", "cell").agg(*(F.sum(s).alias(s) for s in SUMS))
+    at_node = np.zeros((trees, size, len(SUMS)))
+    for r in by.groupBy("tree").applyInPandas(one_tree, f"tree int, node int, feature int, cut int, {listed}").collect():  # of the trees' size
+        forest.feature[r["tree"], r["node"]], forest.cut[r["tree"], r["node"]] = r["feature"], r["cut"]
+        at_node[r["tree"], r["node"]] = r[4:]
+    shared.unpersist()
+    forest.effect[:] = _node_effects(at_node, least)
+    return forest
+
+
 def grow(rows: DataFrame, features: int, trees: int, depth: int, least: int) -> Forest:
     """A forest on the rows of ``residuals``, which are read once a level."""
     names, size = [f"_f{j}" for j in range(features)], 2 ** (depth + 1) - 1
     q = exact_quantiles(rows, {c: [k / BINS for k in range(1, BINS)] for c in names})
     forest = Forest([np.unique(np.array([v for v in q[(c,)] if v is not None], float)) for c in names], np.full((trees, size), -1, np.int32), np.zeros((trees, size), np.int32), np.zeros((trees, size)))
+    if np.prod([len(e) + 1.0 for e in forest.edges]) <= MOST_CELLS:
+        return _grown_on_cells(rows, forest, depth, least)
     context = rows.sparkSession.sparkContext
 
     def parts(batch: pd.DataFrame, model: Forest):
@@ -184,10 +267,7 @@ def grow(rows: DataFrame, features: int, trees: int, depth: int, least: int) ->
     for r in rows.mapInPandas(leaves, "tree int, node int, " + ", ".join(f"{s} double" for s in SUMS)).groupBy("tree", "node").agg(*(F.sum(s).alias(s) for s in SUMS)).collect():
         sums[r["tree"], r["node"]] = r[2:]
     shared.unpersist()
-    slope, info = _slope(sums)
-    good = (sums[..., 0] >= least) & (info > 1e-12)
-    for node in range(size):  # where too few rows are left, the effect is the parent's
-        forest.effect[:, node] = np.where(good[:, node], slope[:, node], forest.effect[:, (node - 1) // 2] if node else 0.0)
+    forest.effect[:] = _node_effects(sums, least)
     return forest
 
 
@@ -200,21 +280,34 @@ def with_effects(df: DataFrame, forest: Forest, features: list[str], unit: str,
     trees, depth = forest.feature.shape[0], (forest.feature.shape[1] + 1).bit_length() - 2
     of = F.struct(F.xxhash64(unit, F.lit(seed)).alias("h"), *(F.col(c).cast("double").alias(f"f{j}") for j, c in enumerate(features)))
 
+    groups = [slice(k, k + LITTLE) for k in range(0, trees, LITTLE)]
+
+    def told(model: Forest, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of rows with these codes: sums of the effects by group of trees, their mean and its error."""
+        each = np.zeros((len(codes), trees))
+        for tree in range(trees):
+            *_, node = model.nodes(tree, codes, depth)
+            each[:, tree] = model.effect[tree, node]
+        means = np.stack([each[:, g].mean(axis=1) for g in groups], axis=1)
+        inside = np.stack([each[:, g].var(axis=1) for g in groups], axis=1).mean(axis=1) / LITTLE
+        return np.stack([each[:, g].sum(axis=1) for g in groups], axis=1), each.mean(axis=1), np.sqrt(np.maximum(means.var(axis=1) - inside, 0))
+
+    few = np.prod([len(e) + 1.0 for e in forest.edges]) <= MOST_CELLS
+
     @F.pandas_udf("cate double, cate_se double")
     def effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
+        table = told(model, _cells(model.edges)) if few else None  # rows of one cell differ only in the trees that they are in
+        size = np.array([min(g.stop, trees) - g.start for g in groups], float)
         for batch in batches:
             h, codes = batch["h"].to_numpy().astype(np.uint64), model.codes(batch.iloc[:, 1:].to_numpy(float))
-            each, used = np.zeros((len(h), trees)), np.zeros((len(h), trees), bool)
-            for tree in range(trees):
-                *_, node = model.nodes(tree, codes, depth)
-                each[:, tree], used[:, tree] = model.effect[tree, node], ~in_half(h, tree)
-            used[~used.any(axis=1)] = True
-            mean = (each * used).sum(axis=1) / used.sum(axis=1)
-            groups = [slice(k, k + LITTLE) for k in range(0, trees, LITTLE)]
-            means = np.stack([each[:, g].mean(axis=1) for g in groups], axis=1)
-            inside = np.stack([each[:, g].var(axis=1) for g in groups], axis=1).mean(axis=1) / LITTLE
-            yield pd.DataFrame({"cate": mean, "cate_se": np.sqrt(np.maximum(means.var(axis=1) - inside, 0))})
+            own, (sums, mean, error) = (_cell_of(codes, model.edges), table) if few else (np.arange(len(h)), told(model, codes))
+            total, count = np.zeros(len(h)), np.zeros(len(h))
+            for k, g in enumerate(groups):
+                out = ~in_half(h, g.start)
+                total += sums[own, k] * out
+                count += size[k] * out
+            yield pd.DataFrame({"cate": np.where(count > 0, total / np.maximum(count, 1), mean[own]), "cate_se": error[own]})
 
     return df.withColumn("_effects", effects(of)).select(*df.columns, "_effects.*")
 

@@ -80,3 +80,20 @@ def test_forest_on_odd_tables(spark):
     df = spark.createDataFrame([(1, 1.0, 1.0, 2.0), (2, None, 0.0, 1.0), (3, 2.0, None, 1.0), (4, 3.0, 1.0, None)], "u long, a double, t double, y double")
     assert [r["u"] for r in dml.causal_forest(df, "y", "t", ["a"], "u", trees=2).collect()] == [1]
     assert dml.causal_forest(df.where("false"), "y", "t", ["a"], "u", trees=2).count() == 0
+
+
+def test_sums_by_cell_give_the_same_forest(spark, monkeypatch):
+    """Few cells: rows are read once for all levels, and effects come from a table of cells."""
+    n = 4000
+    x = spark.range(n).select("id", *((F.xxhash64("id", F.lit(k)) % 12).cast("double").alias(c) for k, c in enumerate("ab")), (F.xxhash64("id", F.lit(9)) % 2 == 0).cast("double").alias("t"))
+    df = x.withColumn("y", F.col("t") * (F.col("b") > 3).cast("double") * 2 + F.col("a") + (F.xxhash64("id", F.lit(5)) % 100) / 100)
+    found = []
+    for most in (forest.MOST_CELLS, 0):
+        monkeypatch.setattr(forest, "MOST_CELLS", most)
+        rows = forest.residuals(df, "y", "t", ["a", "b"], "id", 42)
+        grown = forest.grow(rows, 2, 7, 4, 20)
+        told = forest.with_effects(df, grown, ["a", "b"], "id", 42).orderBy("id").toPandas()
+        found.append((grown, told))
+    (one, a), (many, b) = found
+    assert (one.feature == many.feature).all() and (one.cut == many.cut).all() and (one.feature >= 0).sum() > 7
+    assert np.allclose(one.effect, many.effect) and np.allclose(a["cate"], b["cate"]) and np.allclose(a["cate_se"], b["cate_se"])
