@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from causeway import panels
-from causeway.plans import dml, synthetic
+from causeway.plans import decide, dml, synthetic
 from causeway.queries import ORACLE_SQL, PLAIN, QUERIES
 
 CHEAP = ["did_twfe_closed_form", "did_twfe_clustered", "leave_one_out", "att_aggregates", "rdd_sharp_uniform", "iv_just_identified", "missing_runs", "impute_sporadic", "merge_panels", "covariate_balance", "attrition", "parse_amounts", "classify_mechanisms"]
@@ -54,8 +54,13 @@ def test_synthetic_queries_use_every_supplier(spark):
     assert {r["time"]: r["synthetic"] for r in QUERIES["synthetic_gaps"](spark, sf).collect()} == pytest.approx(want)
 
 
-def test_method_recommendations_cover_all_facts(spark, sf):
-    assert {int(r["policy_id"]) for r in QUERIES["method_recommendations"](spark, sf).collect()} == set(range(1 << 12))
+@pytest.mark.parametrize("name", ["classify_mechanisms", "method_recommendations"])
+def test_policies_are_the_orders(spark, name, tmp_path):
+    """Every order is judged; keys 0 to 4,095 have every combination of facts, as ``all_facts`` has."""
+    spark.range(5000).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["policy_id"]: r["method"] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    want = {r["policy_id"]: r["method"] for r in decide.classify(decide.all_facts(spark)).collect()}
+    assert len(got) == 5000 and {k: got[k] for k in want} == want and all(got[str(k)] == want[str(k - 4096)] for k in range(4096, 5000))
 
 
 def test_html_statistical_table_reads_the_pages(spark, tmp_path):
