@@ -8,9 +8,12 @@ a posterior for each pattern, and the posteriors train a logistic scorer on hash
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -20,48 +23,134 @@ from pyspark.sql import functions as F
 from causeway.llm._common import bounded_sample, in_order, release, tidied
 from causeway.llm.toxicity import FUNCTION_WORDS
 
-GOOD, BAD, ABSTAIN = 1, 0, -1
 BINS = 1 << 14
-FUNCTION_SET = sorted(set(" ".join(FUNCTION_WORDS.values()).split()))
+MOST_WORDS = 200_000  # that a cache holds
+FUNCTION_SET = frozenset(" ".join(FUNCTION_WORDS.values()).split())
 
+#: Kinds of characters that are counted; ends of sentences are MARK and SHOUT.
+ODD, UPPER, LOWER, SHOUT, MARK, SPACE, FAR_SPACE = range(1, 8)
+KINDS = 8
+BLANKS = " \t\n\v\f\r"
+_BMP = 1 << 16
 
-def _vote(bad: Column, good: Column) -> Column:
-    return F.when(bad, BAD).when(good, GOOD).otherwise(ABSTAIN)
 
+def _kind(c: str) -> int:
+    for kind, those in ((ODD, "#$%&*|~^=<>{}[]_\\@+"), (SHOUT, "!"), (MARK, ".?:;"), (SPACE, BLANKS)):
+        if c in those:
+            return kind
+    return FAR_SPACE if c.isspace() else {"Lu": UPPER, "Ll": LOWER}.get(unicodedata.category(c), 0)
 
-def labellers(text: Column) -> dict[str, Column]:
-    """The heuristics. Each looks at one trait; their limits leave room between good and bad for abstaining."""
-    n = F.greatest(F.length(text), F.lit(1))
-    words = F.greatest(F.size(F.split(F.trim(text), r"\s+")), F.lit(1))
 
-    def share(kept: str) -> Column:
-        return F.length(F.regexp_replace(text, f"[^{kept}]+", "")) / n
+@cache
+def _kinds() -> np.ndarray:
+    """The kinds of the characters of the first plane, made once a process."""
+    return np.array([_kind(chr(k)) for k in range(_BMP)], np.uint8)
 
-    odd, upper, lower = share(r"#$%&*|~^=<>{}\[\]_\\@+"), share(r"\p{Lu}"), share(r"\p{Ll}")
-    shouts = F.length(F.regexp_replace(text, "[^!]+", "")) / words
-    ends = F.length(F.regexp_replace(text, r"[^.?!:;]+", "")) / words
-    bare = F.length(F.regexp_replace(text, r"[^\s]+", "")) / n
-    common = F.size(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w.isin(FUNCTION_SET))) / words
-    plain = F.regexp_count(text, F.lit(r"(?<!\S)[\p{L}\p{N}'’(\"-]+[.,;:?!)\"]?(?!\S)")) / words
-    again = F.regexp_count(text, F.lit(r"(?<!\S)(\S+)\s+(?=\1(?!\S))")) / words
-    variety = F.size(F.array_distinct(F.split(F.trim(text), r"\s+"))) / words
+
+def _counted(text: str) -> np.ndarray:
+    """How many characters of each kind the text has."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    far = codes >= _BMP
+    if not far.any():
+        return np.bincount(_kinds()[codes], minlength=KINDS)
+    return np.bincount(np.append(_kinds()[codes[~far]], [_kind(chr(c)) for c in codes[far]]), minlength=KINDS)
+
+
+_CLOSING = frozenset(".,;:?!)\"")
+_INK = re.compile(r"\S+", re.ASCII)
+_traits: dict[str, tuple[int, int]] = {}
+
+
+def _plain(c: str) -> bool:
+    return c in "'’(\"-" or unicodedata.category(c)[0] in "LN"
+
+
+def _trait(word: str) -> tuple[int, int]:
+    """The function words in a word, and 1 if it is letters, digits, quotes and hyphens with one closing mark at most."""
+    found = _traits.get(word)
+    if found is None:
+        if len(_traits) > MOST_WORDS:
+            _traits.clear()
+        letters = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in word.lower()).split()
+        body = word[:-1] if len(word) > 1 and word[-1] in _CLOSING else word
+        found = _traits[word] = sum(w in FUNCTION_SET for w in letters), int(all(map(_plain, body)))
+    return found
+
+
+def _common_and_plain(words: list[str]) -> tuple[int, int]:
+    """Sums of the words' traits. Most words are letters, with or without a closing mark, and tell theirs at once."""
+    others = [w for w in words if not w.isalpha()]
+    common, plain = sum(map(FUNCTION_SET.__contains__, map(str.lower, words))), len(words) - len(others)
+    for w in others:
+        if w[-1] in _CLOSING and w[:-1].isalpha():
+            common, plain = common + (w[:-1].lower() in FUNCTION_SET), plain + 1
+        else:
+            c, p = _trait(w)
+            common, plain = common + c, plain + p
+    return common, plain
+
+
+def measures(texts: list[str]) -> dict[str, np.ndarray]:
+    """What the heuristics look at, an entry a text: its characters and words (1 at least), shares of the characters or a number a word.
+
+    Words lie between ASCII blanks. Blanks other than spaces at either end of a text count as an empty word there.
+    """
+    kinds, sizes = np.zeros((len(texts), KINDS)), np.zeros((len(texts), 6))
+    for k, text in enumerate(texts):
+        kinds[k] = _counted(text)
+        words = _INK.findall(text) if kinds[k, FAR_SPACE] else text.split()
+        inner = text.strip(" ")
+        empty = (inner[0] in BLANKS) + (inner[-1] in BLANKS) if inner else 1
+        # a capital dotted I becomes two characters, of which one is no letter
+        common, plain = _common_and_plain(words) if "\u0130" not in text else map(sum, zip(*map(_trait, words)))
+        sizes[k] = len(text), len(words) + empty, common, plain, sum(map(eq, words, words[1:])), len(set(words)) + (empty > 0)
+    n, words = np.maximum(sizes[:, 0], 1), np.maximum(sizes[:, 1], 1)
     return {
-        "odd_marks": _vote(odd > 0.06, odd < 0.01),
-        "capitals": _vote(upper > 0.4 * (upper + lower) + 0.02, upper < 0.12 * (upper + lower) + 0.01),
-        "shouting": _vote(shouts > 0.25, shouts < 0.02),
-        "function_words": _vote((common < 0.06) & (words >= 30), common > 0.15),
-        "sentence_ends": _vote((ends < 0.01) & (words >= 40), (ends > 0.02) & (ends < 0.5)),
-        "plain_words": _vote(plain < 0.6, plain > 0.85),
-        "repetition": _vote(again > 0.2, again < 0.03),
-        "variety": _vote((variety < 0.05) | ((variety < 0.3) & words.between(20, 1500)), variety > 0.4),
-        "spacing": _vote((bare > 0.35) | ((bare < 0.05) & (n > 200)), bare.between(0.1, 0.25)),
+        "n": n, "words": words, "odd": kinds[:, ODD] / n, "upper": kinds[:, UPPER] / n, "lower": kinds[:, LOWER] / n, "bare": kinds[:, SPACE] / n,
+        "shouts": kinds[:, SHOUT] / words, "ends": (kinds[:, MARK] + kinds[:, SHOUT]) / words,
+        "common": sizes[:, 2] / words, "plain": sizes[:, 3] / words, "again": sizes[:, 4] / words, "variety": sizes[:, 5] / words,
+    }
+
+
+def labellers(m: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """The heuristics: where each calls texts of these ``measures`` bad, and where, if not bad, good.
+
+    Each looks at one trait; their limits leave room between good and bad for abstaining.
+    """
+    n, words, cased = m["n"], m["words"], m["upper"] + m["lower"]
+    return {
+        "odd_marks": (m["odd"] > 0.06, m["odd"] < 0.01),
+        "capitals": (m["upper"] > 0.4 * cased + 0.02, m["upper"] < 0.12 * cased + 0.01),
+        "shouting": (m["shouts"] > 0.25, m["shouts"] < 0.02),
+        "function_words": ((m["common"] < 0.06) & (words >= 30), m["common"] > 0.15),
+        "sentence_ends": ((m["ends"] < 0.01) & (words >= 40), (m["ends"] > 0.02) & (m["ends"] < 0.5)),
+        "plain_words": (m["plain"] < 0.6, m["plain"] > 0.85),
+        "repetition": (m["again"] > 0.2, m["again"] < 0.03),
+        "variety": ((m["variety"] < 0.05) | ((m["variety"] < 0.3) & (words >= 20) & (words <= 1500)), m["variety"] > 0.4),
+        "spacing": ((m["bare"] > 0.35) | ((m["bare"] < 0.05) & (n > 200)), (m["bare"] >= 0.1) & (m["bare"] <= 0.25)),
     }
 
 
-def votes(df: DataFrame, text_col: str = "text") -> Column:
-    """The votes as one string, a character per labeller: 1 good, 0 bad, - abstains. Null texts count as empty."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return F.concat(*(F.when(v == ABSTAIN, "-").otherwise(v.cast("string")) for v in labellers(text).values()))
+def patterns_of(texts: list[str]) -> list[str]:
+    """Each text's votes as one string, a character per labeller: 1 good, 0 bad, - abstains."""
+    cast = [np.where(bad, "0", np.where(good, "1", "-")) for bad, good in labellers(measures(texts)).values()]
+    return ["".join(v) for v in zip(*cast)]
+
+
+def votes(text: Column) -> Column:
+    """The votes on each text as ``patterns_of`` gives them, in one pass over it. Null texts count as empty."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(patterns_of([t if isinstance(t, str) else "" for t in batch]), dtype=object)
+
+    told = tidied(run, clear_cache)
+
+    @F.pandas_udf("string")
+    def pattern(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from told(batches)
+
+    return pattern(text)
 
 
 @dataclass
@@ -121,15 +210,16 @@ _shapes: dict[str, int] = {}
 
 
 def clear_cache() -> None:
-    """A function of the module, so that it empties the worker's own cache."""
+    """A function of the module, so that it empties the worker's own caches."""
     _shapes.clear()
+    _traits.clear()
 
 
 def _shape_bin(word: str) -> int:
     """Hash of a word's shape: letters by case, digits as one, marks as they are, each run once."""
     found = _shapes.get(word)
     if found is None:
-        if len(_shapes) > 200_000:
+        if len(_shapes) > MOST_WORDS:
             _shapes.clear()
         parts = []
         for run in _SHAPE.findall(word):
@@ -177,12 +267,12 @@ class HashedScorer:
 def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 6000, max_bytes: int = 48 << 20) -> tuple[HashedScorer, LabelModel]:
     """Fits the label model on the votes of all ``docs`` and the scorer on a sample of ``max_docs`` rows
     and ``max_bytes`` of text at most. No given label is used."""
-    patterns = {r["v"]: r["count"] for r in docs.select(votes(docs, text_col).alias("v")).groupBy("v").count().collect()}
+    patterns = {r["v"]: r["count"] for r in docs.select(votes(F.col(text_col)).alias("v")).groupBy("v").count().collect()}
     model, scorer = fit_label_model(patterns), HashedScorer()
     usable = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     sample = bounded_sample(usable, "_id", "_text", max_docs, max_bytes, "quality")
     rows, targets = [], []
-    for _, text, v in in_order(sample.select("_id", "_text", votes(sample, "_text").alias("v"))):
+    for _, text, v in in_order(sample.select("_id", "_text", votes(F.col("_text")).alias("v"))):
         rows.append(features(text))
         targets.append(model.of(v))
     if rows:

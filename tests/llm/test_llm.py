@@ -406,6 +406,30 @@ def test_quality(spark, sf, docs, none):
     quality.fit_quality(none)
 
 
+def test_measures_of_texts_by_regular_expressions(spark):
+    """One pass over a text counts what a search a trait counts; votes on rows are those on texts."""
+    r = np.random.default_rng(4)
+    parts = ["the", "The", "dem", "MÁS", "y", "x²", "a", "a.", "¡no!", "l’eau", "(so)", 'of"', '"it".', "~~", "#", "😀", "𝐀", "ß", "\u0130y", "字", "\u00a0", "\x1c", "\n", "\t", " ", ""]
+    texts = ["", " ", "\n", "\n\n", " \n ", "\na a", "a  a a\t"] + [" ".join(r.choice(parts, r.integers(1, 30))) for _ in range(500)]
+    m = quality.measures(texts)
+    kind = lambda t, *k: sum(__import__("unicodedata").category(c).startswith(k) for c in t)
+    for k, t in enumerate(texts):
+        split, inked = re.split(r"(?a:\s+)", t.strip(" ")), re.findall(r"(?a:\S+)", t)
+        n, words = max(len(t), 1), len(split)
+        common = sum(w in quality.FUNCTION_SET for w in "".join(c if kind(c, "L") else " " for c in t.lower()).split())
+        body = [w[:-1] if len(w) > 1 and w[-1] in '.,;:?!)"' else w for w in inked]
+        plain = sum(all(kind(c, "L", "N") or c in "'’(\"-" for c in w) for w in body)
+        again = sum(a == b for a, b in zip(inked, inked[1:]))
+        want = {
+            "n": n, "words": words, "odd": len(re.findall(r"[#$%&*|~^=<>{}\[\]_\\@+]", t)) / n, "upper": kind(t, "Lu") / n, "lower": kind(t, "Ll") / n, "bare": len(re.findall(r"(?a:\s)", t)) / n,
+            "shouts": t.count("!") / words, "ends": len(re.findall("[.?!:;]", t)) / words, "common": common / words, "plain": plain / words, "again": again / words, "variety": len(set(split)) / words,
+        }
+        assert {c: v[k] for c, v in m.items()} == pytest.approx(want), t
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(-1, None)], "k long, text string").repartition(3)
+    got = {x["k"]: x["v"] for x in df.select("k", quality.votes(F.col("text")).alias("v")).collect()}
+    assert got == {-1: quality.patterns_of([""])[0], **dict(enumerate(quality.patterns_of(texts)))}
+
+
 def brute_overlaps(doc, item):
     d, b = (__import__("re").findall(r"[^\W_]+", x.lower()) for x in (doc, item))
     if not b:
