@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pandas as pd
@@ -112,8 +113,12 @@ def encode(texts: list[str], words: Vocabulary) -> tuple[np.ndarray, np.ndarray,
 class ConvNet:
     def __init__(self, seed: int = 7):
         r = np.random.default_rng(seed)
-        self.table = (r.standard_normal((ROWS, DIM)) * 0.05).astype(np.float32)
+        self.table = np.empty((ROWS, DIM), np.float32)
+        for lo in range(0, ROWS, WORDS_AT_ONCE):  # in parts, as doubles take twice the table
+            part = self.table[lo : lo + WORDS_AT_ONCE]
+            part[:] = r.standard_normal(part.shape) * 0.05
         self.known = np.zeros(ROWS, bool)
+        self.place: np.ndarray | None = None
         self.filters = {w: (r.standard_normal((w * DIM, FILTERS)) * 0.3 / w).astype(np.float32) for w in WIDTHS}
         for f in self.filters.values():
             f[::DIM] += 0.4 / len(f[::DIM])  # the first entry of an embedding starts as evidence for the label
@@ -138,15 +143,25 @@ class ConvNet:
         self.known[0] = False
         self.table[~self.known] = 0
 
+    def compact(self) -> ConvNet:
+        """The same net for scoring alone, with a table of the rows that aren't empty and each row's place there."""
+        out, full = copy(self), np.flatnonzero(self.table.any(axis=1))
+        out.table, out.known, out.place = np.zeros((len(full) + 1, DIM), np.float32), None, np.zeros(ROWS, np.int32)
+        out.table[1:], out.place[full] = self.table[full], np.arange(1, len(full) + 1)
+        return out
+
+    def _rows(self, rows: np.ndarray) -> np.ndarray:
+        return self.table[rows if self.place is None else self.place[rows]]
+
     def embedded(self, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Embeddings of words of which ``subwords`` gave rows and starts."""
         out = np.zeros((len(starts), DIM), np.float32)
         for lo in range(0, len(starts), WORDS_AT_ONCE):
             hi = min(lo + WORDS_AT_ONCE, len(starts))
             first, last = starts[lo], starts[hi] if hi < len(starts) else len(rows)
-            lines = self.table[rows[first:last, 0]]
+            lines = self._rows(rows[first:last, 0])
             for k in range(1, rows.shape[1]):
-                lines += self.table[rows[first:last, k]]
+                lines += self._rows(rows[first:last, k])
             out[lo:hi] = np.add.reduceat(lines, starts[lo:hi] - first)
         return out * np.float32(SHARE)
 
@@ -314,7 +329,7 @@ def score_toxicity(df: DataFrame, net: ConvNet, id_col: str = "doc_id", text_col
     result, further columns are not read. Whole texts are scored; groups of texts are formed by size,
     so memory is bounded by an Arrow batch and the longest text.
     """
-    shared = df.sparkSession.sparkContext.broadcast(net)  # the table of ROWS embeddings, whatever the input
+    shared = df.sparkSession.sparkContext.broadcast(net.compact())  # ROWS places and the rows that training filled, whatever the input
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, words, vectors = shared.value, Vocabulary(), np.zeros((1, DIM), np.float32)

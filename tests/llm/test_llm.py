@@ -237,6 +237,20 @@ def _vectors(net, rows, lines):
     return np.concatenate([np.zeros((1, toxicity.DIM), np.float32), net.embedded(rows, lines[1:-1])])
 
 
+def test_what_scores_toxicity_is_of_the_size_of_what_was_learnt():
+    texts = ["a foul word", "a kind word", "foul and kinder", "kind"] * 5
+    words = toxicity.Vocabulary()
+    numbers = [toxicity.encode([t], words)[0] for t in texts]
+    rows, starts = toxicity.subwords(words.taken())
+    net = toxicity.ConvNet()
+    net.start_from(numbers, np.array([1, 0] * 10), rows, np.concatenate([[0], starts, [len(rows)]]))
+    small = net.compact()
+    assert len(small.table) == net.table.any(axis=1).sum() + 1 < 1000 and net.place is None
+    more, at = toxicity.subwords([*words, "foul", "neverseen"][1:])
+    assert np.array_equal(small.embedded(more, at), net.embedded(more, at)) and small.embedded(more, at).any()
+    assert len(__import__("pickle").dumps(small)) < len(__import__("pickle").dumps(net)) / 4
+
+
 def test_toxicity_scores_do_not_depend_on_neighbours():
     net = toxicity.ConvNet()
     net.table += np.random.default_rng(0).standard_normal(net.table.shape).astype(np.float32)
