@@ -37,24 +37,25 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return lower.union(known.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node of ``edges`` (a larger than b) is the larger end of one edge only, or of none."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return not ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1").count()
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) of the nodes of ``edges`` (a, b); a component is named by its smallest node.
 
     Loops and null ends are left out. The number of rounds grows with the logarithm of the longest
-    path; rounds go on until a small star changes nothing. Only a count and a checksum of the edges
-    reach the driver. A round's table is deleted when the next is written.
+    path; rounds go on until the edges are stars, which need none. Only a count of the nodes that
+    aren't done reaches the driver. A round's table is deleted when the next is written.
     """
-    spark = edges.sparkSession
-    edges, before, last = edges.select("a", "b").where("a <> b"), None, None
-    while True:
-        round_ = Scratch(spark, name)
+    last = Scratch(edges.sparkSession, name)
+    edges = last.put(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), "edges")
+    while not _is_stars(edges):
+        round_ = Scratch(edges.sparkSession, name)
         edges = round_.put(_small_star(_large_star(edges)), "edges")
-        if last:
-            last.drop()
+        last.drop()
         last = round_
-        after = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if before == after:
-            break
-        before = after
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

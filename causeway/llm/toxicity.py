@@ -30,6 +30,7 @@ DEVIATIONS = 2.0  # by which a row's log-odds are drawn towards 0
 WORD = re.compile(r"\w+")
 CACHE_WORDS = 300_000
 WORDS_AT_ONCE = 1 << 16
+WORDS_HASHED = 1 << 14
 MARGIN = 0.25  # where between the logits on either side of the best split a threshold lies
 #: Frequent function words by which a text's language is guessed.
 FUNCTION_WORDS = {
@@ -51,8 +52,17 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     A word has a line for each of its characters and for the signs < and > around it, from ``starts`` on. Row 0 is the
     empty row; it stands where an n-gram would go beyond the word.
     """
-    if not words:
-        return np.zeros((0, len(NGRAMS) + 1), np.int32), np.zeros(0, np.int64)
+    sizes = np.array([len(w) + 2 for w in words], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    rows = np.zeros((int(sizes.sum()), len(NGRAMS) + 1), np.int32)
+    for lo in range(0, len(words), WORDS_HASHED):  # in parts, as hashes and their steps take many times the rows
+        part = _hashed(words[lo : lo + WORDS_HASHED])
+        rows[starts[lo] : starts[lo] + len(part)] = part
+    return rows, starts
+
+
+def _hashed(words: list[str]) -> np.ndarray:
+    """The lines of some words one after another, see ``subwords``."""
     codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.array([len(w) + 2 for w in words], np.int64)
     starts = np.cumsum(sizes) - sizes
@@ -68,7 +78,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     power = np.cumprod(np.full(int(sizes.max()), base))
     whole = np.add.reduceat(codes * power[np.arange(len(codes)) - np.repeat(starts, sizes)], starts)
     rows[starts, -1] = mixed(whole)
-    return rows, starts
+    return rows
 
 
 class Vocabulary(dict):
@@ -156,8 +166,8 @@ class ConvNet:
     def embedded(self, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Embeddings of words of which ``subwords`` gave rows and starts."""
         out = np.zeros((len(starts), DIM), np.float32)
-        for lo in range(0, len(starts), WORDS_AT_ONCE):
-            hi = min(lo + WORDS_AT_ONCE, len(starts))
+        for lo in range(0, len(starts), WORDS_HASHED):
+            hi = min(lo + WORDS_HASHED, len(starts))
             first, last = starts[lo], starts[hi] if hi < len(starts) else len(rows)
             lines = self._rows(rows[first:last, 0])
             for k in range(1, rows.shape[1]):
@@ -306,6 +316,8 @@ def fit_toxicity(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "t
         net.thresholds[:] = 60
         return net
     rows, starts = subwords(words.taken())
+    del words  # texts are numbers from here on
+    release()
     lines = np.concatenate([[0], starts, [len(rows)]])  # the empty word has none
     held = np.zeros(len(labels), bool)
     for y in (0, 1):  # a fifth of either label
@@ -317,7 +329,7 @@ def fit_toxicity(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "t
     vectors = np.concatenate([np.zeros((1, DIM), np.float32), net.embedded(rows, starts)])
     logits = np.concatenate([net.logits(vectors[texts[i]], np.zeros(1, np.int64)) for i in check])
     net.calibrate(logits, labels[check], language[check])
-    del texts, words, rows, vectors
+    del texts, rows, vectors
     release()
     return net
 

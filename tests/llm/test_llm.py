@@ -4,6 +4,7 @@ import hashlib
 import re
 import time
 import wave
+import tracemalloc
 import zlib
 from io import BytesIO
 from itertools import combinations
@@ -617,6 +618,28 @@ def test_components(spark):
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
 
 
+def test_components_of_stars_need_no_round(spark, monkeypatch):
+    rounds, star = [], components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda edges: rounds.append(1) or star(edges))
+    stars = spark.createDataFrame([(1, 5), (6, 1), (2, 7), (3, 3), (None, 4)], "a long, b long")
+    assert {tuple(r) for r in components.connected_components(stars).collect()} == {(1, 1), (5, 1), (6, 1), (2, 2), (7, 2)}
+    assert components.connected_components(stars.where("false")).count() == 0 and not rounds
+    bent = stars.union(spark.createDataFrame([(5, 2)], "a long, b long"))  # 5 is an end of two edges
+    assert {tuple(r) for r in components.connected_components(bent).collect()} == {(k, 1) for k in (1, 2, 5, 6, 7)} and rounds
+
+
+def test_words_are_hashed_in_parts(monkeypatch):
+    words = [w for n in range(3000) for w in (f"wort{n}", chr(0x4E00 + n), "é" * (n % 9 + 1))]
+    rows, starts = toxicity.subwords(words)
+    tracemalloc.start()
+    toxicity.subwords(words * 20)
+    assert tracemalloc.get_traced_memory()[1] < 2.5 * 20 * rows.nbytes
+    tracemalloc.stop()
+    monkeypatch.setattr(toxicity, "WORDS_HASHED", 7)
+    again, at = toxicity.subwords(words)
+    assert (again == rows).all() and (at == starts).all()
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
